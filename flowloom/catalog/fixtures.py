@@ -56,9 +56,9 @@ FLOWS = {
     "djit": _gaps("value * 2"),
     "stcpb": "event_id * 1000",
     "dtcpb": "event_id * 500",
-    "tcprtt": "value / 8",
-    "synack": "value / 16",
-    "ackdat": "value / 16",
+    "tcprtt": "value / 8 + 1",
+    "synack": "value / 16 + 1",
+    "ackdat": "value / 16 + 2",
     "smeansz": "value + 40",
     "dmeansz": "value + 20",
     "label": "cast(case when event_type = 'error' then 1 else 0 end as int)",

@@ -123,3 +123,195 @@ SQL["http_epochs"] = f"""with {MATCH} select h.key, h.seq,
   (select count(*) from ak a where a.key = h.key and a.proto='tcp' and a.seq < h.seq) as epoch
   from zk h where h.zeek_log='http'"""
 SQL["pairing_ordinal"] = f"with {MATCH} select key, seq, row_number() over (partition by key order by seq) as rn from ak"
+
+# --- projections, filters and scalar functions --------------------------------
+_A, _Z = f"with {FX_A} ", f"with {FX_Z} "
+SQL["header_drop"] = _A + """select cast(seq as varchar) as seq, cast(stime_us as varchar) as stime_us, proto,
+  cast(sport as varchar) as sport from fx_a"""
+SQL["ordered_projection"] = _A + "select saddr as srcip, dport as dsport, proto, dur, sjit, attack_cat, label from fx_a"
+SQL["fixed_layout"] = _A + "select seq, cast(null as varchar) as service, proto, dur from fx_a"
+SQL["label_filter"] = _A + """select seq, label from fx_a
+  where dpkts > 2"""
+SQL["numeric_coercion"] = _A + """select seq, cast(label as varchar) as raw,
+  case when attack_cat is null then dur end as value from fx_a"""
+SQL["epoch_conversion"] = "select o_orderkey, cast(epoch_us(o_orderdate) as double) / case when o_orderstatus = 'P' then 1000000 else 1 end as epoch from orders"
+SQL["port_cast"] = _A + "select seq, case when state in ('INT', 'REQ') then 0 else dport end as port from fx_a"
+SQL["half_even_seconds"] = _A + """select seq, cast(round_even(stime, 0) as bigint) as stime,
+  cast(round_even(sbytes / 2, 0) as bigint) as half_bytes from fx_a"""
+SQL["flow_keys_a"] = _A + f"select seq, {A_KEY} as key from fx_a"
+SQL["flow_keys_b"] = _Z + f"select seq, {Z_KEY} as key from fx_z"
+SQL["same_endpoint"] = _A + "select seq, cast(saddr = daddr and sport = dport as int) as is_sm_ips_ports from fx_a"
+SQL["ftp_login_flag"] = _Z + """select seq, cast(trim(user_name) <> '' and trim(password) <> '' as int) as is_ftp_login,
+  cast(trim(command) <> '' as int) as has_command from fx_z where zeek_log = 'ftp'"""
+SQL["service_default"] = _Z + """select seq, case zeek_log when 'conn' then coalesce(service, '-') else zeek_log end
+  as service from fx_z"""
+SQL["class_names"] = _A + """select case when label = 1 then 'Attack' else 'Normal' end as attack_type,
+  count(*) as flows from fx_a group by 1"""
+SQL["cast_and_fill"] = _A + """select seq, coalesce(sjit, -1) as sjit, coalesce(djit, -1) as djit,
+  coalesce(sintpkt, -1) as sintpkt, coalesce(dintpkt, -1) as dintpkt, cast(spkts as double) as spkts from fx_a"""
+SQL["scoring_float"] = _A + """select seq, cast(case when attack_cat is null then dpkts else 0 end as float) as value
+  from fx_a"""
+SQL["category_lookup"] = _A + """select seq, proto, case when dpkts = 0 then 'XXX' else state end as state,
+  cast(case proto when 'tcp' then 0 when 'udp' then 1 when 'arp' then 3 when 'icmp' then 6 end as double) as proto_index,
+  cast(case when dpkts = 0 then 16 else case state when 'FIN' then 0 when 'CON' then 1 when 'INT' then 2
+    when 'REQ' then 3 when 'RST' then 4 end end as double) as state_index from fx_a"""
+SQL["event_latency"] = _A + """select seq, case when state = 'REQ' then 0.0e0 else 1800000000.0e0 - floor(stime) end
+  as latency from fx_a"""
+SQL["flow_text"] = _A + "select seq, concat(saddr, ':', sport, ' -> ', daddr, ':', dport) as flow from fx_a"
+SQL["ipv4_numbers"] = _A + """select seq, case when state not in ('REQ', 'CON') then
+  cast(split_part(saddr, '.', 1) as bigint) * 16777216 + cast(split_part(saddr, '.', 2) as bigint) * 65536
+  + cast(split_part(saddr, '.', 3) as bigint) * 256 + cast(split_part(saddr, '.', 4) as bigint) end as number from fx_a"""
+SQL["capture_filter"] = _A + "select seq, proto from fx_a where proto <> 'arp'"
+SQL["four_tuple_filter"] = _Z + "select seq, orig_h, resp_p from fx_z where resp_p <> 21 and trans_depth <> 0"
+SQL["upper_method"] = _Z + """select upper(method) as method, upper(command) as command, count(*) as records
+  from fx_z group by 1, 2"""
+SQL["time_guard"] = _A + "select seq, stime_us from fx_a where dpkts > 0"
+
+# --- time matching and reconciliation -------------------------------------------
+_EXACT = f"""with {FX_A}, {FX_Z},
+ta as (select seq as a_seq, stime_us as a_us, row_number() over (partition by stime_us order by seq) as rn from fx_a),
+tz as (select seq as z_seq, ts_us as z_us, row_number() over (partition by ts_us order by seq) as rn from fx_z)"""
+SQL["exact_time_match"] = _EXACT + "select a_seq, a_us, z_seq, z_us from ta join tz on a_us = z_us and ta.rn = tz.rn"
+_NEAR = "exists (select 1 from fx_a where stime_us between ts_us - 500 and ts_us + 500)"
+SQL["band_semi"] = f"with {FX_A}, {FX_Z} select seq as z_seq, ts_us as z_us from fx_z where {_NEAR}"
+SQL["band_anti"] = f"with {FX_A}, {FX_Z} select seq as z_seq, ts_us as z_us from fx_z where not {_NEAR}"
+SQL["match_summary"] = f"""with {FX_A}, {FX_Z},
+ta as (select seq as a_seq, stime_us as a_us, row_number() over (partition by stime_us order by seq) as rn from fx_a),
+tz as (select seq as z_seq, ts_us as z_us, row_number() over (partition by ts_us order by seq) as rn from fx_z
+  where method is not null),
+m as (select count(*) as matched from ta join tz on a_us = z_us and ta.rn = tz.rn),
+z as (select count(*) as total_b, count(*) filter (method is null) as invalid_b from fx_z),
+a as (select count(*) as total_a from fx_a)
+select total_b, total_a, matched, cast(0 as bigint) as inexact, total_b - matched as unmatched_b,
+  total_a - matched as unmatched_a, invalid_b from m, z, a"""
+SQL["unmatched_by_time"] = _EXACT + """select a_seq, a_us from ta where not exists
+  (select 1 from tz where a_us = z_us and ta.rn = tz.rn)"""
+SQL["time_islands"] = _A + """, t as (select seq as a_seq, stime_us as a_us,
+  lag(stime_us) over (order by stime_us, seq) as prev from fx_a)
+select a_seq, a_us, max(case when prev is null or a_us - prev > 120000000 then a_us end)
+  over (order by a_us, a_seq rows unbounded preceding) as island from t"""
+SQL["time_sort"] = _A + """select cast(floor(stime) as bigint) as second, seq,
+  row_number() over (order by floor(stime), seq) as position from fx_a"""
+SQL["conn_enrich"] = f"""with {FX_Z},
+k as (select *, {TUPLE4} as t from fx_z),
+c as (select *, coalesce(lag(seq) over (partition by t order by seq), -1000) as since from k where zeek_log='conn'),
+h as (select c.seq, max(k.seq) as pick from c join k on k.t = c.t and k.zeek_log='http' and k.seq < c.seq
+  and k.seq > c.since group by c.seq),
+f as (select c.seq, max(k.seq) as pick from c join k on k.t = c.t and k.zeek_log='ftp' and k.seq < c.seq
+  and k.seq > c.since group by c.seq)
+select c.seq, c.service, hr.trans_depth, hr.response_body_len,
+  case when hr.seq is not null then coalesce(hr.method, '') end as method, fr.user_name, fr.password, fr.command
+from c left join h on h.seq = c.seq left join k hr on hr.seq = h.pick and hr.ts_us >= c.ts_us - 1728000000000
+left join f on f.seq = c.seq left join k fr on fr.seq = f.pick and fr.ts_us >= c.ts_us - 1728000000000"""
+SQL["http_last100"] = _Z + """, w as (select *, upper(method) as um, row_number() over (order by seq) as n from fx_z
+  where zeek_log='http' and method is not null)
+select z.seq, coalesce(c.c, 0) as ct_flw_http_mthd from fx_z z left join (select seq, count(*) over (
+  partition by orig_h, orig_p, resp_h, um order by n range between 100 preceding and 1 preceding) as c from w) c
+  on c.seq = z.seq"""
+SQL["ftp_last100"] = _Z + """, w as (select *, upper(command) as um, row_number() over (order by seq) as n from fx_z
+  where zeek_log='ftp' and command <> '')
+select z.seq, coalesce(c.c, 0) as ct_ftp_cmd from fx_z z left join (select seq, count(*) over (
+  partition by orig_h, orig_p, resp_h, um order by n range between 100 preceding and 1 preceding) as c from w) c
+  on c.seq = z.seq"""
+
+# --- allow-list, verdicts, alerts --------------------------------------------------
+# the four ranges written as octet conditions, first match by precedence
+_IN = {
+    "GCloud": "({0} like '10.0.0.%' and cast(split_part({0}, '.', 4) as int) between 0 and 15)",
+    "AWS": "({0} like '10.0.0.%' and cast(split_part({0}, '.', 4) as int) between 8 and 15)",
+    "Canonical": "({0} like '10.0.1.%' and cast(split_part({0}, '.', 4) as int) between 4 and 5)",
+    "SUSE": "({0} like '10.0.0.%' and cast(split_part({0}, '.', 4) as int) between 48 and 63)",
+}
+_REASONED = f"""with {FX_A},
+met as (select * replace (case when dport = 1024 then '169.254.169.254' else daddr end as daddr) from fx_a),
+r as (select *, (sbytes % 100) / 100.0e0 as probability, case when daddr = '169.254.169.254' then 'Meta' """ + " ".join(
+    f"when {c.format('saddr')} or {c.format('daddr')} then '{n}'" for n, c in _IN.items()) + " end as reason from met)"
+SQL["allow_list"] = _REASONED + "select seq, saddr, daddr, reason from r"
+SQL["verdicts"] = _REASONED + """select seq, case when probability >= 0.5 and reason is not null
+  then 'ignored(' || reason || ')' when probability >= 0.5 then 'attack' else 'normal' end as verdict,
+  case when probability >= 0.5 and reason is null then case when probability >= 0.7 then 'high' else 'low' end end
+  as severity from r"""
+SQL["alert_lines"] = _REASONED + """select concat(saddr, ':', sport, ' -> ', daddr, ':', dport) as line from r
+  where probability >= 0.5 and reason is null"""
+
+# --- profiling -----------------------------------------------------------------------
+SQL["value_counts"] = _A + " union all ".join(
+    f"select '{c}' as \"column\", cast({c} as varchar) as value, count(*) as count from fx_a group by 2"
+    for c in ("proto", "state", "label", "attack_cat"))
+SQL["attack_category_counts"] = _A + """select 'attack_cat' as "column", attack_cat as value, count(*) as count
+  from fx_a where label = 1 group by 2"""
+SQL["label_share"] = _A + """select count(*) as total, count(*) filter (label = 1) as attacks,
+  count(*) filter (label = 0) as normals, 100.0e0 * count(*) filter (label = 1) / count(*) as attack_pct,
+  100.0e0 * count(*) filter (label = 0) / count(*) as normal_pct from fx_a"""
+SQL["presence"] = _A + "select count(*) filter (label = 1) > 0 as present from fx_a"
+
+_STATS = ("count({0}) as count, round(avg({0}), 4) as mean, round(stddev_samp({0}), 4) as std, "
+          "cast(round(min({0}), 4) as double) as min, cast(round(max({0}), 4) as double) as max, ")
+_QUANTILES = ", ".join(f"round(quantile_cont(cast({{0}} as double), {p}), 4) as p{n}" for n, p in
+                       ((1, 0.01), (5, 0.05), (25, 0.25), (50, 0.5), (75, 0.75), (95, 0.95), (99, 0.99)))
+_SENTINEL = ", ".join(
+    f"count(*) filter ({{0}} {cond}) as {n}, round(100.0e0 * count(*) filter ({{0}} {cond}) / count(*), 4) as {n}_pct"
+    for n, cond in (("zeros", "= 0"), ("minus_ones", "= -1"), ("nulls", "is null")))
+
+
+def _per_column(cols, body, table):
+    return " union all ".join(f"select '{c}' as \"column\", {body.format(c)} from {table}" for c in cols)
+
+
+SQL["describe_numeric"] = _A + _per_column(NUMERIC, _STATS + _QUANTILES, "fx_a")
+SQL["describe_lineitem"] = _per_column(["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                                       _STATS + _QUANTILES, "lineitem")
+SQL["sentinel_profile"] = _A + _per_column(NUMERIC, _SENTINEL, "fx_a")
+SQL["full_profile"] = _A + _per_column(["sjit", "djit", "sintpkt", "dintpkt"],
+                                       _STATS + _QUANTILES + ", " + _SENTINEL, "fx_a")
+SQL["http_profile"] = f"with {MERGED} " + _per_column(
+    ["trans_depth", "response_body_len", "ct_flw_http_mthd"], _STATS + _QUANTILES + ", " + _SENTINEL, "counted")
+SQL["short_flow_stats"] = _A + " union all ".join(
+    f"""select '{f}' as feature, '{p}' as packet_column, cast({n} as int) as packets, count(*) as flows,
+  round(avg({f}), 4) as mean, round(stddev_samp({f}), 4) as std, round(min({f}), 4) as min, round(max({f}), 4) as max,
+  round(quantile_cont({f}, 0.25), 4) as p25, round(quantile_cont({f}, 0.5), 4) as p50,
+  round(quantile_cont({f}, 0.75), 4) as p75, count(*) filter ({f} = 0) as zeros,
+  count(*) filter ({f} = -1) as minus_ones, count(*) filter ({f} is null) as nulls from fx_a where {p} = {n}"""
+    for f, p in (("sjit", "spkts"), ("djit", "dpkts"), ("sintpkt", "spkts"), ("dintpkt", "dpkts")) for n in (1, 2, 3))
+
+# --- dataset preparation ----------------------------------------------------------------
+_HASH = "md5(concat(cast(seq as varchar), '|42'))"
+SQL["csv_union"] = _A + "select seq, proto, saddr, dur, label from fx_a"
+SQL["log_union"] = _Z + """select seq, zeek_log, case when zeek_log = 'conn' then service end as service,
+  case when zeek_log = 'http' then method end as method,
+  case when zeek_log = 'http' then trans_depth end as trans_depth,
+  case when zeek_log = 'ftp' then command end as command from fx_z"""
+SQL["balanced_sample"] = _A + f""", r as (select *, row_number() over (partition by label order by {_HASH}, seq) as rn
+  from fx_a), s as (select least(count(*) filter (label = 1), count(*) filter (label = 0) // 3) as n from fx_a)
+select seq, label, dur, attack_cat from r, s where rn <= case label when 1 then n else 3 * n end"""
+SQL["seeded_shuffle"] = _A + f"select seq, row_number() over (order by {_HASH}, seq) as position from fx_a"
+SQL["hash_split"] = _A + f"""select seq, label, cast(concat('0x', substr({_HASH}, 1, 8)) as bigint) < 3435973836
+  as is_train from fx_a"""
+SQL["stratified_folds"] = _A + f"""select seq, label,
+  cast((row_number() over (partition by label order by {_HASH}, seq) - 1) % 15 as int) as fold from fx_a"""
+SQL["category_index"] = _A + """select state as value, count(*) as count,
+  cast(row_number() over (order by count(*) desc, state) - 1 as double) as index from fx_a group by state"""
+
+# --- evaluation ----------------------------------------------------------------------------
+_P = _A + ", p as (select seq, label, cast(dur > 40 as int) as prediction from fx_a) "
+SQL["confusion_matrix"] = _P + """select cast(l as int) as label, cast(q as int) as prediction,
+  (select count(*) from p where p.label = l and p.prediction = q) as n from range(2) a(l), range(2) b(q)"""
+SQL["classification_report"] = _P + """,
+c as (select name, (select count(*) from p where label = k) as support,
+  (select count(*) from p where prediction = k) as predicted,
+  (select count(*) from p where label = k and prediction = k) as hits from (values (0, 'Normal'), (1, 'Attack')) v(k, name)),
+r as (select *, hits / predicted as pr, hits / support as re from c),
+x as (select *, 2 * pr * re / (pr + re) as f from r)
+select name as class, round(pr, 6) as precision, round(re, 6) as recall, round(f, 6) as f1, support from x
+union all select 'accuracy', null, null, round(sum(hits) / sum(support), 6), cast(sum(support) as bigint) from x
+union all select 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f), 6), cast(sum(support) as bigint) from x
+union all select 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6),
+  round(sum(f * support) / sum(support), 6), cast(sum(support) as bigint) from x"""
+SQL["accuracy"] = _P + """select round(avg(cast(label = prediction as int)), 6) as accuracy,
+  round(avg(cast(label = prediction as int)) filter (label <> 0), 6) as attack_accuracy from p"""
+SQL["fold_accuracy"] = _A + f""", f as (select *, (row_number() over (partition by label order by {_HASH}, seq) - 1) % 15
+  as fold from fx_a),
+s as (select t, fold, avg(cast(label = cast(dur > t as int) as int)) as acc from f, (values (40), (80)) v(t)
+  group by t, fold),
+m as (select t, avg(acc) as acc from s group by t)
+select t as threshold, round(acc, 6) as mean_accuracy from m order by acc desc limit 1"""

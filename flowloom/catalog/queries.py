@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from flowloom.catalog.fixtures import flows, logs
 from flowloom.functions import address, coerce, enrich
-from flowloom.functions.keys import flow_key, log_key
-from flowloom.operators import history, matching, scan
+from flowloom.functions.keys import flow_key, has_four_tuple, log_key
+from flowloom.operators import (
+    categories, dataset, enrichment, evaluation, history, matching, netranges, profile, scan, timematch)
 from flowloom.plans import merge
-from flowloom.schemas import FLOW_FIELDS
+from flowloom.schemas import HTTP_PROFILE_FIELDS, NUMERIC_FIELDS, PROTO_LABELS, STATE_LABELS
+from flowloom.sources import flows as sources_flows
+from flowloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -137,3 +140,431 @@ def http_epochs(spark, sf):
 def pairing_ordinal(spark, sf):
     a, _ = _keyed(spark, sf)
     return scan.ordinal(a.select("key", "seq"), ["key"], "seq", "rn")
+
+
+# --- projections, filters and scalar functions --------------------------------
+
+@query
+def header_drop(spark, sf):
+    """Text rows plus a header row; rows whose time does not parse are dropped."""
+    texts = flows(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in ("seq", "stime_us", "proto", "sport")])
+    header = texts.agg(*[F.coalesce(F.max(F.lit(c)), F.lit(c)).alias(c) for c in texts.columns])
+    return texts.unionByName(header).where(F.col("stime_us").try_cast("double").isNotNull())
+
+
+@query
+def ordered_projection(spark, sf):
+    named = flows(spark, sf).withColumnsRenamed({"saddr": "srcip", "daddr": "dstip", "dport": "dsport"})
+    keep = ["label", "dsport", "srcip", "proto", "sjit", "dur", "no_such_column", "attack_cat"]
+    return dataset.ordered_projection(named, keep)
+
+
+@query
+def fixed_layout(spark, sf):
+    return merge.fixed_layout(flows(spark, sf).select("seq", "proto", "dur"), ["seq", "service", "proto", "dur"])
+
+
+def _raw_labels(spark, sf):
+    """Labels as text, some of them unusable."""
+    text = F.when(F.col("dpkts") == 0, F.lit("n/a")).when(F.col("dpkts") == 1, F.lit("2")) \
+        .when(F.col("dpkts") == 2, F.lit(None)).otherwise(F.col("label").cast("string"))
+    return flows(spark, sf).select("seq", text.alias("label"))
+
+
+@query
+def label_filter(spark, sf):
+    return dataset.valid_labels(_raw_labels(spark, sf))
+
+
+@query
+def numeric_coercion(spark, sf):
+    mixed = flows(spark, sf).select("seq", F.col("label").cast("string").alias("raw"),
+                                    F.coalesce("attack_cat", F.col("dur").cast("string")).alias("value"))
+    return coerce.coerce_numeric(mixed, ["value", "absent"])
+
+
+@query
+def epoch_conversion(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    text = F.when(F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")) \
+        .otherwise(F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("string"))
+    return orders.select("o_orderkey", coerce.epoch_seconds(text).alias("epoch"))
+
+
+@query
+def port_cast(spark, sf):
+    number = F.col("dport")
+    text = (F.when(F.col("state") == "FIN", F.concat(F.lit("0x"), F.hex(number)))
+            .when(F.col("state") == "CON", F.concat(F.lit(" "), number.cast("string"), F.lit(" ")))
+            .when(F.col("state") == "INT", F.concat(number.cast("string"), F.lit(".0")))
+            .when(F.col("state") == "REQ", F.lit("")).otherwise(number.cast("string")))
+    return flows(spark, sf).select("seq", coerce.port_number(text).alias("port"))
+
+
+@query
+def half_even_seconds(spark, sf):
+    return flows(spark, sf).select("seq", coerce.half_even_seconds(F.col("stime")).alias("stime"),
+                                   coerce.half_even_seconds(F.col("sbytes") / 2).alias("half_bytes"))
+
+
+@query
+def flow_keys_a(spark, sf):
+    return flows(spark, sf).select("seq", flow_key().alias("key"))
+
+
+@query
+def flow_keys_b(spark, sf):
+    return logs(spark, sf).select("seq", log_key().alias("key"))
+
+
+@query
+def same_endpoint(spark, sf):
+    return flows(spark, sf).select("seq", enrich.same_endpoint().alias("is_sm_ips_ports"))
+
+
+@query
+def ftp_login_flag(spark, sf):
+    return logs(spark, sf).where("zeek_log = 'ftp'").select(
+        "seq", enrich.ftp_login(F.col("user_name"), F.col("password")).alias("is_ftp_login"),
+        enrich.ftp_command_present(F.col("command")).alias("has_command"))
+
+
+@query
+def service_default(spark, sf):
+    return logs(spark, sf).select("seq", enrich.service_name(F.col("zeek_log"), F.col("service")).alias("service"))
+
+
+@query
+def class_names(spark, sf):
+    return flows(spark, sf).groupBy(coerce.class_name(F.col("label")).alias("attack_type")).agg(
+        F.count(F.lit(1)).alias("flows"))
+
+
+@query
+def cast_and_fill(spark, sf):
+    cols = ["sjit", "djit", "sintpkt", "dintpkt", "spkts", "absent"]
+    return coerce.cast_and_fill(flows(spark, sf).select("seq", *cols[:-1]), cols)
+
+
+@query
+def scoring_float(spark, sf):
+    text = F.coalesce("attack_cat", F.col("dpkts").cast("string"))
+    return flows(spark, sf).select("seq", coerce.scoring_float(text).alias("value"))
+
+
+@query
+def category_lookup(spark, sf):
+    states = F.when(F.col("dpkts") == 0, F.lit("XXX")).otherwise(F.col("state"))
+    named = flows(spark, sf).select("seq", "proto", states.alias("state"))
+    indexed = categories.apply_category_index(named, "proto", categories.index_frame(spark, PROTO_LABELS))
+    return categories.apply_category_index(indexed, "state", categories.index_frame(spark, STATE_LABELS))
+
+
+@query
+def event_latency(spark, sf):
+    now = F.lit(1_800_000_000.0)
+    text = F.when(F.col("state") == "REQ", F.lit("n/a")).otherwise(F.floor("stime").cast("string"))
+    return flows(spark, sf).select("seq", enrich.latency_seconds(text, now).alias("latency"))
+
+
+@query
+def flow_text(spark, sf):
+    return flows(spark, sf).select("seq", enrich.flow_text().alias("flow"))
+
+
+@query
+def ipv4_numbers(spark, sf):
+    raw = F.when(F.col("state") == "REQ", F.lit("fe80::1")).when(F.col("state") == "CON", F.concat("daddr", F.lit(".300"))) \
+        .otherwise(F.col("saddr"))
+    return flows(spark, sf).select("seq", address.ipv4_number(raw).alias("number"))
+
+
+@query
+def capture_filter(spark, sf):
+    proto = F.when(F.col("proto") == "arp", F.lit("man")).otherwise(F.col("proto"))
+    return sources_flows.captured(flows(spark, sf).withColumn("proto", proto)).select("seq", "proto")
+
+
+@query
+def four_tuple_filter(spark, sf):
+    port = F.when(F.col("resp_p") == 21, F.lit(0)).otherwise(F.col("resp_p"))
+    holes = logs(spark, sf).withColumn("resp_p", port).withColumn(
+        "orig_h", F.when(F.col("trans_depth") == 0, F.lit("")).otherwise(F.col("orig_h")))
+    return holes.where(has_four_tuple("orig_h", "orig_p", "resp_h", "resp_p")).select("seq", "orig_h", "resp_p")
+
+
+@query
+def upper_method(spark, sf):
+    return logs(spark, sf).groupBy(F.upper("method").alias("method"), F.upper("command").alias("command")).agg(
+        F.count(F.lit(1)).alias("records"))
+
+
+@query
+def time_guard(spark, sf):
+    holes = flows(spark, sf).withColumn("stime_us", F.when(F.col("dpkts") > 0, F.col("stime_us")))
+    return sources_flows.timed(holes, "stime_us").select("seq", "stime_us")
+
+
+# --- time matching and reconciliation ------------------------------------------
+
+def _times(spark, sf):
+    return (flows(spark, sf).select(F.col("seq").alias("a_seq"), F.col("stime_us").alias("a_us")),
+            logs(spark, sf).select(F.col("seq").alias("z_seq"), F.col("ts_us").alias("z_us")))
+
+
+@query
+def exact_time_match(spark, sf):
+    return timematch.nearest_time_match(*_times(spark, sf), 0)
+
+
+@query
+def nearest_time_match(spark, sf):
+    return timematch.nearest_time_match(*_times(spark, sf), 1000)
+
+
+@query
+def inexact_matches(spark, sf):
+    return timematch.inexact_matches(nearest_time_match(spark, sf))
+
+
+@query
+def interval_match(spark, sf):
+    a, z = _keyed(spark, sf)
+    return timematch.interval_match(
+        a.select("key", F.col("seq").alias("a_seq"), F.col("stime_us").alias("a_us")),
+        z.select("key", F.col("seq").alias("z_seq"), F.col("ts_us").alias("z_us")), 1000)
+
+
+@query
+def band_semi(spark, sf):
+    a, z = _times(spark, sf)
+    return timematch.band_semi(a, z, 500)
+
+
+@query
+def band_anti(spark, sf):
+    a, z = _times(spark, sf)
+    return timematch.band_anti(a, z, 500)
+
+
+@query
+def match_summary(spark, sf):
+    a, _ = _times(spark, sf)
+    # records without a method stand for those without a readable time
+    z = logs(spark, sf).select(F.col("seq").alias("z_seq"), F.when(F.col("method").isNotNull(), F.col("ts_us")).alias("z_us"))
+    pairs = timematch.nearest_time_match(a, z.where("z_us is not null"), 0)
+    return timematch.match_summary(a, z, pairs)
+
+
+@query
+def unmatched_by_time(spark, sf):
+    a, z = _times(spark, sf)
+    return timematch.unmatched(a, timematch.nearest_time_match(a, z, 0), "a_seq")
+
+
+@query
+def time_islands(spark, sf):
+    a, _ = _times(spark, sf)
+    return scan.time_islands(a, "a_us", 120_000_000)
+
+
+@query
+def time_sort(spark, sf):
+    a = flows(spark, sf).withColumn("second", F.floor("stime").cast("bigint"))
+    return scan.sorted_scan(a.select("second", "seq"), [], ["second", "seq"],
+                            [scan.Running("position", F.lit(1).cast("bigint"))])
+
+
+@query
+def conn_enrich(spark, sf):
+    return enrichment.conn_enrich(logs(spark, sf), ttl=20 * 86_400_000_000).select(
+        "seq", "service", "trans_depth", "response_body_len", "method", "user_name", "password", "command")
+
+
+@query
+def http_last100(spark, sf):
+    z = logs(spark, sf)
+    keys = [F.col("orig_h"), F.col("orig_p"), F.col("resp_h"), F.upper("method")]
+    return history.last_n_count(z, "seq", keys, "ct_flw_http_mthd",
+                                (F.col("zeek_log") == "http") & F.col("method").isNotNull()) \
+        .select("seq", "ct_flw_http_mthd")
+
+
+@query
+def ftp_last100(spark, sf):
+    z = logs(spark, sf)
+    keys = [F.col("orig_h"), F.col("orig_p"), F.col("resp_h"), F.upper("command")]
+    return history.last_n_count(z, "seq", keys, "ct_ftp_cmd",
+                                (F.col("zeek_log") == "ftp") & (F.col("command") != "")).select("seq", "ct_ftp_cmd")
+
+
+# --- allow-list, verdicts, alerts ----------------------------------------------
+
+RANGES = [("gcloud", "10.0.0.0/28"), ("aws", "10.0.0.8/29"), ("canonical", "10.0.1.4/31"), ("suse", "10.0.0.48/30")]
+
+
+def _reasoned(spark, sf):
+    ranges = spark.createDataFrame(RANGES, "provider string, cidr string")
+    metadata = F.when(F.col("dport") == 1024, F.lit(address.METADATA_ADDRESS)).otherwise(F.col("daddr"))
+    return netranges.allow_reason(flows(spark, sf).withColumn("daddr", metadata), ranges)
+
+
+@query
+def allow_list(spark, sf):
+    return _reasoned(spark, sf).select("seq", "saddr", "daddr", "reason")
+
+
+def _scored(spark, sf):
+    return _reasoned(spark, sf).withColumn("probability", (F.col("sbytes") % 100) / F.lit(100.0))
+
+
+@query
+def verdicts(spark, sf):
+    p, r = F.col("probability"), F.col("reason")
+    return _scored(spark, sf).select("seq", enrich.verdict(p, r).alias("verdict"), enrich.severity(p, r).alias("severity"))
+
+
+@query
+def alert_lines(spark, sf):
+    return sinks.alert_lines(_scored(spark, sf))
+
+
+# --- profiling ------------------------------------------------------------------
+
+PROFILED = ["proto", "state", "label", "attack_cat"]
+
+
+@query
+def value_counts(spark, sf):
+    return profile.ranked_counts(flows(spark, sf), PROFILED)
+
+
+@query
+def attack_category_counts(spark, sf):
+    return profile.value_counts(flows(spark, sf).where("label = 1"), ["attack_cat"])
+
+
+@query
+def label_share(spark, sf):
+    return profile.label_shares(flows(spark, sf))
+
+
+@query
+def presence(spark, sf):
+    return profile.has_value(flows(spark, sf), "label", 1)
+
+
+def _rounded(df, digits=4):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query
+def describe_numeric(spark, sf):
+    return _rounded(profile.describe(flows(spark, sf), NUMERIC_FIELDS))
+
+
+@query
+def describe_lineitem(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return _rounded(profile.describe(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@query
+def describe_approximate(spark, sf):
+    return _rounded(profile.describe(flows(spark, sf), NUMERIC_FIELDS, approx=True))
+
+
+@query
+def sentinel_profile(spark, sf):
+    return _rounded(profile.sentinel_profile(flows(spark, sf), NUMERIC_FIELDS))
+
+
+@query
+def full_profile(spark, sf):
+    return _rounded(profile.full_profile(flows(spark, sf), ["sjit", "djit", "sintpkt", "dintpkt"]))
+
+
+@query
+def short_flow_stats(spark, sf):
+    return _rounded(profile.short_flow_stats(flows(spark, sf)))
+
+
+@query
+def http_profile(spark, sf):
+    return _rounded(profile.full_profile(merged_flows(spark, sf), HTTP_PROFILE_FIELDS))
+
+
+# --- dataset preparation ----------------------------------------------------------
+
+@query
+def csv_union(spark, sf):
+    a = flows(spark, sf).select("seq", "proto", "saddr", "dur", "label")
+    parts = [a.where("proto = 'tcp'"), a.where("proto = 'udp'").withColumnRenamed("dur", "duration"),
+             a.where("proto not in ('tcp', 'udp')")]
+    return dataset.positional_union(parts)
+
+
+@query
+def log_union(spark, sf):
+    z = logs(spark, sf)
+    return sources_flows.union_logs({
+        "conn": z.where("zeek_log = 'conn'").select("seq", "service"),
+        "http": z.where("zeek_log = 'http'").select("seq", "method", "trans_depth"),
+        "ftp": z.where("zeek_log = 'ftp'").select("seq", "command")})
+
+
+@query
+def balanced_sample(spark, sf):
+    return dataset.balance(flows(spark, sf), ratio=3).select("seq", "label", "dur", "attack_cat")
+
+
+@query
+def seeded_shuffle(spark, sf):
+    ranked = dataset.class_rank(flows(spark, sf).select("seq", F.lit(0).alias("all")), "all", "seq", name="position")
+    return ranked.select("seq", "position")
+
+
+@query
+def hash_split(spark, sf):
+    return dataset.hash_split(flows(spark, sf).select("seq", "label"), "seq")
+
+
+@query
+def stratified_folds(spark, sf):
+    return dataset.stratified_folds(flows(spark, sf).select("seq", "label"), "label", "seq")
+
+
+@query
+def category_index(spark, sf):
+    return categories.fit_category_index(flows(spark, sf), "state")
+
+
+# --- evaluation --------------------------------------------------------------------
+
+def _predicted(spark, sf):
+    return flows(spark, sf).select("seq", "label", (F.col("dur") > 40).cast("int").alias("prediction"))
+
+
+@query
+def confusion_matrix(spark, sf):
+    return evaluation.confusion_matrix(_predicted(spark, sf))
+
+
+@query
+def classification_report(spark, sf):
+    return _rounded(evaluation.classification_report(confusion_matrix(spark, sf)), 6)
+
+
+@query
+def accuracy(spark, sf):
+    return _rounded(evaluation.accuracy(_predicted(spark, sf)), 6)
+
+
+@query
+def fold_accuracy(spark, sf):
+    """Mean accuracy over folds of two decision thresholds, best one reported."""
+    folded = dataset.stratified_folds(flows(spark, sf).select("seq", "label", "dur"), "label", "seq")
+    tried = folded.select("label", "fold", "dur", F.explode(F.array(F.lit(40), F.lit(80))).alias("threshold"))
+    results = tried.groupBy("threshold", "fold").agg(
+        F.avg((F.col("label") == (F.col("dur") > F.col("threshold")).cast("int")).cast("double")).alias("accuracy"))
+    return _rounded(evaluation.best_params(evaluation.mean_accuracy(results, ["threshold"]), ["threshold"]), 6)

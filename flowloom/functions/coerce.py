@@ -22,6 +22,11 @@ def epoch_micros(c: Column) -> Column:
     return F.round(epoch_seconds(c) * F.lit(1e6), 0).cast("bigint")
 
 
+def micros_of_number(c: Column) -> Column:
+    """Integer microseconds of numeric text; null for anything else."""
+    return F.round(c.try_cast("double") * F.lit(1e6), 0).cast("bigint")
+
+
 def half_even_seconds(c: Column) -> Column:
     """Whole seconds, ties to the even second."""
     return F.bround(c, 0).cast("bigint")

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.session import cut_lineage
+
 # Order units per block: at most this many arrivals of one key meet in one task.
 BLOCK_WIDTH = 1 << 18
 # Blocks of the keyless numbering are its only parallelism, so they are narrower.
@@ -82,25 +84,45 @@ def keyed_scan(df: DataFrame, keys: list[str], order: str, scans: list[Running],
     ``order`` must be an integer column, unique within a key. Rows of one key are spread
     over as many tasks as they span blocks.
     """
-    original = df.columns
-    group = [*keys, _BLK]
     work = df.withColumn(_BLK, block_index(order, width))
-    work = work.select(*work.columns, *[s.value.alias(_value(i)) for i, s in enumerate(scans)])
+    return scan_blocks(work, keys, [order], scans, df.columns)
+
+
+def sorted_scan(df: DataFrame, keys: list[str], order: list[str], scans: list[Running]) -> DataFrame:
+    """Like :func:`keyed_scan` for any sortable order; blocks are range partitions.
+
+    The partition number is the block, so the ranged frame is written once: sampling the
+    ranges anew for a second consumer could place rows differently. ``(keys, order)`` must
+    be unique, otherwise equal rows cannot be spread.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order), required=True)
+    work = ranged.withColumn(_BLK, F.spark_partition_id().cast("bigint"))
+    return scan_blocks(work, keys, order, scans, df.columns)
+
+
+def scan_blocks(work: DataFrame, keys: list[str], order: list[str], scans: list[Running],
+                keep: list[str], block: str = _BLK) -> DataFrame:
+    """Scan over frames whose ``block`` column ascends with ``order`` inside each key."""
+    if block != _BLK:
+        work = work.withColumn(_BLK, F.col(block))
+    group = [*keys, _BLK]
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    work = work.select(*keep, _BLK, *[s.value.alias(_value(i)) for i, s in enumerate(scans)])
     # one exchange feeds both the block totals and the local windows
     work = work.repartition(*group)
 
     totals = work.groupBy(*group).agg(
-        *[_REDUCE[s.kind](F.col(_value(i)), F.col(order)).alias(_carry(i)) for i, s in enumerate(scans)])
+        *[_REDUCE[s.kind](F.col(_value(i)), rank).alias(_carry(i)) for i, s in enumerate(scans)])
     carry = _prefix_over_blocks(totals, keys, scans)
 
-    span = Window.partitionBy(*group).orderBy(order)
+    span = Window.partitionBy(*group).orderBy(*order)
     upto = span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = span.rowsBetween(Window.unboundedPreceding, -1)
     local = work.select(*work.columns, *[
         _OVER[s.kind](F.col(_value(i)), upto if s.inclusive else before).alias(f"__l{i}")
         for i, s in enumerate(scans)])
     joined = local.join(carry, group, "left")
-    return joined.select(*original, *[
+    return joined.select(*keep, *[
         _COMBINE[s.kind](F.col(_carry(i)), F.col(f"__l{i}")).alias(s.name) for i, s in enumerate(scans)])
 
 

@@ -31,19 +31,23 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str | N
     The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is used only where
     that is unset, as in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and fallback:
-        root = fallback
-        spark.conf.set("spark.checkpoint.dir", root)
-    if root and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
+    context = spark.sparkContext
+    known = context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or known or fallback
+    if root and not known:
+        context.setCheckpointDir(root)
     return root
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, required: bool = False) -> DataFrame:
     """Write an intermediate once instead of recomputing it for every consumer.
 
     Uses a reliable checkpoint in the shared folder, so it outlives lost executors.
-    Where no folder is configured the frame is returned as it is.
+    Where no folder is configured the frame is returned as it is, unless the caller
+    depends on the partitions staying as they are (``required``).
     """
-    return df.checkpoint() if checkpoint_root(df.sparkSession) else df
+    if checkpoint_root(df.sparkSession):
+        return df.checkpoint()
+    if required:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return df
