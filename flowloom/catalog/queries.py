@@ -11,7 +11,8 @@ from flowloom.catalog.fixtures import flows, logs
 from flowloom.functions import address, coerce, enrich
 from flowloom.functions.keys import flow_key, has_four_tuple, log_key
 from flowloom.operators import (
-    categories, dataset, enrichment, evaluation, history, matching, netranges, profile, scan, timematch)
+    categories, dataset, enrichment, evaluation, history, matching, netranges, profile, replay, scan,
+    timematch)
 from flowloom.plans import merge
 from flowloom.schemas import HTTP_PROFILE_FIELDS, NUMERIC_FIELDS, PROTO_LABELS, STATE_LABELS
 from flowloom.sources import flows as sources_flows
@@ -568,3 +569,17 @@ def fold_accuracy(spark, sf):
     results = tried.groupBy("threshold", "fold").agg(
         F.avg((F.col("label") == (F.col("dur") > F.col("threshold")).cast("int")).cast("double")).alias("accuracy"))
     return _rounded(evaluation.best_params(evaluation.mean_accuracy(results, ["threshold"]), ["threshold"]), 6)
+
+
+# --- record-by-record replay ---------------------------------------------------------
+
+@query
+def replay_merges(spark, sf):
+    return replay.replay_merges(flows(spark, sf), logs(spark, sf)).select(
+        "merge_seq", "a_seq", "z_seq", "kind", "service", "trans_depth", "response_body_len",
+        "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
+
+
+@query
+def replay_flows(spark, sf):
+    return merge.merge_flows(flows(spark, sf), logs(spark, sf), mode="replay")

@@ -78,7 +78,8 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
 
     * ``epoch``: tcp flows of the key seen before,
     * ``folds``: a tcp flow with http rows since the previous tcp flow takes them,
-    * ``flows_seen`` / ``conns_seen``: waiting-eligible flows and conn rows up to here,
+    * ``flows_seen`` / ``conns_seen`` / ``https_seen``: waiting-eligible flows, conn and http
+      rows up to here,
     * ``folds_seen``: flows that took http rows up to here.
 
     The fold flags need one look at the previous block: only the first tcp flow of a block
@@ -107,12 +108,13 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     waits = (kind == "dgram") | ((kind == "tcp") & ~F.col("__folds"))
     local = flagged.select(
         *flagged.columns, counted(waits, upto).alias("__waits_to"), counted(F.col("__folds"), upto).alias("__folds_to"),
-        counted(F.col("__open"), upto).alias("__open_to"), counted(kind == "conn", upto).alias("__conns_to"))
+        counted(F.col("__open"), upto).alias("__open_to"), counted(kind == "conn", upto).alias("__conns_to"),
+        counted(kind == "http", upto).alias("__https_to"))
 
     blocks = local.groupBy(*group).agg(
         F.sum((kind == "tcp").cast("bigint")).alias("tcp"), F.sum(waits.cast("bigint")).alias("waits"),
         F.sum(F.col("__folds").cast("bigint")).alias("folds"), F.max(F.col("__open").cast("bigint")).alias("open"),
-        F.sum((kind == "conn").cast("bigint")).alias("conns"),
+        F.sum((kind == "conn").cast("bigint")).alias("conns"), F.sum((kind == "http").cast("bigint")).alias("https"),
         (F.max(F.when(kind == "http", F.col("seq"))) >
          F.coalesce(F.max(F.when(kind == "tcp", F.col("seq"))), F.lit(-1 << 62))).alias("__ends_http"),
         F.max(F.when(kind == "tcp", F.col("seq"))).alias("__last_tcp"))
@@ -128,7 +130,8 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         F.sum("tcp").over(earlier).alias("__c_epoch"),
         F.sum(F.col("waits") - F.col("__shift")).over(earlier).alias("__c_waits"),
         F.sum(F.col("folds") + F.col("__shift")).over(earlier).alias("__c_folds"),
-        F.sum("conns").over(earlier).alias("__c_conns")).where(F.col("__prev").isNotNull()).drop("__prev")
+        F.sum("conns").over(earlier).alias("__c_conns"),
+        F.sum("https").over(earlier).alias("__c_https")).where(F.col("__prev").isNotNull()).drop("__prev")
 
     def carried(name):
         return F.coalesce(F.col(name), F.lit(0))
@@ -140,7 +143,8 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         (F.col("__folds") | (F.col("__open") & (carried("__shift") == 1))).alias("folds"),
         (F.col("__waits_to") + carried("__c_waits") - shift).alias("flows_seen"),
         (F.col("__folds_to") + carried("__c_folds") + shift).alias("folds_seen"),
-        (F.col("__conns_to") + carried("__c_conns")).alias("conns_seen"))
+        (F.col("__conns_to") + carried("__c_conns")).alias("conns_seen"),
+        (F.col("__https_to") + carried("__c_https")).alias("https_seen"))
 
 
 def http_fold(ranked: DataFrame) -> DataFrame:
@@ -151,6 +155,16 @@ def http_fold(ranked: DataFrame) -> DataFrame:
                  F.max("seq").alias("z_seq")))
 
 
+def fold_merges(ranked: DataFrame) -> DataFrame:
+    """One merge per tcp flow that takes the http rows of its epoch."""
+    folded = ranked.where(F.col("folds")).select(
+        "key", "epoch", F.col("seq").alias("a_seq"), F.col("folds_seen").alias("ct_flw_http_mthd"), *CARRIED)
+    return folded.join(http_fold(ranked), ["key", "epoch"]).select(
+        F.col("a_seq").alias("merge_seq"), "a_seq", "z_seq", F.lit("http").alias("kind"), "key",
+        F.lit("http").alias("service"), "trans_depth", "response_body_len", "ct_flw_http_mthd",
+        F.lit(0).alias("is_ftp_login"), F.lit(0).cast("bigint").alias("ct_ftp_cmd"), *CARRIED)
+
+
 def match_sensors(flows: DataFrame, logs: DataFrame, width: int = BLOCK_WIDTH) -> Matched:
     """Set form of the two-sensor merge: http fold, first in first out conn match, ftp fan-out."""
     kind = F.col("kind")
@@ -175,18 +189,12 @@ def match_sensors(flows: DataFrame, logs: DataFrame, width: int = BLOCK_WIDTH) -
         "a_seq", "z_seq", "kind", "key", "service", zero.alias("trans_depth"),
         zero.alias("response_body_len"), zero.alias("ct_flw_http_mthd"), "is_ftp_login", "ct_ftp_cmd", *CARRIED)
 
-    folded = ranked.where(F.col("folds")).select(
-        "key", "epoch", F.col("seq").alias("a_seq"), F.col("folds_seen").alias("ct_flw_http_mthd"), *CARRIED)
-    http = folded.join(http_fold(ranked), ["key", "epoch"]).select(
-        F.col("a_seq").alias("merge_seq"), "a_seq", "z_seq", F.lit("http").alias("kind"), "key",
-        F.lit("http").alias("service"), "trans_depth", "response_body_len", "ct_flw_http_mthd",
-        F.lit(0).alias("is_ftp_login"), zero.alias("ct_ftp_cmd"), *CARRIED)
-
+    http = fold_merges(ranked)
     lost_flows = queued.join(conns, ["key", "rn"], "left_anti").select(F.col("a_seq").alias("seq"))
     lost_conn = conns.join(queued, ["key", "rn"], "left_anti").select(F.col("z_seq").alias("seq"))
     lost_ftp = ranked.where((kind == "ftp") & ~has_waiting).select("seq")
     lost_http = (ranked.where(kind == "http")
-                 .join(folded.select("key", "epoch"), ["key", "epoch"], "left_anti").select("seq"))
+                 .join(ranked.where("folds").select("key", "epoch"), ["key", "epoch"], "left_anti").select("seq"))
     return Matched(paired.unionByName(http), lost_flows,
                    lost_conn.unionByName(lost_ftp).unionByName(lost_http))
 
