@@ -92,17 +92,16 @@ def _fill(text: str, tokens: dict[str, str]) -> str:
     return text
 
 
-def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def derive(events: DataFrame, columns: dict[str, str]) -> DataFrame:
     return events.selectExpr(*[f"{_fill(e, SPARK_TOKENS)} as {c}" for c, e in columns.items()])
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, FLOWS)
+    return derive(spark.read.parquet(f"{sf_dir}/events.parquet"), FLOWS)
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, LOGS)
+    return derive(spark.read.parquet(f"{sf_dir}/events.parquet"), LOGS)
 
 
 def duckdb_view(columns: dict[str, str]) -> str:

@@ -315,3 +315,6 @@ s as (select t, fold, avg(cast(label = cast(dur > t as int) as int)) as acc from
   group by t, fold),
 m as (select t, avg(acc) as acc from s group by t)
 select t as threshold, round(acc, 6) as mean_accuracy from m order by acc desc limit 1"""
+
+# --- streams -----------------------------------------------------------------------------------
+SQL["stream_alerts"] = SQL["alert_lines"]

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.catalog import fixtures
 from flowloom.catalog.fixtures import flows, logs
 from flowloom.functions import address, coerce, enrich
 from flowloom.functions.keys import flow_key, has_four_tuple, log_key
 from flowloom.operators import (
     categories, dataset, enrichment, evaluation, history, matching, netranges, profile, replay, scan,
     timematch)
-from flowloom.plans import merge
+from flowloom.plans import merge, scoring, training
 from flowloom.schemas import HTTP_PROFILE_FIELDS, NUMERIC_FIELDS, PROTO_LABELS, STATE_LABELS
 from flowloom.sources import flows as sources_flows
+from flowloom.streaming import match as stream_match
+from flowloom.streaming.history import HistoryBatches
+from flowloom.session import SETTINGS, checkpoint_root, cut_lineage
 from flowloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,3 +588,99 @@ def replay_merges(spark, sf):
 @query
 def replay_flows(spark, sf):
     return merge.merge_flows(flows(spark, sf), logs(spark, sf), mode="replay")
+
+
+# --- model --------------------------------------------------------------------------
+
+SMALL_FOREST = {"numTrees": 10, "maxDepth": 5, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 9}
+
+
+def _labelled(spark, sf):
+    """Merged flows with the label of their flow."""
+    labels = flows(spark, sf).select(F.col("stcpb"), F.col("label"), F.col("seq"))
+    # fitting reads it several times
+    return cut_lineage(merged_flows(spark, sf).join(labels, "stcpb"))
+
+
+def _fitted(rows):
+    train, test = training.split(training.with_target(training.feature_columns(rows)), "merge_seq")
+    return training.pipeline(training.forest(SMALL_FOREST)).fit(train), test
+
+
+@query
+def rf_scores(spark, sf):
+    """Forest fitted on 80 % of the merged flows, attack probability of the rest."""
+    model, test = _fitted(_labelled(spark, sf))
+    scored = training.attack_probability(model.transform(test))
+    return scored.select("merge_seq", "target", "probability", "prediction")
+
+
+@query
+def rf_report(spark, sf):
+    model, test = _fitted(_labelled(spark, sf))
+    return training.evaluate(model, test)["report"]
+
+
+@query
+def rf_verdicts(spark, sf):
+    rows = _labelled(spark, sf)
+    model, _ = _fitted(rows)
+    ranges = spark.createDataFrame(RANGES, "provider string, cidr string")
+    return scoring.score(rows, model, ranges, now=F.lit(1_800_000_000.0)).select(
+        "merge_seq", "probability", "reason", "verdict", "severity", "flow")
+
+
+# --- streams ------------------------------------------------------------------------
+
+def _event_streams(spark, sf):
+    """The events table as two streams, one per sensor."""
+    def read():
+        schema = spark.read.parquet(f"{sf}/events.parquet").schema
+        return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    return fixtures.derive(read(), fixtures.FLOWS), fixtures.derive(read(), fixtures.LOGS)
+
+
+def _drained(spark, stream):
+    """Run a stream over everything available and read what it wrote."""
+    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    (stream.writeStream.format("parquet").option("path", f"{root}/out")
+     .option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/out")
+
+
+@query
+def stream_merge(spark, sf):
+    """The stateful stream yields the replay's merges."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    a, z = _event_streams(spark, sf)
+    return _drained(spark, stream_match.stream_merge(a, z)).select(
+        "merge_seq", "a_seq", "z_seq", "kind", "service", "trans_depth", "response_body_len",
+        "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
+
+
+@query
+def stream_counters(spark, sf):
+    """Counters continued from batch to batch over the merged stream."""
+    schema = flows(spark, sf).schema
+    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    sink = HistoryBatches(root)
+    a, z = _event_streams(spark, sf)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    merged = stream_match.unpack(stream_match.stream_merge(a, z), schema)
+    (merged.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return sink.read(spark).select("merge_seq", "n", *history.COUNTERS)
+
+
+@query
+def stream_alerts(spark, sf):
+    """Stateless scoring stream down to alert lines, probability from the flow itself."""
+    a, _ = _event_streams(spark, sf)
+    ranges = spark.createDataFrame(RANGES, "provider string, cidr string")
+    metadata = F.when(F.col("dport") == 1024, F.lit(address.METADATA_ADDRESS)).otherwise(F.col("daddr"))
+    scored = netranges.allow_reason(a.withColumn("daddr", metadata), ranges).withColumn(
+        "probability", (F.col("sbytes") % 100) / F.lit(100.0))
+    return _drained(spark, sinks.alert_lines(scored))

@@ -67,7 +67,7 @@ class KeyReplay:
         return None
 
     def _merge(self, at: int, flow: tuple, record: tuple) -> tuple:
-        z_seq, kind, (service, depth, length, login, command) = record
+        z_seq, kind, (service, depth, length, login, command, *_) = record
         http = ftp = 0
         if kind == "http":
             self.http_merges += 1
