@@ -318,3 +318,80 @@ select t as threshold, round(acc, 6) as mean_accuracy from m order by acc desc l
 
 # --- streams -----------------------------------------------------------------------------------
 SQL["stream_alerts"] = SQL["alert_lines"]
+
+# --- sequential matching, one recursion step per arrival ------------------------------------------
+_ISLANDS = """lagged as (select *, lag(us) over (partition by key order by us) as prev from ev),
+il as (select *, sum(case when prev is null or us - prev > 1000 then 1 else 0 end)
+  over (partition by key order by us rows unbounded preceding) as island from lagged)"""
+_GREEDY = f"""with recursive {FX_A}, {FX_Z},
+ev as (select 0 as key, 0 as side, seq, stime_us as us from fx_a union all select 0, 1, seq, ts_us from fx_z),
+{_ISLANDS},
+g as (select island, coalesce(list({{'t': us, 's': seq}} order by us, seq) filter (side = 0), []) as a,
+  coalesce(list({{'t': us, 's': seq}} order by seq) filter (side = 1), []) as z from il group by island),
+r as (select island, a, z, 0 as i, cast(null as struct(t bigint, s bigint)) as hit from g
+  union all select island, case when h is null then a else list_filter(a, lambda x: x.s <> h.s) end, z, i + 1, h
+  from (select *, list_filter(a, lambda x: x.t between z[i + 1].t - 1000 and z[i + 1].t + 1000)[1] as h
+    from r where i < len(z)) s)
+select hit.s as a_seq, hit.t as a_us, z[i].s as z_seq, z[i].t as z_us from r where hit is not null"""
+SQL["nearest_time_match"] = _GREEDY
+SQL["inexact_matches"] = f"select * from ({_GREEDY}) pairs where a_us <> z_us"
+SQL["interval_match"] = f"""with recursive {FX_A}, {FX_Z},
+ev as (select {A_KEY} as key, 0 as side, seq, stime_us as us from fx_a where proto in ('tcp', 'udp', 'icmp')
+  union all select {Z_KEY}, 1, seq, ts_us from fx_z),
+{_ISLANDS},
+g as (select key, island, list({{'side': side, 't': us, 's': seq}} order by seq) as e from il group by key, island),
+r as (select key, island, e, 0 as i, [e[1]][2:] as wa, [e[1]][2:] as wz, e[1:1][2] as hit from g
+  union all select key, island, e, i + 1,
+    case when e[i + 1].side = 0 then case when h is null then list_append(wa, e[i + 1]) else wa end
+      else list_filter(wa, lambda x: h is null or x.s <> h.s) end,
+    case when e[i + 1].side = 1 then case when h is null then list_append(wz, e[i + 1]) else wz end
+      else list_filter(wz, lambda x: h is null or x.s <> h.s) end, h
+  from (select *, list_filter(case when e[i + 1].side = 0 then wz else wa end,
+    lambda x: abs(x.t - e[i + 1].t) <= 1000)[1] as h from r where i < len(e)) s),
+m as (select key, e[i] as cur, hit from r where hit is not null)
+select key, case when cur.side = 0 then cur.s else hit.s end as a_seq, case when cur.side = 0 then cur.t else hit.t end as a_us,
+  case when cur.side = 0 then hit.s else cur.s end as z_seq, case when cur.side = 0 then hit.t else cur.t end as z_us from m"""
+
+_REPLAY = f"""{FX_A}, {FX_Z},
+ev as (select {A_KEY} as key, seq, case when proto = 'tcp' then 'tcp' else 'dgram' end as kind, '' as service,
+    0 as depth, 0 as len, 0 as login, 0 as cmd from fx_a where proto in ('tcp', 'udp', 'icmp')
+  union all select {Z_KEY}, seq, zeek_log, case zeek_log when 'conn' then coalesce(service, '-') else zeek_log end,
+    trans_depth, response_body_len, cast(trim(user_name) <> '' and trim(password) <> '' as int),
+    cast(trim(command) <> '' as int) from fx_z),
+g as (select key, list({{'s': seq, 'k': kind, 'v': service, 'd': depth, 'l': len, 'u': login, 'c': cmd}} order by seq) as e
+  from ev group by key),
+r as (select key, e, 0 as i, e[1:0] as aq, e[1:0] as zq, e[1:0] as acc, e[1:1][2] as a, e[1:1][2] as z, 0 as n from g
+  union all select key, e, i + 1,
+    case act when 'keep' then list_append(aq, cur) when 'give' then aq[2:] else aq end,
+    case when act = 'queue' or cur.k = 'http' then list_append(zq, cur) when act = 'take' then zq[2:] else zq end,
+    case when cur.k = 'http' then list_append(acc, cur) when act = 'fold' then acc[1:0] else acc end,
+    case when act in ('fold', 'take') then cur when act in ('give', 'lend') then aq[1] end,
+    case act when 'fold' then struct_update(acc[-1], d := greatest(list_max([x.d for x in acc]), 0),
+        l := cast(list_sum([x.l for x in acc]) as bigint))
+      when 'take' then zq[1] when 'give' then cur when 'lend' then cur end, 0
+  from (select *, e[i + 1] as cur, case
+      when e[i + 1].k = 'tcp' and len(acc) > 0 then 'fold'
+      when e[i + 1].k in ('tcp', 'dgram') then case when len(zq) > 0 then 'take' else 'keep' end
+      when e[i + 1].k = 'http' then 'http'
+      when len(aq) > 0 then case e[i + 1].k when 'ftp' then 'lend' else 'give' end
+      else 'queue' end as act from r where i < len(e)) s),
+hits as (select key, e[i].s as merge_seq, a.s as a_seq, z.s as z_seq, z.k as kind, z.v as service, z.d as d, z.l as l,
+  z.u as u, z.c as c from r where a is not null),
+merges as (select merge_seq, a_seq, z_seq, kind, service, cast(case kind when 'http' then d else 0 end as bigint) as trans_depth,
+  cast(case kind when 'http' then l else 0 end as bigint) as response_body_len,
+  case kind when 'http' then row_number() over (partition by key, kind order by merge_seq) else 0 end as ct_flw_http_mthd,
+  cast(case kind when 'ftp' then u else 0 end as int) as is_ftp_login,
+  cast(case kind when 'ftp' then sum(c) over (partition by key, kind order by merge_seq) else 0 end as bigint) as ct_ftp_cmd
+  from hits)"""
+SQL["replay_merges"] = f"with recursive {_REPLAY} select * from merges"
+SQL["stream_merge"] = f"""with recursive {_REPLAY} select * from merges
+  union all select seq, seq, null, 'other', null, 0, 0, 0, 0, 0 from fx_a where proto not in ('tcp', 'udp', 'icmp')"""
+_REPLAY_COUNTED = f"""with recursive {_REPLAY},
+m as (select merge_seq, a_seq, z_seq, kind, service, trans_depth, response_body_len, ct_flw_http_mthd, is_ftp_login,
+    ct_ftp_cmd from merges
+  union all select seq, seq, null, 'other', null, 0, 0, 0, 0, 0 from fx_a where proto not in ('tcp', 'udp', 'icmp')),
+w as (select m.*, a.* exclude (seq), coalesce(m.service, '-') as srv, row_number() over (order by merge_seq) as n
+  from m join fx_a a on a.seq = m.a_seq),
+counted as (select *, {_counters(', ltime')} from w)"""
+SQL["replay_flows"] = f"{_REPLAY_COUNTED} select {_MERGED_COLUMNS} from counted"
+SQL["stream_counters"] = f"{_REPLAY_COUNTED} select merge_seq, n, {', '.join(_COUNTERS)} from counted"
