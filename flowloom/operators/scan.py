@@ -168,17 +168,32 @@ def dense_sequence(df: DataFrame, order: str, name: str = "n", width: int = SEQU
 
 
 def time_islands(df: DataFrame, time: str, gap: int, keys: list[str] | None = None,
-                 name: str = "island", width: int = 10_000_000) -> DataFrame:
+                 name: str = "island", width: int = 60_000_000) -> DataFrame:
     """Label rows with the start time of their island.
 
     A new island opens where the step from the previous time (of the same key) exceeds
-    ``gap``. Works on distinct times, so repeated timestamps never pile up in one group;
-    ``width`` is the block length in time units (10 s of microseconds by default).
+    ``gap``. Works on distinct times, so repeated timestamps never pile up in one group.
+    Inside a block of ``width`` time units (one minute of microseconds by default) only
+    the first time needs a look at the previous block, which the block summaries give.
     """
     keys = keys or []
-    times = df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
-    stepped = keyed_scan(times, keys, time, [Running("__prev", F.col(time), "last", inclusive=False)], width)
-    opened = stepped.withColumn(
-        "__open", F.when(F.col("__prev").isNull() | (F.col(time) - F.col("__prev") > gap), F.col(time)))
-    labelled = keyed_scan(opened, keys, time, [Running(name, F.col("__open"), "last")], width)
-    return df.join(labelled.select(*keys, time, name), [*keys, time], "left")
+    group = [*keys, _BLK]
+    times = (df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
+             .withColumn(_BLK, block_index(time, width)).repartition(*group))
+    span = Window.partitionBy(*group).orderBy(time)
+    step = F.col(time) - F.lag(time).over(span)
+    opened = times.select(*group, time, F.when(step > gap, F.col(time)).alias("__open"))
+    local = opened.select(*group, time, F.last("__open", ignorenulls=True).over(
+        span.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__local"))
+
+    blocks = opened.groupBy(*group).agg(F.min(time).alias("__first"), F.max(time).alias("__last"),
+                                        F.max("__open").alias("__inner"))
+    past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_BLK)
+    before = F.lag("__last").over(past)
+    starts = blocks.withColumn("__start", F.when(
+        before.isNull() | (F.col("__first") - before > gap), F.col("__first")))
+    running = F.last(F.coalesce("__inner", "__start"), ignorenulls=True).over(
+        past.rowsBetween(Window.unboundedPreceding, -1))
+    carry = starts.select(*group, F.coalesce(F.col("__start"), running).alias("__carry"))
+    labelled = local.join(carry, group).select(*keys, time, F.coalesce("__local", "__carry").alias(name))
+    return df.join(labelled, [*keys, time], "left")
