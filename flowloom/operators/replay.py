@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.matching import CARRIED, fold_merges, ranked_timeline, timeline
-from flowloom.operators.scan import BLOCK_WIDTH, Running, keyed_scan
+from flowloom.operators.scan import BLOCK_WIDTH, Running, keyed_scan, own_exchange
 from flowloom.session import cut_lineage
 
 MERGE_COLUMNS = ["merge_seq", "a_seq", "z_seq", "kind", "key", "service", "trans_depth", "response_body_len",
@@ -109,7 +109,7 @@ def replay_sequential(events: DataFrame) -> DataFrame:
     The shuffle sorts by key and arrival, so a task holds one key's queues, never its rows.
     """
     ordered = (whole_numbers(events).select("key", "seq", "kind", *CARRIED, *LOG_COLUMNS)
-               .repartition("key").sortWithinPartitions("key", "seq"))
+               .repartition(own_exchange("key")).sortWithinPartitions("key", "seq"))
     return ordered.mapInPandas(_stream_keys, MERGE_SCHEMA)
 
 

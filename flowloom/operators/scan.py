@@ -77,6 +77,16 @@ def block_index(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
 
+def own_exchange(*cols: str) -> Column:
+    """Partitioning expression for frames that go into ``mapInPandas``.
+
+    ``mapInPandas`` states no distribution it needs, so a repartition by plain columns may
+    be dropped as redundant and the joins below it re-planned at run time without it. A
+    derived expression keeps the exchange.
+    """
+    return F.xxhash64(*cols)
+
+
 def keyed_scan(df: DataFrame, keys: list[str], order: str, scans: list[Running],
                width: int = BLOCK_WIDTH) -> DataFrame:
     """Append one column per running aggregate, per ``keys`` in ascending ``order``.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.matching import fifo_match
-from flowloom.operators.scan import BLOCK_WIDTH, time_islands
+from flowloom.operators.scan import BLOCK_WIDTH, own_exchange, time_islands
 
 PAIR_SCHEMA = "a_seq bigint, a_us bigint, z_seq bigint, z_us bigint"
 
@@ -76,7 +76,7 @@ def nearest_time_match(a: DataFrame, z: DataFrame, delta: int, width: int = BLOC
     # a rows first by time, then z rows in their own order
     placed = (time_islands(rows.where(F.col("us").isNotNull()), "us", delta)
               .withColumn("rank", F.when(F.col("side") == 0, F.col("us")).otherwise(F.col("seq")))
-              .repartition("island").sortWithinPartitions("island", "side", "rank", "seq"))
+              .repartition(own_exchange("island")).sortWithinPartitions("island", "side", "rank", "seq"))
     return (placed.select("island", "side", "seq", "us")
             .mapInPandas(lambda batches: _greedy_by_island(batches, delta), PAIR_SCHEMA))
 
@@ -126,7 +126,7 @@ def interval_match(a: DataFrame, z: DataFrame, tolerance: int, key: str = "key")
             .unionByName(z.select(key, F.lit(1).alias("side"), F.col("z_seq").alias("seq"),
                                   F.col("z_us").alias("us"))))
     placed = (time_islands(rows.where(F.col("us").isNotNull()), "us", tolerance, [key])
-              .repartition(key, "island").sortWithinPartitions(key, "island", "seq"))
+              .repartition(own_exchange(key, "island")).sortWithinPartitions(key, "island", "seq"))
     return (placed.select(F.col(key).alias("key"), "island", "side", "seq", "us")
             .mapInPandas(lambda batches: _arrival_by_island(batches, tolerance), f"key string, {PAIR_SCHEMA}"))
 
