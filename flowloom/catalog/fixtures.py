@@ -50,15 +50,15 @@ FLOWS = {
     "dload": "value * 4",
     "sloss": "cast(event_id % 3 as bigint)",
     "dloss": "cast(event_id % 2 as bigint)",
-    "sintpkt": _gaps("value / 4"),
-    "dintpkt": _gaps("value / 2"),
+    "sintpkt": _gaps("value / 7"),
+    "dintpkt": _gaps("value / 3"),
     "sjit": _gaps("value"),
     "djit": _gaps("value * 2"),
     "stcpb": "event_id * 1000",
     "dtcpb": "event_id * 500",
-    "tcprtt": "value / 8 + 1",
-    "synack": "value / 16 + 1",
-    "ackdat": "value / 16 + 2",
+    "tcprtt": "value / 7 + 1",
+    "synack": "value / 9 + 1",
+    "ackdat": "value / 9 + 2",
     "smeansz": "value + 40",
     "dmeansz": "value + 20",
     "label": "cast(case when event_type = 'error' then 1 else 0 end as int)",

@@ -320,9 +320,10 @@ select t as threshold, round(acc, 6) as mean_accuracy from m order by acc desc l
 SQL["stream_alerts"] = SQL["alert_lines"]
 
 # --- sequential matching, one recursion step per arrival ------------------------------------------
-_ISLANDS = """lagged as (select *, lag(us) over (partition by key order by us) as prev from ev),
+# both windows break ties alike, otherwise equal times could fall into different islands
+_ISLANDS = """lagged as (select *, lag(us) over (partition by key order by us, side, seq) as prev from ev),
 il as (select *, sum(case when prev is null or us - prev > 1000 then 1 else 0 end)
-  over (partition by key order by us rows unbounded preceding) as island from lagged)"""
+  over (partition by key order by us, side, seq rows unbounded preceding) as island from lagged)"""
 _GREEDY = f"""with recursive {FX_A}, {FX_Z},
 ev as (select 0 as key, 0 as side, seq, stime_us as us from fx_a union all select 0, 1, seq, ts_us from fx_z),
 {_ISLANDS},

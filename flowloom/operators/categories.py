@@ -51,7 +51,7 @@ def load_category_map(spark: SparkSession, path: str) -> DataFrame:
     """Read a saved map, or a single JSON object ``{"value": index, ...}``."""
     text = spark.read.text(path, wholetext=True)
     as_map = F.from_json("value", "map<string,double>")
-    as_row = F.from_json("line", "value string, index double")
+    as_row = F.from_json("value", "value string, index double")
     rows = spark.read.text(path).select(as_row.alias("r")).where("r.value is not null and r.index is not null")
     if rows.isEmpty():
         return text.select(F.explode(as_map).alias("value", "index"))
