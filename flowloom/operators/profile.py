@@ -60,8 +60,8 @@ def exact_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float],
     counted = (values.where(F.col(value).isNotNull()).groupBy(*keys, value)
                .agg(F.count(F.lit(1)).alias("__cnt")))
     upto = sorted_scan(counted, keys, [value], [Running("__cum", F.col("__cnt"))])
-    # the last cumulative count of a key is its number of values
-    sizes = upto.groupBy(*keys).agg(F.max("__cum").alias("__n"))
+    # one row per reported group (columns, packet counts): bounded by what the caller names
+    sizes = values.groupBy(*keys).agg(F.count(value).alias("__n"))
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in probs.items()])
 
     def position(p: Column) -> Column:
@@ -70,7 +70,7 @@ def exact_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float],
     def covers(rank: Column) -> Column:
         return (rank >= F.col("__cum") - F.col("__cnt")) & (rank < F.col("__cum"))
 
-    hits = (upto.join(sizes, keys)
+    hits = (upto.join(F.broadcast(sizes), keys)
             .select(*keys, value, "__cum", "__cnt", "__n", F.explode(F.filter(
                 wanted, lambda t: covers(F.floor(position(t["p"]))) | covers(F.ceil(position(t["p"])))))
                 .alias("t")))

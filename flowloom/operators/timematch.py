@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.matching import fifo_match
-from flowloom.operators.scan import BLOCK_WIDTH, own_exchange, time_islands
+from flowloom.operators.scan import (
+    BLOCK_WIDTH, SEQUENCE_WIDTH, Running, keyed_scan, own_exchange, sorted_scan, time_islands)
+from flowloom.session import cut_lineage
 
 PAIR_SCHEMA = "a_seq bigint, a_us bigint, z_seq bigint, z_us bigint"
 
@@ -65,12 +67,105 @@ def band_anti(a: DataFrame, z: DataFrame, delta: int) -> DataFrame:
 def nearest_time_match(a: DataFrame, z: DataFrame, delta: int, width: int = BLOCK_WIDTH) -> DataFrame:
     """Each z row, in row order, takes the smallest unused a time within ``delta``.
 
-    Rows further apart than ``delta`` cannot meet, so the time axis falls into independent
-    islands. With ``delta`` 0 this is first in, first out pairing on the timestamp.
+    With ``delta`` 0 this is first in, first out pairing on the timestamp. Records in time
+    order, the usual case of a log, go through :func:`ordered_time_match`, which splits
+    any density over blocks; others through the islands of :func:`island_time_match`.
     """
     if delta == 0:
         pairs = fifo_match(a.withColumn("__t", F.col("a_us")), z.withColumn("__t", F.col("z_us")), "__t", width=width)
         return pairs.select("a_seq", "a_us", "z_seq", "z_us")
+    late = keyed_scan(z.select("z_seq", "z_us"), [], "z_seq",
+                      [Running("__max", F.col("z_us"), "max", inclusive=False)], SEQUENCE_WIDTH)
+    if late.where(F.col("z_us") < F.col("__max")).isEmpty():
+        return ordered_time_match(a, z, delta)
+    return island_time_match(a, z, delta)
+
+
+def ordered_time_match(a: DataFrame, z: DataFrame, delta: int, block: int = SEQUENCE_WIDTH) -> DataFrame:
+    """The greedy match for z rows in time order, without sequential islands.
+
+    Let ``lo`` and ``hi`` count the a rows before and up to the end of a z row's window and
+    ``q`` the a rows passed so far. Row number ``b`` takes a row ``max(q, lo)`` if that is
+    below ``hi``, so ``q - b`` moves by a clamp to ``[lo - b + 1, hi - b]``. Clamps compose
+    to clamps: each block of z rows is reduced to one, a short pass over the blocks gives
+    every block its start, and the blocks then run independently.
+    """
+    def points(df, seq, us, side):
+        # at equal times: window starts, then a rows, then window ends
+        return df.select((us * 3 + F.lit([1, 0, 2][side])).alias("at"), F.lit(side).alias("side"),
+                         F.col(seq).alias("seq"))
+    line = (points(a, "a_seq", F.col("a_us"), 0).unionByName(points(z, "z_seq", F.col("z_us") - delta, 1))
+            .unionByName(points(z, "z_seq", F.col("z_us") + delta, 2)).where(F.col("at").isNotNull()))
+    seen = cut_lineage(sorted_scan(line, [], ["at", "side", "seq"], [
+        Running("a_seen", (F.col("side") == 0).cast("bigint")), Running("b", (F.col("side") == 1).cast("bigint"))]))
+    starts = seen.where("side = 1").select("seq", "b", F.col("a_seen").alias("lo"),
+                                           (F.floor(F.col("at") / 3) + delta).cast("bigint").alias("z_us"))
+    ends = seen.where("side = 2").select("seq", F.col("a_seen").alias("hi"))
+    windows = cut_lineage(starts.join(ends, "seq").withColumn("blk", F.floor(F.col("b") / block).cast("bigint")))
+
+    def in_order(df):
+        return df.repartition(own_exchange("blk")).sortWithinPartitions("blk", "b")
+
+    clamps = in_order(windows.select("blk", "b", "lo", "hi")).mapInPandas(
+        _block_clamps, "blk bigint, low bigint, high bigint")
+    # one row per block
+    entries = clamps.repartition(1).sortWithinPartitions("blk").mapInPandas(_block_entries, "blk bigint, r bigint")
+    taken = in_order(windows.join(entries, "blk")).mapInPandas(
+        _take_in_order, "a_seen bigint, z_seq bigint, z_us bigint")
+    numbered = seen.where("side = 0").select(
+        "a_seen", F.col("seq").alias("a_seq"), F.floor(F.col("at") / 3).cast("bigint").alias("a_us"))
+    return numbered.join(taken, "a_seen").select("a_seq", "a_us", "z_seq", "z_us")
+
+
+_UNBOUNDED = 1 << 62
+
+
+def _block_clamps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, low, high = None, -_UNBOUNDED, _UNBOUNDED
+    for batch in batches:
+        out = []
+        for blk, b, lo, hi in zip(*[batch[c].tolist() for c in ("blk", "b", "lo", "hi")]):
+            if blk != current:
+                if current is not None:
+                    out.append((current, low, high))
+                current, low, high = blk, -_UNBOUNDED, _UNBOUNDED
+            low = min(max(low, lo - b + 1), hi - b)
+            high = min(max(high, lo - b + 1), hi - b)
+        yield pd.DataFrame(out, columns=["blk", "low", "high"], dtype="int64")
+    if current is not None:
+        yield pd.DataFrame([(current, low, high)], columns=["blk", "low", "high"], dtype="int64")
+
+
+def _block_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    r = 0
+    for batch in batches:
+        out = []
+        for blk, low, high in zip(*[batch[c].tolist() for c in ("blk", "low", "high")]):
+            out.append((blk, r))
+            r = min(max(r, low), high)
+        yield pd.DataFrame(out, columns=["blk", "r"], dtype="int64")
+
+
+def _take_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, passed = None, 0
+    for batch in batches:
+        out = []
+        for blk, b, lo, hi, r, seq, us in zip(*[batch[c].tolist() for c in ("blk", "b", "lo", "hi", "r", "seq", "z_us")]):
+            if blk != current:
+                current, passed = blk, r + b - 1
+            passed = max(passed, lo)
+            if passed < hi:
+                passed += 1
+                out.append((passed, seq, us))
+        yield pd.DataFrame(out, columns=["a_seen", "z_seq", "z_us"], dtype="int64")
+
+
+def island_time_match(a: DataFrame, z: DataFrame, delta: int) -> DataFrame:
+    """The greedy match for z rows in any order.
+
+    Rows further apart than ``delta`` cannot meet, so the time axis falls into independent
+    islands; each is streamed through one task.
+    """
     rows = (a.select(F.lit(0).alias("side"), F.col("a_seq").alias("seq"), F.col("a_us").alias("us"))
             .unionByName(z.select(F.lit(1).alias("side"), F.col("z_seq").alias("seq"), F.col("z_us").alias("us"))))
     # a rows first by time, then z rows in their own order

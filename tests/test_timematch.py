@@ -40,6 +40,16 @@ def test_nearest_equals_the_global_greedy(spark, rows, delta, order):
     assert sorted(rows(timematch.nearest_time_match(fa, fz, delta))) == models.nearest(a, z, delta)
 
 
+def test_blocks_of_ordered_records_hand_over(spark, rows):
+    r = random.Random(21)
+    # one dense stretch in which nearly every row depends on the one before
+    a = [(i, r.randrange(2500)) for i in range(700)]
+    z = list(enumerate(sorted(r.randrange(2500) for _ in range(800))))
+    fa, fz = _frames(spark, a, z)
+    assert sorted(rows(timematch.ordered_time_match(fa, fz, 15, block=32))) == models.nearest(a, z, 15)
+    assert sorted(rows(timematch.island_time_match(fa, fz, 15))) == models.nearest(a, z, 15)
+
+
 @pytest.mark.parametrize("delta", [0, 5, 30])
 def test_band_predicates(spark, rows, delta):
     r = random.Random(delta)
