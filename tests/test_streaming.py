@@ -83,6 +83,16 @@ def test_expired_rows_come_out(spark, tmp_path, rows):
         query.stop()
 
 
+def test_full_queues_give_up_their_oldest_rows(spark, tmp_path, rows):
+    _drop(tmp_path / "a", _names(FLOW), [(i, "tcp", "s", 1, "d", 9, 0) for i in range(1, 5)], 0)
+    _drop(tmp_path / "z", _names(LOG), [(9, "conn", "tcp", "s", 1, "d", 9, None, 0, 0, "", "", "")], 0)
+    a = spark.readStream.schema(FLOW).json(str(tmp_path / "a"))
+    z = spark.readStream.schema(LOG).json(str(tmp_path / "z"))
+    _run(match.stream_merge(a, z, max_waiting=2), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got, "status", "a_seq", "z_seq") == [("lost_flow", 1, None), ("lost_flow", 2, None), ("merged", 3, 9)]
+
+
 def test_counters_continue_across_batches(spark, tmp_path, rows):
     a = fixtures.derive(spark.read.parquet(EVENTS), fixtures.FLOWS).select(
         F.col("seq").alias("merge_seq"), F.col("state").alias("service"), "saddr", "sport", "daddr", "dport", "ltime")
