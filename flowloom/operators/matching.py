@@ -64,13 +64,32 @@ def timeline(flows: DataFrame, logs: DataFrame) -> DataFrame:
 class Matched:
     """Lazy results of the set form.
 
-    ``merges`` has one row per merged flow in narrow form; the unmatched frames hold
-    ``seq`` values to anti-join or semi-join with the inputs.
+    ``merges`` has one row per merged flow in narrow form; the unmatched frames, built when
+    asked for, hold ``seq`` values to anti-join or semi-join with the inputs.
     """
 
     merges: DataFrame
-    unmatched_flows: DataFrame
-    unmatched_logs: DataFrame
+    ranked: DataFrame
+    queued: DataFrame
+    conns: DataFrame
+
+    @property
+    def unmatched_flows(self) -> DataFrame:
+        lost = self.queued.join(self.conns, ["key", "rn"], "left_anti")
+        return lost.select(F.col("a_seq").alias("seq"))
+
+    @property
+    def unmatched_logs(self) -> DataFrame:
+        kind = F.col("kind")
+        conn = self.conns.join(self.queued, ["key", "rn"], "left_anti").select(F.col("z_seq").alias("seq"))
+        ftp = self.ranked.where((kind == "ftp") & ~_has_waiting()).select("seq")
+        http = self.ranked.where(kind == "http").join(
+            self.ranked.where("folds").select("key", "epoch"), ["key", "epoch"], "left_anti").select("seq")
+        return conn.unionByName(ftp).unionByName(http)
+
+
+def _has_waiting() -> Column:
+    return F.col("flows_seen") > F.col("conns_seen")
 
 
 def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
@@ -172,14 +191,13 @@ def match_sensors(flows: DataFrame, logs: DataFrame, width: int = BLOCK_WIDTH) -
     ranked = cut_lineage(ranked_timeline(timeline(flows, logs), width))
     queued = ranked.where(kind.isin("tcp", "dgram") & ~F.col("folds")).select(
         "key", F.col("flows_seen").alias("rn"), F.col("seq").alias("a_seq"), *CARRIED)
-    has_waiting = F.col("flows_seen") > F.col("conns_seen")
     zero = F.lit(0).cast("bigint")
     conns = ranked.where(kind == "conn").select(
         "key", F.col("conns_seen").alias("rn"), F.col("seq").alias("z_seq"), "kind", "service",
         F.lit(0).alias("is_ftp_login"), zero.alias("ct_ftp_cmd"))
     # the oldest flow still waiting follows those the conn rows have taken
     ftp = keyed_scan(
-        ranked.where((kind == "ftp") & has_waiting).select(
+        ranked.where((kind == "ftp") & _has_waiting()).select(
             "key", (F.col("conns_seen") + 1).alias("rn"), F.col("seq").alias("z_seq"), "kind", "service",
             "is_ftp_login", "has_command"),
         ["key"], "z_seq", [Running("ct_ftp_cmd", F.col("has_command").cast("bigint"))], width).drop("has_command")
@@ -190,13 +208,7 @@ def match_sensors(flows: DataFrame, logs: DataFrame, width: int = BLOCK_WIDTH) -
         zero.alias("response_body_len"), zero.alias("ct_flw_http_mthd"), "is_ftp_login", "ct_ftp_cmd", *CARRIED)
 
     http = fold_merges(ranked)
-    lost_flows = queued.join(conns, ["key", "rn"], "left_anti").select(F.col("a_seq").alias("seq"))
-    lost_conn = conns.join(queued, ["key", "rn"], "left_anti").select(F.col("z_seq").alias("seq"))
-    lost_ftp = ranked.where((kind == "ftp") & ~has_waiting).select("seq")
-    lost_http = (ranked.where(kind == "http")
-                 .join(ranked.where("folds").select("key", "epoch"), ["key", "epoch"], "left_anti").select("seq"))
-    return Matched(paired.unionByName(http), lost_flows,
-                   lost_conn.unionByName(lost_ftp).unionByName(lost_http))
+    return Matched(paired.unionByName(http), ranked, queued, conns)
 
 
 def pass_through(flows: DataFrame) -> DataFrame:
