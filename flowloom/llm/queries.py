@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from flowloom.llm.bit_planes import bit_plane_ids
 from flowloom.llm.bpe import bpe_round_trip
 from flowloom.llm.chat_format import chat_round_trip
+from flowloom.llm.cotraining import quality_scores
 from flowloom.llm.exact_dedup import exact_dedup
 from flowloom.llm.mixing import mix_sources
+from flowloom.llm.ngram_join import ngram_join
+from flowloom.llm.pitman_yor import lm_scores
+from flowloom.llm.quality_rules import quality_rules
 from flowloom.llm.token_counts import token_counts
 
 # Turns that collide with the template's own control strings.
@@ -44,12 +48,28 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_source_mix, op3_exact_dedup, op4_chat_format,
-                                   op5_token_counts, op7_bpe)}
+                                   op5_token_counts, op6_ngram_join, op7_bpe, op8_quality_rules, op9_quality_classifier, op10_pitman_yor)}
 
 _DOC3 = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as x from documents)
@@ -75,4 +95,19 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-SQL = {"op3_exact_dedup": _DOC3, "op4_chat_format": _DOC4}
+_DOC6 = r"""
+with recursive w as (
+ select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), s as (
+ select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+  else list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as sh from w
+), n as (select doc_id, len(sh)::bigint as n_shingles from s), e as (select doc_id, unnest(sh) as x from s),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as i from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+ l as (select p.a, p.b from p join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b
+  where 100 * i >= 85 * (na.n_shingles + nb.n_shingles - i)),
+ r as (select doc_id, doc_id as met from n union select r.doc_id, l.b from r join l on l.a = r.met)
+select n.doc_id, n_shingles, min(met) as component_id from n join r using (doc_id) group by 1, 2
+"""
+
+SQL = {"op6_ngram_join": _DOC6, "op3_exact_dedup": _DOC3, "op4_chat_format": _DOC4}
