@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import whole, workspace, written
-from flowloom.llm.pieces import PieceCache, by_bytes, cut, splits_at_spaces
+from flowloom.llm.pieces import LibraryPieces, PieceCache, by_bytes, cut, splits_at_spaces
 from flowloom.operators.scan import Running, keyed_scan
 
 BLOCK_IDS = 1 << 14
@@ -72,9 +72,11 @@ def id_encoder(path: str):
         model.no_truncation()
         model.no_padding()
 
+        pieces = LibraryPieces(model)
+
         def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-        cache = PieceCache(encode)
+            return [ids.tobytes() for ids in pieces.single(texts)]
+        cache = PieceCache(pieces)
 
         def by_pieces(texts: list[str]) -> list[bytes]:
             cuts = [cut(t) for t in texts]

@@ -179,12 +179,12 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                    with_ids: bool = False) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids``, ``decoded``.
 
-    Whole texts are encoded; null is the empty text, which has no ids. Ids of rows may be null
+    ``ids`` are little-endian unsigned 32-bit numbers. Whole texts are encoded; null is the empty text, which has no ids. Ids of rows may be null
     or repeat. An empty table gives no rows. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    extra = ", ids array<bigint>, decoded string" if with_ids else ""
+    extra = ", ids binary, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
@@ -196,13 +196,13 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 digests.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(np.frombuffer(ids, "<u4").astype(np.int64))
+                    all_ids.append(ids)
                     texts.append(text)
             columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
                        pa.array(back, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+                columns += [pa.array(all_ids, pa.binary()), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -56,19 +56,22 @@ def directory(keys: DataFrame, n_keys: int, owners: int, chunk: int, bucket_keys
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+                bucket_keys: int = BUCKET_KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``n_bytes``.
 
     Texts are equal when they agree byte by byte after each run of white space became one
     space. Null text is the empty text. The row with the smallest id stays; null ids come
     last, and of rows that repeat id and text one stays. An empty table gives no rows. Only
-    the two columns are read, so other columns may have any name.
+    the two columns are read, so other columns may have any name; those in ``carry`` come along
+    in a struct column ``carried``.
     """
     spark = docs.sparkSession
     folder = workspace(spark)
     owners = partitions(spark)
     text = F.regexp_replace(whole(text_col), SPACE, " ")
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    extra = [F.struct(*carry).alias("carried")] if carry else []
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), *extra).withColumn("h", F.xxhash64("text"))
+    along = ["carried"] if carry else []
 
     keys = written(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), folder, "keys")
     n_keys, n_rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
@@ -82,11 +85,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .join(F.broadcast(slots), "slot").join(F.broadcast(hot), "h", "left")
              .withColumn("owner", F.pmod(F.col("owner") + F.coalesce(
                  F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)), F.lit(owners)).cast("int"))
-             .select("id", "text", "h", "bucket", "salts", "owner").repartitionById(owners, "owner"))
+             .select("id", "text", *along, "h", "bucket", "salts", "owner").repartitionById(owners, "owner"))
     same = Window.partitionBy("owner", "h", "text")
     chained = dealt.select("*", F.row_number().over(same.orderBy(F.col("id").asc_nulls_last())).alias("nth"))
     index = written(chained.select(
-        "owner", "bucket", "h", "id", "nth", "salts", F.sha2("text", 256).alias("sha"),
+        *along, "owner", "bucket", "h", "id", "nth", "salts", F.sha2("text", 256).alias("sha"),
         F.octet_length("text").cast("bigint").alias("n_bytes"),
         F.min("id").over(same).alias("keep"), F.count(F.lit(1)).over(same).alias("size")), folder, "index")
 
@@ -95,8 +98,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .agg(F.min("id").alias("all_keep"), F.count(F.lit(1)).alias("all_size")))
     out = index.join(F.broadcast(merged), ["h", "sha", "n_bytes"], "left").select(
         "id", "nth", F.coalesce("all_keep", "keep").alias("keep"), F.coalesce("all_size", "size").alias("size"),
-        "sha", "n_bytes")
+        "sha", "n_bytes", *along)
     return out.select(
         F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
         ((F.col("nth") == 1) & F.col("id").eqNullSafe(F.col("keep"))).alias("kept"),
-        F.col("sha").alias("text_sha256"), "n_bytes")
+        F.col("sha").alias("text_sha256"), "n_bytes", *along)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`exact_dedup` drops, all columns as they were."""
+    found = exact_dedup(docs, id_col, text_col, carry=tuple(docs.columns))
+    return found.where("kept").select("carried.*")

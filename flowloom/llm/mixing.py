@@ -143,3 +143,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: int =
     copies = F.col("passes") + F.when(F.col("before") + F.col("nth") <= F.col("extra"), 1).otherwise(0)
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target",
                       copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; columns as they were.
+
+    Rows that repeat an id are all taken as often as the one that is taken most; rows with a
+    null id are taken as often as the null ids' most.
+    """
+    copies = (mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("of"))
+              .agg(F.max("copies").alias("copies")).where(F.col("copies") > 0))
+    repeated = docs.join(copies, F.col(id_col).eqNullSafe(F.col("of"))).select(
+        F.struct(*docs.columns).alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")

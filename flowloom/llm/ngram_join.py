@@ -244,3 +244,14 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leade
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that of the smallest id; columns as they were.
+
+    Rows with a null id stay, since no id of theirs says which of them to drop; so do rows
+    that repeat the id that stays.
+    """
+    found = ngram_join(docs, id_col=id_col, text_col=text_col, **options)
+    dropped = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    return docs.join(dropped, id_col, "left_anti").select(docs.columns)

@@ -12,10 +12,13 @@ import json
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 # Python's white space holds all that Unicode calls so, and four control characters more:
 # it may cut less often than possible, never at a wrong place.
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s) ")
+_SPACE = re.compile(r"\s")
 
 
 def cut(text: str) -> list[str]:
@@ -34,6 +37,44 @@ def splits_at_spaces(path: str) -> bool:
                 for t in spec.get("added_tokens", [])))
 
 
+class LibraryPieces:
+    """Ids of pieces by the tokenizers library, many pieces to a call.
+
+    Pieces that begin with a space and hold no other white space are strung together: each
+    begins a new match, so the ids of one start at the token that starts with the space. The
+    library's cost for each text it is given is saved, the ids are the same.
+    """
+
+    GROUP = 64
+
+    def __init__(self, model):
+        self.model = model
+        vocab = model.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        # the letter that stands for a space in byte-level vocabularies
+        self.opens[[i for token, i in vocab.items() if token[:1] == "\u0120"]] = True
+
+    def single(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit bytes."""
+        plain = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not _SPACE.search(p, 1)]
+        out: list = [None] * len(pieces)
+        groups = [plain[a:a + self.GROUP] for a in range(0, len(plain), self.GROUP)]
+        for group, ids in zip(groups, self.single(["".join([pieces[i] for i in g]) for g in groups])):
+            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(starts) != len(group):
+                raise ValueError("pieces must begin with tokens of their own")
+            data = ids.tobytes()
+            for i, a, b in zip(group, starts, [*starts[1:], len(data)]):
+                out[i] = data[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.single([pieces[i] for i in rest])):
+            out[i] = ids.tobytes()
+        return out
+
+
 class PieceCache:
     """Values of pieces, made in batches by ``encode``; emptied when it holds ``limit`` pieces.
 
@@ -41,7 +82,7 @@ class PieceCache:
     and is kept apart.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.spaced: dict = {}
         self.first: dict = {}
