@@ -126,8 +126,8 @@ SQL["pairing_ordinal"] = f"with {MATCH} select key, seq, row_number() over (part
 
 # --- projections, filters and scalar functions --------------------------------
 _A, _Z = f"with {FX_A} ", f"with {FX_Z} "
-SQL["header_drop"] = _A + """select cast(seq as varchar) as seq, cast(stime_us as varchar) as stime_us, proto,
-  cast(sport as varchar) as sport from fx_a"""
+SQL["header_drop"] = _A + """select cast(seq as varchar) as seq, case when dpkts = 0 then 'n/a' else cast(stime_us as varchar) end
+  as stime_us, proto, cast(sport as varchar) as sport from fx_a"""
 SQL["ordered_projection"] = _A + "select saddr as srcip, dport as dsport, proto, dur, sjit, attack_cat, label from fx_a"
 SQL["fixed_layout"] = _A + "select seq, cast(null as varchar) as service, proto, dur from fx_a"
 SQL["label_filter"] = _A + """select seq, label from fx_a
@@ -206,12 +206,12 @@ left join f on f.seq = c.seq left join k fr on fr.seq = f.pick and fr.ts_us >= c
 SQL["http_last100"] = _Z + """, w as (select *, upper(method) as um, row_number() over (order by seq) as n from fx_z
   where zeek_log='http' and method is not null)
 select z.seq, coalesce(c.c, 0) as ct_flw_http_mthd from fx_z z left join (select seq, count(*) over (
-  partition by orig_h, orig_p, resp_h, um order by n range between 100 preceding and 1 preceding) as c from w) c
+  partition by orig_h, orig_p, resp_h, resp_p, um order by n range between 100 preceding and 1 preceding) as c from w) c
   on c.seq = z.seq"""
 SQL["ftp_last100"] = _Z + """, w as (select *, upper(command) as um, row_number() over (order by seq) as n from fx_z
   where zeek_log='ftp' and command <> '')
 select z.seq, coalesce(c.c, 0) as ct_ftp_cmd from fx_z z left join (select seq, count(*) over (
-  partition by orig_h, orig_p, resp_h, um order by n range between 100 preceding and 1 preceding) as c from w) c
+  partition by orig_h, orig_p, resp_h, resp_p, um order by n range between 100 preceding and 1 preceding) as c from w) c
   on c.seq = z.seq"""
 
 # --- allow-list, verdicts, alerts --------------------------------------------------
@@ -396,3 +396,32 @@ w as (select m.*, a.* exclude (seq), coalesce(m.service, '-') as srv, row_number
 counted as (select *, {_counters(', ltime')} from w)"""
 SQL["replay_flows"] = f"{_REPLAY_COUNTED} select {_MERGED_COLUMNS} from counted"
 SQL["stream_counters"] = f"{_REPLAY_COUNTED} select merge_seq, n, {', '.join(_COUNTERS)} from counted"
+
+
+# --- files, streams over files, model parts ------------------------------------------
+SQL["flow_csv_scan"] = _A + """select stcpb, proto, saddr, sport, daddr, dport, ltime * 86400 as ltime,
+  case when seq % 17 <> 0 then stime_us end as stime_us from fx_a"""
+SQL["flow_json_scan"] = _A + "select stime_us as a_us, stcpb from fx_a where seq % 19 <> 0"
+SQL["log_json_scan"] = _Z + """select case when ts_us % 23 <> 0 then ts_us end as z_us,
+  case when ts_us % 23 <> 0 then length(cast(ts_us // 1000000 as varchar)) + 15 else 7 end as chars from fx_z"""
+SQL["labelled_csv_scan"] = _A + """select stcpb, saddr as srcip, dport as dsport, dur, label, attack_cat,
+  cast(null as varchar) as service from fx_a"""
+SQL["replaced_header_scan"] = _A + "select proto, stcpb, label from fx_a where (seq // 4) % 9 <> 0"
+SQL["csv_sink"] = _A + "select seq, proto as protocol, sbytes, attack_cat from fx_a"
+SQL["range_file_load"] = _A + "select distinct 'gcloud' as provider, concat(saddr, '/32') as cidr from fx_a"
+SQL["category_files"] = _A + """select state as value,
+  cast(row_number() over (order by count(*) desc, state) - 1 as double) as index from fx_a group by state"""
+SQL["required_columns"] = _A + "select seq, proto, dur from fx_a"
+SQL["port_alias"] = _A + "select seq, dport from fx_a"
+SQL["list_service"] = _Z + "select ts_us, orig_h, service from fx_z where zeek_log = 'conn'"
+SQL["seeded_sort"] = _A + "select seq from fx_a"
+SQL["micro_batches"] = _A + """select count(*) as rows, cast(sum(stcpb) as bigint) as stcpb from fx_a
+  group by (seq // 4) % 4"""
+SQL["model_features"] = _A + """,
+p as (select proto as v, cast(row_number() over (order by count(*) desc, proto) - 1 as double) as i from fx_a group by 1),
+t as (select state as v, cast(row_number() over (order by count(*) desc, state) - 1 as double) as i from fx_a group by 1)
+select seq, cast(label as double) as target, p.i as proto_index, t.i as state_index, cast(41 as bigint) as width,
+  cast(cast(dur as float) as double) as dur from fx_a join p on p.v = proto join t on t.v = state"""
+SQL["forest_checks"] = _A + f"""select count(*) as test_rows, cast(sum(label) as bigint) as attacks, true as in_range,
+  true as by_majority, true as same_after_load, cast(41 as bigint) as features, true as not_below_majority
+from fx_a where cast(concat('0x', substr({_HASH}, 1, 8)) as bigint) >= 3435973836"""

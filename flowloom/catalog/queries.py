@@ -152,10 +152,12 @@ def pairing_ordinal(spark, sf):
 
 @query
 def header_drop(spark, sf):
-    """Text rows plus a header row; rows whose time does not parse are dropped."""
-    texts = flows(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in ("seq", "stime_us", "proto", "sport")])
+    """Text rows, some without a readable time, plus a header row, which alone is dropped."""
+    time = F.when(F.col("dpkts") == 0, F.lit("n/a")).otherwise(F.col("stime_us").cast("string"))
+    texts = flows(spark, sf).withColumn("stime_us", time).select(
+        *[F.col(c).cast("string").alias(c) for c in ("seq", "stime_us", "proto", "sport")])
     header = texts.agg(*[F.coalesce(F.max(F.lit(c)), F.lit(c)).alias(c) for c in texts.columns])
-    return texts.unionByName(header).where(F.col("stime_us").try_cast("double").isNotNull())
+    return sources_flows.without_header(texts.unionByName(header))
 
 
 @query
@@ -390,7 +392,7 @@ def conn_enrich(spark, sf):
 @query
 def http_last100(spark, sf):
     z = logs(spark, sf)
-    keys = [F.col("orig_h"), F.col("orig_p"), F.col("resp_h"), F.upper("method")]
+    keys = [F.col("orig_h"), F.col("orig_p"), F.col("resp_h"), F.col("resp_p"), F.upper("method")]
     return history.last_n_count(z, "seq", keys, "ct_flw_http_mthd",
                                 (F.col("zeek_log") == "http") & F.col("method").isNotNull()) \
         .select("seq", "ct_flw_http_mthd")
@@ -399,7 +401,7 @@ def http_last100(spark, sf):
 @query
 def ftp_last100(spark, sf):
     z = logs(spark, sf)
-    keys = [F.col("orig_h"), F.col("orig_p"), F.col("resp_h"), F.upper("command")]
+    keys = [F.col("orig_h"), F.col("orig_p"), F.col("resp_h"), F.col("resp_p"), F.upper("command")]
     return history.last_n_count(z, "seq", keys, "ct_ftp_cmd",
                                 (F.col("zeek_log") == "ftp") & (F.col("command") != "")).select("seq", "ct_ftp_cmd")
 
@@ -684,3 +686,8 @@ def stream_alerts(spark, sf):
     scored = netranges.allow_reason(a.withColumn("daddr", metadata), ranges).withColumn(
         "probability", (F.col("sbytes") % 100) / F.lit(100.0))
     return _drained(spark, sinks.alert_lines(scored))
+
+
+from flowloom.catalog.file_queries import QUERIES as FILE_QUERIES  # noqa: E402
+
+QUERIES.update(FILE_QUERIES)

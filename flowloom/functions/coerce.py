@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: integer and hexadecimal port texts
+# fixed values: integer, hexadecimal and general number texts
 DECIMAL_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 HEX_TEXT = r"^0[xX][0-9a-fA-F]+\s*$"
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+# digits of a hexadecimal number that fits a bigint
+HEX_DIGITS = 15
 
 
 def epoch_seconds(c: Column) -> Column:
@@ -33,17 +36,26 @@ def half_even_seconds(c: Column) -> Column:
 
 
 def port_number(c: Column) -> Column:
-    """Port from decimal or ``0x`` text; anything else is 0."""
+    """Port from decimal or ``0x`` text; anything else, numbers too long for a bigint included, is 0."""
     text = c.cast("string")
+    digits = F.ltrim(F.substr(F.trim(text), F.lit(3)), F.lit("0"))
     return F.coalesce(
-        F.when(text.rlike(HEX_TEXT), F.conv(F.substring(F.trim(text), 3, 16), 16, 10).try_cast("bigint"))
+        F.when(text.rlike(HEX_TEXT) & (F.length(digits) <= HEX_DIGITS), F.conv(digits, 16, 10).try_cast("bigint"))
         .when(text.rlike(DECIMAL_TEXT), F.trim(text).try_cast("bigint")),
         F.lit(0).cast("bigint"))
 
 
 def lenient_double(c: Column) -> Column:
-    """Double, null where the text is not a number."""
-    return c.try_cast("double")
+    """Double, null where the text is not a number; ``nan`` and type suffixes such as ``2d`` are none."""
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER_TEXT), F.nanvl(text.try_cast("double"), F.lit(None).cast("double")))
+
+
+def double_of(name: str, kind: str) -> Column:
+    """:func:`lenient_double` without the way over text where the column is a number already."""
+    if kind in ("string", "boolean"):
+        return lenient_double(F.col(name))
+    return F.nanvl(F.col(name).try_cast("double"), F.lit(None).cast("double"))
 
 
 def scoring_float(c: Column) -> Column:
@@ -62,15 +74,15 @@ def class_name(label: Column) -> Column:
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Lenient numeric cast of the listed columns that exist, in one projection."""
-    wanted = set(cols)
-    return df.select(*[lenient_double(F.col(c)).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    wanted, kinds = set(cols), dict(df.dtypes)
+    return df.select(*[double_of(c, kinds[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
 def cast_and_fill(df: DataFrame, cols: list[str], fill: float = -1.0) -> DataFrame:
     """Double cast plus null fill of the listed columns that exist."""
-    wanted = set(cols)
+    wanted, kinds = set(cols), dict(df.dtypes)
     return df.select(*[
-        F.coalesce(lenient_double(F.col(c)), F.lit(fill)).alias(c) if c in wanted else F.col(c)
+        F.coalesce(double_of(c, kinds[c]), F.lit(fill)).alias(c) if c in wanted else F.col(c)
         for c in df.columns])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.coerce import lenient_double
+from flowloom.functions.coerce import double_of
 from flowloom.operators.scan import Running, sorted_scan
 from flowloom.schemas import SHORT_FLOW_FEATURES
 
@@ -45,8 +45,9 @@ def label_shares(df: DataFrame, label: str = "label") -> DataFrame:
 
 def long_form(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value) rows of the listed columns that exist, leniently cast to double."""
-    present = [c for c in cols if c in df.columns]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), lenient_double(F.col(c)).alias("value")) for c in present])
+    kinds = dict(df.dtypes)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), double_of(c, kinds[c]).alias("value"))
+                      for c in cols if c in kinds])
     return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
 
 
@@ -139,12 +140,12 @@ def short_flow_stats(df: DataFrame, features: dict[str, str] | None = None,
     """
     features = features or SHORT_FLOW_FEATURES
     features = {f: p for f, p in features.items() if f in df.columns and p in df.columns}
-    keys = ["feature", "packet_column", "packets"]
+    keys, kinds = ["feature", "packet_column", "packets"], dict(df.dtypes)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(p).alias("packet_column"),
-                               lenient_double(F.col(p)).cast("int").alias("packets"),
-                               lenient_double(F.col(f)).alias("value")) for f, p in features.items()])
+                               double_of(p, kinds[p]).cast("int").alias("packets"),
+                               double_of(f, kinds[f]).alias("value")) for f, p in features.items()])
     # keep whole packet counts only: 1.5 packets is no group
-    exact = F.array(*[lenient_double(F.col(p)).isin(*range(1, max_packets + 1)) for p in features.values()])
+    exact = F.array(*[double_of(p, kinds[p]).isin(*range(1, max_packets + 1)) for p in features.values()])
     values = (df.select(F.explode(F.arrays_zip(pairs.alias("p"), exact.alias("keep"))).alias("z"))
               .where("z.keep").select("z.p.*"))
     quantiles = approximate_quantiles if approx else exact_quantiles

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +82,15 @@ class KeyReplay:
         return (at, flow[0], z_seq, kind, service, depth, length, http, login, ftp, *flow[1])
 
 
-def _stream_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+_MERGE_TYPES = [_ARROW[f.split()[1]] for f in MERGE_SCHEMA.split(", ")]
+
+
+def _stream_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, machine = None, None
     for batch in batches:
         out = []
-        columns = [batch[c].tolist() for c in ["key", "seq", "kind", *CARRIED, *LOG_COLUMNS]]
+        columns = [batch.column(c).to_pylist() for c in ["key", "seq", "kind", *CARRIED, *LOG_COLUMNS]]
         n = 3 + len(CARRIED)
         for row in zip(*columns):
             if row[0] != key:
@@ -94,13 +98,13 @@ def _stream_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             merged = machine.step(row[1], row[2], row[3:n], row[n:])
             if merged is not None:
                 out.append((*merged[:4], key, *merged[4:]))
-        yield pd.DataFrame(out, columns=MERGE_COLUMNS)
+        values = list(zip(*out)) if out else [()] * len(MERGE_COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _MERGE_TYPES)], names=MERGE_COLUMNS)
 
 
-def whole_numbers(events: DataFrame) -> DataFrame:
-    """Fill the other sensor's numeric columns so that batches stay integer typed."""
-    return events.fillna(0, ["sport", "dport", "ltime", "trans_depth", "response_body_len", "is_ftp_login",
-                             "has_command"])
+def log_numbers(events: DataFrame) -> DataFrame:
+    """Zero for what a log record does not state; flow columns keep their nulls."""
+    return events.fillna(0, ["trans_depth", "response_body_len", "is_ftp_login", "has_command"])
 
 
 def replay_sequential(events: DataFrame) -> DataFrame:
@@ -108,9 +112,9 @@ def replay_sequential(events: DataFrame) -> DataFrame:
 
     The shuffle sorts by key and arrival, so a task holds one key's queues, never its rows.
     """
-    ordered = (whole_numbers(events).select("key", "seq", "kind", *CARRIED, *LOG_COLUMNS)
+    ordered = (log_numbers(events).select("key", "seq", "kind", *CARRIED, *LOG_COLUMNS)
                .repartition(own_exchange("key")).sortWithinPartitions("key", "seq"))
-    return ordered.mapInPandas(_stream_keys, MERGE_SCHEMA)
+    return ordered.mapInArrow(_stream_keys, MERGE_SCHEMA)
 
 
 def replay_without_ftp(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:

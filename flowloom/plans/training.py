@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.coerce import class_name, lenient_double
+from flowloom.functions.coerce import class_name, double_of
 from flowloom.operators import evaluation
 from flowloom.operators.dataset import canonical_names, hash_split, stratified_folds
 from flowloom.schemas import CATEGORICAL_FIELDS, CLASS_LABELS, NUMERIC_FIELDS, PROTOCOL_FEATURES
@@ -36,11 +36,11 @@ def feature_columns(df: DataFrame, with_protocol_features: bool = True) -> DataF
     Training and scoring both pass through here, so they see the same values.
     """
     df = canonical_names(df)
-    present = set(df.columns)
+    present = dict(df.dtypes)
     numeric = [*NUMERIC_FIELDS, *(PROTOCOL_FEATURES if with_protocol_features else [])]
 
     def value(c: str) -> Column:
-        return F.coalesce(lenient_double(F.col(c)), F.lit(-1.0)) if c in present else F.lit(-1.0)
+        return F.coalesce(double_of(c, present[c]), F.lit(-1.0)) if c in present else F.lit(-1.0)
     kept = [c for c in df.columns if c not in set(numeric)]
     return df.select(*kept, *[value(c).alias(c) for c in numeric])
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from flowloom.functions import coerce
 from flowloom.operators.dataset import canonical_names
+from flowloom.operators.scan import Running, sorted_scan
 from flowloom.schemas import (
     FLOW_FIELDS, FLOW_TEXT_SCHEMA, LABELLED_FIELDS, LABELLED_SCHEMA, LOG_KINDS, LOG_RENAMES, LOG_SCHEMA, struct_of)
 
@@ -30,9 +31,14 @@ def timed(df: DataFrame, time: str) -> DataFrame:
     return df.where(F.col(time).isNotNull())
 
 
-def without_header(flows: DataFrame, time: str = "stime") -> DataFrame:
-    """Drop rows whose time does not parse; catches a header wherever it appears."""
-    return flows.where(coerce.epoch_seconds(F.col(time)).isNotNull())
+def without_header(flows: DataFrame) -> DataFrame:
+    """Drop rows that repeat the column names, wherever a header appears.
+
+    Rows with a blank or unreadable time are data: they stay, and their time becomes null.
+    """
+    repeats = reduce(lambda x, y: x & y, [
+        F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == c.lower() for c in flows.columns])
+    return flows.where(~repeats)
 
 
 # --- normalisation -----------------------------------------------------------------
@@ -140,9 +146,47 @@ def read_log_json(spark: SparkSession, path: str) -> DataFrame:
         "z_seq", coerce.micros_of_number(F.get_json_object("value", "$.ts")).alias("z_us"), F.col("value").alias("line"))
 
 
+# Rows of one file block, as a power of two.
+BLOCK_ROWS = 33
+
+
 def numbered(text: DataFrame, name: str) -> DataFrame:
-    """Ascending row number of one file in line order (splits of a file are read in order)."""
-    return text.withColumn(name, F.monotonically_increasing_id())
+    """Ascending number in the order of file paths, and of lines inside a file; gaps are left.
+
+    Blocks of files are few, so only they are ranked; a row adds its place inside its block.
+    The order does not depend on how the reader packs files into tasks.
+    """
+    columns = text.columns
+    tagged = text.select("*", F.col("_metadata.file_path").alias("__file"),
+                         F.col("_metadata.file_block_start").alias("__start"),
+                         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << BLOCK_ROWS) - 1)).alias("__local"))
+    ranked = sorted_scan(tagged.select("__file", "__start").distinct(), [], ["__file", "__start"],
+                         [Running("__rank", F.lit(1).cast("bigint"))])
+    return tagged.join(ranked, ["__file", "__start"]).select(
+        *columns, (F.shiftleft("__rank", BLOCK_ROWS) + F.col("__local")).alias(name))
+
+
+def joint_arrival(flows: DataFrame, logs: DataFrame, flow_order: list[str], log_order: list[str],
+                  name: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Both sensors with one arrival number, unique over both: ``flow_order`` and ``log_order`` hold
+    the arrival time and what breaks its ties (file and line, or topic partition and offset).
+
+    Numbers follow the two orders merged by time, a flow before a log record of the same time.
+    They are made from the narrow order columns only; a hot time is spread like any other.
+    """
+    def narrow(df, order, sensor):
+        return df.select(F.lit(sensor).alias("__s"), *[F.col(c).cast("bigint").alias(f"__o{i}") for i, c in enumerate(order)])
+    if len(flow_order) != len(log_order):
+        raise ValueError("both orders need the same number of columns")
+    order = [f"__o{i}" for i in range(len(flow_order))]
+    both = narrow(flows, flow_order, 0).unionByName(narrow(logs, log_order, 1))
+    place = sorted_scan(both, [], [order[0], "__s", *order[1:]], [Running(name, F.lit(1).cast("bigint"))])
+
+    def back(df, columns, sensor):
+        own = place.where(F.col("__s") == sensor).select(*order, name)
+        on = [F.col(c).cast("bigint").eqNullSafe(F.col(o)) for c, o in zip(columns, order)]
+        return df.join(own, on).drop(*order)
+    return back(flows, flow_order, 0), back(logs, log_order, 1)
 
 
 def read_ranges(spark: SparkSession, path: str, provider: str, cidr_key: str, list_key: str = "prefixes") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import enrich
+from flowloom.schemas import CLASS_LABELS
 
 
 def alert_lines(scored: DataFrame, probability: str = "probability", reason: str = "reason") -> DataFrame:
@@ -40,8 +41,11 @@ def write_scoring_csv(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("append").text(path)
 
 
-def report_text(report: DataFrame, accuracy: DataFrame, title: str) -> DataFrame:
-    """Classification report as text lines: title, accuracies, one line per class and average."""
+def report_text(report: DataFrame, accuracy: DataFrame, title: str, names: list[str] | None = None) -> DataFrame:
+    """Classification report as text lines: title, accuracies, one line per class and average.
+
+    Classes come in the order of ``names``, their class indexes.
+    """
     def number(c):
         return F.lpad(F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("")), 10, " ")
     head = accuracy.select(F.posexplode(F.array(
@@ -49,15 +53,17 @@ def report_text(report: DataFrame, accuracy: DataFrame, title: str) -> DataFrame
         F.format_string("accuracy on attack rows: %.2f%%", F.col("attack_accuracy") * 100),
         F.concat(F.lpad(F.lit(""), 12, " "), *[F.lpad(F.lit(h), 10, " ") for h in
                                                ("precision", "recall", "f1-score", "support")]))).alias("pos", "line"))
-    place = {"accuracy": 100, "macro avg": 101, "weighted avg": 102}
+    order = {name: 50 + i for i, name in enumerate(names or CLASS_LABELS)}
+    last = 50 + len(order)
+    place = {**order, "accuracy": last + 1, "macro avg": last + 2, "weighted avg": last + 3}
     rank = F
     for name, at in place.items():
         rank = rank.when(F.col("class") == name, F.lit(at))
     body = report.select(
-        rank.otherwise(F.lit(50)).alias("pos"),
+        rank.otherwise(F.lit(last)).alias("pos"),
         F.concat(F.lpad("class", 12, " "), number("precision"), number("recall"), number("f1"),
                  F.lpad(F.col("support").cast("string"), 10, " ")).alias("line"))
-    return head.unionByName(body).orderBy("pos", F.desc("line")).select("line")
+    return head.unionByName(body).orderBy("pos", "line").select("line")
 
 
 def write_report(report: DataFrame, accuracy: DataFrame, title: str, path: str) -> None:

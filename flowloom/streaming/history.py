@@ -17,15 +17,25 @@ class HistoryBatches:
     Each batch reads the tail (last 100 rows) its predecessor stored, counts, and writes
     its rows and its own tail under its batch id. A repeated batch overwrites exactly what
     it wrote before.
+
+    History runs in the order of emission: by batch, and by ``merge_seq`` inside a batch. A
+    merge that becomes complete late follows those emitted before it, as in the live loop.
+    Rows that expired without a partner are no merges: they go to ``unmatched`` and are not
+    counted.
     """
 
     def __init__(self, path: str, same_second: bool = True):
         self.rows = f"{path}/rows"
         self.tails = f"{path}/tails"
+        self.unmatched = f"{path}/unmatched"
         self.same_second = same_second
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if "status" in batch.columns:
+            lost = batch.where(F.col("status") != "merged")
+            lost.write.mode("overwrite").parquet(f"{self.unmatched}/batch={batch_id}")
+            batch = batch.where(F.col("status") == "merged")
         rows = dense_sequence(batch, "merge_seq", "n")
         tail, start = None, 0
         if batch_id > 0:

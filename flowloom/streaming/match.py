@@ -45,13 +45,11 @@ class MatchProcessor(StatefulProcessor):
     """Keeps the queues, the http accumulator and the counters of one flow key.
 
     With ``ttl_ms`` set, rows still waiting after that time leave the state and come out
-    as ``lost_flow`` / ``lost_log``; ``max_waiting`` does the same to the oldest rows of a
-    queue that outgrows it. Without either, rows wait for ever.
+    as ``lost_flow`` / ``lost_log``. Without it, rows wait for ever; no queue has a size limit.
     """
 
-    def __init__(self, ttl_ms: int | None = None, max_waiting: int | None = None):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
-        self.max_waiting = max_waiting
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -97,8 +95,6 @@ class MatchProcessor(StatefulProcessor):
             merged = machine.step(row[0], row[1], (row[2], now), (*row[3:], now))
             if merged is not None:
                 out.append(("merged", *merged[:4], key[0], *merged[4:11]))
-            if self.max_waiting is not None:
-                self._evict(machine, key[0], out, lambda queue, at: len(queue) > self.max_waiting)
         self._store(machine)
         self._schedule(machine, now)
         yield self._frame(out)
@@ -106,10 +102,10 @@ class MatchProcessor(StatefulProcessor):
     @staticmethod
     def _evict(machine: KeyReplay, key: str, out: list, due) -> None:
         """Move the oldest rows of both queues to the output while they are due."""
-        while machine.flows and due(machine.flows, machine.flows[0][1][1]):
+        while machine.flows and due(machine.flows[0][1][1]):
             seq, (payload, _) = machine.flows.popleft()
             out.append(("lost_flow", None, seq, None, None, key, None, 0, 0, 0, 0, 0, payload))
-        while machine.logs and due(machine.logs, machine.logs[0][2][-1]):
+        while machine.logs and due(machine.logs[0][2][-1]):
             seq, kind, log = machine.logs.popleft()
             out.append(("lost_log", None, None, seq, kind, key, log[0], log[1], log[2], 0, log[3], 0, None))
 
@@ -121,7 +117,7 @@ class MatchProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
         machine, out = self._load(), []
-        self._evict(machine, key[0], out, lambda queue, at: at + self.ttl_ms <= now)
+        self._evict(machine, key[0], out, lambda at: at + self.ttl_ms <= now)
         self._store(machine)
         self._schedule(machine, now)
         yield self._frame(out)
@@ -130,14 +126,13 @@ class MatchProcessor(StatefulProcessor):
         pass
 
 
-def stream_match(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None,
-                 max_waiting: int | None = None) -> DataFrame:
+def stream_match(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Merged rows (and, with a TTL, expired ones) of two streams with a ``seq`` column each.
 
     Only flows of matched protocols enter; others need no state (see ``stream_other``).
     """
     return stream_events(flows, logs).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=MatchProcessor(ttl_ms, max_waiting), outputStructType=OUTPUT, outputMode="append",
+        statefulProcessor=MatchProcessor(ttl_ms), outputStructType=OUTPUT, outputMode="append",
         timeMode="ProcessingTime" if ttl_ms is not None else "None")
 
 
@@ -153,10 +148,9 @@ def stream_other(flows: DataFrame) -> DataFrame:
         F.to_json(F.struct(*flows.columns)).alias("payload"))
 
 
-def stream_merge(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None,
-                 max_waiting: int | None = None) -> DataFrame:
+def stream_merge(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """All merged rows of both sensors."""
-    return stream_match(flows, logs, ttl_ms, max_waiting).unionByName(stream_other(flows))
+    return stream_match(flows, logs, ttl_ms).unionByName(stream_other(flows))
 
 
 def unpack(merged: DataFrame, flow_schema) -> DataFrame:

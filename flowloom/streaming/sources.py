@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.schemas import FLOW_TEXT_SCHEMA, LOG_KINDS, LOG_SCHEMA, SCORING_FIELDS, SCORING_SCHEMA
-from flowloom.sources.flows import captured, normalize_flows, normalize_logs, union_logs, without_header
+from flowloom.sources.flows import CORRUPT, captured, normalize_flows, normalize_logs, union_logs, without_header
 
 
 def _limits(reader, max_files: int | None):
@@ -24,10 +25,11 @@ def log_stream(spark: SparkSession, root: str, max_files: int | None = None) ->
     """Sensor-B JSON logs from one folder per kind; comment, blank and broken lines are skipped."""
     def read(kind):
         lines = _limits(spark.readStream, max_files).text(f"{root}/{kind}")
-        parsed = F.from_json("value", LOG_SCHEMA, {"mode": "PERMISSIVE"})
+        marked = T.StructType([*LOG_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+        parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
         kept = lines.where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("#"))
-        # a broken line parses to no time and no address at all
-        return kept.select(parsed.alias("r")).select("r.*").where("ts is not null or `id.orig_h` is not null")
+        # every record that parses is kept, whatever fields it lacks
+        return kept.select(parsed.alias("r")).select("r.*").where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return normalize_logs(union_logs({kind: read(kind) for kind in LOG_KINDS}))
 
 
@@ -48,7 +50,8 @@ def scoring_stream(spark: SparkSession, path: str, max_files: int | None = None)
 
 
 def parse_scoring(lines: DataFrame) -> DataFrame:
+    """Typed scoring rows; ``malformed`` marks lines of another width, whose missing fields are null."""
     parts = F.split("line", ",", -1)
     kinds = {f.name: f.dataType for f in SCORING_SCHEMA}
-    return lines.where(F.size(parts) == len(SCORING_FIELDS)).select(*[
-        F.get(parts, F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(SCORING_FIELDS)])
+    return lines.select(*[F.get(parts, F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(SCORING_FIELDS)],
+                        (F.size(parts) != len(SCORING_FIELDS)).alias("malformed"))

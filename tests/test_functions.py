@@ -108,3 +108,12 @@ def test_latency(spark):
 
 def test_first_service(spark):
     assert _column(spark, [["ssl", "http"], [], None], enrich.first_service, "array<string>") == ["ssl", None, None]
+
+
+def test_numbers_that_are_none(spark):
+    got = _column(spark, ["1", "nan", "3", "2d", "inf", "", None, "1e3"], coerce.lenient_double)
+    assert got == [1.0, None, 3.0, None, float("inf"), None, None, 1000.0]
+
+
+def test_over_long_ports_are_zero(spark):
+    assert _column(spark, ["0x1F90", "0x" + "0" * 20 + "50", "0x" + "1" * 20], coerce.port_number) == [8080, 80, 0]

@@ -24,7 +24,9 @@ def _flow_line(**given):
 def test_flow_csv(spark, tmp_path):
     text = "\n".join([",".join(FLOW_FIELDS), _flow_line(), _flow_line(proto="man", stime="x")]) + "\n"
     got = src.normalize_flows(src.read_flow_csv(spark, _write(tmp_path / "a.csv", text))).collect()
-    assert len(got) == 1
+    # the header goes; a row with an unreadable time is data
+    assert sorted(str(r.stime) for r in got) == ["2", "None"]
+    got = [r for r in got if r.stime is not None]
     r = got[0]
     assert (r.stime, r.stime_us, r.ltime, r.sport, r.dport, r.spkts, r.dur) == (2, 2_500_000, 4, 80, 443, 1, 1.0)
 
@@ -148,3 +150,23 @@ def test_metrics_are_observed(spark):
     # an Observation binds a manager to its session that fitted models cannot ship with
     spark.newSession().range(7).observe(seen, F.count(F.lit(1)).alias("rows")).collect()
     assert seen.get == {"rows": 7}
+
+
+def test_rows_with_unreadable_times_stay(spark, rows):
+    texts = spark.createDataFrame([("stime", "proto"), ("1.5", "tcp"), ("n/a", "udp"), (None, "icmp")], "stime string, proto string")
+    assert rows(src.without_header(texts), "proto") == [("icmp",), ("tcp",), ("udp",)]
+
+
+def test_numbers_follow_file_order(spark, tmp_path):
+    for name, lines in (("b", ["3", "4"]), ("a", ["1", "2"]), ("c", ["5"])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    got = src.numbered(spark.read.text(str(tmp_path)), "n").orderBy("n")
+    assert [r["value"] for r in got.collect()] == ["1", "2", "3", "4", "5"]
+
+
+def test_joint_arrival_is_unique(spark):
+    a = spark.createDataFrame([(10, 1, "x"), (30, 2, "y"), (30, 3, "z")], "t bigint, line bigint, v string")
+    z = spark.createDataFrame([(10, 1, "p"), (20, 1, "q")], "ts bigint, line bigint, v string")
+    left, right = src.joint_arrival(a, z, ["t", "line"], ["ts", "line"])
+    got = sorted([(r.seq, r.v) for r in left.collect()] + [(r.seq, r.v) for r in right.collect()])
+    assert got == [(1, "x"), (2, "p"), (3, "q"), (4, "y"), (5, "z")]

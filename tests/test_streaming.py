@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.catalog import fixtures
+from flowloom.catalog.queries import QUERIES
 from flowloom.operators import history
 from flowloom.plans import scoring
 from flowloom.schemas import FLOW_FIELDS, SCORING_FIELDS
@@ -83,14 +84,21 @@ def test_expired_rows_come_out(spark, tmp_path, rows):
         query.stop()
 
 
-def test_full_queues_give_up_their_oldest_rows(spark, tmp_path, rows):
-    _drop(tmp_path / "a", _names(FLOW), [(i, "tcp", "s", 1, "d", 9, 0) for i in range(1, 5)], 0)
-    _drop(tmp_path / "z", _names(LOG), [(9, "conn", "tcp", "s", 1, "d", 9, None, 0, 0, "", "", "")], 0)
-    a = spark.readStream.schema(FLOW).json(str(tmp_path / "a"))
-    z = spark.readStream.schema(LOG).json(str(tmp_path / "z"))
-    _run(match.stream_merge(a, z, max_waiting=2), tmp_path)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(got, "status", "a_seq", "z_seq") == [("lost_flow", 1, None), ("lost_flow", 2, None), ("merged", 3, 9)]
+def test_lost_rows_are_not_counted(spark, tmp_path, rows):
+    row = "status string, merge_seq bigint, service string, saddr string, sport bigint, daddr string, dport bigint, ltime bigint"
+    batch = spark.createDataFrame([("lost_flow", None, None, "s", 1, "d", 2, 0), ("merged", 5, "-", "s", 1, "d", 2, 0),
+                                   ("merged", 7, "-", "s", 1, "d", 2, 0)], row)
+    sink = HistoryBatches(str(tmp_path))
+    sink(batch, 0)
+    # a late merge follows those emitted before it
+    sink(batch.where("merge_seq = 5").withColumn("merge_seq", F.lit(3).cast("bigint")), 1)
+    assert rows(sink.read(spark), "n", "merge_seq", "ct_src_ltm") == [(1, 5, 0), (2, 7, 1), (3, 3, 2)]
+    assert spark.read.parquet(sink.unmatched).count() == 1
+
+
+def test_merge_from_files_equals_replay(spark):
+    got = QUERIES["merge_from_files"](spark, "/root/testdata/sf0.001")
+    assert got.count() > 500 and got.where("kind = 'http'").count() > 50
 
 
 def test_counters_continue_across_batches(spark, tmp_path, rows):
@@ -139,7 +147,8 @@ def test_scoring_lines_to_alerts(spark, tmp_path):
     query = scoring.alert_stream(scored, str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True})
     query.awaitTermination()
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["bad:1 -> d:2"]
-    assert json.loads(query.lastProgress.json)["observedMetrics"]["latency"]["rows"] == 2
+    assert sources.parse_scoring(spark.createDataFrame([("too,short",)], "line string")).first().malformed
+    assert json.loads(query.lastProgress.json)["observedMetrics"]["latency"]["rows"] == 3
 
 
 def test_payload_unpacks_to_the_flow(spark):
