@@ -634,11 +634,21 @@ def rf_verdicts(spark, sf):
 
 # --- streams ------------------------------------------------------------------------
 
+# Micro-batches that the events arrive in, and files of each.
+BATCHES, BATCH_FILES = 3, 4
+
+
 def _event_streams(spark, sf):
-    """The events table as two streams, one per sensor."""
+    """The events table as two streams, one per sensor, in several micro-batches of ascending events."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    after = events.agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).first()[0]
+    for part in range(BATCHES):
+        inside = F.floor(F.col("event_id") * BATCHES / after) == part
+        events.where(inside).repartition(BATCH_FILES).write.mode("append").parquet(root)
+
     def read():
-        schema = spark.read.parquet(f"{sf}/events.parquet").schema
-        return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+        return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(root)
     return fixtures.derive(read(), fixtures.FLOWS), fixtures.derive(read(), fixtures.LOGS)
 
 
