@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import whole, workspace, written
-from flowloom.llm.pieces import LibraryPieces, PieceCache, by_bytes, cut, splits_at_spaces
+from flowloom.llm.pieces import LibraryPieces, PieceCache, by_bytes, splits_at_spaces
 from flowloom.operators.scan import Running, keyed_scan
 
 BLOCK_IDS = 1 << 14
@@ -79,9 +79,11 @@ def id_encoder(path: str):
         cache = PieceCache(pieces)
 
         def by_pieces(texts: list[str]) -> list[bytes]:
-            cuts = [cut(t) for t in texts]
-            cache.load(cuts)
-            return [cache.first[p[0]] + b"".join(map(cache.spaced.__getitem__, p[1:])) for p in cuts]
+            out = []
+            for values in cache.fetch(texts):
+                first = values.pop()
+                out.append(first + b"".join(values))
+            return out
         _ENCODERS[path] = by_pieces if splits_at_spaces(path) else encode
     return _ENCODERS[path]
 

@@ -153,13 +153,14 @@ class PairIndexBpe:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit bytes; the index spans all new pieces of the call."""
+        cache = self.cache
+        cache.tidy()
         spaced, first = set(), set()
         for text in texts:
             pieces = cut(text)
             first.add(pieces[0])
             spaced.update(pieces[1:])
-        cache = self.cache
-        cache.load([["", *spaced], *([f] for f in first)])
+        cache.learn({p for p in spaced if p not in cache.spaced}, first)
         for text in texts:
             pieces = cut(text)
             yield cache.first[pieces[0]] + b"".join(map(cache.spaced.__getitem__, pieces[1:]))

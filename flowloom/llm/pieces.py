@@ -1,9 +1,9 @@
 """Texts cut at boundaries that no token crosses, and distinct pieces encoded in batches.
 
-The pattern of a byte-level tokenizer starts a new match at every space that follows a
-character other than white space: no alternative holds white space behind another character.
-Such a place splits a text without changing its tokens, also beside special strings, which
-hold no space. Words repeat far more than texts, so a batch encodes each distinct piece once.
+The pattern of a byte-level tokenizer starts a new match at every white-space character that
+follows another character: no alternative holds white space behind something else. Such a
+place splits a text without changing its tokens, also beside special strings, which hold no
+white space. Words repeat far more than texts, so a batch encodes each distinct piece once.
 """
 
 from __future__ import annotations
@@ -11,19 +11,31 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
 # Python's white space holds all that Unicode calls so, and four control characters more:
 # it may cut less often than possible, never at a wrong place.
-_RUN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<!\s) ")
+_RUN = re.compile(r"\s[ \n]")
+_CUT = re.compile(r"(?<!\s)(?: |(?=\n))")
 _SPACE = re.compile(r"\s")
+# Marks behind a letter or digit begin a match of their own; the apostrophe may not.
+_MARKS = ".,!?;:*&%$#|\"()[]"
 
 
 def cut(text: str) -> list[str]:
-    """Pieces of ``text``; each but the first stands for a space and itself."""
-    return _CUT.split(text) if _RUN.search(text) else text.split(" ")
+    """Pieces of ``text``. A piece that begins with a line break stands for itself; any other but the first
+    for a space and itself."""
+    if _RUN.search(text):
+        return _CUT.split(text)
+    return text.replace("\n", " \n").split(" ")
+
+
+def as_written(piece: str) -> str:
+    """The stretch of text that a piece other than the first stands for."""
+    return piece if piece[:1] == "\n" else " " + piece
 
 
 def splits_at_spaces(path: str) -> bool:
@@ -40,9 +52,9 @@ def splits_at_spaces(path: str) -> bool:
 class LibraryPieces:
     """Ids of pieces by the tokenizers library, many pieces to a call.
 
-    Pieces that begin with a space and hold no other white space are strung together: each
-    begins a new match, so the ids of one start at the token that starts with the space. The
-    library's cost for each text it is given is saved, the ids are the same.
+    Pieces that begin with a space or line break and hold no other white space are strung
+    together: each begins a new match, so the ids of one start at the token that starts with
+    its white space. The library's cost for each text it is given is saved, the ids are the same.
     """
 
     GROUP = 64
@@ -51,15 +63,15 @@ class LibraryPieces:
         self.model = model
         vocab = model.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        # the letter that stands for a space in byte-level vocabularies
-        self.opens[[i for token, i in vocab.items() if token[:1] == "\u0120"]] = True
+        # the letters that stand for a space and a line break in byte-level vocabularies
+        self.opens[[i for token, i in vocab.items() if token[:1] in ("\u0120", "\u010a")]] = True
 
     def single(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit bytes."""
-        plain = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not _SPACE.search(p, 1)]
+        plain = [i for i, p in enumerate(pieces) if p[:1] in (" ", "\n") and len(p) > 1 and not _SPACE.search(p, 1)]
         out: list = [None] * len(pieces)
         groups = [plain[a:a + self.GROUP] for a in range(0, len(plain), self.GROUP)]
         for group, ids in zip(groups, self.single(["".join([pieces[i] for i in g]) for g in groups])):
@@ -78,28 +90,62 @@ class LibraryPieces:
 class PieceCache:
     """Values of pieces, made in batches by ``encode``; emptied when it holds ``limit`` pieces.
 
-    Keys are pieces as :func:`cut` gives them; the first piece of a text has no space before it
-    and is kept apart.
+    A value is what ``encode`` gives for the piece as written; values of neighbours add up. The
+    first piece of a text has no space before it and is kept apart.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.spaced: dict = {}
         self.first: dict = {}
-
-    def load(self, cuts: list[list[str]]) -> None:
-        """Make sure all pieces of ``cuts`` have values."""
-        if len(self.spaced) > self.limit:
-            self.spaced.clear()
-        if len(self.first) > self.limit:
-            self.first.clear()
-        wanted = set()
-        for pieces in cuts:
-            wanted.update(pieces[1:])
-        new = [p for p in wanted if p not in self.spaced]
-        self.spaced.update(zip(new, self.encode([" " + p for p in new])))
-        new = [p for p in {pieces[0] for pieces in cuts} if p not in self.first]
-        self.first.update(zip(new, self.encode(new)))
+        self.marks: dict = {}
+
+    def tidy(self) -> None:
+        for known in (self.spaced, self.first, self.marks):
+            if len(known) > self.limit:
+                known.clear()
+
+    def learn(self, pieces: set[str], first: set[str]) -> None:
+        """Make values of unknown pieces; words are shared by the forms that differ in marks behind them."""
+        split, wanted, marks = {}, set(), set()
+        for piece in pieces:
+            word = piece.rstrip(_MARKS)
+            if word is not piece and word and (word[-1].isalpha() or word[-1].isdecimal()):
+                split[piece] = word
+                marks.add(piece[len(word):])
+            else:
+                word = piece
+            wanted.add(word)
+        new = [w for w in wanted if w not in self.spaced]
+        self.spaced.update(zip(new, self.encode([as_written(w) for w in new])))
+        for known, asked in ((self.marks, marks), (self.first, first)):
+            new = [x for x in asked if x not in known]
+            known.update(zip(new, self.encode(new)))
+        for piece, word in split.items():
+            self.spaced[piece] = self.spaced[word] + self.marks[piece[len(word):]]
+
+    def fetch(self, texts: list[str]) -> Iterable[list]:
+        """The values of all pieces of each text, that of its first piece last.
+
+        Pieces are looked up while they are fresh, text by text; only unknown ones are held
+        until the batch has learnt them.
+        """
+        self.tidy()
+        get, rows = self.spaced.get, []
+        for text in texts:
+            pieces = cut(text)
+            head = pieces.pop(0)
+            values = list(map(get, pieces))
+            unknown = list(compress(pieces, map(is_, values, repeat(None)))) if None in values else ()
+            rows.append((head, values, unknown))
+        self.learn(set(chain.from_iterable(r[2] for r in rows)), {r[0] for r in rows})
+        known = self.spaced.__getitem__
+        for head, values, unknown in rows:
+            if unknown:
+                late = map(known, unknown)
+                values = [next(late) if v is None else v for v in values]
+            values.append(self.first[head])
+            yield values
 
 
 def by_bytes(texts: list[str], limit: int) -> Iterable[tuple[int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import whole
-from flowloom.llm.pieces import PieceCache, by_bytes, cut, splits_at_spaces
+from flowloom.llm.pieces import PieceCache, by_bytes, splits_at_spaces
 
 BATCH_CHARS = 4 << 20
 
@@ -47,9 +47,7 @@ def _library(path: str):
     cache = PieceCache(lengths)
 
     def by_pieces(texts: list[str]) -> list[int]:
-        cuts = [cut(t) for t in texts]
-        cache.load(cuts)
-        return [cache.first[p[0]] + sum(map(cache.spaced.__getitem__, p[1:])) for p in cuts]
+        return [sum(values) for values in cache.fetch(texts)]
     return by_pieces
 
 
