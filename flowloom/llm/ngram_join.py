@@ -25,12 +25,18 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import whole, workspace, written
 from flowloom.llm.components import components
 
-# Cells of the frequency sketch; it is one byte each, whatever the corpus.
+# Cells of the frequency sketch, eight bytes each, whatever the corpus.
 CELL_BITS = 20
 # Tokens of a stretch that is searched for repeated tokens, and how many documents must share one.
-STRETCH, SHARED = 1 << 21, 3
-LEADER_ROUNDS = 2
-WORD_CACHE = 500_000
+STRETCH, SHARED = 1 << 20, 3
+LEADER_ROUNDS = 1
+# Lists up to this size are joined pair by pair; longer ones are cut into blocks of members and
+# tokens, and a task compares two blocks and returns no more links than it has members.
+SHORT_LIST = 64
+BLOCK_MEMBERS, BLOCK_TOKENS = 256, 1 << 19
+# Columns of the membership matrix that are multiplied at a time.
+COLUMNS = 1 << 12
+WORD_CACHE = 250_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +61,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    """Texts of a batch one by one, so that a worker never holds them all as Python strings."""
+    column = batch.column("text")
+    for i in range(batch.num_rows):
+        yield column[i].as_py()
+
+
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word windows; of all words where there are fewer.
 
@@ -84,11 +97,17 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n + num * n // -den + 1 if n else 0
 
 
-def prefix(tokens: np.ndarray, weights: np.ndarray, seed: np.uint64 | None, num: int, den: int) -> np.ndarray:
-    """First tokens by (weight of the cell, hash under the seed)."""
-    keys = tokens if seed is None else _mix(tokens ^ seed)
-    order = np.lexsort((keys, weights[tokens >> np.uint64(64 - CELL_BITS)]))
-    return tokens[order[:prefix_length(len(tokens), num, den)]]
+def prefix(tokens: np.ndarray, weights: np.ndarray, seed: np.uint64 | None, num: int, den: int,
+           times: int = 1) -> np.ndarray:
+    """The smallest keys of a set under one order, ``times`` as many as must share one; a key is the weight of the token's cell, then its hash.
+
+    Keys stand for tokens from here on: two tokens with the same key, which would have to agree
+    in 56 bits, are one token to the filter and are told apart by the comparison of the sets.
+    """
+    size = times * prefix_length(len(tokens), num, den)
+    hashes = tokens if seed is None else _mix(tokens ^ seed)
+    keys = weights[tokens >> np.uint64(64 - CELL_BITS)] << np.uint64(56) | hashes >> np.uint64(8)
+    return np.partition(keys, size - 1)[:size] if 0 < size < len(keys) else keys
 
 
 def _weights(rows: DataFrame, n: int) -> np.ndarray:
@@ -101,7 +120,7 @@ def _weights(rows: DataFrame, n: int) -> np.ndarray:
             many = times >= SHARED
             np.add.at(total, (tokens[many] >> np.uint64(64 - CELL_BITS)).astype(np.int64), times[many])
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 held.append(shingles(text, n))
                 size += len(held[-1])
                 if size >= STRETCH:
@@ -116,8 +135,8 @@ def _weights(rows: DataFrame, n: int) -> np.ndarray:
                                              names=["cell", "n"])
     # at most one row per cell
     sums = rows.select("text").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = np.zeros(1 << CELL_BITS, np.uint8)
-    weights[sums.column("cell").to_numpy()] = 1 + np.log2(sums.column("n").to_numpy())
+    weights = np.zeros(1 << CELL_BITS, np.uint64)
+    weights[sums.column("cell").to_numpy()] = (1 + np.log2(sums.column("n").to_numpy())).astype(np.uint64)
     return weights
 
 
@@ -130,32 +149,53 @@ def _prefixes(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, firsts = [], [], []
-            for text in batch.column("text").to_pylist():
+            sizes, names, firsts, seconds, thirds = [], [], [], [], []
+            for text in _texts(batch):
                 tokens = shingles(text, n)
                 sizes.append(len(tokens))
                 names.append(set_name(tokens))
                 firsts.append(_signed(prefix(tokens, weights, None, num, den)))
+                for seed, out, times in zip(ORDERS, (seconds, thirds), (2, 1)):
+                    keys = prefix(tokens, weights, seed, num, den, times)
+                    out.append((keys & np.uint64(0x7FFFFFFF)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.array(firsts, pa.list_(pa.int64()))], names=["id", "n", "cls", "first"])
-    return rows.mapInArrow(run, f"id {kind}, n bigint, cls bigint, first array<bigint>")
+                 pa.array(firsts, pa.list_(pa.int64())), pa.array(seconds, pa.list_(pa.int32())),
+                 pa.array(thirds, pa.list_(pa.int32()))], names=["id", "n", "cls", "first", "second", "third"])
+    return rows.mapInArrow(run, f"id {kind}, n bigint, cls bigint, first array<bigint>, second array<int>, third array<int>")
 
 
-def _sets(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray) -> DataFrame:
+def _sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            seconds, thirds = ([(prefix(t, weights, seed, num, den) & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                                for t in found] for seed in ORDERS)
+            found = [shingles(t, n) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), pa.array([len(t) for t in found], pa.int64()),
-                 pa.array([set_name(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary()),
-                 pa.array(seconds, pa.list_(pa.int32())), pa.array(thirds, pa.list_(pa.int32()))],
-                names=["cls", "n", "name", "tokens", "second", "third"])
-    out = rows.mapInArrow(run, "cls bigint, n bigint, name bigint, tokens binary, second array<int>, third array<int>")
+                [batch.column("cls"), pa.array([set_name(t) for t in found], pa.int64()),
+                 pa.array([t.tobytes() for t in found], pa.binary())], names=["cls", "name", "tokens"])
     # a row that repeats an id with another text is not the one that was asked for
-    return out.where(F.col("name") == F.col("cls")).drop("name")
+    return rows.mapInArrow(run, "cls bigint, name bigint, tokens binary").where(F.col("name") == F.col("cls")).drop("name")
+
+
+# Rows of a narrow table that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def _checked(narrow: DataFrame) -> DataFrame:
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
+
+
+def _filtered(num: int, den: int):
+    """What the other orders ask of a pair that reaches the similarity.
+
+    Tokens that both sets share and that a prefix lacks are the last of the shared ones under its
+    order, for either set. So two prefixes share all but as many as the longer remainder holds.
+    Keys are cut to 31 bits; what fell together inside one prefix is allowed for.
+    """
+    shared = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    beyond = F.greatest(F.col("na") - F.size("seconda"), F.col("nb") - F.size("secondb"))
+    fallen = F.size("seconda") - F.size(F.array_distinct("seconda"))
+    return (F.arrays_overlap("thirda", "thirdb")
+            & (F.size(F.array_intersect("seconda", "secondb")) >= shared - beyond - fallen))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +207,54 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b", "na", "nb", "shared"])
 
 
+def _forest(pairs: np.ndarray, count: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs connect: one fewer than members, per component."""
+    root = list(range(count))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+    kept = []
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            kept.append((a, b))
+    return kept
+
+
+def _compare_blocks(num: int, den: int):
+    """Grouped function: links between the members of two blocks of a list, as a spanning forest."""
+    def run(group: pa.Table) -> pa.Table:
+        cls, root, block = (group.column(c).to_numpy() for c in ("cls", "root", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        # only tokens of several members add to an overlap
+        met = times[column] > 1
+        row, column = row[met], np.cumsum(times > 1)[column[met]] - 1
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for first in range(0, int((times > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            shared += part @ part.T
+        shared = shared.astype(np.int64)
+        linked = shared * den >= (n[:, None] + n[None, :] - shared) * num
+        linked &= root[:, None] != root[None, :]
+        if block.min() != block.max():
+            # pairs inside one block are compared where it meets itself
+            linked &= block[:, None] != block[None, :]
+        found = _forest(np.argwhere(np.triu(linked, 1)), len(sets))
+        return pa.table({"a": pa.array([min(int(cls[x]), int(cls[y])) for x, y in found], pa.int64()),
+                         "b": pa.array([max(int(cls[x]), int(cls[y])) for x, y in found], pa.int64())})
+    return run
+
+
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leader_rounds: int = LEADER_ROUNDS,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``class_id``, ``links``.
@@ -185,35 +273,62 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leade
     firsts = written(_prefixes(rows, n, num, den, weights), folder, "prefixes")
     classes = written(firsts.where(F.col("n") > 0).groupBy("cls").agg(F.min("id").alias("rep")), folder, "classes")
     postings = firsts.select("cls", "n", F.explode("first").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where(
-        F.col("low") != F.col("high"))
-    lists = written(postings.join(shared.select("token"), "token", "left_semi").distinct(), folder, "lists")
+    met = postings.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("token")
+    lists = written(postings.join(met, "token", "left_semi").distinct(), folder, "lists")
+
+    seen: list[DataFrame] = []
+
+    def members(classes_of: DataFrame, label: str) -> DataFrame:
+        """Classes and their representatives, for a join with the documents."""
+        ids = classes_of.distinct().join(classes, "cls")
+        return _checked(written(ids.select(F.col("cls").alias("of"), "rep"), folder, label))
+
+    def sets_of(classes_of: DataFrame, name: str) -> DataFrame:
+        asked = rows.join(members(classes_of, f"fetched-{name}"), F.col("id").eqNullSafe(F.col("rep"))).select(
+            F.col("of").alias("cls"), "text")
+        return written(_sets(asked, n), folder, f"sets-{name}")
+
+    def within_long_lists(open_lists: DataFrame) -> DataFrame:
+        """Links inside lists longer than ``SHORT_LIST`` between members that are still apart."""
+        sets = sets_of(open_lists.select("cls"), "long")
+        spread = (open_lists.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+                  .select("token", "cls", "root", "block",
+                          F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
+                  .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other"))
+        links = spread.join(sets, "cls").select("token", "i", "j", "cls", "root", "block", "tokens").groupBy(
+            "token", "i", "j").applyInArrow(_compare_blocks(num, den), "a bigint, b bigint")
+        return written(links.distinct(), folder, "links-long")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """Linked pairs among ``pairs`` (``a``, ``b``), by the other orders' filters and then by their sets."""
-        pairs = written(pairs.distinct(), folder, f"pairs-{name}")
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
-        asked = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
-        sets = written(_sets(asked, n, num, den, weights), folder, f"sets-{name}")
-        a, b = (sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("second").alias(f"second{s}"),
-                            F.col("third").alias(f"third{s}")) for s in "ab")
-        near = pairs.join(a, "a").join(b, "b").where(
-            (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-            & F.arrays_overlap("seconda", "secondb") & F.arrays_overlap("thirda", "thirdb")).select("a", "b", "na", "nb")
+        """Linked pairs among ``pairs`` (``a``, ``b``, ``na``, ``nb``), by the other orders' filters, then by their sets."""
+        pairs = pairs.distinct()
+        for done in seen:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = written(pairs, folder, f"pairs-{name}")
+        seen.append(pairs.select("a", "b"))
+
+        picked = members(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), f"asked-{name}")
+        filters = written(firsts.join(picked, (F.col("cls") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).select(
+            "cls", "second", "third"), folder, f"filters-{name}")
+        a, b = (filters.select(F.col("cls").alias(s), F.col("second").alias(f"second{s}"), F.col("third").alias(f"third{s}"))
+                for s in "ab")
+        near = written(pairs.join(a, "a").join(b, "b").where(_filtered(num, den))
+            .select("a", "b", "na", "nb").distinct(), folder, f"near-{name}")
+        sets = sets_of(near.select(F.col("a").alias("cls")).union(near.select("b")), name)
         x, y = (sets.select(F.col("cls").alias(s), F.col("tokens").alias(t)) for s, t in (("a", "x"), ("b", "y")))
         sized = near.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(
             _compare, "a bigint, b bigint, na bigint, nb bigint, shared bigint")
         linked = sized.where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num)
         return written(linked.select("a", "b").distinct(), folder, f"links-{name}")
 
-    def labelled(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the lists that still hold several."""
+    def labelled(links: DataFrame, name: str) -> DataFrame:
+        """The lists that still hold several components."""
         roots = written(components(links, folder, f"stars-{name}"), folder, f"roots-{name}")
         marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select(
             "token", "cls", "n", F.coalesce("root", "cls").alias("root"))
         apart = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
             F.col("low") != F.col("high")).select("token")
-        return roots, written(marked.join(apart, "token", "left_semi"), folder, f"open-{name}")
+        return written(marked.join(apart, "token", "left_semi"), folder, f"open-{name}")
 
     similar = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     links, still = None, written(lists.withColumn("root", F.col("cls")), folder, "open")
@@ -223,14 +338,25 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leade
             lead = still.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "cls", "n", "root")).alias("l")).select(
                 "token", F.col("l.cls").alias("a"), F.col("l.n").alias("na"), F.col("l.root").alias("ra"))
         else:
+            counts = still.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
+            long = counts.where(F.col("m") > SHORT_LIST).select("token", F.greatest(
+                F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks"))
+            inside = within_long_lists(written(still.join(long, "token"), folder, "long"))
+            links = inside if links is None else links.union(inside)
+            still = still.join(long, "token", "left_anti")
             lead = still.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         member = still.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         order = F.col("a") != F.col("b") if turn < leader_rounds else F.col("a") < F.col("b")
         pairs = lead.join(member, "token").where(order & (F.col("ra") != F.col("rb")) & similar).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+            F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+            F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
         new = compared(pairs, str(turn))
         links = new if links is None else links.union(new)
-        roots, still = labelled(links, str(turn))
+        if turn < leader_rounds:
+            still = labelled(links, str(turn))
+    links = links.distinct()
+    roots = written(components(links, folder, "stars"), folder, "roots")
 
     degrees = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     full = (classes.join(roots, F.col("cls") == F.col("node"), "left")
