@@ -17,10 +17,12 @@ from flowloom.llm.common import SPACE, whole
 
 # Buckets of the hashed features; the only statistics that the driver sees.
 BUCKETS = 1 << 14
-SMOOTHING = 1.0
+# Pseudo-count of every bucket, on the scale of the trusted counts: a bucket must have been met
+# often for its weight to leave 0, so rare words of clean documents say little.
+SMOOTHING = 5.0
 # Trusted documents: so many labelled good at most, those of the smallest seeded hash.
 TRUSTED_DOCS = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
@@ -78,14 +80,14 @@ def feature_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col:
                             .alias("bucket"))
                .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")))
     # at most 2 * BUCKETS rows
-    raw, good = [SMOOTHING] * (2 * BUCKETS), [SMOOTHING] * (2 * BUCKETS)
+    raw, good = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
     for row in counted.collect():
-        raw[row["bucket"]] += row["raw"]
-        good[row["bucket"]] += row["good"]
+        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["good"]
     out = []
     for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        scale = math.log(sum(raw[part])) - math.log(sum(good[part]))
-        out.append([math.log(g) - math.log(r) + scale for g, r in zip(good[part], raw[part])])
+        # both multinomials have as many counts as the trusted one, and the same pseudo-counts
+        share = sum(good[part]) / max(1, sum(raw[part]))
+        out.append([math.log(g + SMOOTHING) - math.log(r * share + SMOOTHING) for g, r in zip(good[part], raw[part])])
     return out[0], out[1]
 
 

@@ -170,8 +170,8 @@ def test_ratio_is_the_mean_of_bucket_weights(spark):
 
     def weight(part, f):
         raw, good = counts[0][part], counts[1][part]
-        b = 1 << 14
-        return (math.log(good[f] + 1) - math.log(raw[f] + 1) + math.log(sum(raw.values()) + b) - math.log(sum(good.values()) + b))
+        share = sum(good.values()) / sum(raw.values())
+        return math.log(good[f] + 5) - math.log(raw[f] * share + 5)
     for i, t in rows:
         w = t.split()
         want = sum(weight(0, x) for x in w) + sum(weight(1, x) for x in zip(w, [*w[1:], ""]))
