@@ -19,7 +19,7 @@ import numpy as np
 # Python's white space holds all that Unicode calls so, and four control characters more:
 # it may cut less often than possible, never at a wrong place.
 _RUN = re.compile(r"\s[ \n]")
-_CUT = re.compile(r"(?<!\s)(?: |(?=\n))")
+_CUT = re.compile(r"(?<!\s)(?: (?!\n)|(?=\n))")
 _SPACE = re.compile(r"\s")
 # Marks behind a letter or digit begin a match of their own; the apostrophe may not.
 _MARKS = ".,!?;:*&%$#|\"()[]"
@@ -27,7 +27,7 @@ _MARKS = ".,!?;:*&%$#|\"()[]"
 
 def cut(text: str) -> list[str]:
     """Pieces of ``text``. A piece that begins with a line break stands for itself; any other but the first
-    for a space and itself."""
+    for a space and itself. So a space before a line break is no cut: the piece behind it could not tell."""
     if _RUN.search(text):
         return _CUT.split(text)
     return text.replace("\n", " \n").split(" ")

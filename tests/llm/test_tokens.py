@@ -92,6 +92,14 @@ def test_every_text_encodes_like_the_library(texts):
         assert first + "".join(map(as_written, rest)) == t
 
 
+@pytest.mark.parametrize("text", ["a \nb", " \nb", "a \n", "a \n\nb \n", "a b \n c", "x \n y\n z "])
+def test_spaces_before_line_breaks_are_kept(text):
+    first, *rest = cut(text)
+    assert first + "".join(map(as_written, rest)) == text
+    assert list(model(PATH).encode([text])) == [little(ids(text))]
+    assert counter(PATH)([text]) == [len(ids(text))]
+
+
 def test_decoding_broken_characters():
     some = ids("中文字é")[:1] + ids("é")[:1]
     assert model(PATH).decode(little(some)) == LIBRARY.decode(some, skip_special_tokens=False)
