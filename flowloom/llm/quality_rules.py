@@ -18,10 +18,11 @@ from flowloom.llm.common import SPACE, whole
 # Buckets of the hashed features; the only statistics that the driver sees.
 BUCKETS = 1 << 14
 # Pseudo-count of every bucket, on the scale of the trusted counts: a bucket must have been met
-# often for its weight to leave 0, so rare words of clean documents say little.
-SMOOTHING = 5.0
-# Trusted documents: so many labelled good at most, those of the smallest seeded hash.
-TRUSTED_DOCS = 20_000
+# often for its weight to leave 0, so rare words of clean documents say little. From SMOOTHED
+# trusted words on it is their share, so that weights do not depend on the size of the tables.
+SMOOTHING, SMOOTHED = 5.0, 1_400_000
+# Trusted ids, each a row of a few bytes, that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 18
 THRESHOLD = -0.15
 MIN_WORDS, MAX_REPEATED = 50, 50
 
@@ -70,10 +71,17 @@ def _table(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
+def pseudo_count(trusted_words: int) -> float:
+    return SMOOTHING * max(1.0, trusted_words / SMOOTHED)
+
+
 def feature_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> tuple[list[float], list[float]]:
-    """Weights of word buckets and of pair buckets, from all documents and from those of ``trusted`` ids."""
-    marked = (docs.select(F.col(id_col).alias("id"), words_of(whole(text_col)).alias("ws"))
-              .join(F.broadcast(trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("good"))), "id", "left"))
+    """Weights of word buckets and of pair buckets, from all documents and from all those of ``trusted`` ids."""
+    ids = trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("good"))
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    marked = (docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(ids, "id", "left")
+              .select("good", words_of(F.col("text")).alias("ws")))
     pairs = marked.select("good", F.inline(F.arrays_zip(
         F.col("ws").alias("w"), F.slice("ws", F.lit(2), F.greatest(F.size("ws"), F.lit(1))).alias("after"))))
     counted = (pairs.select("good", F.explode(F.array(_unigram(F.col("w")), _pair(F.col("w"), F.col("after")) + BUCKETS))
@@ -86,12 +94,12 @@ def feature_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col:
     out = []
     for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
         # both multinomials have as many counts as the trusted one, and the same pseudo-counts
-        share = sum(good[part]) / max(1, sum(raw[part]))
-        out.append([math.log(g + SMOOTHING) - math.log(r * share + SMOOTHING) for g, r in zip(good[part], raw[part])])
+        share, pseudo = sum(good[part]) / max(1, sum(raw[part])), pseudo_count(sum(good[part]))
+        out.append([math.log(g + pseudo) - math.log(r * share + pseudo) for g, r in zip(good[part], raw[part])])
     return out[0], out[1]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_docs: int = TRUSTED_DOCS,
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     ``base_failed``, ``llr`` and ``kept``.
@@ -101,8 +109,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     threshold. Null text has no words and fails. Without trusted documents all weights are 0 and
     the threshold keeps all. Ids may be null or repeat; an empty table gives no rows.
     """
-    trusted = (labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-               .orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(trusted_docs))
+    trusted = labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull()).select(id_col).distinct()
     one, two = feature_weights(docs, trusted, id_col, text_col)
     if not trusted.take(1):
         one, two = [0.0] * BUCKETS, [0.0] * BUCKETS

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowloom.llm import pitman_yor
+from flowloom.llm import pitman_yor, quality_rules as rules
 from flowloom.llm.chat_format import chat_round_trip, format_chats, format_turn, parse, read_chats
 from flowloom.llm.cotraining import fit, quality_scores, with_quality
 from flowloom.llm.mixing import fit_counts, mix_sources, mixed
@@ -178,6 +178,24 @@ def test_ratio_is_the_mean_of_bucket_weights(spark):
         assert got[i] == pytest.approx(want / (2 * len(w)), abs=1e-9)
 
 
+@pytest.mark.parametrize("broadcast", [1 << 18, 0])
+def test_every_trusted_document_counts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", broadcast)
+    # more labelled documents than any fixed number of them that was counted before
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    one, two = rules.feature_weights(docs, labels, "doc_id", "text")
+    assert set(one) == {0.0} and set(two) == {0.0}
+    assert all(r.llr == 0 for r in rules.quality_rules(docs, labels).select("llr").distinct().collect())
+
+
+def test_weights_do_not_depend_on_the_size_of_the_tables():
+    """Ten times the words, ten times the pseudo-count: every ratio stays."""
+    for n in (rules.SMOOTHED, 3 * rules.SMOOTHED):
+        assert rules.pseudo_count(10 * n) == pytest.approx(10 * rules.pseudo_count(n))
+    assert rules.pseudo_count(900) == rules.SMOOTHING
+
+
 def test_co_training_learns_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     learnt, apart = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
