@@ -40,17 +40,19 @@ def seconds_text(micros: str):
                     F.lpad((F.col(micros) % 1_000_000).cast("string"), 6, "0"))
 
 
-def flow_texts(a: DataFrame) -> DataFrame:
-    """Flows as the exporter writes them: text fields in declared order, some times blank."""
-    time = F.when(F.col("seq") % 17 == 0, F.lit("")).otherwise(seconds_text("stime_us"))
+def flow_texts(a: DataFrame, blank_times: bool = False) -> DataFrame:
+    """Flows as the exporter writes them: text fields in declared order, some times blank if asked for."""
+    time = seconds_text("stime_us")
+    if blank_times:
+        time = F.when(F.col("seq") % 17 == 0, F.lit("")).otherwise(time)
     return a.withColumn("stime", time).withColumn("ltime", (F.col("ltime") * 86400).cast("string")).select(
         *[F.col(c).cast("string").alias(c) for c in FLOW_FIELDS])
 
 
-def write_flow_files(a: DataFrame, path: str) -> None:
+def write_flow_files(a: DataFrame, path: str, blank_times: bool = False) -> None:
     """Header-less CSV files, with a header row inside each as the exporter leaves it after a restart."""
     header = a.sparkSession.createDataFrame([tuple(FLOW_FIELDS)], sources.FLOW_TEXT_SCHEMA)
-    flow_texts(a).unionByName(header).write.option("emptyValue", "").csv(path)
+    flow_texts(a, blank_times).unionByName(header).write.option("emptyValue", "").csv(path)
 
 
 def log_lines(z: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def log_lines(z: DataFrame) -> DataFrame:
 @query
 def flow_csv_scan(spark, sf):
     path = folder(spark)
-    write_flow_files(flows(spark, sf), path)
+    write_flow_files(flows(spark, sf), path, blank_times=True)
     return sources.normalize_flows(sources.read_flow_csv(spark, path)).select(
         "stcpb", "proto", "saddr", "sport", "daddr", "dport", "ltime", "stime_us")
 
@@ -182,7 +184,7 @@ def merge_from_files(spark, sf):
                    SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     root = folder(spark)
     a, z = flows(spark, sf), logs(spark, sf)
-    write_flow_files(a.where("seq % 17 <> 0"), f"{root}/a")
+    write_flow_files(a, f"{root}/a")
     _log_folders(z, f"{root}/z")
     read_a = sources.captured(sources.normalize_flows(sources.read_flow_csv(spark, f"{root}/a")))
     read_z = sources.normalize_logs(sources.union_logs(

@@ -101,6 +101,18 @@ def test_merge_from_files_equals_replay(spark):
     assert got.count() > 500 and got.where("kind = 'http'").count() > 50
 
 
+def test_merge_from_files_holds_the_rows_of_replay(spark):
+    """All flows go through the files; numbered by time as there, the replay merges the same ones."""
+    from flowloom.plans.merge import merge_flows
+    from flowloom.sources import flows as source
+    sf = "/root/testdata/sf0.001"
+    a, z = source.joint_arrival(source.captured(fixtures.flows(spark, sf)).drop("seq"), fixtures.logs(spark, sf).drop("seq"),
+                                ["stime_us", "stcpb"], ["ts_us", "response_body_len"])
+    want = merge_flows(a, z, mode="replay").select("stcpb", "service")
+    got = QUERIES["merge_from_files"](spark, sf).select("stcpb", "service")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_counters_continue_across_batches(spark, tmp_path, rows):
     a = fixtures.derive(spark.read.parquet(EVENTS), fixtures.FLOWS).select(
         F.col("seq").alias("merge_seq"), F.col("state").alias("service"), "saddr", "sport", "daddr", "dport", "ltime")
