@@ -224,26 +224,31 @@ def _forest(pairs: np.ndarray, count: int) -> list[tuple[int, int]]:
     return kept
 
 
+def _overlaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Number of shared tokens of each pair of sets; ``n`` holds their sizes."""
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    # only tokens of several members add to an overlap
+    met = times[column] > 1
+    row, column = row[met], np.cumsum(times > 1)[column[met]] - 1
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        shared += part @ part.T
+    return shared.astype(np.int64)
+
+
 def _compare_blocks(num: int, den: int):
     """Grouped function: links between the members of two blocks of a list, as a spanning forest."""
     def run(group: pa.Table) -> pa.Table:
         cls, root, block = (group.column(c).to_numpy() for c in ("cls", "root", "block"))
         sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
         n = np.array([len(x) for x in sets], np.int64)
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        # only tokens of several members add to an overlap
-        met = times[column] > 1
-        row, column = row[met], np.cumsum(times > 1)[column[met]] - 1
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for first in range(0, int((times > 1).sum()), COLUMNS):
-            a, b = np.searchsorted(column, (first, first + COLUMNS))
-            part = np.zeros((len(sets), COLUMNS), np.float32)
-            part[row[a:b], column[a:b] - first] = 1
-            shared += part @ part.T
-        shared = shared.astype(np.int64)
+        shared = _overlaps(sets, n)
         linked = shared * den >= (n[:, None] + n[None, :] - shared) * num
         linked &= root[:, None] != root[None, :]
         if block.min() != block.max():
@@ -255,18 +260,47 @@ def _compare_blocks(num: int, den: int):
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leader_rounds: int = LEADER_ROUNDS,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``, ``class_id``, ``links``.
+def _degrees(num: int, den: int):
+    """Grouped function: documents that the members of two blocks of a component are linked with, for each member."""
+    def run(group: pa.Table) -> pa.Table:
+        cls, times, block = (group.column(c).to_numpy() for c in ("cls", "times", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        shared = _overlaps(sets, n)
+        linked = shared * den >= (n[:, None] + n[None, :] - shared) * num
+        np.fill_diagonal(linked, False)
+        if block.min() != block.max():
+            # pairs inside one block are counted where it meets itself
+            linked &= block[:, None] != block[None, :]
+        return pa.table({"of": pa.array(cls, pa.int64()), "links": pa.array(linked @ times.astype(np.int64), pa.int64())})
+    return run
 
-    Two documents link when ``den`` * intersection >= ``num`` * union of their sets of distinct
-    ``n``-word shingles. ``component_id`` is the smallest id reachable by links, itself
-    included; ``class_id`` the smallest id with the same set; ``links`` counts the compared
-    pairs of its class that linked. A text with fewer than ``n`` words has its whole sequence as
-    one shingle; null or empty text has none and is linked with nothing. Null ids take part
-    and never are the smallest; rows that repeat an id are rows of their own. An empty table
-    gives no rows.
+
+def _link_counts(found: DataFrame, sets_of, folder: str, num: int, den: int) -> DataFrame:
+    """``of`` and ``links``: how many documents of other classes link with those of each class.
+
+    Linked classes are in one component, so the members of each component are compared with
+    each other, block against block, and every pair in one group only.
     """
+    members = written(found.where(F.col("n") > 0).groupBy("root", "cls").agg(
+        F.count(F.lit(1)).alias("times"), F.first("n").alias("n")), folder, "members")
+    several = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).where(
+        F.col("m") > 1).select("root", F.greatest(
+            F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks"))
+    open_ = written(members.join(several, "root"), folder, "counted")
+    spread = (open_.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+              .select("root", "cls", "times", "block",
+                      F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
+              .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other"))
+    part = spread.join(sets_of(open_.select("cls"), "counted"), "cls").select(
+        "root", "i", "j", "cls", "times", "block", "tokens").groupBy("root", "i", "j").applyInArrow(
+            _degrees(num, den), "of bigint, links bigint")
+    return written(part.groupBy("of").agg(F.sum("links").alias("links")), folder, "degrees")
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, leader_rounds: int, id_col: str, text_col: str,
+            with_links: bool) -> DataFrame:
+    """One row per input row: ``id``, ``n``, ``cls``, ``component_id``, ``class_id`` and, if asked for, ``links``."""
     folder = workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     weights = _weights(rows, n)
@@ -358,18 +392,38 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leade
     links = links.distinct()
     roots = written(components(links, folder, "stars"), folder, "roots")
 
-    degrees = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     full = (classes.join(roots, F.col("cls") == F.col("node"), "left")
             .select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     smallest = full.groupBy("root").agg(F.min("rep").alias("least"))
-    table = (full.join(smallest, "root").join(degrees.withColumnRenamed("a", "of"), F.col("cls") == F.col("of"), "left")
-             .select("cls", "rep", "least", F.coalesce("links", F.lit(0)).alias("links")))
-    found = firsts.select("id", "n", "cls").join(written(table, folder, "components"), "cls", "left")
-    return found.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).alias("links"))
+    table = written(full.join(smallest, "root").select("cls", "rep", "root", "least"), folder, "components")
+    found = firsts.select("id", "n", "cls").join(table, "cls", "left")
+    out = ["id", "n", "cls", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
+           F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id")]
+    if not with_links:
+        return found.select(*out)
+    sizes = firsts.where(F.col("n") > 0).groupBy("cls").agg(F.count(F.lit(1)).alias("times"))
+    degrees = _link_counts(found, sets_of, folder, num, den)
+    counted = sizes.join(degrees, F.col("cls") == F.col("of"), "left").select(
+        F.col("cls").alias("of"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return found.join(counted, F.col("cls") == F.col("of"), "left").select(*out, F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leader_rounds: int = LEADER_ROUNDS,
+               id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
+    """One row per input row: id, ``n_shingles``, ``component_id``, ``class_id``, ``links``.
+
+    Two documents link when ``den`` * intersection >= ``num`` * union of their sets of distinct
+    ``n``-word shingles. ``component_id`` is the smallest id reachable by links, itself
+    included; ``class_id`` the smallest id with the same set; ``links`` the number of other rows
+    that the row links with, equal sets included. It compares all pairs inside a component;
+    without ``with_links`` the column and its work are left out. A text with fewer than ``n`` words has its whole sequence as
+    one shingle; null or empty text has none and is linked with nothing. Null ids take part
+    and never are the smallest; rows that repeat an id are rows of their own. An empty table
+    gives no rows.
+    """
+    found = _joined(docs, n, num, den, leader_rounds, id_col, text_col, with_links)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_id",
+                        *["links"] * with_links)
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -378,6 +432,6 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows with a null id stay, since no id of theirs says which of them to drop; so do rows
     that repeat the id that stays.
     """
-    found = ngram_join(docs, id_col=id_col, text_col=text_col, **options)
+    found = ngram_join(docs, id_col=id_col, text_col=text_col, with_links=False, **options)
     dropped = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     return docs.join(dropped, id_col, "left_anti").select(docs.columns)

@@ -49,7 +49,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join(table(spark, sf_dir, "documents"), with_links=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with the number of documents that each one links with."""
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "component_id", "links")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_source_mix, op3_exact_dedup, op4_chat_format,
-                                   op5_token_counts, op6_ngram_join, op7_bpe, op8_quality_rules, op9_quality_classifier, op10_pitman_yor)}
+                                   op5_token_counts, op6_ngram_join, op6_ngram_links, op7_bpe, op8_quality_rules, op9_quality_classifier, op10_pitman_yor)}
 
 _DOC3 = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as x from documents)

@@ -117,6 +117,24 @@ def test_join_of_edited_groups(spark, monkeypatch, n, num, rounds, short):
     assert join_rows(got) == brute_components(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_links_count_every_linked_row(spark, monkeypatch, block):
+    monkeypatch.setattr(module, "BLOCK_MEMBERS", block)
+    rng = random.Random(block)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words)), (1, "another text of no one"), (2, "another text of no one"), (3, None)]
+    for i in range(4, 34):
+        own = list(words)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    sets = [shingle_set(t, 4) for _, t in rows]
+    want = {i: sum(bool(sets[a]) and a != b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+                   for b in range(len(rows))) for a, (i, _) in enumerate(rows)}
+    got = {r.doc_id: r.links for r in ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and want[1] == 1 and max(want.values()) > 3
+
+
 def test_one_per_component_keeps_columns(docs):
     got = one_per_component(docs)
     assert got.columns == docs.columns
