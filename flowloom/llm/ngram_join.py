@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm.common import whole, workspace, written
 from flowloom.llm.components import components
@@ -426,12 +427,30 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leade
                         *["links"] * with_links)
 
 
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_per_component(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, leader_rounds: int = LEADER_ROUNDS,
+                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of linked ones, that of the smallest id; columns as they were.
 
-    Rows with a null id stay, since no id of theirs says which of them to drop; so do rows
-    that repeat the id that stays.
+    A row goes when its own component has a smaller id; another row of its id with another text
+    may stay. Rows with a null id stay, since no id of theirs says which of them to drop; so do
+    rows that repeat the id that stays.
     """
-    found = ngram_join(docs, id_col=id_col, text_col=text_col, with_links=False, **options)
-    dropped = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    found = _joined(docs, n, num, den, leader_rounds, id_col, text_col, False)
+    away = F.coalesce(F.col("component_id") < F.col("id"), F.lit(False))
+    dropped = found.where(away).select(F.col("id").alias(id_col), F.col("cls").alias("__cls")).distinct()
+    ids = dropped.select(id_col).distinct()
+    kept = docs.join(ids, id_col, "left_anti").select(docs.columns)
+    # ids of which one row goes and another stays
+    mixed = written(ids.join(found.where(~away).select(F.col("id").alias(id_col)), id_col, "left_semi"),
+                    workspace(docs.sparkSession), "mixed")
+    if mixed.isEmpty():
+        return kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (x.as_py() or "" for x in batch.column(text_col))
+            names = pa.array([set_name(shingles(t, n)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "__cls"])
+    rows = docs.join(mixed, id_col, "left_semi").select(docs.columns)
+    schema = T.StructType([*rows.schema.fields, T.StructField("__cls", T.LongType())])
+    return kept.union(rows.mapInArrow(run, schema).join(dropped, [id_col, "__cls"], "left_anti").select(docs.columns))

@@ -142,6 +142,12 @@ def test_one_per_component_keeps_columns(docs):
     assert 1 in kept and 5 not in kept and 11 not in kept and 6 in kept and 7 not in kept and 2 in kept and None in kept
 
 
+def test_one_per_component_drops_rows_not_ids(spark):
+    rows = [(3, "one text that two rows hold"), (7, "one text that two rows hold"), (7, "something else of no other row")]
+    got = one_per_component(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
 def test_components_of_chains(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 100), (400, 400)]
     edges = spark.createDataFrame(pairs, "a bigint, b bigint")
