@@ -41,3 +41,15 @@ def whole(text: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which holds each of their groups once with its ``count`` of rows.
+
+    A group above an even share of one task would be one key of the join. There are fewer of
+    them than tasks, so their facts are broadcast; all others meet by key.
+    """
+    share = max(1, -(-n_rows // partitions(rows.sparkSession)))
+    hot = F.broadcast(facts.where(F.col(count) > share))
+    return rows.join(hot, keys).unionByName(
+        rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col(count) <= share), keys))

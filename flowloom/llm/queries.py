@@ -10,11 +10,14 @@ from flowloom.llm.bit_planes import bit_plane_ids
 from flowloom.llm.bpe import bpe_round_trip
 from flowloom.llm.chat_format import chat_round_trip
 from flowloom.llm.cotraining import quality_scores
+from flowloom.llm.embedding_neardup import near_vectors
 from flowloom.llm.exact_dedup import exact_dedup
+from flowloom.llm.filter_audit import filter_audit
 from flowloom.llm.mixing import mix_sources
 from flowloom.llm.ngram_join import ngram_join
 from flowloom.llm.pitman_yor import lm_scores
 from flowloom.llm.quality_rules import quality_rules
+from flowloom.llm.spelling import spelling_variants
 from flowloom.llm.token_counts import token_counts
 
 # Turns that collide with the template's own control strings.
@@ -73,8 +76,21 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_pstable_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_source_mix, op3_exact_dedup, op4_chat_format,
-                                   op5_token_counts, op6_ngram_join, op6_ngram_links, op7_bpe, op8_quality_rules, op9_quality_classifier, op10_pitman_yor)}
+                                   op5_token_counts, op6_ngram_join, op6_ngram_links, op7_bpe, op8_quality_rules, op9_quality_classifier, op10_pitman_yor,
+                                   op11_pstable_neardup, op12_spelling_variants, op13_filter_audit)}
 
 _DOC3 = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as x from documents)
@@ -115,4 +131,94 @@ with recursive w as (
 select n.doc_id, n_shingles, min(met) as component_id from n join r using (doc_id) group by 1, 2
 """
 
-SQL = {"op6_ngram_join": _DOC6, "op3_exact_dedup": _DOC3, "op4_chat_format": _DOC4}
+_DOC11 = """
+with recursive v as (
+ select vec_id, label, embedding::double[] as e from embeddings
+), f as (
+ select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0
+), l as (
+ select a.vec_id as a, b.vec_id as b from f a join f b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+ where list_cosine_similarity(a.e, b.e) >= 0.98
+), r as (
+ select vec_id, vec_id as met from v union select r.vec_id, l.b from r join l on l.a = r.met
+), d as (select a as vec_id, count(*) as n_links from l group by 1)
+select vec_id, coalesce(any_value(n_links), 0) as n_links, min(met) as component_id, vec_id = min(met) as kept
+from r left join d using (vec_id) group by vec_id
+"""
+
+# crc32 byte by byte from its 256 remainders; near words share what a deleted letter leaves
+_DOC12 = r"""
+with recursive crc as (
+ select list(c order by i) as tab from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+  lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) t(i))
+), runs as (
+ select doc_id, run, count(*) as k from (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+   'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) where length(run) >= 5 group by 1, 2
+), hashed as (
+ select run, k, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(b) // 2 + 1),
+  lambda i: ('0x' || substr(b, 2 * i - 1, 2))::bigint)),
+  lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) as h
+ from (select run, k, hex(encode(concat(doc_id, ':', run))) as b from runs), crc
+), words as (
+ select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+  else run end as word, sum(k)::bigint as n from hashed group by 1 having sum(k) >= 3
+), v as (select word, n from words where length(word) >= 5
+), less as (
+ select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+ from (select word, n, unnest(range(1, length(word) + 1))::int as i from v)
+), longer as (select distinct a.word, a.n, b.word as other, b.n as other_n from less a join v b on a.rest = b.word
+), near as (
+ select a.word, a.n, b.word as other, b.n as other_n from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+ union all select word, n, other, other_n from longer union all select other, other_n, word, n from longer
+), best as (
+ select word, n, count(*) as n_near, max(other_n) as m, arg_min(other, (-other_n, encode(other))) as form from near group by 1, 2
+), forms as (
+ select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 2 * v.n then form end as form,
+  case when m >= 2 * v.n then m end as form_n from v left join best using (word)
+), walk as (
+ select word, word as here, form as next from forms
+ union all select walk.word, f.word, f.form from walk join forms f on f.word = walk.next
+)
+select forms.word, n, n_near, form, form_n, here as root from forms join walk using (word) where next is null
+"""
+
+_DOC13 = r"""
+with t as (
+ select doc_id, coalesce(lang, '') as part, coalesce(text, '') as x,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents
+), l as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by 1
+), f as (
+ select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [
+  len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+  100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x), regexp_matches(x, '[#$%&*|]'),
+  doc_id > min(doc_id) over (partition by x)] as fails
+ from t left join l using (doc_id)
+), fs as (select part, good, toxic, fails, count(*) as n from f group by all
+), letters as (select unnest([1, 2, 3, 4, 5]) as k
+), orders as (
+ select [a.k, b.k, c.k, d.k, e.k] as ks from letters a, letters b, letters c, letters d, letters e
+ where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps as (
+ select ks, array_to_string(list_transform(ks, lambda k: chr(64 + k)), '') as filter_order, unnest(range(1, 6))::int as step from orders
+), parts as (select distinct part from t
+), c as (
+ select part, filter_order, step, ks[step] as k,
+  coalesce(sum(n) filter (where not any_before and not fails[ks[step]]), 0) as kept,
+  coalesce(sum(n) filter (where not any_before and fails[ks[step]]), 0) as removed,
+  coalesce(sum(n) filter (where any_before and fails[ks[step]]), 0) as redundant,
+  coalesce(sum(n) filter (where fails[ks[step]] and len(list_filter(fails, lambda y: y)) = 1), 0) as unique_fails,
+  coalesce(sum(n) filter (where not any_before and fails[ks[step]] and good), 0) as good_lost,
+  coalesce(sum(n) filter (where not any_before and fails[ks[step]] and toxic), 0) as toxic_lost
+ from (select fs.*, steps.*, len(list_filter(ks[:step - 1], lambda k: fails[k])) > 0 as any_before from fs, steps)
+ group by 1, 2, 3, 4
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+ unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+ (sum(removed) over (partition by part, k))::bigint as shapley
+from c
+"""
+
+SQL = {"op6_ngram_join": _DOC6, "op3_exact_dedup": _DOC3, "op4_chat_format": _DOC4,
+       "op11_pstable_neardup": _DOC11, "op12_spelling_variants": _DOC12, "op13_filter_audit": _DOC13}
