@@ -64,47 +64,49 @@ def id_tables(docs: DataFrame, labels: DataFrame, folder: str, id_col: str, text
     return written(everyone, folder, "everyone"), failing
 
 
-def survivors(everyone: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
-    """``everyone`` once for each set of filters that the row passes; ``behind`` has bit k for the k-th filter.
+def survivors(rows: DataFrame, failing: dict[int, DataFrame]) -> DataFrame:
+    """``rows`` once for each set of the filters that the row passes; ``behind`` has the bits of the set.
 
     Each filter doubles the table; its anti-join strikes failing rows from the new half. All joins are on
     ``row``, so the table is exchanged once.
     """
     def one_more(table: DataFrame, k: int) -> DataFrame:
-        ids = list(failing.values())[k].hint("shuffle_hash").withColumnRenamed("row", "struck")
+        ids = failing[k].hint("shuffle_hash").withColumnRenamed("row", "struck")
         both = table.withColumn("more", F.explode(F.array(F.lit(0), F.lit(1 << k))))
         return both.join(ids, (F.col("row") == F.col("struck")) & (F.col("more") > 0), "left_anti").select(
             "row", "part", "good", "toxic", (F.col("behind") + F.col("more")).alias("behind"))
-    return reduce(one_more, range(len(failing)), everyone.withColumn("behind", F.lit(0)))
+    return reduce(one_more, failing, rows.withColumn("behind", F.lit(0)))
 
 
-def set_counts(everyone: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
+def filter_counts(k: int, everyone: DataFrame, failing: dict[int, DataFrame], folder: str) -> DataFrame:
+    """``part``, ``behind``, ``filter`` (k): removed, redundant, good_lost, toxic_lost behind each set of other filters."""
+    others = {j: ids for j, ids in failing.items() if j != k}
+    failed = everyone.join(failing[k].hint("shuffle_hash"), "row", "left_semi")
+    # rows that fail k and pass the set: what k removes behind it
+    removed = written(survivors(failed, others), folder, f"removed-{k}")
+    gone = removed.groupBy("part", "behind").agg(
+        F.count(F.lit(1)).alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost"))
+    sets = [s for s in range(1 << len(failing)) if not s >> k & 1]
+    missed = (failed.select("row", "part", F.explode(F.array(*map(F.lit, sets))).alias("behind"))
+              .join(removed.select("row", "behind"), ["row", "behind"], "left_anti")
+              .groupBy("part", "behind").agg(F.count(F.lit(1)).alias("redundant")))
+    return written(gone.join(missed, ["part", "behind"], "full").withColumn("filter", F.lit(k)), folder, f"counts-{k}")
+
+
+def set_counts(everyone: DataFrame, failing: dict[int, DataFrame], folder: str) -> DataFrame:
     """``part``, ``filter`` (number), ``behind`` (set of earlier filters): kept, removed, redundant and what the removals lose.
 
     Every part has a row for every filter and every set of other filters, zeros included.
     """
     n = len(failing)
-    alive = survivors(everyone, failing)
-    kept = alive.groupBy("part", "behind").agg(F.count(F.lit(1)).alias("kept"))
-
-    def others(k: int) -> list[int]:
-        return [s for s in range(1 << n) if not s >> k & 1]
-    gone = reduce(DataFrame.union, [
-        alive.where(F.col("behind").bitwiseAND(1 << k) == 0).join(ids.hint("shuffle_hash"), "row", "left_semi").select(
-            "part", F.lit(k).alias("filter"), "behind", "good", "toxic") for k, ids in enumerate(failing.values())])
-    gone = gone.groupBy("part", "filter", "behind").agg(
-        F.count(F.lit(1)).alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost"))
-    failed = reduce(DataFrame.union, [
-        everyone.join(ids.hint("shuffle_hash"), "row", "left_semi").select(
-            "row", "part", F.lit(k).alias("filter"), F.explode(F.array(*map(F.lit, others(k)))).alias("behind"))
-        for k, ids in enumerate(failing.values())])
-    missed = failed.join(alive.select("row", "behind"), ["row", "behind"], "left_anti").groupBy(
-        "part", "filter", "behind").agg(F.count(F.lit(1)).alias("redundant"))
-    cells = everyone.select("part").distinct().select("part", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("filter"), F.lit(s).alias("behind")) for k in range(n) for s in others(k)])).alias("cell"))
-    cells = cells.select("part", "cell.*", (F.col("cell.behind") + F.expr("shiftleft(1, cell.filter)")).alias("after"))
-    out = (cells.join(gone, ["part", "filter", "behind"], "left").join(missed, ["part", "filter", "behind"], "left")
-           .join(kept.withColumnRenamed("behind", "after"), ["part", "after"], "left"))
+    kept = survivors(everyone, failing).groupBy("part", "behind").agg(F.count(F.lit(1)).alias("kept"))
+    kept = written(kept.withColumnRenamed("behind", "after"), folder, "kept")
+    found = reduce(DataFrame.unionByName, [filter_counts(k, everyone, failing, folder) for k in failing])
+    # behind nothing all parts have survivors
+    cells = kept.where("after = 0").select("part", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("filter"), F.lit(s).alias("behind"), F.lit(s | 1 << k).alias("after"))
+        for k in range(n) for s in range(1 << n) if not s >> k & 1])).alias("cell")).select("part", "cell.*")
+    out = cells.join(found, ["part", "filter", "behind"], "left").join(kept, ["part", "after"], "left")
     return out.select("part", "filter", "behind", *[
         F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("kept", "removed", "redundant", "good_lost", "toxic_lost")])
 
@@ -123,7 +125,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     everyone, failing = id_tables(docs, labels, folder, id_col, text_col, part_col)
     letters = list(failing)
     n = len(letters)
-    found = written(set_counts(everyone, failing), folder, "counts")
+    found = written(set_counts(everyone, dict(enumerate(failing.values())), folder), folder, "counts")
     size = F.expr("bit_count(behind)")
     # so many orders have just this set in front of the filter
     orders = reduce(lambda rest, s: F.when(size == s, math.factorial(s) * math.factorial(n - 1 - s)).otherwise(rest),
