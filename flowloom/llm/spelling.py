@@ -31,8 +31,8 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUPS = ["e", "t", "a", "n", "i", "o", "r", "s", "h", "l", "d", "u", "m", "c", "g", "b", "p", "f", "w", "v", "jkqxyz"]
 OTHER = len(GROUPS)
 GROUP_OF = {letter: g for g, letters in enumerate(GROUPS) for letter in letters}
-# Words that a cell should hold, and how many levels its name has at most.
-CELL, MAX_DEPTH = 512, 8
+# Words that a cell should hold, how many levels its name has at most, vectors of a leaf, and words of one row.
+CELL, MAX_DEPTH, LEAF, LIST = 8192, 8, 16, 256
 FOUND_SCHEMA = "word string, n bigint, near string, near_n bigint"
 
 
@@ -54,33 +54,34 @@ def variant_words(docs: DataFrame, id_col: str, text_col: str, drop: int | None
     return runs.groupBy(F.col("run").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def vector(word: str) -> tuple[int, ...]:
-    """Length and letter-group counts."""
+def vector(word: str) -> bytes:
+    """Letter-group counts. Counts stop at 255, which brings two vectors no further apart."""
     counts = [0] * (OTHER + 1)
     for letter in word:
         counts[GROUP_OF.get(letter, OTHER)] += 1
-    return len(word), *counts
+    return bytes(min(count, 255) for count in counts)
 
 
-def reach(counts: tuple[int, ...], depth: int) -> Iterator[tuple[int, ...]]:
-    """Cells in which near words of the same or one more letter may stand: own length, then one more."""
-    length, upper = counts[0], counts[1:1 + depth]
-
-    def changed(*steps: tuple[int, int]) -> tuple[int, ...]:
-        out = list(upper)
-        for g, by in steps:
-            out[g] += by
-        return tuple(out)
-    for longer in (0, 1):
-        yield length + longer, *upper
+def reach(length: int, vec: bytes, depth: int) -> Iterator[bytes]:
+    """Cells in which near words of the same length, or of one letter more, may stand."""
+    upper = vec[:depth]
+    for size in (cell(length, b""), cell(length + 1, b"")):
+        yield size + upper
         for up in range(depth):
-            yield length + longer, *changed((up, 1))
+            if upper[up] < 255:
+                yield size + upper[:up] + bytes((upper[up] + 1,)) + upper[up + 1:]
+    size = cell(length, b"")
     for down in range(depth):
         if upper[down]:
-            yield length, *changed((down, -1))
+            less = upper[:down] + bytes((upper[down] - 1,)) + upper[down + 1:]
+            yield size + less
             for up in range(depth):
-                if up != down:
-                    yield length, *changed((down, -1), (up, 1))
+                if up != down and upper[up] < 255:
+                    yield size + less[:up] + bytes((less[up] + 1,)) + less[up + 1:]
+
+
+def cell(length: int, upper: bytes) -> bytes:
+    return length.to_bytes(4, "big") + upper
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -95,78 +96,133 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + 1:] == b[at + 1:] if len(a) == len(b) else a[at:] == b[at + 1:]
 
 
-def grow(words: list[tuple[str, int]], depth: int) -> dict:
-    """The trie below a cell: nested maps by successive group counts; a leaf lists its words."""
-    trie: dict = {}
-    for word, n in words:
-        node, counts = trie, vector(word)[1 + depth:]
-        for count in counts[:-1]:
-            node = node.setdefault(count, {})
-        node.setdefault(counts[-1], []).append((word, n))
-    return trie
+def differences(surplus: int, deficit: int) -> frozenset[int]:
+    """What vectors, read as numbers of base 256, may differ by within the budget; unlike vectors may collide."""
+    steps = [1 << 8 * g for g in range(OTHER + 1)]
+    return frozenset([0, *(steps if surplus else []), *([-d for d in steps] if deficit else []),
+                      *([u - d for u in steps for d in steps] if surplus and deficit else [])])
+
+
+ALLOWED = {(u, d): differences(u, d) for u in (0, 1) for d in (0, 1)}
+
 
+def grow(words: dict[bytes, list], level: int) -> dict | list:
+    """The trie from a level on: maps by the count of that group; few vectors make a leaf, which lists them with their words."""
+    if len(words) <= LEAF or level > OTHER:
+        return [(int.from_bytes(vec, "big"), named) for vec, named in words.items()]
+    parted: dict[int, dict] = {}
+    for vec, named in words.items():
+        parted.setdefault(vec[level], {})[vec] = named
+    return {count: grow(part, level + 1) for count, part in parted.items()}
 
-def leaves(node: dict | list, counts: tuple[int, ...], surplus: int, deficit: int, level: int = 0) -> Iterator[list]:
-    """Depth-first search for leaves whose counts exceed and miss the sought ones within the budget."""
-    if level == len(counts):
-        yield node
+
+def leaves(node: dict | list, vec: bytes, number: int, surplus: int, deficit: int, level: int) -> Iterator[list]:
+    """Depth-first search for the words of vectors that exceed and miss the sought counts within the budget."""
+    if isinstance(node, list):
+        allowed = ALLOWED[surplus, deficit]
+        for other, named in node:
+            if other - number in allowed:
+                yield named
         return
-    own = counts[level]
+    own = vec[level]
     if own in node:
-        yield from leaves(node[own], counts, surplus, deficit, level + 1)
+        yield from leaves(node[own], vec, number, surplus, deficit, level + 1)
     if surplus and own + 1 in node:
-        yield from leaves(node[own + 1], counts, surplus - 1, deficit, level + 1)
+        yield from leaves(node[own + 1], vec, number + (1 << 8 * (OTHER - level)), 0, deficit, level + 1)
     if deficit and own - 1 in node:
-        yield from leaves(node[own - 1], counts, surplus, deficit - 1, level + 1)
+        yield from leaves(node[own - 1], vec, number - (1 << 8 * (OTHER - level)), surplus, 0, level + 1)
+
+
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vecs = [vector(word) for word in batch.column("word").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(vecs, pa.binary()), *batch.columns], names=["vec", *batch.schema.names])
+
+
+PLACED = [("cell", pa.binary()), ("sought", pa.bool_()), ("vec", pa.binary()), ("words", pa.list_(pa.string())),
+          ("ns", pa.list_(pa.int64()))]
 
 
 def placed(depth: int):
-    """Each word in its own cell (``sought`` false) and in all that its search reaches (true)."""
+    """Rows sorted by vector to lists of words of one vector and length, each once in its own cell (``sought`` false)
+    and once in every cell that its search reaches (true)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, words, ns, rows = None, [], [], []
         for batch in batches:
-            words, ns = batch.column("word").to_pylist(), batch.column("n").to_pylist()
-            for lo in range(0, len(words), 1000):
-                rows = []
-                for word, n in zip(words[lo:lo + 1000], ns[lo:lo + 1000]):
-                    counts = vector(word)
-                    rows.append((name(counts[:1 + depth]), False, word, n))
-                    rows.extend((name(cell), True, word, n) for cell in reach(counts, depth))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*rows), (pa.string(), pa.bool_(), pa.string(), pa.int64()))], names=["cell", "sought", "word", "n"])
+            for vec, word, n in zip(*(batch.column(c).to_pylist() for c in ("vec", "word", "n"))):
+                if (vec, len(word)) != key or len(words) == LIST:
+                    rows.extend(lists(key, words, ns))
+                    key, words, ns = (vec, len(word)), [], []
+                words.append(word)
+                ns.append(n)
+                if len(rows) > 4000:
+                    yield packed(rows)
+                    rows = []
+        rows.extend(lists(key, words, ns))
+        if rows:
+            yield packed(rows)
+
+    def lists(key: tuple[bytes, int] | None, words: list, ns: list) -> Iterator[tuple]:
+        if key:
+            vec, length = key
+            yield cell(length, vec[:depth]), False, vec, words, ns
+            for place in reach(length, vec, depth):
+                yield place, True, vec, words, ns
+
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), PLACED)], names=[c for c, _ in PLACED])
     return run
 
 
-def name(cell: tuple[int, ...]) -> str:
-    return ",".join(map(str, cell))
+def verified(words: list, ns: list, reached: list[list], longer: bool) -> Iterator[tuple]:
+    """Pairs one edit apart between ``words`` and the words reached; an edit leaves the first or the second half as it is."""
+    half = len(words[0]) // 2
+    starts: dict[str, list] = {}
+    ends: dict[str, list] = {}
+    rest = len(words[0]) - half
+    for named in reached:
+        for pair in named:
+            starts.setdefault(pair[0][:half], []).append(pair)
+            ends.setdefault(pair[0][-rest:], []).append(pair)
+    for word, n in zip(words, ns):
+        start, end = word[:half], word[half:]
+        for other, m in starts.get(start, ()):
+            # words of one length meet from both sides
+            if (longer or other > word) and one_edit(word, other):
+                yield word, n, other, m
+        for other, m in ends.get(end, ()):
+            if (longer or other > word) and other[:half] != start and one_edit(word, other):
+                yield word, n, other, m
 
 
 def searched(depth: int):
     """Near words of the rows of a partition, sorted by cell, block, ``sought``; holds one block's words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, words, trie, known, out = None, [], None, {}, []
+        place, entries, trie, out = None, {}, None, []
         for batch in batches:
-            for cell, block, sought, word, n in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "sought", "word", "n"))):
-                if (cell, block) != place:
-                    place, words, trie, known = (cell, block), [], None, {}
+            ends = batch.column("words").offsets.to_pylist()
+            all_words, all_ns = (batch.column(c).values.to_pylist() for c in ("words", "ns"))
+            for at, block, sought, vec, lo, hi in zip(*(
+                    batch.column(c).to_pylist() for c in ("cell", "block", "sought", "vec")), ends, ends[1:]):
+                words, ns = all_words[lo:hi], all_ns[lo:hi]
+                if (at, block) != place:
+                    place, entries, trie = (at, block), {}, None
                 if not sought:
-                    words.append((word, n))
+                    entries.setdefault(vec, []).extend(zip(words, ns))
                     continue
-                if not words:
+                if not entries:
                     continue
                 if trie is None:
-                    trie, upper = grow(words, depth), tuple(map(int, cell.split(",")))
-                counts = vector(word)
-                # words of one vector take the same walk
-                if counts not in known:
-                    longer = upper[0] - counts[0]
-                    spent = [u - c for u, c in zip(upper[1:], counts[1:])]
-                    known = {counts: [w for leaf in leaves(
-                        trie, counts[1 + depth:], 1 - spent.count(1), 1 - longer - spent.count(-1)) for w in leaf]}
-                for other, m in known[counts]:
-                    # equals are met from both sides
-                    if (len(other) > len(word) or other > word) and one_edit(word, other):
-                        out.append((word, n, other, m))
-                        out.append((other, m, word, n))
+                    trie = grow(entries, depth)
+                more = int.from_bytes(at[:4], "big") - len(words[0])
+                spent = [u - v for u, v in zip(at[4:], vec)]
+                surplus, deficit = 1 - spent.count(1), 1 - more - spent.count(-1)
+                if surplus < 0 or deficit < 0:
+                    continue
+                number = int.from_bytes(at[4:] + vec[depth:], "big")
+                for word, n, other, m in verified(words, ns, list(leaves(trie, vec, number, surplus, deficit, depth)), more > 0):
+                    out.append((word, n, other, m))
+                    out.append((other, m, word, n))
                 if len(out) > 20_000:
                     yield found(out)
                     out = []
@@ -182,16 +238,19 @@ def searched(depth: int):
 def near_words(words: DataFrame, folder: str) -> DataFrame:
     """``(word, n, near, near_n)`` for all ordered pairs of words (``word``, ``n``; distinct) that one edit parts."""
     spark = words.sparkSession
-    total = words.count()
     # a level parts words about threefold
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log(max(1.0, total / CELL), 3))))
-    rows = words.mapInArrow(placed(depth), "cell string, sought boolean, word string, n bigint")
-    stood = rows.where("not sought")
-    sizes = stood.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+    depth = min(MAX_DEPTH, max(1, math.ceil(math.log(max(1.0, words.count() / CELL), 3))))
+    sorted_words = words.select("word", "n").mapInArrow(described, "vec binary, word string, n bigint").repartition(
+        partitions(spark), "vec").sortWithinPartitions("vec", F.length("word"), "word")
+    rows = written(sorted_words.mapInArrow(placed(depth), "cell binary, sought boolean, vec binary, words array<string>, ns array<bigint>"),
+                   folder, "placed")
+    sizes = rows.where("not sought").groupBy("cell").agg(
+        F.ceil(F.sum(F.size("words")) / CELL).cast("int").alias("blocks"))
     rows = rows.join(sizes, "cell").select(
-        "cell", "sought", "word", "n", F.explode(F.when(F.col("sought"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")))).alias("block"))
-    dealt = rows.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "sought", "word")
+        "cell", "sought", "vec", "words", "ns",
+        F.explode(F.when(F.col("sought"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64(F.col("words")[0]), F.col("blocks")).cast("int")))).alias("block"))
+    dealt = rows.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "sought")
     return written(dealt.mapInArrow(searched(depth), FOUND_SCHEMA), folder, "near")
 
 

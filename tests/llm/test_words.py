@@ -65,7 +65,8 @@ def test_variants_of_misspelt_words(spark, monkeypatch, cell):
     monkeypatch.setattr(module, "CELL", cell)
     rng = random.Random(cell)
     words = ["".join(rng.choices("etaniorsé", k=rng.randrange(4, 10))) for _ in range(40)] + ["aaaaa", "aaaaaa", "aaaaaaa"]
-    rows = misspelt(rng, 60, words) + [(None, "aaaaa aaaab " * 3), (5, None), (5, "aaaab"), (6, "")]
+    long = "ab" * 300
+    rows = misspelt(rng, 60, words) + [(70, f"{long} {long}a {long[1:]} {long[1:]}c " * 3), (None, "aaaaa aaaab " * 3), (5, None), (5, "aaaab"), (6, "")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, word string, n int")
     want = brute_words(rows)
     assert sum(bool(w[3]) for w in want) > 50
@@ -79,17 +80,21 @@ def test_all_pairs_of_short_alphabet(spark):
     assert got == sorted((a, b) for a in words for b in words if a != b and edits(a, b))
 
 
-def test_trie_search_keeps_to_the_budget():
+def test_trie_search_keeps_to_the_budget(monkeypatch):
     rng = random.Random(1)
-    words = [("".join(rng.choices("etanio", k=rng.randrange(5, 8))), 3) for _ in range(300)]
-    trie = grow(words, 0)
-    for word, _ in words[:40]:
-        counts = vector(word)[1:]
-        reached = [w for leaf in leaves(trie, counts, 1, 1) for w, _ in leaf]
-        for other, _ in words:
-            over = [x - y for x, y in zip(vector(other)[1:], counts)]
-            fits = sum(d for d in over if d > 0) <= 1 and -sum(d for d in over if d < 0) <= 1
-            assert (other in reached) == fits
+    words = {}
+    for _ in range(300):
+        word = "".join(rng.choices("etanio", k=rng.randrange(5, 8)))
+        words.setdefault(vector(word), []).append((word, 3))
+    for leaf in (1, 16, 10_000):
+        monkeypatch.setattr(module, "LEAF", leaf)
+        trie = grow(words, 0)
+        for vec in list(words)[:40]:
+            reached = [named for named in leaves(trie, vec, int.from_bytes(vec, "big"), 1, 1, 0)]
+            for other, named in words.items():
+                over = [x - y for x, y in zip(other, vec)]
+                fits = sum(d for d in over if d > 0) <= 1 and -sum(d for d in over if d < 0) <= 1
+                assert (named in reached) == fits
 
 
 @pytest.mark.parametrize("a,b,near", [("abcde", "abcde", False), ("abcde", "abcdf", True), ("abcde", "abcdef", True),
