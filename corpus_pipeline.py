@@ -40,7 +40,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document with the digests of its ids and of the text they decode to."""
-    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True).drop("decoded")
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("n-gram join", near_stage),

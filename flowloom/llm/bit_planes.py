@@ -28,7 +28,7 @@ from flowloom.operators.scan import Running, keyed_scan
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
 LEVEL = 1
-BATCH_CHARS = 4 << 20
+BATCH_BYTES = 4 << 20
 
 CHUNKS = ("shard int, chunk int, start bigint, n_ids bigint, doc_ids array<{id}>, doc_tokens array<bigint>, "
           "plane_sizes array<int>, planes binary")
@@ -90,7 +90,7 @@ def id_encoder(path: str):
 
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
               block_ids: int = BLOCK_IDS, chunk_ids: int = CHUNK_IDS, bits: bool = False,
-              batch_chars: int = BATCH_CHARS) -> tuple[DataFrame, DataFrame]:
+              batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, DataFrame]:
     """Encode all documents in ascending id order; returns the written tables of chunks and of the index.
 
     Each document ends with ``end_id``; null text is the empty text, null ids come first, rows
@@ -99,7 +99,6 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col:
     """
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    id_arrow = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type])
     end = int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +109,12 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col:
             data, sizes = pack(np.frombuffer(b"".join(held), "<u4"), block_ids, bits)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([start], pa.int64()),
-                 pa.array([n_held], pa.int64()), pa.array([names], id_arrow), pa.array([counts], pa.list_(pa.int64())),
+                 pa.array([n_held], pa.int64()), pa.array([names], pa.list_(batch.column("id").type)), pa.array([counts], pa.list_(pa.int64())),
                  pa.array([sizes], pa.list_(pa.int32())), pa.array([data], pa.binary())],
                 names=["shard", "chunk", "start", "n_ids", "doc_ids", "doc_tokens", "plane_sizes", "planes"])
         for batch in batches:
             doc_ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in by_bytes(texts, batch_chars):
+            for a, b in by_bytes(batch.column("text"), batch_bytes):
                 for doc_id, data in zip(doc_ids[a:b], ids_of(texts[a:b])):
                     n = len(data) // 4 + 1
                     if held and n_held + n > chunk_ids:
@@ -129,7 +128,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col:
         if held:
             yield flush()
 
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # equal and null ids may spread over tasks, too
+    ordered = (rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash")
+               .sortWithinPartitions("id", "hash", "text").drop("hash"))
     chunks = written(ordered.mapInArrow(encode, CHUNKS.format(id=id_type)), folder, "chunks")
     sums = chunks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     bases = keyed_scan(sums, [], "shard", [Running("base", F.col("ids"), inclusive=False)], width=1 << 10)
@@ -143,7 +144,6 @@ def read_ids(chunks: DataFrame, index: DataFrame, id_col: str = "doc_id", block_
              bits: bool = False, with_ids: bool = False) -> DataFrame:
     """Documents of written tables: id, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids``."""
     id_type = chunks.schema["doc_ids"].dataType.elementType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     extra = ", ids array<bigint>" if with_ids else ""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def read_ids(chunks: DataFrame, index: DataFrame, id_col: str = "doc_id", block_
                 ends = np.cumsum(counts)
                 parts = [ids[e - n:e] for e, n in zip(ends, counts)]
                 columns = [pa.array([row["shard"]] * len(parts), pa.int32()),
-                           pa.array([row["chunk"]] * len(parts), pa.int32()), pa.array(row["doc_ids"], id_arrow),
+                           pa.array([row["chunk"]] * len(parts), pa.int32()), pa.array(row["doc_ids"], batch.column("doc_ids").type.value_type),
                            pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()),
                            pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 names = ["shard", "chunk", "id", "inside", "n_tokens", "crc"]

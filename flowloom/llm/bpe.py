@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import whole
-from flowloom.llm.pieces import PieceCache, cut, splits_at_spaces
+from flowloom.llm.pieces import PieceCache, by_bytes, cut, splits_at_spaces
 
 # Fixed value: the pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Bytes of text that are encoded, decoded and sent on at a time.
+BATCH_BYTES = 2 << 20
 _MODELS: dict = {}
 
 
@@ -177,35 +179,38 @@ def model(path: str) -> PairIndexBpe:
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                   with_ids: bool = False) -> DataFrame:
-    """One row per input row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids``, ``decoded``.
+                   with_ids: bool = False, with_text: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per input row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids`` and ``decoded``.
 
     ``ids`` are little-endian unsigned 32-bit numbers. Whole texts are encoded; null is the empty text, which has no ids. Ids of rows may be null
     or repeat. An empty table gives no rows. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    extra = ", ids binary, decoded string" if with_ids else ""
+    extra = (", ids binary" if with_ids else "") + (", decoded string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            counts, digests, back, all_ids, texts = [], [], [], [], []
-            for ids in bpe.encode(batch.column("text").to_pylist()):
-                text = bpe.decode(ids)
-                counts.append(len(ids) // 4)
-                digests.append(hashlib.sha256(ids).hexdigest())
-                back.append(hashlib.sha256(text.encode()).hexdigest())
+            # a range of texts at a time, each a batch of its own, whatever the rows of the batch hold
+            for start, stop in by_bytes(batch.column("text"), batch_bytes):
+                counts, digests, back, all_ids, texts = [], [], [], [], []
+                for ids in bpe.encode(batch.column("text").slice(start, stop - start).to_pylist()):
+                    text = bpe.decode(ids)
+                    counts.append(len(ids) // 4)
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    back.append(hashlib.sha256(text.encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                    if with_text:
+                        texts.append(text)
+                columns = {"id": batch.column("id").slice(start, stop - start), "n_tokens": pa.array(counts, pa.int64()),
+                           "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
                 if with_ids:
-                    all_ids.append(ids)
-                    texts.append(text)
-            columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
-                       pa.array(back, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array(all_ids, pa.binary()), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns["ids"] = pa.array(all_ids, pa.binary())
+                if with_text:
+                    columns["decoded"] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     out = rows.mapInArrow(run, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
     return out.withColumnRenamed("id", id_col)

@@ -15,6 +15,8 @@ from itertools import chain, compress, repeat
 from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Python's white space holds all that Unicode calls so, and four control characters more:
 # it may cut less often than possible, never at a wrong place.
@@ -94,7 +96,7 @@ class PieceCache:
     first piece of a text has no space before it and is kept apart.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.spaced: dict = {}
         self.first: dict = {}
@@ -148,13 +150,13 @@ class PieceCache:
             yield values
 
 
-def by_bytes(texts: list[str], limit: int) -> Iterable[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` characters each; a longer text makes a range of its own."""
+def by_bytes(texts: pa.Array, limit: int) -> Iterable[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``limit`` bytes each; a longer text makes a range of its own."""
     start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(text)
+        held += size
     if start < len(texts):
         yield start, len(texts)

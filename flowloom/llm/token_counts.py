@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import whole
 from flowloom.llm.pieces import PieceCache, by_bytes, splits_at_spaces
 
-BATCH_CHARS = 4 << 20
+BATCH_BYTES = 4 << 20
 
 _COUNTERS: dict = {}
 
@@ -52,7 +52,7 @@ def _library(path: str):
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text",
-                 batch_chars: int = BATCH_CHARS) -> DataFrame:
+                 batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit`` tokens).
 
     Whole texts are counted, however long: they are cut at places that no token crosses where
@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = []
-            for start, stop in by_bytes(texts, batch_chars):
+            for start, stop in by_bytes(batch.column("text"), batch_bytes):
                 counts += lengths(texts[start:stop])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(counts, pa.int64())], names=["id", "n_tokens"]).append_column(

@@ -1,6 +1,8 @@
 """Token ids, counts and byte-pair encoding against the libraries."""
 
 import hashlib
+import itertools
+from decimal import Decimal
 import zlib
 
 import numpy as np
@@ -42,7 +44,7 @@ def test_planes_round_trip(n, bits):
 def test_written_ids(spark, docs, bits):
     options = {"block_ids": 100, "bits": bits}
     folder = workspace(spark)
-    chunks, index = write_ids(docs, folder, PATH, chunk_ids=500, batch_chars=300, **options)
+    chunks, index = write_ids(docs, folder, PATH, chunk_ids=500, batch_bytes=300, **options)
     got = read_ids(chunks, index, with_ids=True, **options).orderBy("start").collect()
     order = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     assert [r.doc_id for r in got] == [i for i, _ in order]
@@ -55,7 +57,7 @@ def test_written_ids(spark, docs, bits):
 
 
 def test_token_counts(spark, docs):
-    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, PATH, batch_chars=50).collect())
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, PATH, batch_bytes=50).collect())
     assert got == sorted((i or 0, len((t or "").encode()), len(ids(t)), len(ids(t)) > 1024) for i, t in TEXTS)
 
 
@@ -109,3 +111,12 @@ def test_empty_tables(nothing):
     assert bit_plane_ids(nothing, PATH).count() == 0
     assert token_counts(nothing, PATH).count() == 0
     assert bpe_round_trip(nothing, PATH).count() == 0
+
+
+def test_ids_of_any_type_and_repeated(spark):
+    """Decimal ids, one of them on many rows, and null ids come back as they were."""
+    rows = [(Decimal("7.5"), f"text number {i}") for i in range(40)] + [(None, "no id"), (None, None), (Decimal("1.0"), "one")]
+    df = spark.createDataFrame(rows, "doc_id decimal(10,1), text string")
+    got = bit_plane_ids(df, PATH).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    assert sorted(r.start for r in got) == [0, *itertools.accumulate(r.n_tokens for r in sorted(got, key=lambda r: r.start))][:-1]
