@@ -3,6 +3,7 @@ the package's own sources, streams and model bundles."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.ml import Pipeline
@@ -40,6 +41,15 @@ def seconds_text(micros: str):
                     F.lpad((F.col(micros) % 1_000_000).cast("string"), 6, "0"))
 
 
+LOG_KINDS_IN_ORDER = ("conn", "ftp", "http")
+
+
+def flow_schema(spark, sf):
+    """Schema of typed flows, as the sources give them."""
+    text = spark.createDataFrame([], sources.FLOW_TEXT_SCHEMA)
+    return sources.normalize_flows(text).schema
+
+
 def flow_texts(a: DataFrame, blank_times: bool = False) -> DataFrame:
     """Flows as the exporter writes them: text fields in declared order, some times blank if asked for."""
     time = seconds_text("stime_us")
@@ -197,25 +207,74 @@ def merge_from_files(spark, sf):
     merged = match.stream_merge(stream_a, stream_z)
     (merged.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
      .trigger(availableNow=True).start().awaitTermination())
-    got = spark.read.parquet(f"{root}/out")
-    named = read_a.select(F.col("seq").alias("a_seq"), "stcpb")
-    return got.join(named, "a_seq").select("stcpb", "kind", "service")
+    got = match.unpack(spark.read.parquet(f"{root}/out"), flow_schema(spark, sf))
+    return got.select("stcpb", "kind", "service", "trans_depth", "response_body_len", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
+
+
+# Arrivals of a wave reach the sensors' folders before the stream is started again.
+WAVES, WAVE_FILES = 3, 4
+
+
+def stamp_new_files(spark, root: str, known: set[str], millis: int) -> None:
+    """Give the files that appeared under ``root`` one modification time, so that only paths order them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    # the files of a fixture: a few dozen
+    found = fs.listFiles(top, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("part-") and path.toString() not in known:
+            known.add(path.toString())
+            fs.setTimes(path, millis, -1)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange(WAVE_FILES, "seq").sortWithinPartitions("seq")
+
+
+@query
+def stream_from_files(spark, sf):
+    """The sensors' own streams into the stateful merge: lines are numbered as they land, and each wave of files meets
+    a stream that was stopped and started again. Within a wave flows come first, then logs by kind."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    root = folder(spark)
+    a, z = flows(spark, sf), logs(spark, sf)
+    after = a.agg(F.coalesce(F.max("seq"), F.lit(0)) + 4).first()[0]
+    known: set[str] = set()
+    started = int(time.time() * 1000)
+    for wave in range(WAVES):
+        inside = F.floor(F.round(F.col("seq") / 4) * 4 * WAVES / after) == wave
+        order = _in_order(a.where(inside))
+        flow_texts(order).write.mode("append").option("emptyValue", "").csv(f"{root}/a")
+        stamp_new_files(spark, f"{root}/a", known, started + 4 * wave)
+        for k, kind in enumerate(LOG_KINDS_IN_ORDER):
+            lines = log_lines(_in_order(z.where(inside & (F.col("zeek_log") == kind))))
+            lines.select("line").write.mode("append").text(f"{root}/z/{kind}")
+            stamp_new_files(spark, f"{root}/z/{kind}", known, started + 4 * wave + 1 + k)
+        merged = match.stream_merge(streams.flow_stream(spark, f"{root}/a"), streams.log_stream(spark, f"{root}/z"))
+        merged = match.unpack(merged, flow_schema(spark, sf))
+        (merged.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/out").select(
+        "stcpb", "kind", "service", "trans_depth", "response_body_len", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
 
 
 @query
 def micro_batches(spark, sf):
-    """Files arrive one to a micro-batch; each batch states how many flows it held."""
+    """Files arrive four to a micro-batch; each batch states how many flows it held."""
     root = folder(spark)
     a = flows(spark, sf)
     for part in range(4):
-        # one file a batch
-        flow_texts(a.where(F.col("seq") / 4 % 4 == part)).coalesce(1).write.mode("append").option(
+        # so many files a batch
+        flow_texts(a.where(F.col("seq") / 4 % 4 == part).repartition(WAVE_FILES)).write.mode("append").option(
             "emptyValue", "").csv(f"{root}/in")
 
     def count(batch: DataFrame, number: int) -> None:
         batch.groupBy().agg(F.count(F.lit(1)).alias("rows"), F.sum("stcpb").alias("stcpb")).withColumn(
             "batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/counts/{number}")
-    (streams.flow_stream(spark, f"{root}/in", max_files=1).writeStream.foreachBatch(count)
+    (streams.flow_stream(spark, f"{root}/in", max_files=WAVE_FILES).writeStream.foreachBatch(count)
      .option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(f"{root}/counts/*").select("rows", "stcpb")
 

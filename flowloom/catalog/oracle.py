@@ -394,6 +394,29 @@ m as (select merge_seq, a_seq, z_seq, kind, service, trans_depth, response_body_
 w as (select m.*, a.* exclude (seq), coalesce(m.service, '-') as srv, row_number() over (order by merge_seq) as n
   from m join fx_a a on a.seq = m.a_seq),
 counted as (select *, {_counters(', ltime')} from w)"""
+
+
+def _replayed(order_a: str, order_z: str) -> str:
+    """The replay over arrivals numbered anew: by the columns given for flows (sensor 0) and logs (sensor 1)."""
+    numbers = f"""{FX_A.replace("fx_a as", "own_a as", 1)}, {FX_Z.replace("fx_z as", "own_z as", 1)},
+numbers as (select s, id, row_number() over (order by {', '.join(f'o{i}' for i in range(1, 6))}) as nr from (
+  select 0 as s, seq as id, unnest([{{{order_a}}}], recursive := true) from own_a
+  union all by name select 1 as s, seq as id, unnest([{{{order_z}}}], recursive := true) from own_z)),
+fx_a as (select own_a.* replace (nr as seq) from own_a join numbers on s = 0 and id = seq),
+fx_z as (select own_z.* replace (nr as seq) from own_z join numbers on s = 1 and id = seq)"""
+    return f"""with recursive {_REPLAY.replace(f"{FX_A}, {FX_Z}", numbers, 1)}
+select stcpb, kind, m.service, m.trans_depth, m.response_body_len, ct_flw_http_mthd, is_ftp_login, ct_ftp_cmd
+from (select * from merges union all select seq, seq, null, 'other', null, 0, 0, 0, 0, 0 from fx_a
+  where proto not in ('tcp', 'udp', 'icmp')) m join fx_a on fx_a.seq = m.a_seq"""
+
+
+# by time, flows first; ties by sequence number and length
+SQL["merge_from_files"] = _replayed("'o1': stime_us, 'o2': 0, 'o3': stcpb, 'o4': 0, 'o5': 0",
+                                    "'o1': ts_us, 'o2': 1, 'o3': response_body_len, 'o4': seq, 'o5': 0")
+# wave by wave, flows before logs, logs by kind
+_WAVE = "cast(floor(round(seq / 4.0) * 4 * 3 / (select max(event_id) * 4 + 4 from events)) as bigint)"
+SQL["stream_from_files"] = _replayed(f"'o1': {_WAVE}, 'o2': 0, 'o3': '', 'o4': seq, 'o5': 0",
+                                     f"'o1': {_WAVE}, 'o2': 1, 'o3': zeek_log, 'o4': seq, 'o5': 0")
 SQL["replay_flows"] = f"{_REPLAY_COUNTED} select {_MERGED_COLUMNS} from counted"
 SQL["stream_counters"] = f"{_REPLAY_COUNTED} select merge_seq, n, {', '.join(_COUNTERS)} from counted"
 

@@ -13,6 +13,8 @@ from flowloom.operators.dataset import canonical_names
 from flowloom.operators.scan import Running, sorted_scan
 from flowloom.schemas import (
     FLOW_FIELDS, FLOW_TEXT_SCHEMA, LABELLED_FIELDS, LABELLED_SCHEMA, LOG_KINDS, LOG_RENAMES, LOG_SCHEMA, struct_of)
+from flowloom.session import cut_lineage
+from flowloom.sources.arrival import placed_lines
 
 CORRUPT = "_corrupt"
 # fixed values: capture excludes management and link-layer control records
@@ -31,13 +33,13 @@ def timed(df: DataFrame, time: str) -> DataFrame:
     return df.where(F.col(time).isNotNull())
 
 
-def without_header(flows: DataFrame) -> DataFrame:
-    """Drop rows that repeat the column names, wherever a header appears.
+def without_header(flows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Drop rows that repeat the column names (all, or ``names``), wherever a header appears.
 
     Rows with a blank or unreadable time are data: they stay, and their time becomes null.
     """
     repeats = reduce(lambda x, y: x & y, [
-        F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == c.lower() for c in flows.columns])
+        F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == c.lower() for c in names or flows.columns])
     return flows.where(~repeats)
 
 
@@ -97,6 +99,35 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
     return without_header(spark.read.schema(FLOW_TEXT_SCHEMA).csv(path))
 
 
+def parse_flow_lines(lines: DataFrame) -> DataFrame:
+    """Typed flows of placed lines (``value``, ``seq``); blank lines, headers and management rows go."""
+    text = ", ".join(f"`{f.name}` string" for f in FLOW_TEXT_SCHEMA)
+    kept = lines.where(F.length(F.trim("value")) > 0).select(F.from_csv("value", text).alias("r"), "seq").select("r.*", "seq")
+    return captured(normalize_flows(without_header(kept, FLOW_TEXT_SCHEMA.names)))
+
+
+def parse_log_lines(lines: DataFrame) -> DataFrame:
+    """Log records of placed lines (``value``, ``seq``); comment, blank and broken lines are skipped.
+
+    Every record that parses is kept, whatever fields it lacks.
+    """
+    marked = T.StructType([*LOG_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    kept = lines.where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("#"))
+    return kept.select(parsed.alias("r"), "seq").select("r.*", "seq").where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def read_flow_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Sensor-A CSV files as typed flows with the place of their line in ``seq``, as the stream source gives them."""
+    return parse_flow_lines(placed_lines(spark.read.text(path)))
+
+
+def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Sensor-B JSON logs, one folder per kind, with the place of their line in ``seq``, as the stream source gives them."""
+    return normalize_logs(union_logs({
+        kind: parse_log_lines(placed_lines(spark.read.text(f"{root}/{kind}"))) for kind in LOG_KINDS}))
+
+
 def read_labelled_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
                       infer: bool = False) -> DataFrame:
     """Labelled CSV files with a header; a folder is read as one positional union."""
@@ -169,24 +200,29 @@ def numbered(text: DataFrame, name: str) -> DataFrame:
 def joint_arrival(flows: DataFrame, logs: DataFrame, flow_order: list[str], log_order: list[str],
                   name: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Both sensors with one arrival number, unique over both: ``flow_order`` and ``log_order`` hold
-    the arrival time and what breaks its ties (file and line, or topic partition and offset).
+    the arrival time and what breaks its ties (a line's place, or topic partition and offset).
 
-    Numbers follow the two orders merged by time, a flow before a log record of the same time.
-    They are made from the narrow order columns only; a hot time is spread like any other.
+    Numbers follow the two orders merged by time, a flow before a log record of the same time, null
+    times first. Rows travel through the numbering whole, so none is lost or doubled where order values
+    repeat; rows equal in them are ordered by their contents. A hot time is spread like any other. A column
+    ``name`` of the input is replaced.
     """
-    def narrow(df, order, sensor):
-        return df.select(F.lit(sensor).alias("__s"), *[F.col(c).cast("bigint").alias(f"__o{i}") for i, c in enumerate(order)])
     if len(flow_order) != len(log_order):
         raise ValueError("both orders need the same number of columns")
     order = [f"__o{i}" for i in range(len(flow_order))]
-    both = narrow(flows, flow_order, 0).unionByName(narrow(logs, log_order, 1))
-    place = sorted_scan(both, [], [order[0], "__s", *order[1:]], [Running(name, F.lit(1).cast("bigint"))])
-
-    def back(df, columns, sensor):
-        own = place.where(F.col("__s") == sensor).select(*order, name)
-        on = [F.col(c).cast("bigint").eqNullSafe(F.col(o)) for c, o in zip(columns, order)]
-        return df.join(own, on).drop(*order)
-    return back(flows, flow_order, 0), back(logs, log_order, 1)
+
+    def whole(df: DataFrame, columns: list[str], sensor: int) -> DataFrame:
+        row = F.struct(*[c for c in df.columns if c != name])
+        return df.select(F.lit(sensor).alias("__s"), *[F.col(c).alias(o) for c, o in zip(columns, order)],
+                         F.xxhash64(*df.columns).alias("__tie"), row.alias(f"__row{sensor}"))
+    both = whole(flows, flow_order, 0).unionByName(whole(logs, log_order, 1), allowMissingColumns=True)
+    # written once: rows equal in all columns could swap numbers between two readers
+    numbered_rows = cut_lineage(sorted_scan(both, [], [order[0], "__s", *order[1:], "__tie"],
+                                            [Running(name, F.lit(1).cast("bigint"))]), required=True)
+
+    def back(sensor: int) -> DataFrame:
+        return numbered_rows.where(F.col("__s") == sensor).select(f"__row{sensor}.*", name)
+    return back(0), back(1)
 
 
 def read_ranges(spark: SparkSession, path: str, provider: str, cidr_key: str, list_key: str = "prefixes") -> DataFrame:

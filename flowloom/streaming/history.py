@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.operators.history import HISTORY, connection_counters
-from flowloom.operators.scan import dense_sequence
+from flowloom.operators.scan import Running, dense_sequence, sorted_scan
 
 _NEEDED = ["merge_seq", "service", "saddr", "sport", "daddr", "dport", "ltime"]
 
@@ -36,7 +37,8 @@ class HistoryBatches:
             lost = batch.where(F.col("status") != "merged")
             lost.write.mode("overwrite").parquet(f"{self.unmatched}/batch={batch_id}")
             batch = batch.where(F.col("status") == "merged")
-        rows = dense_sequence(batch, "merge_seq", "n")
+        rows = (dense_sequence(batch, "merge_seq", "n") if batch.schema["merge_seq"].dataType == T.LongType()
+                else sorted_scan(batch, [], ["merge_seq"], [Running("n", F.lit(1).cast("bigint"))]))
         tail, start = None, 0
         if batch_id > 0:
             tail = spark.read.parquet(f"{self.tails}/{batch_id - 1}")

@@ -14,14 +14,15 @@ from flowloom.functions.keys import flow_key, log_key
 from flowloom.operators.matching import MATCHED_PROTOCOLS, lower_proto
 from flowloom.operators.replay import LOG_COLUMNS, KeyReplay
 
-OUTPUT = ("status string, merge_seq bigint, a_seq bigint, z_seq bigint, kind string, key string, service string, "
+# {seq} is the type of the arrival numbers: integers, or places of file lines and queue records
+OUTPUT = ("status string, merge_seq {seq}, a_seq {seq}, z_seq {seq}, kind string, key string, service string, "
           "trans_depth bigint, response_body_len bigint, ct_flw_http_mthd bigint, is_ftp_login int, "
           "ct_ftp_cmd bigint, payload string")
 _OUTPUT_NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
-_FLOW_STATE = "seq bigint, payload string, at bigint"
-_LOG_STATE = ("seq bigint, kind string, service string, trans_depth bigint, response_body_len bigint, "
+_FLOW_STATE = "seq {seq}, payload string, at bigint"
+_LOG_STATE = ("seq {seq}, kind string, service string, trans_depth bigint, response_body_len bigint, "
               "is_ftp_login bigint, has_command bigint, at bigint")
-_COUNTER_STATE = "pending boolean, length bigint, depth bigint, last bigint, http bigint, ftp bigint"
+_COUNTER_STATE = "pending boolean, length bigint, depth bigint, last {seq}, http bigint, ftp bigint"
 
 
 def stream_events(flows: DataFrame, logs: DataFrame) -> DataFrame:
@@ -48,14 +49,14 @@ class MatchProcessor(StatefulProcessor):
     as ``lost_flow`` / ``lost_log``. Without it, rows wait for ever; no queue has a size limit.
     """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, seq: str = "bigint"):
+        self.ttl_ms, self.seq = ttl_ms, seq
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.flows = handle.getListState("flows", _FLOW_STATE)
-        self.logs = handle.getListState("logs", _LOG_STATE)
-        self.counters = handle.getValueState("counters", _COUNTER_STATE)
+        self.flows = handle.getListState("flows", _FLOW_STATE.format(seq=self.seq))
+        self.logs = handle.getListState("logs", _LOG_STATE.format(seq=self.seq))
+        self.counters = handle.getValueState("counters", _COUNTER_STATE.format(seq=self.seq))
 
     def _load(self) -> KeyReplay:
         machine = KeyReplay()
@@ -70,7 +71,7 @@ class MatchProcessor(StatefulProcessor):
     def _store(self, machine: KeyReplay) -> None:
         self._put(self.flows, [(s, *c) for s, c in machine.flows])
         self._put(self.logs, [(s, k, *log) for s, k, log in machine.logs])
-        length, depth, last = machine.pending or (0, 0, 0)
+        length, depth, last = machine.pending or (0, 0, None)
         self.counters.update((machine.pending is not None, length, depth, last,
                               machine.http_merges, machine.ftp_commands))
 
@@ -109,10 +110,10 @@ class MatchProcessor(StatefulProcessor):
             seq, kind, log = machine.logs.popleft()
             out.append(("lost_log", None, None, seq, kind, key, log[0], log[1], log[2], 0, log[3], 0, None))
 
-    @staticmethod
-    def _frame(out: list) -> pd.DataFrame:
+    def _frame(self, out: list) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=_OUTPUT_NAMES)
-        return frame.astype({c: "Int64" for c in ("merge_seq", "a_seq", "z_seq")})
+        kind = "Int64" if self.seq == "bigint" else object
+        return frame.astype({c: kind for c in ("merge_seq", "a_seq", "z_seq")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
@@ -129,10 +130,12 @@ class MatchProcessor(StatefulProcessor):
 def stream_match(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Merged rows (and, with a TTL, expired ones) of two streams with a ``seq`` column each.
 
-    Only flows of matched protocols enter; others need no state (see ``stream_other``).
+    ``seq`` is an integer or a place (see ``sources.arrival``), of one type on both sides. Only flows of matched
+    protocols enter; others need no state (see ``stream_other``).
     """
+    seq = flows.schema["seq"].dataType.simpleString()
     return stream_events(flows, logs).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=MatchProcessor(ttl_ms), outputStructType=OUTPUT, outputMode="append",
+        statefulProcessor=MatchProcessor(ttl_ms, seq), outputStructType=OUTPUT.format(seq=seq), outputMode="append",
         timeMode="ProcessingTime" if ttl_ms is not None else "None")
 
 
@@ -142,7 +145,7 @@ def stream_other(flows: DataFrame) -> DataFrame:
     nothing = F.lit(None)
     return flows.where(~lower_proto().isin(MATCHED_PROTOCOLS)).select(
         F.lit("merged").alias("status"), F.col("seq").alias("merge_seq"), F.col("seq").alias("a_seq"),
-        nothing.cast("bigint").alias("z_seq"), F.lit("other").alias("kind"), nothing.cast("string").alias("key"),
+        nothing.cast(flows.schema["seq"].dataType).alias("z_seq"), F.lit("other").alias("kind"), nothing.cast("string").alias("key"),
         nothing.cast("string").alias("service"), zero.alias("trans_depth"), zero.alias("response_body_len"),
         zero.alias("ct_flw_http_mthd"), F.lit(0).alias("is_ftp_login"), zero.alias("ct_ftp_cmd"),
         F.to_json(F.struct(*flows.columns)).alias("payload"))

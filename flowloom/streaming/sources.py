@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from flowloom.schemas import FLOW_TEXT_SCHEMA, LOG_KINDS, LOG_SCHEMA, SCORING_FIELDS, SCORING_SCHEMA
-from flowloom.sources.flows import CORRUPT, captured, normalize_flows, normalize_logs, union_logs, without_header
+from flowloom.schemas import LOG_KINDS, LOG_SCHEMA, SCORING_FIELDS, SCORING_SCHEMA  # noqa: F401
+from flowloom.sources.arrival import placed_lines, placed_records, queue_rows
+from flowloom.sources.flows import normalize_logs, parse_flow_lines, parse_log_lines, union_logs
 
 
 def _limits(reader, max_files: int | None):
@@ -16,31 +16,40 @@ def _limits(reader, max_files: int | None):
 
 
 def flow_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Sensor-A CSV files as they land; header and management rows are dropped."""
-    text = _limits(spark.readStream.schema(FLOW_TEXT_SCHEMA), max_files).csv(path)
-    return captured(normalize_flows(without_header(text)))
+    """Sensor-A CSV files as they land, each flow with the place of its line in ``seq``; headers and management rows go."""
+    return parse_flow_lines(placed_lines(_limits(spark.readStream, max_files).text(path)))
 
 
 def log_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """Sensor-B JSON logs from one folder per kind; comment, blank and broken lines are skipped."""
-    def read(kind):
-        lines = _limits(spark.readStream, max_files).text(f"{root}/{kind}")
-        marked = T.StructType([*LOG_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
-        parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        kept = lines.where((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("#"))
-        # every record that parses is kept, whatever fields it lacks
-        return kept.select(parsed.alias("r")).select("r.*").where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return normalize_logs(union_logs({kind: read(kind) for kind in LOG_KINDS}))
+    """Sensor-B JSON logs from one folder per kind, each record with the place of its line in ``seq``."""
+    return normalize_logs(union_logs({
+        kind: parse_log_lines(placed_lines(_limits(spark.readStream, max_files).text(f"{root}/{kind}"))) for kind in LOG_KINDS}))
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None,
                  starting: str = "earliest") -> DataFrame:
-    """Text records of a Kafka topic with their offset as arrival number (needs the connector jar)."""
+    """Text records of Kafka topics with their place in ``seq`` (needs the connector jar)."""
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
               .option("subscribe", topic).option("startingOffsets", starting))
     if max_offsets:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
-    return reader.load().select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"), "partition")
+    return placed_records(reader.load())
+
+
+def queued_flows(records: DataFrame) -> DataFrame:
+    """Typed flows of placed queue records that hold CSV lines."""
+    return parse_flow_lines(records)
+
+
+def queued_logs(by_kind: dict[str, DataFrame]) -> DataFrame:
+    """Log records of placed queue records that hold JSON lines, by the kind of their topic."""
+    return normalize_logs(union_logs({kind: parse_log_lines(records) for kind, records in by_kind.items()}))
+
+
+def kafka_sink(rows: DataFrame, servers: str, topic: str, checkpoint: str, key: str = "key", trigger: dict | None = None):
+    """Start a query that appends ``rows`` to a Kafka topic as JSON under their ``key`` (needs the connector jar)."""
+    return (queue_rows(rows, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+            .option("topic", topic).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def scoring_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

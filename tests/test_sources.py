@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import categories, dataset, evaluation, timematch
 from flowloom.schemas import FLOW_FIELDS, LABELLED_FIELDS, PROTO_LABELS, STATE_LABELS
-from flowloom.sources import flows as src
+from flowloom.sources import arrival, flows as src
 from flowloom.sources import sinks
+from flowloom.streaming import sources as streams
 
 
 def _write(path, text):
@@ -170,3 +171,55 @@ def test_joint_arrival_is_unique(spark):
     left, right = src.joint_arrival(a, z, ["t", "line"], ["ts", "line"])
     got = sorted([(r.seq, r.v) for r in left.collect()] + [(r.seq, r.v) for r in right.collect()])
     assert got == [(1, "x"), (2, "p"), (3, "q"), (4, "y"), (5, "z")]
+
+
+def test_joint_arrival_keeps_rows_with_equal_order(spark):
+    """Equal times and ties, null times and repeated rows: every row once, one number each."""
+    a = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (1, 1, "y"), (None, 2, "n"), (5, 1, "z")], "t bigint, line bigint, v string")
+    z = spark.createDataFrame([(1, 1, "p"), (1, 1, "q"), (None, None, "r")], "ts bigint, line bigint, w string")
+    left, right = src.joint_arrival(a, z, ["t", "line"], ["ts", "line"])
+    assert left.columns == ["t", "line", "v", "seq"] and right.columns == ["ts", "line", "w", "seq"]
+    first, second = ({r.seq: r for r in df.collect()} for df in (left, right))
+    assert sorted([*first, *second]) == list(range(1, 9))
+    assert [first[k].v for k in sorted(first)][:1] == ["n"] and [r.v for r in first.values()].count("y") == 2
+    # nulls, then flows of a time before its log records
+    assert first[1].v == "n" and second[2].w == "r" and {second[6].w, second[7].w} == {"p", "q"} and first[8].v == "z"
+
+
+def test_lines_are_placed_by_file_time_path_and_line(spark, tmp_path, rows):
+    import os
+    for name, time, lines in (("b.txt", 1, 30), ("a.txt", 2, 30), ("c d.txt", 2, 3)):
+        path = _write(tmp_path / "in" / name, "\n".join(f"{name} {i}" for i in range(lines)))
+        os.utime(path, (time, time))
+    # small splits: blocks of a file are read by several tasks
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        got = arrival.placed_lines(spark.read.text(str(tmp_path / "in"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.seq for r in got}) == 63
+    want = [f"{n} {i}" for n, lines in (("b.txt", 30), ("a.txt", 30), ("c d.txt", 3)) for i in range(lines)]
+    assert [r.value for r in sorted(got, key=lambda r: r.seq)] == want
+
+
+def test_queue_records_are_placed_over_topics_and_partitions(spark):
+    records = [(b"m", 5, "t", 0, 9), (b"k", 5, "t", 0, 10), (b"a", 5, "s", 1, 9), (b"z", 1, "t", 1, 700), (b"n", None, "t", 2, 0)]
+    df = spark.createDataFrame(records, "value binary, at bigint, topic string, partition int, offset bigint").selectExpr(
+        "value", "timestamp_micros(at) as timestamp", "topic", "partition", "offset")
+    got = sorted(arrival.placed_records(df).collect(), key=lambda r: r.seq)
+    assert [r.value for r in got] == ["n", "z", "a", "m", "k"] and len({r.seq for r in got}) == 5
+
+
+def test_queue_rows_round_trip(spark):
+    df = spark.createDataFrame([("k", 1, None), (None, 2, "x")], "key string, n int, note string")
+    got = arrival.queue_rows(df, "key")
+    assert [json.loads(r.value) for r in got.collect()] == [{"key": "k", "n": 1, "note": None}, {"key": None, "n": 2, "note": "x"}]
+    assert [r.key for r in got.collect()] == ["k", None]
+
+
+def test_queued_records_become_flows_and_logs(spark):
+    records = spark.createDataFrame([(_flow_line(), "1"), (",".join(FLOW_FIELDS), "2"), (_flow_line(proto="man"), "3"), ("", "4")],
+                                    "value string, seq string")
+    assert [(r.seq, r.sport, r.stime_us) for r in streams.queued_flows(records).collect()] == [("1", 80, 2_500_000)]
+    logs = spark.createDataFrame([('{"ts": 1, "id.orig_h": "s"}', "5"), ("# x", "6"), ("{broken", "7")], "value string, seq string")
+    assert [(r.seq, r.zeek_log, r.ts_us) for r in streams.queued_logs({"conn": logs}).collect()] == [("5", "conn", 1_000_000)]
