@@ -353,6 +353,23 @@ m as (select key, e[i] as cur, hit from r where hit is not null)
 select key, case when cur.side = 0 then cur.s else hit.s end as a_seq, case when cur.side = 0 then cur.t else hit.t end as a_us,
   case when cur.side = 0 then hit.s else cur.s end as z_seq, case when cur.side = 0 then hit.t else cur.t end as z_us from m"""
 
+
+
+def _wide(sql: str, late: bool, **names: str) -> str:
+    """The same with ten minutes for a millisecond and, if asked for, the late records' arrival numbers."""
+    sql = sql.replace(" 1000", " 600000000")
+    if late:
+        sql = sql.replace("1, seq, ts_us from fx_z", "1, seq + case when round(seq / 4.0) % 50 = 0 then 401 else 0 end, ts_us from fx_z")
+    for old, new in names.items():
+        sql = sql.replace(globals()[old], new)
+    return sql
+
+
+SQL["nearest_in_ten_minutes"] = _wide(_GREEDY, False)
+SQL["nearest_late_records"] = _wide(_GREEDY, True)
+SQL["interval_of_hot_keys"] = _wide(SQL["interval_match"], True, A_KEY="proto", Z_KEY="proto").replace(
+    " where proto in ('tcp', 'udp', 'icmp')", "")
+
 _REPLAY = f"""{FX_A}, {FX_Z},
 ev as (select {A_KEY} as key, seq, case when proto = 'tcp' then 'tcp' else 'dgram' end as kind, '' as service,
     0 as depth, 0 as len, 0 as login, 0 as cmd from fx_a where proto in ('tcp', 'udp', 'icmp')

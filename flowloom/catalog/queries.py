@@ -343,6 +343,34 @@ def interval_match(spark, sf):
         z.select("key", F.col("seq").alias("z_seq"), F.col("ts_us").alias("z_us")), 1000)
 
 
+# Ten minutes: windows of several flows and logs, so that rows compete.
+WIDE = 600_000_000
+
+
+def _late(z):
+    """Every fiftieth record arrives behind the hundred events that follow it."""
+    return z.withColumn("z_seq", F.col("z_seq") + F.when(F.round(F.col("z_seq") / 4) % 50 == 0, 401).otherwise(0))
+
+
+@query
+def nearest_in_ten_minutes(spark, sf):
+    return timematch.nearest_time_match(*_times(spark, sf), WIDE, block=512)
+
+
+@query
+def nearest_late_records(spark, sf):
+    a, z = _times(spark, sf)
+    return timematch.nearest_time_match(a, _late(z), WIDE, block=512)
+
+
+@query
+def interval_of_hot_keys(spark, sf):
+    """Keys are protocols, of which one holds most rows; some records are late."""
+    z = _late(logs(spark, sf).select("proto", F.col("seq").alias("z_seq"), F.col("ts_us").alias("z_us")))
+    a = flows(spark, sf).select("proto", F.col("seq").alias("a_seq"), F.col("stime_us").alias("a_us"))
+    return timematch.interval_match(a, z, WIDE, key="proto", block=512)
+
+
 @query
 def band_semi(spark, sf):
     a, z = _times(spark, sf)

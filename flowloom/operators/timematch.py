@@ -6,21 +6,17 @@ time in integer microseconds (``a_us`` / ``z_us``).
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators.matching import fifo_match
-from flowloom.operators.scan import (
-    BLOCK_WIDTH, SEQUENCE_WIDTH, Running, keyed_scan, own_exchange, sorted_scan, time_islands)
+from flowloom.operators.scan import BLOCK_WIDTH, SEQUENCE_WIDTH, Running, ordinal, own_exchange, sorted_scan
 from flowloom.session import cut_lineage
 
-PAIR_SCHEMA = "a_seq bigint, a_us bigint, z_seq bigint, z_us bigint"
-
 
 # --- set-based band predicates ------------------------------------------------
 
@@ -62,34 +58,50 @@ def band_anti(a: DataFrame, z: DataFrame, delta: int) -> DataFrame:
     return _with_band(a, z, delta).where("not __hit").select(*z.columns)
 
 
+# --- deferred acceptance over blocks -------------------------------------------
+#
+# Both matches below are greedy in the order of one side's rows: each takes the best partner that no earlier
+# row took. That is the one stable matching in which every partner prefers the earlier row, so it may be found in
+# any order of proposals: a row asks its best partner first, a partner drops a later row for an earlier one, and a
+# dropped row asks its next best. Partners are cut into blocks along the order of preference. A block answers all
+# rows that ever asked it, in their order; rows it has no partner for ask the next block they can reach. Only these
+# cross a border, and only blocks that got new ones answer again.
+
+def settle(first: DataFrame, answer: Callable[[DataFrame], DataFrame], onward: Callable[[DataFrame], DataFrame],
+           block: list[str], row: str) -> DataFrame:
+    """Proposals with the ``hit`` that each ends with, from the block that grants it.
+
+    ``first`` holds a proposal per row: its ``block`` columns, the number ``row``, and what ``answer`` needs. ``answer``
+    adds ``hit`` (null: none) to whole blocks of proposals; ``onward`` turns refused ones into proposals to later blocks.
+    """
+    asked = cut_lineage(first)
+    todo, granted = asked, None
+    while True:
+        answered = cut_lineage(answer(todo))
+        again = answered.select(*block).distinct()
+        kept = answered.where("hit is not null")
+        granted = kept if granted is None else cut_lineage(granted.join(again, block, "left_anti").unionByName(kept))
+        fresh = cut_lineage(onward(answered.where("hit is null").drop("hit")).join(asked.select(*block, row), [*block, row], "left_anti"))
+        if fresh.isEmpty():
+            return granted
+        asked = cut_lineage(asked.unionByName(fresh))
+        todo = asked.join(fresh.select(*block).distinct(), block, "left_semi")
+
+
 # --- nearest-time one-to-one match --------------------------------------------
 
-def nearest_time_match(a: DataFrame, z: DataFrame, delta: int, width: int = BLOCK_WIDTH) -> DataFrame:
+def nearest_time_match(a: DataFrame, z: DataFrame, delta: int, width: int = BLOCK_WIDTH,
+                       block: int = SEQUENCE_WIDTH) -> DataFrame:
     """Each z row, in row order, takes the smallest unused a time within ``delta``.
 
-    With ``delta`` 0 this is first in, first out pairing on the timestamp. Records in time
-    order, the usual case of a log, go through :func:`ordered_time_match`, which splits
-    any density over blocks; others through the islands of :func:`island_time_match`.
+    With ``delta`` 0 this is first in, first out pairing on the timestamp. Otherwise a rows are numbered
+    by time and cut into blocks of ``block`` rows, whatever the density, and a z row asks for the first
+    free number of its window. Records may come in any order of time. Rows without a time match nothing.
     """
     if delta == 0:
         pairs = fifo_match(a.withColumn("__t", F.col("a_us")), z.withColumn("__t", F.col("z_us")), "__t", width=width)
         return pairs.select("a_seq", "a_us", "z_seq", "z_us")
-    late = keyed_scan(z.select("z_seq", "z_us"), [], "z_seq",
-                      [Running("__max", F.col("z_us"), "max", inclusive=False)], SEQUENCE_WIDTH)
-    if late.where(F.col("z_us") < F.col("__max")).isEmpty():
-        return ordered_time_match(a, z, delta)
-    return island_time_match(a, z, delta)
-
 
-def ordered_time_match(a: DataFrame, z: DataFrame, delta: int, block: int = SEQUENCE_WIDTH) -> DataFrame:
-    """The greedy match for z rows in time order, without sequential islands.
-
-    Let ``lo`` and ``hi`` count the a rows before and up to the end of a z row's window and
-    ``q`` the a rows passed so far. Row number ``b`` takes a row ``max(q, lo)`` if that is
-    below ``hi``, so ``q - b`` moves by a clamp to ``[lo - b + 1, hi - b]``. Clamps compose
-    to clamps: each block of z rows is reduced to one, a short pass over the blocks gives
-    every block its start, and the blocks then run independently.
-    """
     def points(df, seq, us, side):
         # at equal times: window starts, then a rows, then window ends
         return df.select((us * 3 + F.lit([1, 0, 2][side])).alias("at"), F.lit(side).alias("side"),
@@ -97,108 +109,41 @@ def ordered_time_match(a: DataFrame, z: DataFrame, delta: int, block: int = SEQU
     line = (points(a, "a_seq", F.col("a_us"), 0).unionByName(points(z, "z_seq", F.col("z_us") - delta, 1))
             .unionByName(points(z, "z_seq", F.col("z_us") + delta, 2)).where(F.col("at").isNotNull()))
     seen = cut_lineage(sorted_scan(line, [], ["at", "side", "seq"], [
-        Running("a_seen", (F.col("side") == 0).cast("bigint")), Running("b", (F.col("side") == 1).cast("bigint"))]))
-    starts = seen.where("side = 1").select("seq", "b", F.col("a_seen").alias("lo"),
+        Running("a_seen", (F.col("side") == 0).cast("bigint"), inclusive=False)]))
+    starts = seen.where("side = 1").select("seq", F.col("a_seen").alias("lo"),
                                            (F.floor(F.col("at") / 3) + delta).cast("bigint").alias("z_us"))
     ends = seen.where("side = 2").select("seq", F.col("a_seen").alias("hi"))
-    windows = cut_lineage(starts.join(ends, "seq").withColumn("blk", F.floor(F.col("b") / block).cast("bigint")))
+    windows = starts.join(ends, "seq").where("hi > lo").withColumn("blk", F.expr(f"lo div {block}"))
 
-    def in_order(df):
-        return df.repartition(own_exchange("blk")).sortWithinPartitions("blk", "b")
+    def answer(asked: DataFrame) -> DataFrame:
+        ordered = asked.repartition(own_exchange("blk")).sortWithinPartitions("blk", "seq")
+        return ordered.mapInPandas(lambda batches: _first_free(batches, block),
+                                   "seq bigint, lo bigint, z_us bigint, hi bigint, blk bigint, hit bigint")
 
-    clamps = in_order(windows.select("blk", "b", "lo", "hi")).mapInPandas(
-        _block_clamps, "blk bigint, low bigint, high bigint")
-    # one row per block
-    entries = clamps.repartition(1).sortWithinPartitions("blk").mapInPandas(_block_entries, "blk bigint, r bigint")
-    taken = in_order(windows.join(entries, "blk")).mapInPandas(
-        _take_in_order, "a_seen bigint, z_seq bigint, z_us bigint")
+    def onward(refused: DataFrame) -> DataFrame:
+        return refused.withColumn("blk", F.col("blk") + 1).where(F.col("hi") > F.col("blk") * block)
+    taken = settle(windows, answer, onward, ["blk"], "seq").select(
+        F.col("hit").alias("a_seen"), F.col("seq").alias("z_seq"), "z_us")
     numbered = seen.where("side = 0").select(
         "a_seen", F.col("seq").alias("a_seq"), F.floor(F.col("at") / 3).cast("bigint").alias("a_us"))
     return numbered.join(taken, "a_seen").select("a_seq", "a_us", "z_seq", "z_us")
 
 
-_UNBOUNDED = 1 << 62
-
-
-def _block_clamps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, low, high = None, -_UNBOUNDED, _UNBOUNDED
-    for batch in batches:
-        out = []
-        for blk, b, lo, hi in zip(*[batch[c].tolist() for c in ("blk", "b", "lo", "hi")]):
-            if blk != current:
-                if current is not None:
-                    out.append((current, low, high))
-                current, low, high = blk, -_UNBOUNDED, _UNBOUNDED
-            low = min(max(low, lo - b + 1), hi - b)
-            high = min(max(high, lo - b + 1), hi - b)
-        yield pd.DataFrame(out, columns=["blk", "low", "high"], dtype="int64")
-    if current is not None:
-        yield pd.DataFrame([(current, low, high)], columns=["blk", "low", "high"], dtype="int64")
-
-
-def _block_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    r = 0
-    for batch in batches:
-        out = []
-        for blk, low, high in zip(*[batch[c].tolist() for c in ("blk", "low", "high")]):
-            out.append((blk, r))
-            r = min(max(r, low), high)
-        yield pd.DataFrame(out, columns=["blk", "r"], dtype="int64")
-
-
-def _take_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, passed = None, 0
+def _first_free(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block and order take the first free number of their window inside the block."""
+    current, following = None, []
     for batch in batches:
-        out = []
-        for blk, b, lo, hi, r, seq, us in zip(*[batch[c].tolist() for c in ("blk", "b", "lo", "hi", "r", "seq", "z_us")]):
+        hits = []
+        for blk, lo, hi in zip(*[batch[c].tolist() for c in ("blk", "lo", "hi")]):
             if blk != current:
-                current, passed = blk, r + b - 1
-            passed = max(passed, lo)
-            if passed < hi:
-                passed += 1
-                out.append((passed, seq, us))
-        yield pd.DataFrame(out, columns=["a_seen", "z_seq", "z_us"], dtype="int64")
-
-
-def island_time_match(a: DataFrame, z: DataFrame, delta: int) -> DataFrame:
-    """The greedy match for z rows in any order.
-
-    Rows further apart than ``delta`` cannot meet, so the time axis falls into independent
-    islands; each is streamed through one task.
-    """
-    rows = (a.select(F.lit(0).alias("side"), F.col("a_seq").alias("seq"), F.col("a_us").alias("us"))
-            .unionByName(z.select(F.lit(1).alias("side"), F.col("z_seq").alias("seq"), F.col("z_us").alias("us"))))
-    # a rows first by time, then z rows in their own order
-    placed = (time_islands(rows.where(F.col("us").isNotNull()), "us", delta)
-              .withColumn("rank", F.when(F.col("side") == 0, F.col("us")).otherwise(F.col("seq")))
-              .repartition(own_exchange("island")).sortWithinPartitions("island", "side", "rank", "seq"))
-    return (placed.select("island", "side", "seq", "us")
-            .mapInPandas(lambda batches: _greedy_by_island(batches, delta), PAIR_SCHEMA))
-
-
-def _greedy_by_island(batches: Iterator[pd.DataFrame], delta: int) -> Iterator[pd.DataFrame]:
-    """Stream the sorted rows of many islands; only the open island's a rows are held."""
-    island, ids, times = None, [], []
-    following: list[int] = []
-    sorted_times = None
-    for batch in batches:
-        out = []
-        for isl, side, seq, us in zip(batch["island"].tolist(), batch["side"].tolist(),
-                                      batch["seq"].tolist(), batch["us"].tolist()):
-            if isl != island:
-                island, ids, times, following, sorted_times = isl, [], [], [], None
-            if side == 0:
-                ids.append(seq)
-                times.append(us)
-                continue
-            if sorted_times is None:
-                sorted_times = np.asarray(times, dtype=np.int64)
-                following = list(range(len(times) + 1))
-            pick = _unused(following, int(np.searchsorted(sorted_times, us - delta, "left")))
-            if pick < len(times) and times[pick] <= us + delta:
+                current, following = blk, list(range(block + 1))
+            pick = _unused(following, max(lo - blk * block, 0))
+            if pick < min(hi - blk * block, block):
                 following[pick] = pick + 1
-                out.append((ids[pick], times[pick], seq, us))
-        yield pd.DataFrame(out, columns=["a_seq", "a_us", "z_seq", "z_us"], dtype="int64")
+                hits.append(blk * block + pick)
+            else:
+                hits.append(None)
+        yield batch.assign(hit=pd.array(hits, dtype="Int64"))
 
 
 def _unused(following: list[int], i: int) -> int:
@@ -211,69 +156,111 @@ def _unused(following: list[int], i: int) -> int:
 
 # --- keyed interval match in arrival order ------------------------------------
 
-def interval_match(a: DataFrame, z: DataFrame, tolerance: int, key: str = "key") -> DataFrame:
+def interval_match(a: DataFrame, z: DataFrame, tolerance: int, key: str = "key", block: int = SEQUENCE_WIDTH) -> DataFrame:
     """Equal key and times within ``tolerance``: an arrival takes the oldest-arrived partner.
 
-    ``a_seq`` and ``z_seq`` share one arrival order. Islands of a key whose gap exceeds the
-    tolerance are independent, so even a busy key is spread over many groups.
+    ``a_seq`` and ``z_seq`` share one arrival order. An arrival that finds nobody waits and is taken by
+    a later one, so either side prefers the partner that arrived first: a rows, in their order, take the first
+    free z row within the tolerance. The z rows of a key are cut into blocks of ``block`` arrivals; an a row asks
+    those blocks that hold a z row of its own or a neighbouring stretch of time, however busy the key and however
+    late the row. Rows without a key or time match nothing.
     """
-    rows = (a.select(key, F.lit(0).alias("side"), F.col("a_seq").alias("seq"), F.col("a_us").alias("us"))
-            .unionByName(z.select(key, F.lit(1).alias("side"), F.col("z_seq").alias("seq"),
-                                  F.col("z_us").alias("us"))))
-    placed = (time_islands(rows.where(F.col("us").isNotNull()), "us", tolerance, [key])
-              .repartition(own_exchange(key, "island")).sortWithinPartitions(key, "island", "seq"))
-    return (placed.select(F.col(key).alias("key"), "island", "side", "seq", "us")
-            .mapInPandas(lambda batches: _arrival_by_island(batches, tolerance), f"key string, {PAIR_SCHEMA}"))
-
-
-class _Waiting:
-    """Waiting rows of one side in arrival order, reachable by time bucket."""
-
-    def __init__(self, tolerance: int):
-        self.tolerance = tolerance
-        self.width = max(tolerance, 1)
-        self.buckets: dict[int, deque] = {}
-
-    def push(self, seq: int, us: int) -> None:
-        self.buckets.setdefault(us // self.width, deque()).append((seq, us))
-
-    def take(self, us: int):
-        """Oldest-arrived row within the tolerance, removed; ``None`` if there is none."""
-        best = None
-        home = us // self.width
-        for b in (home - 1, home, home + 1):
-            for i, (seq, t) in enumerate(self.buckets.get(b, ())):
-                if best is not None and seq > best[0]:
-                    break
-                if abs(t - us) <= self.tolerance:
-                    best = (seq, t, b, i)
-                    break
-        if best is None:
+    width = max(tolerance, 1)
+
+    def stretch(us: str) -> Column:
+        return F.expr(f"cast(floor({us} / {width}) as bigint)")
+    z = z.select(F.col(key).alias("key"), "z_seq", "z_us").where("key is not null and z_us is not null")
+    placed = cut_lineage(ordinal(z, ["key"], "z_seq", "nth").select(
+        "key", "z_seq", "z_us", F.expr(f"(nth - 1) div {block}").alias("blk")))
+    held = placed.select("key", stretch("z_us").alias("stretch"), "blk").distinct()
+    # as many rows of a stretch as it has blocks
+    nexts = cut_lineage(held.select("*", F.lead("blk").over(Window.partitionBy("key", "stretch").orderBy("blk")).alias("next")))
+    opening = nexts.groupBy("key", "stretch").agg(F.min("blk").alias("blk"))
+
+    first = a.select(F.col(key).alias("key"), F.col("a_seq").alias("seq"), F.col("a_us").alias("us")).where(
+        "key is not null and us is not null")
+    for d in (-1, 0, 1):
+        first = first.join(opening.select("key", (F.col("stretch") - d).alias("__s"), F.col("blk").alias(f"p{d + 1}")),
+                           (first["key"] == opening["key"]) & (stretch("us") == F.col("__s")), "left").select(
+            first["*"], f"p{d + 1}")
+    asked = ["key", "seq", "us", "p0", "p1", "p2"]
+    first = first.select(*asked, F.least("p0", "p1", "p2").alias("blk")).where("blk is not null")
+
+    def answer(todo: DataFrame) -> DataFrame:
+        blocks = placed.join(todo.select("key", "blk").distinct(), ["key", "blk"], "left_semi")
+        rows = todo.withColumn("side", F.lit(1)).unionByName(blocks.select(
+            "key", "blk", F.col("z_seq").alias("seq"), F.col("z_us").alias("us"), F.lit(0).alias("side")), allowMissingColumns=True)
+        ordered = rows.repartition(own_exchange("key", "blk")).sortWithinPartitions("key", "blk", "side", "seq")
+        return ordered.mapInPandas(lambda batches: _first_arrived(batches, tolerance), (
+            "key string, seq bigint, us bigint, p0 bigint, p1 bigint, p2 bigint, blk bigint, hit bigint, hit_us bigint"))
+
+    def onward(refused: DataFrame) -> DataFrame:
+        out = refused.select(*asked, "blk")
+        for d in (-1, 0, 1):
+            p = f"p{d + 1}"
+            step = nexts.select(F.col("key").alias("__k"), (F.col("stretch") - d).alias("__s"), F.col("blk").alias("__b"), "next")
+            out = out.join(step, (F.col("key") == F.col("__k")) & (stretch("us") == F.col("__s"))
+                           & (F.col("blk") == F.col("__b")) & (F.col(p) == F.col("__b")), "left").withColumn(
+                p, F.when(F.col(p) == F.col("blk"), F.col("next")).otherwise(F.col(p))).select(*asked, "blk")
+        return out.withColumn("blk", F.least("p0", "p1", "p2")).where("blk is not null")
+    return settle(first, answer, onward, ["key", "blk"], "seq").select(
+        "key", F.col("seq").alias("a_seq"), F.col("us").alias("a_us"), F.col("hit").alias("z_seq"), F.col("hit_us").alias("z_us"))
+
+
+class _FreeByTime:
+    """Free rows of a block: the first to arrive within a range of times, and taking it, in logarithmic time."""
+
+    def __init__(self, seqs: list[int], times: list[int]):
+        order = sorted(range(len(seqs)), key=times.__getitem__)
+        self.times = [times[i] for i in order]
+        self.n = n = len(order)
+        # a tree of minima: the leaves are arrival ranks by time, rank n stands for a taken row
+        self.tree = [n] * n + order
+        for i in range(n - 1, 0, -1):
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+        self.leaf = {rank: i + n for i, rank in enumerate(order)}
+
+    def take(self, low: int, high: int) -> int | None:
+        """Rank of the first arrival with a time from ``low`` to ``high``, which is no longer free then."""
+        tree, best = self.tree, self.n
+        i, j = bisect_left(self.times, low) + self.n, bisect_right(self.times, high) + self.n
+        while i < j:
+            if i & 1:
+                best = min(best, tree[i])
+                i += 1
+            if j & 1:
+                j -= 1
+                best = min(best, tree[j])
+            i, j = i >> 1, j >> 1
+        if best == self.n:
             return None
-        seq, t, b, i = best
-        del self.buckets[b][i]
-        if not self.buckets[b]:
-            del self.buckets[b]
-        return seq, t
+        i = self.leaf[best]
+        tree[i] = self.n
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        return best
 
 
-def _arrival_by_island(batches: Iterator[pd.DataFrame], tolerance: int) -> Iterator[pd.DataFrame]:
-    group, waiting = None, ()
+def _first_arrived(batches: Iterator[pd.DataFrame], tolerance: int) -> Iterator[pd.DataFrame]:
+    """Blocks of z rows (side 0), each followed by the a rows that ask it; one block of z rows is held."""
+    current, seqs, times, free = None, [], [], None
     for batch in batches:
-        out = []
-        for key, isl, side, seq, us in zip(batch["key"].tolist(), batch["island"].tolist(), batch["side"].tolist(),
-                                           batch["seq"].tolist(), batch["us"].tolist()):
-            if (key, isl) != group:
-                group, waiting = (key, isl), (_Waiting(tolerance), _Waiting(tolerance))
-            found = waiting[1 - side].take(us)
-            if found is None:
-                waiting[side].push(seq, us)
-            elif side == 0:
-                out.append((key, seq, us, *found))
+        hits, at = [], []
+        for key, blk, side, seq, us in zip(*[batch[c].tolist() for c in ("key", "blk", "side", "seq", "us")]):
+            if (key, blk) != current:
+                current, seqs, times, free = (key, blk), [], [], None
+            rank = None
+            if side == 0:
+                seqs.append(seq)
+                times.append(us)
             else:
-                out.append((key, *found, seq, us))
-        yield pd.DataFrame(out, columns=["key", "a_seq", "a_us", "z_seq", "z_us"]).astype(
-            {"a_seq": "int64", "a_us": "int64", "z_seq": "int64", "z_us": "int64"})
+                free = free or _FreeByTime(seqs, times)
+                rank = free.take(us - tolerance, us + tolerance)
+            hits.append(None if rank is None else seqs[rank])
+            at.append(None if rank is None else times[rank])
+        out = batch.assign(hit=pd.array(hits, dtype="Int64"), hit_us=pd.array(at, dtype="Int64"))
+        yield out[out["side"] == 1].drop(columns="side").astype({p: "Int64" for p in ("p0", "p1", "p2")})
 
 
 # --- results ------------------------------------------------------------------

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowloom.operators import enrichment, timematch
 from tests import models
@@ -40,14 +41,38 @@ def test_nearest_equals_the_global_greedy(spark, rows, delta, order):
     assert sorted(rows(timematch.nearest_time_match(fa, fz, delta))) == models.nearest(a, z, delta)
 
 
-def test_blocks_of_ordered_records_hand_over(spark, rows):
+@pytest.mark.parametrize("order", ["shuffled", "sorted", "late"])
+def test_blocks_hand_refused_rows_on(spark, rows, order):
     r = random.Random(21)
     # one dense stretch in which nearly every row depends on the one before
     a = [(i, r.randrange(2500)) for i in range(700)]
-    z = list(enumerate(sorted(r.randrange(2500) for _ in range(800))))
+    zt = sorted(r.randrange(2500) for _ in range(800))
+    if order == "shuffled":
+        r.shuffle(zt)
+    if order == "late":
+        zt.append(zt.pop(100))
+    z = list(enumerate(zt))
     fa, fz = _frames(spark, a, z)
-    assert sorted(rows(timematch.ordered_time_match(fa, fz, 15, block=32))) == models.nearest(a, z, 15)
-    assert sorted(rows(timematch.island_time_match(fa, fz, 15))) == models.nearest(a, z, 15)
+    assert sorted(rows(timematch.nearest_time_match(fa, fz, 15, block=32))) == models.nearest(a, z, 15)
+
+
+def test_dense_island_spreads_over_tasks(spark, rows, monkeypatch):
+    """No pause anywhere and one late record: the rows of the island are answered in blocks of the same size."""
+    asked = []
+    settle = timematch.settle
+
+    def watched(first, answer, onward, block, row):
+        asked.append([r["n"] for r in first.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).collect()])
+        return settle(first, answer, onward, block, row)
+    monkeypatch.setattr(timematch, "settle", watched)
+    a = [(i, i) for i in range(2000)]
+    z = [(i, i + 1) for i in range(1, 2000)] + [(2000, 1)]
+    assert sorted(rows(timematch.nearest_time_match(*_frames(spark, a, z), 5, block=100))) == models.nearest(a, z, 5)
+    assert len(asked[0]) == 20 and max(asked[0]) <= 110
+    ka, kz = [("k", 2 * i, t) for i, t in a], [("k", 2 * i + 1, t) for i, t in z]
+    pairs = timematch.interval_match(spark.createDataFrame(ka, "key string, " + A), spark.createDataFrame(kz, "key string, " + Z), 5, block=100)
+    assert sorted(rows(pairs)) == models.interval(ka, kz, 5)
+    assert len(asked[1]) == 20 and max(asked[1]) <= 120
 
 
 @pytest.mark.parametrize("delta", [0, 5, 30])
@@ -61,13 +86,19 @@ def test_band_predicates(spark, rows, delta):
     assert rows(timematch.band_anti(fa, fz, delta)) == sorted(set(z) - set(near), key=repr)
 
 
-def test_interval_match_equals_the_cache_loop(spark, rows):
-    r = random.Random(9)
-    a = [("hot" if r.random() < 0.4 else r.choice("pq"), 2 * i, r.randrange(4000)) for i in range(400)]
-    z = [("hot" if r.random() < 0.4 else r.choice("pq"), 2 * i + 1, r.randrange(4000)) for i in range(400)]
+@pytest.mark.parametrize("tolerance,span,block", [(6, 4000, 1 << 16), (6, 4000, 16), (40, 1000, 16), (0, 60, 8), (300, 900, 50)])
+@pytest.mark.parametrize("late", [True, False])
+def test_interval_match_equals_the_cache_loop(spark, rows, tolerance, span, block, late):
+    r = random.Random(tolerance + span)
+    times = [r.randrange(span) for _ in range(800)]
+    if not late:
+        times.sort()
+    names = ["hot" if r.random() < 0.4 else r.choice("pq") for _ in times]
+    a = [(k, i, t) for i, (k, t) in enumerate(zip(names, times)) if i % 2 == 0]
+    z = [(k, i, t) for i, (k, t) in enumerate(zip(names[::-1], times)) if i % 2]
     fa = spark.createDataFrame(a, "key string, " + A)
     fz = spark.createDataFrame(z, "key string, " + Z)
-    assert sorted(rows(timematch.interval_match(fa, fz, 6))) == models.interval(a, z, 6)
+    assert sorted(rows(timematch.interval_match(fa, fz, tolerance, block=block))) == models.interval(a, z, tolerance)
 
 
 def test_summary_counts_unreadable_records(spark):
