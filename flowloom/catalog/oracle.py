@@ -427,6 +427,16 @@ from (select * from merges union all select seq, seq, null, 'other', null, 0, 0,
   where proto not in ('tcp', 'udp', 'icmp')) m join fx_a on fx_a.seq = m.a_seq"""
 
 
+def _hot(columns: str) -> str:
+    names = columns.split()
+    values = ["'tcp'", "'10.9.9.9'", "1024", "'10.9.9.8'", "21"]
+    return ", ".join(f"case when round(seq / 4.0) % 3 = 0 then {v} else {c} end as {c}" for c, v in zip(names, values))
+
+
+SQL["replay_hot_ftp"] = "with recursive " + _REPLAY.replace(f"{FX_A}, {FX_Z}", (
+    f"{FX_A.replace('fx_a as', 'own_a as', 1)}, {FX_Z.replace('fx_z as', 'own_z as', 1)},\n"
+    f"fx_a as (select * replace ({_hot('proto saddr sport daddr dport')}) from own_a),\n"
+    f"fx_z as (select * replace ({_hot('proto orig_h orig_p resp_h resp_p')}) from own_z)"), 1) + " select * from merges"
 # by time, flows first; ties by sequence number and length
 SQL["merge_from_files"] = _replayed("'o1': stime_us, 'o2': 0, 'o3': stcpb, 'o4': 0, 'o5': 0",
                                     "'o1': ts_us, 'o2': 1, 'o3': response_body_len, 'o4': seq, 'o5': 0")

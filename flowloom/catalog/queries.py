@@ -615,6 +615,22 @@ def replay_merges(spark, sf):
         "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
 
 
+def _one_hot_key(df, source: str, source_port: str, target: str, target_port: str):
+    """Every third event on one key of tcp traffic."""
+    third = F.round(F.col("seq") / 4) % 3 == 0
+    fixed = {"proto": "tcp", source: "10.9.9.9", source_port: 1024, target: "10.9.9.8", target_port: 21}
+    return df.withColumns({c: F.when(third, F.lit(v)).otherwise(F.col(c)) for c, v in fixed.items()})
+
+
+@query
+def replay_hot_ftp(spark, sf):
+    """A third of both sensors on one key that has ftp records."""
+    return replay.replay_merges(_one_hot_key(flows(spark, sf), "saddr", "sport", "daddr", "dport"),
+                                _one_hot_key(logs(spark, sf), "orig_h", "orig_p", "resp_h", "resp_p")).select(
+        "merge_seq", "a_seq", "z_seq", "kind", "service", "trans_depth", "response_body_len",
+        "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
+
+
 @query
 def replay_flows(spark, sf):
     return merge.merge_flows(flows(spark, sf), logs(spark, sf), mode="replay")

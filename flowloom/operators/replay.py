@@ -4,13 +4,14 @@ Differences to the set form, all of them visible only through arrival order: htt
 stay in the waiting queue after they were folded, so a later flow may still take one; an
 ftp record that finds no flow waits for one; queues are first in, first out.
 
-Keys without ftp records need no sequential code. Let ``flows``, ``conns`` and ``https``
-be the running counts of eligible flows, conn and http records of a key. Each arrival acts
-on the length of the flow queue as ``x -> max(x + c, d)``; such maps compose, and the
-composition up to an arrival is a running maximum ``m`` of ``flows - https`` at flows and
-``conns`` at conn records. Then ``m - conns`` flows and ``https - flows + m`` records are
-waiting. Only keys with ftp records, whose effect depends on the queue itself, are streamed
-through a small per-key state machine.
+Let ``flows``, ``conns`` and ``https`` be the running counts of eligible flows, conn and http records
+of a key, and ``peak`` the running maximum of ``flows - https`` at flows. Each arrival acts on the length of
+the flow queue as ``x -> max(x + c, d)``, which adds up to ``max(peak, conns) - conns`` waiting flows
+and ``max(peak, conns) + https - flows`` waiting records. An ftp record that finds a flow leaves all as it
+is; one that finds none waits like a conn record. So it waits if ``peak - conns`` is no more than the number of
+ftp records that wait before it: only this number depends on what came before, and ftp records with the same
+``peak`` and ``conns`` decide alike. One narrow row per such run of records passes a sequential step, all else
+is running counts and joins over blocks of a key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,6 @@ from flowloom.session import cut_lineage
 
 MERGE_COLUMNS = ["merge_seq", "a_seq", "z_seq", "kind", "key", "service", "trans_depth", "response_body_len",
                  "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd", *CARRIED]
-MERGE_SCHEMA = ("merge_seq bigint, a_seq bigint, z_seq bigint, kind string, key string, service string, "
-                "trans_depth bigint, response_body_len bigint, ct_flw_http_mthd bigint, is_ftp_login int, "
-                "ct_ftp_cmd bigint, saddr string, sport bigint, daddr string, dport bigint, ltime bigint")
 LOG_COLUMNS = ["service", "trans_depth", "response_body_len", "is_ftp_login", "has_command"]
 
 
@@ -82,84 +80,90 @@ class KeyReplay:
         return (at, flow[0], z_seq, kind, service, depth, length, http, login, ftp, *flow[1])
 
 
-_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-_MERGE_TYPES = [_ARROW[f.split()[1]] for f in MERGE_SCHEMA.split(", ")]
-
-
-def _stream_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, machine = None, None
-    for batch in batches:
-        out = []
-        columns = [batch.column(c).to_pylist() for c in ["key", "seq", "kind", *CARRIED, *LOG_COLUMNS]]
-        n = 3 + len(CARRIED)
-        for row in zip(*columns):
-            if row[0] != key:
-                key, machine = row[0], KeyReplay()
-            merged = machine.step(row[1], row[2], row[3:n], row[n:])
-            if merged is not None:
-                out.append((*merged[:4], key, *merged[4:]))
-        values = list(zip(*out)) if out else [()] * len(MERGE_COLUMNS)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _MERGE_TYPES)], names=MERGE_COLUMNS)
-
-
 def log_numbers(events: DataFrame) -> DataFrame:
     """Zero for what a log record does not state; flow columns keep their nulls."""
     return events.fillna(0, ["trans_depth", "response_body_len", "is_ftp_login", "has_command"])
 
 
-def replay_sequential(events: DataFrame) -> DataFrame:
-    """Arrivals of each key in order through :class:`KeyReplay`.
-
-    The shuffle sorts by key and arrival, so a task holds one key's queues, never its rows.
-    """
-    ordered = (log_numbers(events).select("key", "seq", "kind", *CARRIED, *LOG_COLUMNS)
-               .repartition(own_exchange("key")).sortWithinPartitions("key", "seq"))
-    return ordered.mapInArrow(_stream_keys, MERGE_SCHEMA)
-
-
-def replay_without_ftp(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
-    """Replay of keys that have no ftp records, as running counts and joins."""
+def _runs_that_wait(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs sorted by key and arrival: a run waits if as many ftp records as its margin wait before it."""
+    key, waiting = None, 0
+    for batch in batches:
+        out = []
+        for k, margin, n in zip(*[batch[c].tolist() for c in ("key", "margin", "n")]):
+            if k != key:
+                key, waiting = k, 0
+            out.append(waiting >= margin)
+            waiting += n if out[-1] else 0
+        yield batch[["key", "peak", "conns_seen"]].assign(waits=out)
+
+
+def ftp_decisions(peaked: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """``peaked`` with ``waits`` (null but for ftp records) and ``conns_seen`` that counts waiting ftp records, too."""
+    ftp = F.col("kind") == "ftp"
+    runs = peaked.where(ftp).groupBy("key", "peak", "conns_seen").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), (F.col("peak") - F.col("conns_seen")).alias("margin"))
+    # narrow: a row per run, not per record
+    waits = runs.repartition(own_exchange("key")).sortWithinPartitions("key", "seq").select(
+        "key", "peak", "conns_seen", "n", "margin").mapInPandas(
+        _runs_that_wait, "key string, peak bigint, conns_seen bigint, waits boolean")
+    decided = peaked.where(ftp).join(waits, ["key", "peak", "conns_seen"])
+    all_rows = cut_lineage(peaked.where(~ftp).unionByName(decided.select(*peaked.columns, "waits"), allowMissingColumns=True))
+    counted = keyed_scan(all_rows, ["key"], "seq", [Running("__ftps", F.coalesce(F.col("waits"), F.lit(False)).cast("bigint"))], width)
+    return counted.withColumn("conns_seen", F.col("conns_seen") + F.col("__ftps")).drop("__ftps")
+
+
+def replay_events(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """Merges of a timeline: no rows of a key meet in one task but by blocks of its arrivals."""
     kind = F.col("kind")
-    ranked = cut_lineage(ranked_timeline(events, width))
+    ranked = cut_lineage(ranked_timeline(log_numbers(events), width))
     queue_flow = kind.isin("tcp", "dgram") & ~F.col("folds")
-    peak = F.when(queue_flow, F.col("flows_seen") - F.col("https_seen")).when(kind == "conn", F.col("conns_seen"))
-    peaked = keyed_scan(ranked, ["key"], "seq", [Running("__peak", peak, "max", inclusive=False)], width)
-    high = F.greatest(F.col("__peak"), F.lit(0))
+    peaked = keyed_scan(ranked, ["key"], "seq", [
+        Running("peak", F.when(queue_flow, F.col("flows_seen") - F.col("https_seen")), "max", inclusive=False)], width)
+    peaked = cut_lineage(peaked.withColumn("peak", F.greatest("peak", F.lit(0).cast("bigint"))))
+    decided = ftp_decisions(peaked, width)
+
+    lent = (kind == "ftp") & ~F.col("waits")
+    record = (kind == "conn") | ((kind == "ftp") & F.col("waits"))
+    conns_before = F.col("conns_seen") - record.cast("bigint")
+    high = F.greatest(F.col("peak"), conns_before)
     takes_log = queue_flow & (F.col("https_seen") - F.col("flows_seen") + 1 + high > 0)
-    takes_flow = (kind == "conn") & (high - F.col("conns_seen") + 1 > 0)
+    takes_flow = (kind == "conn") & (high - conns_before > 0)
     moves = {"a_push": queue_flow & ~takes_log, "a_pop": takes_flow,
-             "z_push": (kind == "http") | ((kind == "conn") & ~takes_flow), "z_pop": takes_log}
-    flagged = peaked.select(*ranked.columns, *[c.alias(f"__{n}") for n, c in moves.items()])
+             "z_push": (kind == "http") | (record & ~takes_flow), "z_pop": takes_log}
+    flagged = decided.select(*ranked.columns, lent.alias("__lent"), *[c.alias(f"__{n}") for n, c in moves.items()])
     queued = cut_lineage(keyed_scan(flagged, ["key"], "seq", [
         Running(n, F.col(f"__{n}").cast("bigint")) for n in moves], width))
 
     def rows(flag, rank, seq, cols):
-        return queued.where(F.col(f"__{flag}")).select("key", F.col(rank).alias("rn"), F.col("seq").alias(seq), *cols)
-
-    log_cols = ["kind", "service", "trans_depth", "response_body_len"]
-    taken = (rows("z_pop", "z_pop", "a_seq", CARRIED)
-             .join(rows("z_push", "z_push", "z_seq", log_cols), ["key", "rn"])
+        return queued.where(F.col(f"__{flag}")).select("key", rank.alias("rn"), F.col("seq").alias(seq), *cols)
+
+    log_cols = ["kind", *LOG_COLUMNS]
+    waiting_flows = rows("a_push", F.col("a_push"), "a_seq", CARRIED)
+    # a lent flow is the oldest that waits: the one after those taken
+    askers = rows("a_pop", F.col("a_pop"), "z_seq", log_cols).unionByName(
+        rows("lent", F.col("a_pop") + 1, "z_seq", log_cols))
+    taken = (rows("z_pop", F.col("z_pop"), "a_seq", CARRIED)
+             .join(rows("z_push", F.col("z_push"), "z_seq", log_cols), ["key", "rn"])
              .withColumn("merge_seq", F.col("a_seq")))
-    given = (rows("a_push", "a_push", "a_seq", CARRIED)
-             .join(rows("a_pop", "a_pop", "z_seq", log_cols), ["key", "rn"])
-             .withColumn("merge_seq", F.col("z_seq")))
+    given = waiting_flows.join(askers, ["key", "rn"]).withColumn("merge_seq", F.col("z_seq"))
     zero = F.lit(0).cast("bigint")
-    is_http = kind == "http"
+    is_http, is_ftp = kind == "http", kind == "ftp"
     paired = taken.unionByName(given).select(
         "merge_seq", "a_seq", "z_seq", "kind", "key", "service",
         F.when(is_http, F.col("trans_depth")).otherwise(zero).alias("trans_depth"),
         F.when(is_http, F.col("response_body_len")).otherwise(zero).alias("response_body_len"),
-        zero.alias("ct_flw_http_mthd"), F.lit(0).alias("is_ftp_login"), zero.alias("ct_ftp_cmd"), *CARRIED)
+        zero.alias("ct_flw_http_mthd"), F.when(is_ftp, F.col("is_ftp_login")).otherwise(0).alias("is_ftp_login"),
+        F.when(is_ftp, F.col("has_command")).otherwise(0).cast("bigint").alias("ct_ftp_cmd"), *CARRIED)
     merges = paired.unionByName(fold_merges(ranked))
-    counted = keyed_scan(merges.where(is_http).drop("ct_flw_http_mthd"), ["key"], "merge_seq",
-                         [Running("ct_flw_http_mthd", F.lit(1).cast("bigint"))], width)
-    return merges.where(~is_http).unionByName(counted.select(*MERGE_COLUMNS))
+    # http merges are counted, ftp merges add up their commands
+    counted = keyed_scan(merges.where(is_http | is_ftp).drop("ct_flw_http_mthd").withColumnRenamed("ct_ftp_cmd", "__cmd"),
+                         ["key"], "merge_seq", [Running("__http", is_http.cast("bigint")), Running("__ftp", F.col("__cmd"))], width)
+    counted = counted.select("*", F.when(is_http, F.col("__http")).otherwise(zero).alias("ct_flw_http_mthd"),
+                             F.when(is_ftp, F.col("__ftp")).otherwise(zero).alias("ct_ftp_cmd"))
+    return merges.where(~is_http & ~is_ftp).select(*MERGE_COLUMNS).unionByName(counted.select(*MERGE_COLUMNS))
 
 
 def replay_merges(flows: DataFrame, logs: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     """Merges exactly as the live loop produces them, in narrow form."""
-    events = timeline(flows, logs)
-    ftp_keys = events.where(F.col("kind") == "ftp").select("key").distinct()
-    plain = events.join(ftp_keys, "key", "left_anti")
-    mixed = events.join(ftp_keys, "key", "left_semi")
-    return replay_without_ftp(plain, width).unionByName(replay_sequential(mixed))
+    return replay_events(timeline(flows, logs), width)

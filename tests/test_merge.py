@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowloom.operators import history, matching, replay
 from flowloom.plans import merge
@@ -115,6 +116,31 @@ def test_replay_equals_the_live_loop(spark, rows, seed, monkeypatch):
     assert sorted(rows(replay.replay_merges(None, None, width=97), *models.MERGE_VIEW)) == models.replay(events)
 
 
+@pytest.mark.parametrize("kinds", ["tcp conn ftp", "tcp ftp ftp ftp http", "tcp tcp dgram ftp http conn conn", "ftp conn http", "dgram ftp"])
+def test_replay_of_a_hot_ftp_key(spark, rows, kinds, monkeypatch):
+    """Long and short runs of ftp records, some waiting and some not, over several blocks of one key."""
+    r = random.Random(kinds)
+    events = models.random_events(3, n=900, hot=0.7)
+    for e in events:
+        e["kind"] = e["service"] = r.choice(kinds.split())
+        e["is_ftp_login"], e["has_command"] = r.randrange(2), r.randrange(2)
+    frame = models.events_frame(spark, events)
+    monkeypatch.setattr(replay, "timeline", lambda a, z: frame)
+    got = replay.replay_merges(None, None, width=61)
+    assert sorted(rows(got, *models.MERGE_VIEW)) == models.replay(events)
+
+
+def test_runs_of_ftp_records_pass_as_one_row(spark):
+    """What meets by key alone holds a row per run, whatever the number of its records."""
+    events = [{**e, "key": "tcp|0", "kind": "ftp" if i % 300 else "tcp"} for i, e in enumerate(models.random_events(1, n=900))]
+    ranked = matching.ranked_timeline(replay.log_numbers(models.events_frame(spark, events)), 100)
+    peaked = ranked.withColumn("peak", F.lit(0).cast("bigint"))
+    before = peaked.where("kind = 'ftp'").count()
+    assert before == 897 and peaked.where("kind = 'ftp'").select("key", "peak", "conns_seen").distinct().count() == 1
+    decided = replay.ftp_decisions(peaked, 100)
+    assert decided.where("kind = 'ftp'").count() == before and decided.where("kind = 'ftp' and waits").count() == before
+
+
 @pytest.mark.parametrize("same_second", [True, False])
 def test_counters_equal_a_deque(spark, rows, same_second):
     r = random.Random(5)
