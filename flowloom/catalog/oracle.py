@@ -437,6 +437,46 @@ SQL["replay_hot_ftp"] = "with recursive " + _REPLAY.replace(f"{FX_A}, {FX_Z}", (
     f"{FX_A.replace('fx_a as', 'own_a as', 1)}, {FX_Z.replace('fx_z as', 'own_z as', 1)},\n"
     f"fx_a as (select * replace ({_hot('proto saddr sport daddr dport')}) from own_a),\n"
     f"fx_z as (select * replace ({_hot('proto orig_h orig_p resp_h resp_p')}) from own_z)"), 1) + " select * from merges"
+# Expiry by event time: an idle day ends a session, within one the queues lose what is a day older than the clock.
+SQL["stream_expired"] = f"""with recursive {FX_A}, {FX_Z},
+ev0 as (select {A_KEY} as key, seq, case when proto = 'tcp' then 'tcp' else 'dgram' end as kind, 0 as depth, 0 as len,
+    0 as cmd, stime_us // 1000 as t from fx_a where proto in ('tcp', 'udp', 'icmp')
+  union all select {Z_KEY}, seq, zeek_log, trans_depth, response_body_len, cast(trim(command) <> '' as int), ts_us // 1000 from fx_z),
+ev1 as (select *, max(t) over (partition by key order by seq) as clk,
+  max(t) over (partition by key order by seq rows between unbounded preceding and 1 preceding) as past from ev0),
+ev as (select *, sum(case when past + 86400000 <= t then 1 else 0 end) over (partition by key order by seq) as session from ev1),
+g as (select key, session, list({{'s': seq, 'k': kind, 'd': depth, 'l': len, 'c': cmd, 't': t, 'n': clk}} order by seq) as e
+  from ev group by key, session),
+r as (select key, session, e, 0 as i, e[1:0] as aq, e[1:0] as zq, e[1:0] as acc, e[1:1][2] as a, e[1:1][2] as z, e[1:0] as gone from g
+  union all select key, session, e, i + 1,
+    case act when 'keep' then list_append(aq, cur) when 'give' then aq[2:] else aq end,
+    case when act = 'queue' or cur.k = 'http' then list_append(zq, cur) when act = 'take' then zq[2:] else zq end,
+    case when cur.k = 'http' then list_append(acc, cur) when act = 'fold' then acc[1:0] else acc end,
+    case when act in ('fold', 'take') then cur when act in ('give', 'lend') then aq[1] end,
+    case act when 'fold' then acc[-1] when 'take' then zq[1] when 'give' then cur when 'lend' then cur end, gone
+  from (select *, case
+      when cur.k = 'tcp' and len(acc) > 0 then 'fold'
+      when cur.k in ('tcp', 'dgram') then case when len(zq) > 0 then 'take' else 'keep' end
+      when cur.k = 'http' then 'http'
+      when len(aq) > 0 then case cur.k when 'ftp' then 'lend' else 'give' end
+      else 'queue' end as act from (
+    select key, session, e, i, e[i + 1] as cur, list_filter(aq, lambda x: x.t + 86400000 > e[i + 1].n) as aq,
+      list_filter(zq, lambda x: x.t + 86400000 > e[i + 1].n) as zq,
+      list_filter(list_concat(aq, zq), lambda x: x.t + 86400000 <= e[i + 1].n) as gone,
+      case when acc[-1].t + 86400000 <= e[i + 1].n then acc[1:0] else acc end as acc from r where i < len(e)) x) s),
+hits as (select key, session, e[i].s as merge_seq, a.s as a_seq, z.s as z_seq, z.k as kind, z.c as c from r where a is not null),
+-- rows that a clock passed, and those left at the end of a session that a later session or the watermark passed
+ends as (select key, max(clk) as clk from ev group by key), mark as (select max(t) - 3600000 as w from ev0),
+lost as (select unnest(gone) as x from r
+  union all select x from (select key, unnest(list_concat(aq, zq)) as x from r where i = len(e)) join ends using (key), mark
+  where x.t + 86400000 <= ends.clk or x.t + 86400000 < w)
+select 'merged' as status, merge_seq, a_seq, z_seq, kind,
+  case kind when 'http' then row_number() over (partition by key, session, kind order by merge_seq) else 0 end as ct_flw_http_mthd,
+  cast(case kind when 'ftp' then sum(c) over (partition by key, session, kind order by merge_seq) else 0 end as bigint) as ct_ftp_cmd
+from hits
+union all select case when x.k in ('tcp', 'dgram') then 'lost_flow' else 'lost_log' end, null,
+  case when x.k in ('tcp', 'dgram') then x.s end, case when x.k not in ('tcp', 'dgram') then x.s end,
+  case when x.k not in ('tcp', 'dgram') then x.k end, 0, 0 from lost"""
 # by time, flows first; ties by sequence number and length
 SQL["merge_from_files"] = _replayed("'o1': stime_us, 'o2': 0, 'o3': stcpb, 'o4': 0, 'o5': 0",
                                     "'o1': ts_us, 'o2': 1, 'o3': response_body_len, 'o4': seq, 'o5': 0")

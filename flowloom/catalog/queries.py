@@ -682,23 +682,29 @@ def rf_verdicts(spark, sf):
 BATCHES, BATCH_FILES = 3, 4
 
 
-def _event_streams(spark, sf):
-    """The events table as two streams, one per sensor, in several micro-batches of ascending events."""
+def _land_part(spark, sf, root: str, part: int) -> None:
+    """Write one of the parts, of ascending events, that the events table arrives in."""
     events = spark.read.parquet(f"{sf}/events.parquet")
-    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
     after = events.agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).first()[0]
-    for part in range(BATCHES):
-        inside = F.floor(F.col("event_id") * BATCHES / after) == part
-        events.where(inside).repartition(BATCH_FILES).write.mode("append").parquet(root)
+    inside = F.floor(F.col("event_id") * BATCHES / after) == part
+    events.where(inside).repartition(BATCH_FILES).write.mode("append").parquet(root)
+
+
+def _event_streams(spark, sf, landed: str | None = None):
+    """The events table as two streams, one per sensor, in several micro-batches of ascending events."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    root = landed or f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    for part in range(0 if landed else BATCHES):
+        _land_part(spark, sf, root, part)
 
     def read():
         return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(root)
     return fixtures.derive(read(), fixtures.FLOWS), fixtures.derive(read(), fixtures.LOGS)
 
 
-def _drained(spark, stream):
-    """Run a stream over everything available and read what it wrote."""
-    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+def _drained(spark, stream, root: str | None = None):
+    """Run a stream over everything available, going on where one of the same folder stopped, and read what it wrote."""
+    root = root or f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
     (stream.writeStream.format("parquet").option("path", f"{root}/out")
      .option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
      .trigger(availableNow=True).start().awaitTermination())
@@ -716,6 +722,22 @@ def stream_merge(spark, sf):
         "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd")
 
 
+# Rows wait a day at most; the watermark follows an hour behind.
+TTL_MS, DELAY = 86_400_000, "1 hour"
+
+
+@query
+def stream_expired(spark, sf):
+    """Merged and lost rows with expiry by event time; the stream is stopped and started again between the parts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    for part in range(BATCHES):
+        _land_part(spark, sf, f"{root}/in", part)
+        out = _drained(spark, stream_match.stream_match(*_event_streams(spark, sf, f"{root}/in"), TTL_MS, DELAY), root)
+    return out.select("status", "merge_seq", "a_seq", "z_seq", "kind", "ct_flw_http_mthd", "ct_ftp_cmd")
+
+
 @query
 def stream_counters(spark, sf):
     """Counters continued from batch to batch over the merged stream."""

@@ -38,7 +38,7 @@ class KeyReplay:
     def __init__(self):
         self.flows: deque = deque()
         self.logs: deque = deque()
-        self.pending = None  # (sum of lengths, largest depth, last seq)
+        self.pending = None  # (sum of lengths, largest depth, last seq, last of what the record carries)
         self.http_merges = 0
         self.ftp_commands = 0
 
@@ -47,7 +47,7 @@ class KeyReplay:
         if kind in ("tcp", "dgram"):
             flow = (seq, carried)
             if kind == "tcp" and self.pending is not None:
-                length, depth, last = self.pending
+                length, depth, last, _ = self.pending
                 self.pending = None
                 return self._merge(seq, flow, (last, "http", ("http", depth, length, 0, 0)))
             if self.logs:
@@ -56,8 +56,8 @@ class KeyReplay:
             return None
         record = (seq, kind, log)
         if kind == "http":
-            length, depth, _ = self.pending or (0, 0, None)
-            self.pending = (length + log[2], max(depth, log[1]), seq)
+            length, depth, *_ = self.pending or (0, 0)
+            self.pending = (length + log[2], max(depth, log[1]), seq, log[-1])
         elif self.flows:
             # an ftp record leaves the flow waiting for more
             return self._merge(seq, self.flows[0] if kind == "ftp" else self.flows.popleft(), record)

@@ -22,22 +22,25 @@ _OUTPUT_NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
 _FLOW_STATE = "seq {seq}, payload string, at bigint"
 _LOG_STATE = ("seq {seq}, kind string, service string, trans_depth bigint, response_body_len bigint, "
               "is_ftp_login bigint, has_command bigint, at bigint")
-_COUNTER_STATE = "pending boolean, length bigint, depth bigint, last {seq}, http bigint, ftp bigint"
+_COUNTER_STATE = ("pending boolean, length bigint, depth bigint, last {seq}, at bigint, http bigint, ftp bigint, "
+                  "clock bigint")
 
 
-def stream_events(flows: DataFrame, logs: DataFrame) -> DataFrame:
-    """Both sensors as one keyed stream; a flow travels whole as JSON."""
+def stream_events(flows: DataFrame, logs: DataFrame, timed: bool = False) -> DataFrame:
+    """Both sensors as one keyed stream; a flow travels whole as JSON. ``timed`` adds the event time ``at``."""
     proto = lower_proto()
     a = flows.where(proto.isin(MATCHED_PROTOCOLS)).select(
         flow_key().alias("key"), "seq", F.when(proto == "tcp", "tcp").otherwise("dgram").alias("kind"),
-        F.to_json(F.struct(*flows.columns)).alias("payload"))
+        F.to_json(F.struct(*flows.columns)).alias("payload"),
+        *([F.timestamp_micros("stime_us").alias("at")] if timed else []))
     kind = F.lower("zeek_log")
     z = logs.select(
         log_key().alias("key"), "seq", kind.alias("kind"), enrich.service_name(kind, F.col("service")).alias("service"),
         F.coalesce("trans_depth", F.lit(0)).cast("bigint").alias("trans_depth"),
         F.coalesce("response_body_len", F.lit(0)).cast("bigint").alias("response_body_len"),
         enrich.ftp_login(F.col("user_name"), F.col("password")).cast("bigint").alias("is_ftp_login"),
-        enrich.ftp_command_present(F.col("command")).cast("bigint").alias("has_command"))
+        enrich.ftp_command_present(F.col("command")).cast("bigint").alias("has_command"),
+        *([F.timestamp_micros("ts_us").alias("at")] if timed else []))
     both = a.unionByName(z, allowMissingColumns=True)
     return both.fillna(0, ["trans_depth", "response_body_len", "is_ftp_login", "has_command"])
 
@@ -60,20 +63,20 @@ class MatchProcessor(StatefulProcessor):
 
     def _load(self) -> KeyReplay:
         machine = KeyReplay()
+        machine.clock = None
         machine.flows.extend((s, (p, at)) for s, p, at in self.flows.get())
         machine.logs.extend((r[0], r[1], tuple(r[2:])) for r in self.logs.get())
         kept = self.counters.get()
         if kept is not None:
-            pending, length, depth, last, machine.http_merges, machine.ftp_commands = kept
-            machine.pending = (length, depth, last) if pending else None
+            pending, length, depth, last, at, machine.http_merges, machine.ftp_commands, machine.clock = kept
+            machine.pending = (length, depth, last, at) if pending else None
         return machine
 
     def _store(self, machine: KeyReplay) -> None:
         self._put(self.flows, [(s, *c) for s, c in machine.flows])
         self._put(self.logs, [(s, k, *log) for s, k, log in machine.logs])
-        length, depth, last = machine.pending or (0, 0, None)
-        self.counters.update((machine.pending is not None, length, depth, last,
-                              machine.http_merges, machine.ftp_commands))
+        self.counters.update((machine.pending is not None, *(machine.pending or (0, 0, None, None)),
+                              machine.http_merges, machine.ftp_commands, machine.clock))
 
     @staticmethod
     def _put(state, rows) -> None:
@@ -91,15 +94,22 @@ class MatchProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("seq")
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0
         machine, out = self._load(), []
-        columns = [batch[c].tolist() for c in ["seq", "kind", "payload", *LOG_COLUMNS]]
-        for row in zip(*columns):
-            merged = machine.step(row[0], row[1], (row[2], now), (*row[3:], now))
-            if merged is not None:
-                out.append(("merged", *merged[:4], key[0], *merged[4:11]))
+        for row in self._rows(batch):
+            self._step(machine, key[0], row, now, out)
         self._store(machine)
         self._schedule(machine, now)
         yield self._frame(out)
 
+    @staticmethod
+    def _rows(batch: pd.DataFrame, *more: str) -> Iterator[tuple]:
+        return zip(*[batch[c].tolist() for c in ["seq", "kind", "payload", *LOG_COLUMNS, *more]])
+
+    @staticmethod
+    def _step(machine: KeyReplay, key: str, row: tuple, at: int, out: list) -> None:
+        merged = machine.step(row[0], row[1], (row[2], at), (*row[3:], at))
+        if merged is not None:
+            out.append(("merged", *merged[:4], key, *merged[4:11]))
+
     @staticmethod
     def _evict(machine: KeyReplay, key: str, out: list, due) -> None:
         """Move the oldest rows of both queues to the output while they are due."""
@@ -127,16 +137,85 @@ class MatchProcessor(StatefulProcessor):
         pass
 
 
-def stream_match(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+class EventTimeProcessor(MatchProcessor):
+    """Lets rows, the http accumulator and the counters of a key expire by event time.
+
+    The clock of a key is the latest event time among its arrivals. A row that waits is lost once the
+    clock, or the watermark, has gone ``ttl_ms`` beyond its time; so is an accumulator ``ttl_ms`` after its last http
+    record. An arrival ``ttl_ms`` or more after the clock finds nothing left, counters included. What matches therefore
+    depends on the arrivals alone: not on micro-batches, restarts or the speed of the machine, as long as no row is later
+    than the watermark's delay, for Spark drops those before they get here. The watermark only brings out lost rows and
+    frees the state of keys that have gone quiet. A row without a time takes the clock's.
+    """
+
+    def _expire(self, machine: KeyReplay, key: str, now: int, out: list) -> None:
+        def due(at):
+            return at is not None and at + self.ttl_ms <= now
+        self._evict(machine, key, out, due)
+        if machine.pending is not None and due(machine.pending[3]):
+            machine.pending = None
+
+    def _wake(self, machine: KeyReplay) -> None:
+        """One timer: for the oldest row that waits, else for the end of the key."""
+        if machine.clock is None:
+            return
+        heads = [q[0][k][-1] for q, k in ((machine.flows, 1), (machine.logs, 2)) if q]
+        at = min([machine.clock, *(h for h in heads if h is not None)]) + self.ttl_ms
+        timers = list(self.handle.listTimers())
+        if at not in timers:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq")
+        millis = batch["at"].map(lambda t: None if pd.isna(t) else t.value // 1_000_000).astype("Int64")
+        machine, out = self._load(), []
+        for *row, at in self._rows(batch.assign(millis=millis), "millis"):
+            if at is not pd.NA and at is not None:
+                if machine.clock is not None and machine.clock + self.ttl_ms <= at:
+                    self._evict(machine, key[0], out, lambda _: True)
+                    machine.pending, machine.http_merges, machine.ftp_commands = None, 0, 0
+                machine.clock = max(at, at if machine.clock is None else machine.clock)
+                self._expire(machine, key[0], machine.clock, out)
+                at = int(at)
+            else:
+                at = machine.clock
+            self._step(machine, key[0], tuple(row), at, out)
+        self._store(machine)
+        self._wake(machine)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        machine, out = self._load(), []
+        self._expire(machine, key[0], now, out)
+        if machine.clock is not None and machine.clock + self.ttl_ms <= now:
+            self._evict(machine, key[0], out, lambda _: True)
+            for state in (self.flows, self.logs, self.counters):
+                state.clear()
+        else:
+            self._store(machine)
+            self._wake(machine)
+        yield self._frame(out)
+
+
+def stream_match(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """Merged rows (and, with a TTL, expired ones) of two streams with a ``seq`` column each.
 
     ``seq`` is an integer or a place (see ``sources.arrival``), of one type on both sides. Only flows of matched
-    protocols enter; others need no state (see ``stream_other``).
+    protocols enter; others need no state (see ``stream_other``). The TTL is processing time, or event time
+    where ``delay``, the watermark's, is given (``"10 minutes"``): flows then need ``stime_us``, logs ``ts_us``.
     """
     seq = flows.schema["seq"].dataType.simpleString()
-    return stream_events(flows, logs).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=MatchProcessor(ttl_ms, seq), outputStructType=OUTPUT.format(seq=seq), outputMode="append",
-        timeMode="ProcessingTime" if ttl_ms is not None else "None")
+    events, processor = stream_events(flows, logs, delay is not None), MatchProcessor
+    if delay is not None:
+        if ttl_ms is None:
+            raise ValueError("expiry by event time needs a time to live")
+        events, processor = events.withWatermark("at", delay), EventTimeProcessor
+    return events.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=processor(ttl_ms, seq), outputStructType=OUTPUT.format(seq=seq), outputMode="append",
+        timeMode="EventTime" if delay is not None else "ProcessingTime" if ttl_ms is not None else "None")
 
 
 def stream_other(flows: DataFrame) -> DataFrame:
@@ -151,9 +230,9 @@ def stream_other(flows: DataFrame) -> DataFrame:
         F.to_json(F.struct(*flows.columns)).alias("payload"))
 
 
-def stream_merge(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_merge(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """All merged rows of both sensors."""
-    return stream_match(flows, logs, ttl_ms).unionByName(stream_other(flows))
+    return stream_match(flows, logs, ttl_ms, delay).unionByName(stream_other(flows))
 
 
 def unpack(merged: DataFrame, flow_schema) -> DataFrame:

@@ -25,7 +25,7 @@ def con():
 
 def test_every_query_has_sql_or_a_reason():
     assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
-    assert set(QUERIES) - set(SQL) == {"describe_approximate", "rf_scores", "rf_report", "rf_verdicts", "merge_from_files"}
+    assert set(QUERIES) - set(SQL) == {"describe_approximate", "rf_scores", "rf_report", "rf_verdicts"}
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))

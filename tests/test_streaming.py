@@ -179,3 +179,44 @@ def test_run_sink_of_raw_stream(spark, tmp_path):
     a = fixtures.derive(spark.read.parquet(EVENTS), fixtures.FLOWS)
     sinks.write_run_jsonl(a, str(tmp_path / "raw"), "r1")
     assert spark.read.json(str(tmp_path / "raw")).count() == a.count()
+
+
+def _expiring(spark, tmp_path, arrivals, parts, ttl=100):
+    """Arrivals (kind, seq, millis or None) of one key, landed in the given parts, through the event-time merge."""
+    flow = "seq bigint, stime_us bigint, proto string, saddr string, sport bigint, daddr string, dport bigint, ltime bigint"
+    log = "seq bigint, ts_us bigint, zeek_log string, proto string, orig_h string, orig_p bigint, resp_h string, resp_p bigint, " \
+          "service string, trans_depth bigint, response_body_len bigint, user_name string, password string, command string"
+    def us(t):
+        return None if t is None else (t + 10_000) * 1000
+    out = str(tmp_path / "out")
+    for lo, hi in zip(parts, parts[1:]):
+        some = arrivals[lo:hi]
+        a = [(s, us(t), "tcp", "s", 1, "d", 2, 0) for k, s, t in some if k == "tcp"]
+        z = [(s, us(t), k, "tcp", "s", 1, "d", 2, None, 1, 5, "u", "p", "get") for k, s, t in some if k != "tcp"]
+        spark.createDataFrame(a, flow).write.mode("append").parquet(str(tmp_path / "a"))
+        spark.createDataFrame(z, log).write.mode("append").parquet(str(tmp_path / "z"))
+        merged = match.stream_match(spark.readStream.schema(flow).parquet(str(tmp_path / "a")),
+                                    spark.readStream.schema(log).parquet(str(tmp_path / "z")), ttl, "150 milliseconds")
+        (merged.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+         .trigger(availableNow=True).start().awaitTermination())
+    return sorted(((r.status, r.merge_seq, r.a_seq, r.z_seq, r.kind, r.ct_flw_http_mthd, r.ct_ftp_cmd)
+                   for r in spark.read.parquet(out).collect()), key=repr)
+
+
+ARRIVALS = [("tcp", 1, 0), ("conn", 2, 50), ("tcp", 3, 60), ("conn", 4, 170),  # the flow at 60 waits too long
+            ("http", 5, 180), ("tcp", 6, 290), ("tcp", 7, 300), ("ftp", 8, 310), ("ftp", 9, None),  # accumulator and record expire
+            ("http", 10, 1000), ("tcp", 11, 1001), ("conn", 12, 900),  # a quiet key starts anew; a late record keeps the clock
+            ("tcp", 13, 2000)]
+
+
+def test_expiry_depends_on_event_time_alone(spark, tmp_path):
+    """One batch or several with restarts between them: the same rows merge, the same are lost."""
+    whole = _expiring(spark, tmp_path / "one", ARRIVALS, [0, len(ARRIVALS)])
+    pieces = _expiring(spark, tmp_path / "two", ARRIVALS, [0, 3, 5, 8, 11, len(ARRIVALS)])
+    assert whole == pieces
+    merged = [r[1:5] for r in whole if r[0] == "merged"]
+    assert (2, 1, 2, "conn") in merged and (11, 11, 10, "http") in merged
+    assert not any(r[1] == 3 for r in merged)
+    assert ("lost_flow", 3) in [(r[0], r[2]) for r in whole]
+    # the http record at 180 is too old for the flow at 290
+    assert not any(r[2] == 5 for r in merged) and ("lost_log", 5) in [(r[0], r[3]) for r in whole]
