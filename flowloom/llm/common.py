@@ -34,6 +34,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete intermediates of ``folder`` whose only readers are written."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole(text: str) -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

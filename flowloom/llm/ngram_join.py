@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import whole, workspace, written
+from flowloom.llm.common import discard, whole, workspace, written
 from flowloom.llm.components import components
 
 # Cells of the frequency sketch, eight bytes each, whatever the corpus.
@@ -302,7 +302,8 @@ def _link_counts(found: DataFrame, sets_of, folder: str, num: int, den: int) ->
 def _joined(docs: DataFrame, n: int, num: int, den: int, leader_rounds: int, id_col: str, text_col: str,
             with_links: bool) -> DataFrame:
     """One row per input row: ``id``, ``n``, ``cls``, ``component_id``, ``class_id`` and, if asked for, ``links``."""
-    folder = workspace(docs.sparkSession)
+    spark = docs.sparkSession
+    folder = workspace(spark)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     weights = _weights(rows, n)
     firsts = written(_prefixes(rows, n, num, den, weights), folder, "prefixes")
@@ -332,7 +333,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, leader_rounds: int, id_
                   .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other"))
         links = spread.join(sets, "cls").select("token", "i", "j", "cls", "root", "block", "tokens").groupBy(
             "token", "i", "j").applyInArrow(_compare_blocks(num, den), "a bigint, b bigint")
-        return written(links.distinct(), folder, "links-long")
+        links = written(links.distinct(), folder, "links-long")
+        discard(spark, folder, "long", "sets-long", "fetched-long")
+        return links
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         """Linked pairs among ``pairs`` (``a``, ``b``, ``na``, ``nb``), by the other orders' filters, then by their sets."""
@@ -354,7 +357,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, leader_rounds: int, id_
         sized = near.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(
             _compare, "a bigint, b bigint, na bigint, nb bigint, shared bigint")
         linked = sized.where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num)
-        return written(linked.select("a", "b").distinct(), folder, f"links-{name}")
+        linked = written(linked.select("a", "b").distinct(), folder, f"links-{name}")
+        discard(spark, folder, *(f"{made}-{name}" for made in ("asked", "filters", "near", "fetched", "sets")))
+        return linked
 
     def labelled(links: DataFrame, name: str) -> DataFrame:
         """The lists that still hold several components."""
@@ -366,7 +371,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, leader_rounds: int, id_
         return written(marked.join(apart, "token", "left_semi"), folder, f"open-{name}")
 
     similar = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    links, still = None, written(lists.withColumn("root", F.col("cls")), folder, "open")
+    links, still = None, lists.withColumn("root", F.col("cls"))
     for turn in range(leader_rounds + 1):
         if turn < leader_rounds:
             rank = F.xxhash64(F.lit(turn), F.col("cls")) if turn else F.col("cls")
@@ -390,6 +395,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, leader_rounds: int, id_
         links = new if links is None else links.union(new)
         if turn < leader_rounds:
             still = labelled(links, str(turn))
+            if turn:
+                discard(spark, folder, f"open-{turn - 1}")
+    discard(spark, folder, "lists", f"open-{leader_rounds - 1}", *(f"pairs-{turn}" for turn in range(leader_rounds + 1)))
     links = links.distinct()
     roots = written(components(links, folder, "stars"), folder, "roots")
 
