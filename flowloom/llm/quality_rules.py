@@ -17,13 +17,12 @@ from flowloom.llm.common import SPACE, whole
 
 # Buckets of the hashed features; the only statistics that the driver sees.
 BUCKETS = 1 << 14
-# Pseudo-count of every bucket, on the scale of the trusted counts: a bucket must have been met
-# often for its weight to leave 0, so rare words of clean documents say little. From SMOOTHED
-# trusted words on it is their share, so that weights do not depend on the size of the tables.
-SMOOTHING, SMOOTHED = 5.0, 1_400_000
+# Pseudo-count of every bucket, in average buckets of the trusted text: a bucket must stand out for its weight to
+# leave 0, so rare words of clean documents say little. As a share it treats tables of every size alike.
+SMOOTHING = 1.0
 # Trusted ids, each a row of a few bytes, that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
-THRESHOLD = -0.15
+THRESHOLD = -0.09
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
@@ -72,7 +71,8 @@ def _table(values: list[float]) -> Column:
 
 
 def pseudo_count(trusted_words: int) -> float:
-    return SMOOTHING * max(1.0, trusted_words / SMOOTHED)
+    # without trusted words all weights are 0, whatever it is
+    return SMOOTHING * trusted_words / BUCKETS or 1.0
 
 
 def feature_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> tuple[list[float], list[float]]:

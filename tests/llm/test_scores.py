@@ -170,8 +170,8 @@ def test_ratio_is_the_mean_of_bucket_weights(spark):
 
     def weight(part, f):
         raw, good = counts[0][part], counts[1][part]
-        share = sum(good.values()) / sum(raw.values())
-        return math.log(good[f] + 5) - math.log(raw[f] * share + 5)
+        share, pseudo = sum(good.values()) / sum(raw.values()), sum(good.values()) / rules.BUCKETS
+        return math.log(good[f] + pseudo) - math.log(raw[f] * share + pseudo)
     for i, t in rows:
         w = t.split()
         want = sum(weight(0, x) for x in w) + sum(weight(1, x) for x in zip(w, [*w[1:], ""]))
@@ -189,11 +189,20 @@ def test_every_trusted_document_counts(spark, monkeypatch, broadcast):
     assert all(r.llr == 0 for r in rules.quality_rules(docs, labels).select("llr").distinct().collect())
 
 
-def test_weights_do_not_depend_on_the_size_of_the_tables():
-    """Ten times the words, ten times the pseudo-count: every ratio stays."""
-    for n in (rules.SMOOTHED, 3 * rules.SMOOTHED):
-        assert rules.pseudo_count(10 * n) == pytest.approx(10 * rules.pseudo_count(n))
-    assert rules.pseudo_count(900) == rules.SMOOTHING
+@pytest.mark.parametrize("times", [2, 10])
+def test_verdicts_do_not_depend_on_the_size_of_the_tables(spark, times):
+    """All rows and labels taken several times: every copy is judged as the row was."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+
+    def several(df):
+        return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn(
+            "doc_id", F.col("doc_id") + F.col("copy") * 1_000_000).drop("copy")
+    once = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
+    many = quality_rules(several(docs), several(labels)).collect()
+    assert len(many) == times * len(once)
+    for r in many:
+        one = once[r.doc_id % 1_000_000]
+        assert r.kept == one.kept and r.llr == pytest.approx(one.llr, abs=1e-9)
 
 
 def test_co_training_learns_held_out_labels(spark):
