@@ -1,39 +1,38 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A restaurant of words stands on restaurants of bytes: a word that opens a new table is spelled
-byte by byte, each byte in the restaurant of its two predecessors, whose parent is that of the
-last byte, whose parent is that of no context, whose base is uniform. Contexts that share their
-last byte share their parent. Seats are sampled by Gibbs sweeps: all customers of a word are
-seated anew given the current spelling model and the number of tables, and the tables that
-this opens are the customers of the byte restaurants, which are seated anew in turn. The
-probability of a word is the mean of its predictive probabilities over the kept sweeps.
-
-Documents are gathered into blocks of words numbered inside the block, so that a word costs one
-row per block and not one per occurrence, in counting as in scoring. The vocabulary and its
-counts are a table that grows with the corpus; only counts of byte triples, bounded by the
-alphabet (258 * 258 * 257), come to the driver and go out with the tasks.
+Every word has a restaurant for the words that follow it. All of them stand on one restaurant of
+words: a table that a word opens behind another is a customer there. A word that opens a table
+in the restaurant of words is spelled byte by byte, each byte in the restaurant of its two
+predecessors, whose parent is that of the last byte, whose parent is that of no context, whose base
+is uniform. Seats are sampled by Gibbs sweeps from the top down and from the bottom up: all
+customers of a dish are seated anew given the tables of their restaurant and the
+probabilities of its parent, and the tables that this opens are the parent's customers. The
+probability of a word behind another is the mean of its predictive probabilities over the sweeps.
+
+Documents are gathered into blocks (``word_blocks``). Words and pairs of words are counted inside a block and
+meet the counts of other blocks in ranges of 64-bit hashes, as sorted, packed arrays; a hot
+context is spread over all ranges by its followers. Vocabulary, pairs and seats are tables that grow with the
+corpus; only counts of byte triples, bounded by the alphabet (258 * 258 * 257), come to the
+driver and go out with the tasks.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import whole, workspace, written
+from flowloom.llm import word_blocks as wb
+from flowloom.llm.common import discard, workspace, written
 
 BLOCK_TOKENS = 1 << 21
-HELD_OUT = (5, 1)
-SWEEPS, BURN_IN = 3, 1
+# Sweeps over the restaurants of contexts, all averaged.
+SWEEPS = 2
+CONTEXT_STRENGTH = 2.0
 WORD_STRENGTH = 50.0
 BYTE_DISCOUNT, BYTE_STRENGTH = 0.5, 2.0
 # Customers seated one by one; above, a sixteenth of those present is seated at once.
@@ -44,17 +43,9 @@ END, START, SYMBOLS = 256, 257, 257
 
 # --- seating -----------------------------------------------------------------------------
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Well spread 64-bit numbers: the finalizer of splitmix64."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _chance(names: np.ndarray, step: int) -> np.ndarray:
     """Uniform numbers that depend on the name of a dish and the step only, not on its place."""
-    return (_mix(names + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)) * 2.0 ** -53
+    return (wb.mix(names + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)) * 2.0 ** -53
 
 
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, names: np.ndarray, sweep: int) -> np.ndarray:
@@ -146,8 +137,8 @@ def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     two = np.r_[START, one[:-1]]
     two[starts] = START
     place = np.arange(len(sym)) - np.repeat(starts, lengths + 1)
-    names = np.add.reduceat(_mix((sym + 1) * 1_000_003 + place * 0x5851F42D4C957F2D), starts)
-    return two << 9 | one, sym, starts, _mix(names)
+    names = np.add.reduceat(wb.mix((sym + 1) * 1_000_003 + place * 0x5851F42D4C957F2D), starts)
+    return two << 9 | one, sym, starts, wb.mix(names)
 
 
 class WordModel:
@@ -168,69 +159,6 @@ class WordModel:
             WORD_STRENGTH + self.customers)
 
 
-# --- blocks of documents ----------------------------------------------------------------
-
-def held_out(doc_id) -> bool:
-    """Whether a document is held out: crc32 of its id as text (null: no text) leaves the remainder 1 by 5."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT[0] == HELD_OUT[1]
-
-
-def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("id"), whole("text").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, codec = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        index, held, doc_ids, apart, tokens = None, [], None, [], 0
-
-        def flush():
-            ids = np.concatenate(held)
-            lengths = np.array([len(x) for x in held], np.int64)
-            train = np.bincount(ids[np.repeat(~np.array(apart), lengths)], minlength=len(index))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | number], pa.int64()), pa.array([list(index)], pa.list_(pa.binary())),
-                 pa.array([train], pa.list_(pa.int64())), pa.array([doc_ids], pa.list_(id_type)),
-                 pa.array([apart], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64())),
-                 pa.array([codec.compress(ids.astype("<u4").tobytes())], pa.binary())],
-                names=["block", "words", "train", "doc_ids", "held_out", "lengths", "ids"])
-        for batch in batches:
-            id_type = batch.column("id").type
-            texts = batch.column("text")
-            for i, doc_id in enumerate(batch.column("id").to_pylist()):
-                if index is None:
-                    index, held, doc_ids, apart, tokens = defaultdict(count().__next__), [], [], [], 0
-                # lower-cases A-Z only, and splits at the six white-space characters only; b"" is the end
-                words = texts[i].as_py().encode().lower().split()
-                words.append(b"")
-                held.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-                doc_ids.append(doc_id)
-                apart.append(held_out(doc_id))
-                tokens += len(words)
-                if tokens >= block_tokens:
-                    yield flush()
-                    index, number = None, number + 1
-        if index is not None:
-            yield flush()
-    return rows.mapInArrow(run, f"block bigint, words array<binary>, train array<bigint>, doc_ids array<{kind}>, "
-                                "held_out array<boolean>, lengths array<bigint>, ids binary")
-
-
-def _entries(blocks: DataFrame) -> DataFrame:
-    """One row per block and word: ``block``, ``pos``, ``word``, ``train``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, train = batch.column("words")[i].values, batch.column("train")[i].values
-                for a in range(0, len(words), 1 << 16):
-                    part = words.slice(a, 1 << 16)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), batch.column("block")[i].as_py()), pa.int64()),
-                         pa.array(np.arange(a, a + len(part)), pa.int32()), part, train.slice(a, 1 << 16)],
-                        names=["block", "pos", "word", "train"])
-    return blocks.select("block", "words", "train").mapInArrow(
-        run, "block bigint, pos int, word binary, train bigint")
-
-
 # --- sampling ----------------------------------------------------------------------------
 
 def _customers(vocabulary: DataFrame, model: WordModel | None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -256,101 +184,195 @@ def _customers(vocabulary: DataFrame, model: WordModel | None) -> tuple[np.ndarr
     return keys[keys >= 0], n[keys >= 0], float(n[keys < 0].sum())
 
 
-def train(vocabulary: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[list, int, int]:
-    """Models of the kept sweeps with the tables they were left with; all training tokens, distinct ones."""
-    total, distinct, once, twice = vocabulary.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)),
-        F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    keys, n, tables = _customers(vocabulary, None)
-    spelling, kept = ByteModel(keys, n, 0), []
-    for sweep in range(1, sweeps + 1):
-        model = WordModel(spelling, discount, float(total), tables, sweep)
-        keys, n, tables = _customers(vocabulary, model)
-        spelling = ByteModel(keys, n, sweep, spelling)
-        if sweep > burn_in:
-            kept.append((model, tables, spelling))
-    return kept, total, distinct
-
-
-def _predicted(vocabulary: DataFrame, kept: list) -> DataFrame:
-    """``word``, ``c`` and ``lp``, the log10 of the probability averaged over the kept sweeps."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(counts):
-                continue
-            ctx, sym, starts, names = spell(batch.column("word"))
-            mean = np.zeros(len(counts))
-            for model, tables, spelling in kept:
-                seats = model.seats(counts, model.spelled(ctx, sym, starts), names)
-                after = np.exp(np.add.reduceat(np.log(spelling.two(ctx, sym)), starts))
-                mean += model.probability(counts, seats, after, tables)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("c"),
-                 pa.array(np.log10(np.maximum(mean / len(kept), 1e-300)), pa.float64())], names=["word", "c", "lp"])
-    return vocabulary.select("word", "c").mapInArrow(run, "word binary, c bigint, lp double")
+class Words:
+    """The restaurant of words and its spelling, one sweep at a time over the customers of the day."""
+
+    def __init__(self, vocabulary: DataFrame):
+        total, self.distinct, once, twice = vocabulary.agg(
+            F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)),
+            F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+        self.discount = discount_of(once, twice)
+        keys, n, self.tables = _customers(vocabulary, None)
+        self.spelling, self.number = ByteModel(keys, n, 0), 0
+
+    def sweep(self, vocabulary: DataFrame) -> tuple:
+        """Seats all customers anew; the model, its tables and the spelling after the sweep."""
+        self.number += 1
+        total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        model = WordModel(self.spelling, self.discount, float(total), self.tables, self.number)
+        keys, n, self.tables = _customers(vocabulary, model)
+        self.spelling = ByteModel(keys, n, self.number, self.spelling)
+        return model, self.tables, self.spelling
+
+
+def discount_of(once: int, twice: int) -> float:
+    """The discount that counts of ones and twos suggest."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def _unknown(vocabulary: DataFrame, kept: list) -> float:
-    """log10 of the probability of any word that training never met: what the spelling leaves to others."""
+def predict(words: pa.Array, counts: np.ndarray, state: tuple) -> np.ndarray:
+    """Predictive probabilities of the restaurant of words after one sweep."""
+    model, tables, spelling = state
+    if not len(counts):
+        return np.zeros(0)
+    counts = counts.astype(np.float64)
+    ctx, sym, starts, names = spell(words)
+    seats = model.seats(counts, model.spelled(ctx, sym, starts), names)
+    after = np.exp(np.add.reduceat(np.log(spelling.two(ctx, sym)), starts))
+    return np.maximum(model.probability(counts, seats, after, tables), 1e-300)
+
+
+def unknown(vocabulary: DataFrame, state: tuple) -> float:
+    """Probability of any word that training never met: what the spelling leaves to others."""
+    model, tables, spelling = state
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ctx, sym, starts, _ = spell(batch.column("word"))
-                known = [float(np.exp(np.add.reduceat(np.log(spelling.two(ctx, sym)), starts)).sum())
-                         for _, _, spelling in kept]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(kept)), pa.int32()), pa.array(known, pa.float64())],
-                                                 names=["sweep", "known"])
-    sums = dict(vocabulary.where(F.col("c") > 0).select("word").mapInArrow(run, "sweep int, known double")
-                .groupBy("sweep").agg(F.sum("known")).collect())
-    mean = sum((WORD_STRENGTH + model.discount * tables) / (WORD_STRENGTH + model.customers)
-               * max(0.0, 1.0 - sums.get(i, 0.0)) for i, (model, tables, _) in enumerate(kept)) / len(kept)
-    return float(np.log10(max(mean, 1e-300)))
-
-
-def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, block_tokens: int = BLOCK_TOKENS,
+                known = float(np.exp(np.add.reduceat(np.log(spelling.two(ctx, sym)), starts)).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([known], pa.float64())], names=["known"])
+    known = vocabulary.where(F.col("c") > 0).select("word").mapInArrow(run, "known double").agg(F.sum("known")).first()[0]
+    return (WORD_STRENGTH + model.discount * tables) / (WORD_STRENGTH + model.customers) * max(0.0, 1.0 - (known or 0.0))
+
+
+# --- contexts ----------------------------------------------------------------------------
+
+def following(c, t, tables, customers, parent, discount):
+    """Predictive probability in the restaurant of a context: ``c`` customers at ``t`` tables of the dish, all
+    ``tables`` and ``customers`` of the restaurant, the parent's probability."""
+    return (c - discount * t + (CONTEXT_STRENGTH + discount * tables) * parent) / (CONTEXT_STRENGTH + customers)
+
+
+def _first_seats(block: pa.Table, messages: pa.Table) -> pa.Table:
+    """One table for every pair: keeps what the ranges told of a block, and sends the sums of its own pairs."""
+    out = wb.Messages()
+    for row in block.to_pylist():
+        pairs, told = wb.Pairs(row), wb.by_kind(messages)
+        c, own = pairs.from_names(wb.joined(told["total"], "a")), pairs.from_names(wb.joined(told["total"], "b"))
+        at, counts = wb.joined(told["at"], "a"), wb.joined(told["at"], "b")
+        ranges = np.array([m["range"] for m in told["at"]], np.int64)
+        sizes = np.array([len(wb.unpack(m["a"])) for m in told["at"]], np.int64)
+        out.add("held", block=row["block"], a=wb.pack(c), b=wb.pack(own), c=wb.pack(at), d=wb.pack(counts),
+                e=wb.pack(ranges), f=wb.pack(sizes), n1=int(((c == 1) & own).sum()), n2=int(((c == 2) & own).sum()))
+        wb.send_sums(out, row["block"], pairs, c, own, (c > 0).astype(np.int64), at, ranges, sizes)
+    return out.table()
+
+
+def _sampled(discount: float, sweep: int):
+    """Seats the followers of all words of a block anew; rows ``seats`` and sums of the block's own pairs."""
+    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
+        out = wb.Messages()
+        for row in block.to_pylist():
+            pairs, told = wb.Pairs(row, named=False), wb.by_kind(messages)
+            held = wb.Held(told["held"][0])
+            p, load = wb.joined(told["answer"], "a").astype(np.float64), wb.joined(told["answer"], "b")
+            t, live = np.zeros(len(held.c), np.int64), held.c > 0
+            u, w = pairs.u[live], pairs.w[live]
+            t[live] = seat(held.c[live].astype(np.float64), (CONTEXT_STRENGTH + discount * load[u]) * p[w], discount,
+                           wb.mix(wb.mix(held.ids[u]) + held.ids[w]), 1000 + sweep)
+            out.add("seats", range=sweep, block=row["block"], a=wb.pack(t))
+            wb.send_sums(out, row["block"], pairs, held.c, held.own, t, held.at, held.ranges, held.sizes)
+        return out.table()
+    return run
+
+
+def _answers(state: tuple, sweep: int):
+    """What a block needs of a range: probabilities and tables of its words after the sweep."""
+    def run(messages: pa.Table) -> pa.Table:
+        told, out = wb.by_kind(messages), wb.Messages()
+        for row in told["words"]:
+            p = predict(pa.array(row["words"], pa.binary()), wb.unpack(row["c"]), state).astype(np.float32)
+            load = wb.unpack(row["b"])
+            for m in told["at"]:
+                at = wb.unpack(m["a"])
+                out.add("answer", range=m["range"], block=m["block"], a=wb.pack(p[at]), b=wb.pack(load[at]), n1=sweep)
+        return out.table()
+    return run
+
+
+def _scored(discount: float, unknowns: list[float], total: int, distinct: int, id_type: pa.DataType):
+    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
+        told = wb.by_kind(messages)
+        row = block.to_pylist()[0]
+        pairs, held = wb.Pairs(row, named=False), wb.Held(told["held"][0])
+        lengths, ids, before, at = pairs.lengths, pairs.ids, pairs.before, pairs.places()
+        spelled, closed = np.zeros(len(ids)), np.zeros(len(ids))
+        known = held.counts[ids] > 0
+        for sweep, other in enumerate(unknowns, 1):
+            # seats of this sweep; the parent as it was left behind them
+            t = wb.unpack(next(m["a"] for m in told["seats"] if m["range"] == sweep))
+            later = [m for m in told["answer"] if m["n1"] == sweep + 1]
+            p, load = wb.joined(later, "a").astype(np.float64), wb.joined(later, "b")
+            c, seats, tables, customers = held.c[at], t[at], load[before], held.counts[before]
+            mine = following(c, seats, tables, customers, p[ids], discount)
+            spelled += mine
+            closed += np.where(known, mine, following(c, seats, tables, customers, other, discount))
+        base = np.log10((held.counts[ids] + 0.5) / (total + 0.5 * (distinct + 1)))
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+
+        def text(x):
+            return pa.array(np.add.reduceat(np.log10(np.maximum(x / len(unknowns), 1e-300)), starts), pa.float64())
+        return pa.table({
+            "id": pa.array(row["doc_ids"], id_type), "held_out": pa.array(row["held_out"], pa.bool_()),
+            "n_tokens": pa.array(lengths, pa.int64()),
+            "n_known": pa.array(np.add.reduceat(known, starts, dtype=np.int64), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()),
+            "score": text(closed), "spelled_score": text(spelled)})
+    return run
+
+
+def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, block_tokens: int = BLOCK_TOKENS,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``,
     ``spelled_score``.
 
-    Scores are log10 probabilities of the whole text with its end; 10 ** (-score / n_tokens) is
-    its perplexity. As in the base score, the outcomes of ``score`` are the training words and one
-    for all others; ``spelled_score`` also spells the words that training never met. Null text is empty and scores its end only. Rows that repeat count and score
-    each by itself; a null id trains. Without training documents all words have the base
-    probability. An empty table gives no rows.
+    Scores are log10 probabilities of the whole text with its end, each word given the word before it
+    (the first one: given an end); 10 ** (-score / n_tokens) is its perplexity. As in the base score, the outcomes
+    of ``score`` are the training words and one for all others; ``spelled_score`` also spells the words that
+    training never met. Null text is empty and scores its end only. Rows that repeat count and score each by itself;
+    a null id trains. Without training documents all words have the base probability. An empty table gives no rows.
+    Words and pairs are told apart by 64-bit hashes.
     """
     folder = workspace(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(_blocks(named, block_tokens), folder, "blocks")
-    entries = _entries(blocks)
-    vocabulary = written(entries.groupBy("word").agg(F.sum("train").alias("c")), folder, "vocabulary")
-    kept, total, distinct = train(vocabulary, sweeps, burn_in)
-    words, unknown = _predicted(vocabulary, kept), _unknown(vocabulary, kept)
-    found = entries.select("block", "pos", "word").join(words, "word").select("block", "pos", "c", "lp")
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    scale = total + 0.5 * (distinct + 1)
-
-    def score(block: pa.Table, entry: pa.Table) -> pa.Table:
-        pos = entry.column("pos").to_numpy()
-        c, lp = np.zeros(len(pos), np.int64), np.zeros(len(pos))
-        c[pos], lp[pos] = entry.column("c").to_numpy(), entry.column("lp").to_numpy()
-        row = block.to_pylist()[0]
-        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), "<u4")
-        lengths = np.array(row["lengths"], np.int64)
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        base, closed = np.log10((c + 0.5) / scale), np.where(c > 0, lp, unknown)
-        return pa.table({
-            "id": pa.array(row["doc_ids"], block.schema.field("doc_ids").type.value_type),
-            "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()),
-            "n_known": pa.array(np.add.reduceat((c > 0)[ids], starts, dtype=np.int64), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base[ids], starts), pa.float64()),
-            "score": pa.array(np.add.reduceat(closed[ids], starts), pa.float64()),
-            "spelled_score": pa.array(np.add.reduceat(lp[ids], starts), pa.float64())})
-
-    out = (blocks.select("block", "doc_ids", "held_out", "lengths", "ids").groupBy("block")
-           .cogroup(found.groupBy("block")).applyInArrow(
-               score, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
-                     "spelled_score double"))
+    blocks = written(wb.blocks(named, block_tokens), folder, "blocks")
+    tokens = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
+    bits = wb.range_bits(tokens)
+    texts = blocks.select("block", "doc_ids", "held_out", "lengths", "ids", "names")
+    slim = texts.drop("names")
+
+    def at_blocks(left: DataFrame, messages: DataFrame, run, schema: str = wb.MESSAGE) -> DataFrame:
+        return left.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(run, schema)
+
+    lexicon = written(wb.word_slices(blocks, bits).groupBy("range").applyInArrow(wb.lexicon, wb.MESSAGE), folder, "lexicon")
+    words, slices = lexicon.where("kind = 'words'"), lexicon.where("kind = 'at'")
+    totals = written(wb.pair_slices(texts, bits).groupBy("range").applyInArrow(wb.totals, wb.MESSAGE), folder, "totals")
+    first = written(at_blocks(texts, totals.unionByName(slices), _first_seats), folder, "seats-0")
+    discard(docs.sparkSession, folder, "totals")
+    held = first.where("kind = 'held'")
+    discount = discount_of(*[x or 0 for x in held.agg(F.sum("n1"), F.sum("n2")).first()])
+    total, distinct = (x or 0 for x in words.agg(F.sum("n1"), F.sum("n2")).first())
+
+    sums, told, unknowns, model = first.where("kind = 'sum'"), held, [], None
+    for sweep in range(1, sweeps + 2):
+        state = written(words.unionByName(sums).groupBy("range").applyInArrow(wb.customers, wb.MESSAGE),
+                        folder, f"words-{sweep}")
+        vocabulary = wb.vocabulary(state)
+        model = model or Words(vocabulary)
+        after = model.sweep(vocabulary)
+        answers = state.unionByName(slices).groupBy("range").applyInArrow(_answers(after, sweep), wb.MESSAGE)
+        if sweep > 1:
+            unknowns.append(unknown(vocabulary, after))
+            answers = written(answers, folder, f"answers-{sweep}")
+            told = told.unionByName(answers)
+        if sweep <= sweeps:
+            seated = written(at_blocks(slim, held.unionByName(answers), _sampled(discount, sweep)), folder, f"seats-{sweep}")
+            sums, told = seated.where("kind = 'sum'"), told.unionByName(seated.where("kind = 'seats'"))
+
+    kind = blocks.schema["doc_ids"].dataType.elementType
+    out = at_blocks(slim, told, _scored(discount, unknowns, total, distinct, wb.arrow_type(kind)),
+                    f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
+                    "score double, spelled_score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
                       F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "spelled_score")

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -243,13 +244,79 @@ def test_base_scores_of_odd_rows(docs, nothing):
 def test_outcomes_add_up_to_one(spark):
     words = [(w.encode(), c) for w, c in (("the", 40), ("then", 7), ("cat", 3), ("cab", 1), ("", 9), ("dog", 1))]
     vocabulary = spark.createDataFrame(words, "word binary, c bigint")
-    kept, total, distinct = pitman_yor.train(vocabulary)
-    assert (total, distinct) == (61, 6)
-    known = sum(10 ** r.lp for r in pitman_yor._predicted(vocabulary, kept).collect())
-    assert known + 10 ** pitman_yor._unknown(vocabulary, kept) == pytest.approx(1, abs=1e-9)
+    model = pitman_yor.Words(vocabulary)
+    assert model.distinct == 6
+    for _ in range(2):
+        state = model.sweep(vocabulary)
+    names, counts = pa.array([w for w, _ in words], pa.binary()), np.array([c for _, c in words])
+    known, other = pitman_yor.predict(names, counts, state), pitman_yor.unknown(vocabulary, state)
+    assert known.sum() + other == pytest.approx(1, abs=1e-9)
     for ctx in (pitman_yor.START << 9 | pitman_yor.START, ord("t") << 9 | ord("h"), 0):
-        model = kept[0][2]
-        assert model.two(np.full(257, ctx), np.arange(257)).sum() == pytest.approx(1, abs=1e-9)
+        assert state[2].two(np.full(257, ctx), np.arange(257)).sum() == pytest.approx(1, abs=1e-9)
+    # and behind a word: its followers, all other words, and those that training never met
+    c, d = np.array([5, 0, 2, 1, 1, 0]), 0.6
+    t = np.where(c > 0, pitman_yor.seat(np.maximum(c, 1).astype(float), np.full(6, 0.7), d, np.arange(6), 1), 0)
+    outcomes = [*pitman_yor.following(c, t, t.sum(), c.sum(), known, d), pitman_yor.following(0, 0, t.sum(), c.sum(), other, d)]
+    assert sum(outcomes) == pytest.approx(1, abs=1e-9)
+
+
+def test_scores_by_brute_force(spark):
+    """Where every pair of training words occurs once, all seats behind words are known without sampling."""
+    texts = ["a b c d e", "b d a e c", "c a d b", "e b a f", "f g ab cab", "g a zz b h", "A q"]
+    ids = [i for i in range(1, 60) if not pitman_yor.wb.held_out(i)][:6] + [i for i in range(1, 60) if pitman_yor.wb.held_out(i)][:1]
+    apart = {ids[-1]}
+    tokens = {i: (t.lower() + " ").split(" ") for i, t in zip(ids, texts)}
+    pairs, customers, words, load = (collections.Counter() for _ in range(4))
+    for i, ws in tokens.items():
+        if i not in apart:
+            pairs.update(zip([""] + ws, ws))
+            words.update(ws)
+    # a pair that returned would be seated at random
+    assert max(pairs.values()) == 1
+    for u, w in pairs:
+        customers[w] += 1
+        load[u] += 1
+    vocabulary = spark.createDataFrame([(w.encode(), n) for w, n in customers.items()], "word binary, c bigint")
+    model, p, others = pitman_yor.Words(vocabulary), [], []
+    every = sorted({w for ws in tokens.values() for w in ws})
+    for sweep in range(3):
+        state = model.sweep(vocabulary)
+        if sweep:
+            got = pitman_yor.predict(pa.array([w.encode() for w in every], pa.binary()),
+                                     np.array([customers[w] for w in every]), state)
+            p.append(dict(zip(every, got)))
+            others.append(pitman_yor.unknown(vocabulary, state))
+    discount = pitman_yor.discount_of(len(pairs), 0)
+    want = {}
+    for i, ws in tokens.items():
+        want[i] = sum(math.log10(sum(pitman_yor.following(
+            pairs[u, w], pairs[u, w], load[u], words[u], q[w] if words[w] else o, discount)
+            for q, o in zip(p, others)) / 2) for u, w in zip([""] + ws, ws))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id int, text string").repartition(3)
+    for size in (3, 1000):
+        got = {r.doc_id: r.score for r in pitman_yor.lm_scores(docs, block_tokens=size).collect()}
+        assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_order_of_words_counts_and_blocks_do_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    turned = docs.withColumn("text", F.array_join(F.reverse(F.split("text", r"[\x20\x09-\x0D]+")), " "))
+    few = docs.where("doc_id < 300").unionByName(turned.where("doc_id < 300 and doc_id % 10 = 1").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    got = {r.doc_id: r for r in pitman_yor.lm_scores(few).collect()}
+    small = {r.doc_id: r for r in pitman_yor.lm_scores(few.repartition(7), block_tokens=2000).collect()}
+    assert {i: r.score for i, r in small.items()} == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-6)
+    # the same words the other way round, of documents that trained; the copies are held out
+    moved = [i for i in got if i > 1_000_000 and got[i].held_out and not got[i - 1_000_000].held_out and got[i].n_tokens > 20]
+    assert moved and all(got[i].score < got[i - 1_000_000].score - 1 for i in moved)
+
+
+def test_arrays_travel_whole():
+    for a in (np.zeros(0, np.int64), np.array([0, 5, 5, 2**40]), np.array([True, False]), np.float32([0.5, 1e-9])):
+        back = pitman_yor.wb.unpack(pitman_yor.wb.pack(a))
+        assert back.dtype == a.dtype and (back == a).all()
+    names = np.sort(pitman_yor.wb.mix(np.arange(1000)))
+    assert (pitman_yor.wb.unpack_sorted(pitman_yor.wb.pack_sorted(names)) == names).all()
+    assert [x[0] for x in pitman_yor.wb.cut(names, 3)] == list(range(8)) and list(pitman_yor.wb.cut(names[:0], 3)) == []
 
 
 def test_seats_follow_the_restaurant():
