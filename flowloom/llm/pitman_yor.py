@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from flowloom.llm import word_blocks as wb
 from flowloom.llm.common import discard, workspace, written
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 19
 # Sweeps over the restaurants of contexts, all averaged.
 SWEEPS = 2
 CONTEXT_STRENGTH = 2.0
@@ -188,18 +188,15 @@ class Words:
     """The restaurant of words and its spelling, one sweep at a time over the customers of the day."""
 
     def __init__(self, vocabulary: DataFrame):
-        total, self.distinct, once, twice = vocabulary.agg(
-            F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)),
-            F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+        once, twice = vocabulary.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
         self.discount = discount_of(once, twice)
         keys, n, self.tables = _customers(vocabulary, None)
         self.spelling, self.number = ByteModel(keys, n, 0), 0
 
-    def sweep(self, vocabulary: DataFrame) -> tuple:
+    def sweep(self, vocabulary: DataFrame, customers: int) -> tuple:
         """Seats all customers anew; the model, its tables and the spelling after the sweep."""
         self.number += 1
-        total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        model = WordModel(self.spelling, self.discount, float(total), self.tables, self.number)
+        model = WordModel(self.spelling, self.discount, float(customers), self.tables, self.number)
         keys, n, self.tables = _customers(vocabulary, model)
         self.spelling = ByteModel(keys, n, self.number, self.spelling)
         return model, self.tables, self.spelling
@@ -267,7 +264,8 @@ def _sampled(discount: float, sweep: int):
             pairs, told = wb.Pairs(row, named=False), wb.by_kind(messages)
             held = wb.Held(told["held"][0])
             p, load = wb.joined(told["answer"], "a").astype(np.float64), wb.joined(told["answer"], "b")
-            t, live = np.zeros(len(held.c), np.int64), held.c > 0
+            # a single customer opens the only table
+            t, live = np.minimum(held.c, 1), held.c > 1
             u, w = pairs.u[live], pairs.w[live]
             t[live] = seat(held.c[live].astype(np.float64), (CONTEXT_STRENGTH + discount * load[u]) * p[w], discount,
                            wb.mix(wb.mix(held.ids[u]) + held.ids[w]), 1000 + sweep)
@@ -296,29 +294,29 @@ def _scored(discount: float, unknowns: list[float], total: int, distinct: int, i
         told = wb.by_kind(messages)
         row = block.to_pylist()[0]
         pairs, held = wb.Pairs(row, named=False), wb.Held(told["held"][0])
-        lengths, ids, before, at = pairs.lengths, pairs.ids, pairs.before, pairs.places()
-        spelled, closed = np.zeros(len(ids)), np.zeros(len(ids))
-        known = held.counts[ids] > 0
+        ids, at, u, w = pairs.ids, pairs.places(), pairs.u, pairs.w
+        mean, closed = np.zeros(len(u)), np.zeros(len(u))
+        known, customers = held.counts > 0, held.counts[u]
         for sweep, other in enumerate(unknowns, 1):
             # seats of this sweep; the parent as it was left behind them
             t = wb.unpack(next(m["a"] for m in told["seats"] if m["range"] == sweep))
             later = [m for m in told["answer"] if m["n1"] == sweep + 1]
-            p, load = wb.joined(later, "a").astype(np.float64), wb.joined(later, "b")
-            c, seats, tables, customers = held.c[at], t[at], load[before], held.counts[before]
-            mine = following(c, seats, tables, customers, p[ids], discount)
-            spelled += mine
-            closed += np.where(known, mine, following(c, seats, tables, customers, other, discount))
-        base = np.log10((held.counts[ids] + 0.5) / (total + 0.5 * (distinct + 1)))
+            p, tables = wb.joined(later, "a").astype(np.float64), wb.joined(later, "b")[u]
+            mean += following(held.c, t, tables, customers, p[w], discount)
+            closed += following(held.c, t, tables, customers, np.where(known, p, other)[w], discount)
+        base = np.log10((held.counts + 0.5) / (total + 0.5 * (distinct + 1)))
+        lengths = pairs.lengths
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
 
         def text(x):
-            return pa.array(np.add.reduceat(np.log10(np.maximum(x / len(unknowns), 1e-300)), starts), pa.float64())
+            logs = np.log10(np.maximum(x / len(unknowns), 1e-300))
+            return pa.array(np.add.reduceat(logs[at], starts), pa.float64())
         return pa.table({
             "id": pa.array(row["doc_ids"], id_type), "held_out": pa.array(row["held_out"], pa.bool_()),
             "n_tokens": pa.array(lengths, pa.int64()),
-            "n_known": pa.array(np.add.reduceat(known, starts, dtype=np.int64), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base, starts), pa.float64()),
-            "score": text(closed), "spelled_score": text(spelled)})
+            "n_known": pa.array(np.add.reduceat(known[ids], starts, dtype=np.int64), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(base[ids], starts), pa.float64()),
+            "score": text(closed), "spelled_score": text(mean)})
     return run
 
 
@@ -360,7 +358,7 @@ def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, block_tokens: int = BLOCK_T
                         folder, f"words-{sweep}")
         vocabulary = wb.vocabulary(state)
         model = model or Words(vocabulary)
-        after = model.sweep(vocabulary)
+        after = model.sweep(vocabulary, state.agg(F.sum("n1")).first()[0] or 0)
         answers = state.unionByName(slices).groupBy("range").applyInArrow(_answers(after, sweep), wb.MESSAGE)
         if sweep > 1:
             unknowns.append(unknown(vocabulary, after))

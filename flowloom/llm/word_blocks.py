@@ -26,7 +26,7 @@ from flowloom.llm.common import whole
 
 HELD_OUT = (5, 1)
 # Tokens per range of hashes.
-RANGE_TOKENS = 1 << 20
+RANGE_TOKENS = 1 << 19
 
 MESSAGE = ("kind string, range int, block bigint, words array<binary>, a binary, b binary, c binary, d binary, e binary, "
            "f binary, n1 bigint, n2 bigint")
@@ -172,16 +172,19 @@ class Pairs:
     def __init__(self, row: dict, named: bool = True):
         self.ids = unpack(row["ids"])
         self.lengths = np.array(row["lengths"], np.int64)
-        self.before = np.r_[self.ids[-1:], self.ids[:-1]]
-        apart = np.repeat(np.array(row["held_out"], bool), self.lengths)
-        self.tokens = self.before.astype(np.uint64) << np.uint64(32) | self.ids
-        keys = self.tokens << np.uint64(1) | apart
-        keys.sort()
-        pair = keys >> np.uint64(1)
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        self.keys = pair[first]
-        self.u, self.w = (self.keys >> np.uint64(32)).astype(np.int64), (self.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.train = np.add.reduceat(1 - (keys & np.uint64(1)).astype(np.int64), first)
+        self.tokens = np.r_[self.ids[-1:], self.ids[:-1]].astype(np.uint64) << np.uint64(32) | self.ids
+        if named:
+            apart = np.repeat(np.array(row["held_out"], bool), self.lengths)
+            keys = self.tokens << np.uint64(1) | apart
+            keys.sort()
+            pair = keys >> np.uint64(1)
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            self.train = np.add.reduceat(1 - (keys & np.uint64(1)).astype(np.int64), first)
+            pair = pair[first]
+        else:
+            pair = np.sort(self.tokens)
+            pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
+        self.u, self.w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         if named:
             names = unpack_sorted(row["names"])
             self.names = mix(mix(names[self.u]) + names[self.w])
@@ -247,7 +250,8 @@ def lexicon(messages: pa.Table) -> pa.Table:
 def pair_slices(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 pairs, out = Pairs(row), Messages()
                 names, train = pairs.names[pairs.order], pairs.train[pairs.order]
                 for r, a, b in cut(names, bits):
@@ -291,7 +295,7 @@ def customers(messages: pa.Table) -> pa.Table:
             at = unpack(m["a"])
             np.add.at(load, at, unpack(m["b"]))
             np.add.at(n, at, unpack(m["c"]))
-        out.add("words", range=row["range"], words=row["words"], a=row["a"], b=pack(load), c=pack(n))
+        out.add("words", range=row["range"], words=row["words"], a=row["a"], b=pack(load), c=pack(n), n1=int(n.sum()))
     return out.table()
 
 
