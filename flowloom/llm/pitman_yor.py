@@ -242,35 +242,42 @@ def following(c, t, tables, customers, parent, discount):
 
 
 def _first_seats(block: pa.Table, messages: pa.Table) -> pa.Table:
-    """One table for every pair: keeps what the ranges told of a block, and sends the sums of its own pairs."""
+    """One table for every pair: keeps what the ranges told of a block, and sends the sums of its own pairs.
+
+    ``held`` has the counts for scoring. ``open`` has the pairs with several customers, whose tables are
+    sampled, and the sums of all others, whose single customer opens the only table.
+    """
     out = wb.Messages()
     for row in block.to_pylist():
         pairs, told = wb.Pairs(row), wb.by_kind(messages)
         c, own = pairs.from_names(wb.joined(told["total"], "a")), pairs.from_names(wb.joined(told["total"], "b"))
         at, counts = wb.joined(told["at"], "a"), wb.joined(told["at"], "b")
-        ranges = np.array([m["range"] for m in told["at"]], np.int64)
-        sizes = np.array([len(wb.unpack(m["a"])) for m in told["at"]], np.int64)
-        out.add("held", block=row["block"], a=wb.pack(c), b=wb.pack(own), c=wb.pack(at), d=wb.pack(counts),
-                e=wb.pack(ranges), f=wb.pack(sizes), n1=int(((c == 1) & own).sum()), n2=int(((c == 2) & own).sum()))
-        wb.send_sums(out, row["block"], pairs, c, own, (c > 0).astype(np.int64), at, ranges, sizes)
+        ranges, sizes = wb.layout(told["at"], "a")
+        many, one, mine = c > 1, own & (c == 1), own & (c > 0)
+        out.add("held", block=row["block"], a=wb.pack(c), b=wb.pack(counts), n1=int(one.sum()), n2=int((own & (c == 2)).sum()))
+        out.add("open", block=row["block"], a=wb.pack_sorted(pairs.keys[many]), b=wb.pack(c[many]), c=wb.pack(own[many]),
+                d=wb.pack(wb.counted(pairs.u[one], len(at))), e=wb.pack(wb.counted(pairs.w[one], len(at))), f=wb.pack(at))
+        wb.send_sums(out, row["block"], wb.counted(pairs.u[mine], len(at)), wb.counted(pairs.w[mine], len(at)),
+                     at, ranges, sizes)
     return out.table()
 
 
 def _sampled(discount: float, sweep: int):
     """Seats the followers of all words of a block anew; rows ``seats`` and sums of the block's own pairs."""
-    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
-        out = wb.Messages()
-        for row in block.to_pylist():
-            pairs, told = wb.Pairs(row, named=False), wb.by_kind(messages)
-            held = wb.Held(told["held"][0])
-            p, load = wb.joined(told["answer"], "a").astype(np.float64), wb.joined(told["answer"], "b")
-            # a single customer opens the only table
-            t, live = np.minimum(held.c, 1), held.c > 1
-            u, w = pairs.u[live], pairs.w[live]
-            t[live] = seat(held.c[live].astype(np.float64), (CONTEXT_STRENGTH + discount * load[u]) * p[w], discount,
-                           wb.mix(wb.mix(held.ids[u]) + held.ids[w]), 1000 + sweep)
-            out.add("seats", range=sweep, block=row["block"], a=wb.pack(t))
-            wb.send_sums(out, row["block"], pairs, held.c, held.own, t, held.at, held.ranges, held.sizes)
+    def run(messages: pa.Table) -> pa.Table:
+        out, told = wb.Messages(), wb.by_kind(messages)
+        row = told["open"][0]
+        u, w = wb.halves(wb.unpack_sorted(row["a"]))
+        c, own, load, customers, at = (wb.unpack(row[x]) for x in "bcdef")
+        ranges, sizes = wb.layout(told["answer"], "b")
+        p, tables = wb.joined(told["answer"], "a").astype(np.float64), wb.joined(told["answer"], "b")
+        # numbers that name a word in all blocks
+        names = (np.repeat(ranges, sizes) << 32 | at).astype(np.uint64)
+        t = seat(c.astype(np.float64), (CONTEXT_STRENGTH + discount * tables[u]) * p[w], discount,
+                 wb.mix(wb.mix(names[u]) + names[w]), 1000 + sweep).astype(np.int64)
+        out.add("seats", range=sweep, block=row["block"], a=wb.pack(t))
+        wb.send_sums(out, row["block"], load + wb.counted(u[own], len(at), t[own]),
+                     customers + wb.counted(w[own], len(at), t[own]), at, ranges, sizes)
         return out.table()
     return run
 
@@ -293,18 +300,19 @@ def _scored(discount: float, unknowns: list[float], total: int, distinct: int, i
     def run(block: pa.Table, messages: pa.Table) -> pa.Table:
         told = wb.by_kind(messages)
         row = block.to_pylist()[0]
-        pairs, held = wb.Pairs(row, named=False), wb.Held(told["held"][0])
+        pairs, (c, counts) = wb.Pairs(row, named=False), (wb.unpack(told["held"][0][x]) for x in "ab")
         ids, at, u, w = pairs.ids, pairs.places(), pairs.u, pairs.w
         mean, closed = np.zeros(len(u)), np.zeros(len(u))
-        known, customers = held.counts > 0, held.counts[u]
+        known, customers, many = counts > 0, counts[u], c > 1
         for sweep, other in enumerate(unknowns, 1):
             # seats of this sweep; the parent as it was left behind them
-            t = wb.unpack(next(m["a"] for m in told["seats"] if m["range"] == sweep))
+            t = np.minimum(c, 1)
+            t[many] = wb.unpack(next(m["a"] for m in told["seats"] if m["range"] == sweep))
             later = [m for m in told["answer"] if m["n1"] == sweep + 1]
             p, tables = wb.joined(later, "a").astype(np.float64), wb.joined(later, "b")[u]
-            mean += following(held.c, t, tables, customers, p[w], discount)
-            closed += following(held.c, t, tables, customers, np.where(known, p, other)[w], discount)
-        base = np.log10((held.counts + 0.5) / (total + 0.5 * (distinct + 1)))
+            mean += following(c, t, tables, customers, p[w], discount)
+            closed += following(c, t, tables, customers, np.where(known, p, other)[w], discount)
+        base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         lengths = pairs.lengths
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
 
@@ -348,7 +356,7 @@ def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, block_tokens: int = BLOCK_T
     totals = written(wb.pair_slices(texts, bits).groupBy("range").applyInArrow(wb.totals, wb.MESSAGE), folder, "totals")
     first = written(at_blocks(texts, totals.unionByName(slices), _first_seats), folder, "seats-0")
     discard(docs.sparkSession, folder, "totals")
-    held = first.where("kind = 'held'")
+    held, opened = first.where("kind = 'held'"), first.where("kind = 'open'")
     discount = discount_of(*[x or 0 for x in held.agg(F.sum("n1"), F.sum("n2")).first()])
     total, distinct = (x or 0 for x in words.agg(F.sum("n1"), F.sum("n2")).first())
 
@@ -365,7 +373,8 @@ def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, block_tokens: int = BLOCK_T
             answers = written(answers, folder, f"answers-{sweep}")
             told = told.unionByName(answers)
         if sweep <= sweeps:
-            seated = written(at_blocks(slim, held.unionByName(answers), _sampled(discount, sweep)), folder, f"seats-{sweep}")
+            seated = written(opened.unionByName(answers).groupBy("block").applyInArrow(_sampled(discount, sweep), wb.MESSAGE),
+                             folder, f"seats-{sweep}")
             sums, told = seated.where("kind = 'sum'"), told.unionByName(seated.where("kind = 'seats'"))
 
     kind = blocks.schema["doc_ids"].dataType.elementType

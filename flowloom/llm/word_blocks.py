@@ -184,7 +184,7 @@ class Pairs:
         else:
             pair = np.sort(self.tokens)
             pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
-        self.u, self.w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.keys, (self.u, self.w) = pair, halves(pair)
         if named:
             names = unpack_sorted(row["names"])
             self.names = mix(mix(names[self.u]) + names[self.w])
@@ -205,15 +205,6 @@ class Pairs:
         return out
 
 
-class Held:
-    """What a block was told of its pairs and words: table-wide counts, which pairs it owns, numbers of words."""
-
-    def __init__(self, m: dict):
-        self.c, self.own, self.at, self.counts, self.ranges, self.sizes = (unpack(m[x]) for x in "abcdef")
-        # numbers that name a word in all blocks
-        self.ids = (np.repeat(self.ranges, self.sizes) << 32 | self.at).astype(np.uint64)
-
-
 # --- messages ----------------------------------------------------------------------------
 
 def word_slices(rows: DataFrame, bits: int) -> DataFrame:
@@ -276,11 +267,23 @@ def totals(messages: pa.Table) -> pa.Table:
     return out.table()
 
 
-def send_sums(out: Messages, block: int, pairs: Pairs, c, own, t, at, ranges, sizes) -> None:
-    """Tables of a block's own pairs, summed by the word before and by the word itself."""
-    mine = own & (c > 0)
-    load = np.bincount(pairs.u[mine], t[mine], len(at)).astype(np.int64)
-    customers = np.bincount(pairs.w[mine], t[mine], len(at)).astype(np.int64)
+def halves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of pairs that are kept in one number."""
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def counted(at: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(at, weights, size).astype(np.int64)
+
+
+def layout(slices: list[dict], field: str) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each slice of a block and how many words it has."""
+    return (np.array([m["range"] for m in slices], np.int64),
+            np.array([len(unpack(m[field])) for m in slices], np.int64))
+
+
+def send_sums(out: Messages, block: int, load, customers, at, ranges, sizes) -> None:
+    """Tables of a block's own pairs, summed by the word before and by the word itself, to the words' ranges."""
     ends = np.cumsum(sizes)
     for r, a, b in zip(ranges, ends - sizes, ends):
         out.add("sum", range=int(r), block=block, a=pack(at[a:b]), b=pack(load[a:b]), c=pack(customers[a:b]))
