@@ -69,6 +69,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=steps.dtype)
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    """Words hold no spaces."""
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
+
 class Messages:
     """Rows of the one layout in which blocks and ranges talk."""
 
@@ -136,7 +145,7 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             train = np.bincount(ids[np.repeat(~np.array(apart), lengths)], minlength=len(order))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | number], pa.int64()),
-                 pa.array([[listed[i] for i in order]], pa.list_(pa.binary())),
+                 pa.array([pack_words([listed[i] for i in order])], pa.binary()),
                  pa.array([pack_sorted(names[order])], pa.binary()), pa.array([pack(train)], pa.binary()),
                  pa.array([doc_ids], pa.list_(id_type)), pa.array([apart], pa.list_(pa.bool_())),
                  pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary())],
@@ -159,7 +168,7 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
                     index, number = None, number + 1
         if index is not None:
             yield flush()
-    return rows.mapInArrow(run, f"block bigint, words array<binary>, names binary, train binary, doc_ids array<{kind}>, "
+    return rows.mapInArrow(run, f"block bigint, words binary, names binary, train binary, doc_ids array<{kind}>, "
                                 "held_out array<boolean>, lengths array<bigint>, ids binary")
 
 
@@ -211,13 +220,13 @@ def word_slices(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, names = batch.column("words")[i].values, unpack_sorted(batch.column("names")[i].as_py())
+                words, names = unpack_words(batch.column("words")[i].as_py()), unpack_sorted(batch.column("names")[i].as_py())
                 train = unpack(batch.column("train")[i].as_py())
+                out = Messages()
                 for r, a, b in cut(names, bits):
-                    out = Messages()
-                    out.add("slice", range=r, block=batch.column("block")[i].as_py(), words=words[a:b].to_pylist(),
-                            a=pack_sorted(names[a:b]), b=pack(train[a:b]))
-                    yield from out.table().to_batches()
+                    out.add("slice", range=r, block=batch.column("block")[i].as_py(), a=pack_sorted(names[a:b]),
+                            b=pack(train[a:b]), c=pack_words(words[a:b]))
+                yield from out.table().to_batches()
     return rows.select("block", "words", "names", "train").mapInArrow(run, MESSAGE)
 
 
@@ -226,13 +235,14 @@ def lexicon(messages: pa.Table) -> pa.Table:
     slices, out = by_kind(messages)["slice"], Messages()
     names, first, at = np.unique(np.concatenate([unpack_sorted(m["a"]) for m in slices]), return_index=True,
                                  return_inverse=True)
-    words = [w for m in slices for w in m["words"]]
+    held = [unpack_words(m["c"]) for m in slices]
+    words = [w for part in held for w in part]
     c = np.bincount(at, joined(slices, "b"), len(names)).astype(np.int64)
     out.add("words", range=slices[0]["range"], words=[words[i] for i in first], a=pack(c), n1=int(c.sum()),
             n2=int((c > 0).sum()))
     start = 0
-    for m in slices:
-        here = at[start:start + len(m["words"])]
+    for m, part in zip(slices, held):
+        here = at[start:start + len(part)]
         start += len(here)
         out.add("at", range=m["range"], block=m["block"], a=pack(here.astype(np.int32)), b=pack(c[here]))
     return out.table()
