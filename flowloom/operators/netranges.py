@@ -18,7 +18,7 @@ STATIC_RANGES = [
     ("suse", "195.135.223.0/24"),
 ]
 
-# Addresses per bucket; a bucket bounds how many segments one lookup compares.
+# Addresses per bucket, a power of two; a bucket bounds the segments that one lookup bisects.
 BUCKET = 1 << 12
 # Segments up to which the lookup side is broadcast (about 40 bytes each).
 BROADCAST_SEGMENTS = 1_000_000
@@ -68,16 +68,29 @@ def range_segments(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
             .groupBy("bucket", "lo", "hi").agg(F.min("rank").alias("rank")))
 
 
-def _lookup(df: DataFrame, address: str, segments: DataFrame, name: str) -> DataFrame:
-    # segments are disjoint, so the left join keeps one row per flow
-    number = f"__n_{name}"
-    seg = segments.select(F.col("bucket").alias(f"__b_{name}"), F.col("lo").alias(f"__lo_{name}"),
-                          F.col("hi").alias(f"__hi_{name}"), F.col("rank").alias(name))
+def bucket_rows(segments: DataFrame) -> DataFrame:
+    """One row per bucket with its segments in ascending order, at most ``BUCKET`` of them."""
+    ordered = F.sort_array(F.collect_list(F.struct("lo", "hi", "rank")))
+    rows = segments.groupBy("bucket").agg(ordered.alias("s"))
+    return rows.select("bucket", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.col("s.rank").alias("rank"))
+
+
+def _bisected(number: Column, starts: Column) -> Column:
+    """Place of the last start that is not above ``number``; 0 where all are."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BUCKET.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(starts, at + step) <= number, at + step).otherwise(at))
+
+
+def _lookup(df: DataFrame, address: str, buckets: DataFrame, name: str) -> DataFrame:
+    # a bucket is one row, so the left join keeps one row per flow
+    number, at, key, lo, hi, rank = [f"__{n}_{name}" for n in ("n", "at", "b", "lo", "hi", "rank")]
+    side = buckets.select(F.col("bucket").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("rank").alias(rank))
     numbered = df.withColumn(number, ipv4_number(F.col(address)))
-    bucket = F.floor(F.col(number) / BUCKET)
-    return numbered.join(
-        seg, (bucket == F.col(f"__b_{name}")) & F.col(number).between(F.col(f"__lo_{name}"), F.col(f"__hi_{name}")),
-        "left").drop(number, f"__b_{name}", f"__lo_{name}", f"__hi_{name}")
+    joined = numbered.join(side, F.floor(F.col(number) / BUCKET) == F.col(key), "left")
+    placed = joined.withColumn(at, _bisected(F.col(number), F.col(lo)))
+    inside = F.col(number).between(F.get(lo, F.col(at)), F.get(hi, F.col(at)))
+    return placed.withColumn(name, F.when(inside, F.get(rank, F.col(at)))).drop(number, at, key, lo, hi, rank)
 
 
 def allow_reason(df: DataFrame, ranges: DataFrame, saddr: str = "saddr", daddr: str = "daddr",
@@ -85,11 +98,13 @@ def allow_reason(df: DataFrame, ranges: DataFrame, saddr: str = "saddr", daddr:
     """Add the reason a flow is exempt: best provider holding its source or destination.
 
     The segments are built once; they are broadcast only if their counted size is within
-    ``broadcast_limit`` and joined by shuffle (with skew splitting) beyond it.
+    ``broadcast_limit`` and joined by shuffle (with skew splitting) beyond it. A flow meets one
+    row, its bucket, and finds its segment there by bisection: 12 comparisons at most.
     """
     segments = cut_lineage(range_segments(ranges))
     small = segments.limit(broadcast_limit + 1).count() <= broadcast_limit
-    side = F.broadcast(segments) if small else segments
+    buckets = bucket_rows(segments)
+    side = F.broadcast(buckets) if small else buckets
     found = _lookup(_lookup(df, saddr, side, "__src_rank"), daddr, side, "__dst_rank")
     meta = (F.col(saddr) == METADATA_ADDRESS) | (F.col(daddr) == METADATA_ADDRESS)
     rank = F.when(meta, F.lit(0)).otherwise(F.least("__src_rank", "__dst_rank"))

@@ -87,6 +87,20 @@ def test_allow_list_equals_brute_force(spark, rows, limit):
     assert rows(got, "i", "reason") == sorted(((i, _brute_reason(ranges, s, d)) for i, s, d in pairs), key=repr)
 
 
+def test_full_bucket_is_bisected(spark, rows):
+    """Every second address of a bucket is a range of its own, so the bucket holds as many segments as it can."""
+    size = netranges.BUCKET
+    ranges = spark.range(0, size, 2).selectExpr(
+        "case id % 4 when 0 then 'aws' else 'gcloud' end as provider",
+        "concat('10.0.', cast(id div 256 as string), '.', cast(id % 256 as string)) as cidr")
+    assert netranges.bucket_rows(netranges.range_segments(ranges)).selectExpr("size(lo)").collect()[0][0] == size // 2
+    flows = spark.range(size + 2).selectExpr("id", "concat('10.0.', cast(id div 256 as string), '.', cast(id % 256 as string)) as saddr",
+                                             "cast(null as string) as daddr")
+    found = netranges.allow_reason(flows, ranges)
+    expected = [(i, None if i % 2 or i >= size else "AWS" if i % 4 == 0 else "GCloud") for i in range(size + 2)]
+    assert rows(found, "id", "reason") == sorted(expected, key=repr)
+
+
 def test_unreadable_addresses_match_nothing(spark, rows):
     flows = spark.createDataFrame([(1, "fe80::1", "x"), (2, None, "10.0.0.1")], "i int, saddr string, daddr string")
     got = netranges.allow_reason(flows, spark.createDataFrame([("aws", "10.0.0.0/8")], "provider string, cidr string"))
