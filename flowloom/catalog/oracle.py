@@ -227,6 +227,18 @@ met as (select * replace (case when dport = 1024 then '169.254.169.254' else dad
 r as (select *, (sbytes % 100) / 100.0e0 as probability, case when daddr = '169.254.169.254' then 'Meta' """ + " ".join(
     f"when {c.format('saddr')} or {c.format('daddr')} then '{n}'" for n, c in _IN.items()) + " end as reason from met)"
 SQL["allow_list"] = _REASONED + "select seq, saddr, daddr, reason from r"
+# every prefix length of every address is looked up among the ranges
+_DOTTED = "concat_ws('.', '10', {0} // 65536 % 256, {0} // 256 % 256, {0} % 256)"
+SQL["allow_list_dense"] = f"""with nets as (select 20 + o_custkey % 13 as length, min(o_custkey % 5) as place,
+    (o_orderkey * 7919 % 16777216) >> cast(12 - o_custkey % 13 as int) as prefix from orders group by all),
+p as (select l_orderkey, l_linenumber, (l_orderkey * 7919 + l_linenumber * 37) % 16777216 as s,
+  (l_partkey * 104729 + l_linenumber) % 16777216 as d from lineitem),
+probes as (select s, d, unnest([s, d]) as number from (select distinct s, d from p)),
+found as (select s, d, min(place) as place from (
+  select *, unnest(range(20, 33)) as length from probes) q
+  join nets on nets.length = q.length and prefix = number >> cast(32 - q.length as int) group by all)
+select l_orderkey, l_linenumber, {_DOTTED.format('s')} as saddr, {_DOTTED.format('d')} as daddr,
+  ['GCloud', 'AWS', 'Google', 'Canonical', 'SUSE'][place + 1] as reason from p left join found using (s, d)"""
 SQL["verdicts"] = _REASONED + """select seq, case when probability >= 0.5 and reason is not null
   then 'ignored(' || reason || ')' when probability >= 0.5 then 'attack' else 'normal' end as verdict,
   case when probability >= 0.5 and reason is null then case when probability >= 0.7 then 'high' else 'low' end end
@@ -438,7 +450,7 @@ SQL["replay_hot_ftp"] = "with recursive " + _REPLAY.replace(f"{FX_A}, {FX_Z}", (
     f"fx_a as (select * replace ({_hot('proto saddr sport daddr dport')}) from own_a),\n"
     f"fx_z as (select * replace ({_hot('proto orig_h orig_p resp_h resp_p')}) from own_z)"), 1) + " select * from merges"
 # Expiry by event time: an idle day ends a session, within one the queues lose what is a day older than the clock.
-SQL["stream_expired"] = f"""with recursive {FX_A}, {FX_Z},
+_EXPIRING = f"""with recursive {FX_A}, {FX_Z},
 ev0 as (select {A_KEY} as key, seq, case when proto = 'tcp' then 'tcp' else 'dgram' end as kind, 0 as depth, 0 as len,
     0 as cmd, stime_us // 1000 as t from fx_a where proto in ('tcp', 'udp', 'icmp')
   union all select {Z_KEY}, seq, zeek_log, trans_depth, response_body_len, cast(trim(command) <> '' as int), ts_us // 1000 from fx_z),
@@ -469,14 +481,30 @@ hits as (select key, session, e[i].s as merge_seq, a.s as a_seq, z.s as z_seq, z
 ends as (select key, max(clk) as clk from ev group by key), mark as (select max(t) - 3600000 as w from ev0),
 lost as (select unnest(gone) as x from r
   union all select x from (select key, unnest(list_concat(aq, zq)) as x from r where i = len(e)) join ends using (key), mark
-  where x.t + 86400000 <= ends.clk or x.t + 86400000 < w)
-select 'merged' as status, merge_seq, a_seq, z_seq, kind,
+  where x.t + 86400000 <= ends.clk or x.t + 86400000 < w)"""
+_KEPT = """select 'merged' as status, merge_seq, a_seq, z_seq, kind,
   case kind when 'http' then row_number() over (partition by key, session, kind order by merge_seq) else 0 end as ct_flw_http_mthd,
   cast(case kind when 'ftp' then sum(c) over (partition by key, session, kind order by merge_seq) else 0 end as bigint) as ct_ftp_cmd
-from hits
-union all select case when x.k in ('tcp', 'dgram') then 'lost_flow' else 'lost_log' end, null,
-  case when x.k in ('tcp', 'dgram') then x.s end, case when x.k not in ('tcp', 'dgram') then x.s end,
-  case when x.k not in ('tcp', 'dgram') then x.k end, 0, 0 from lost"""
+from hits"""
+_LOST = """select case when x.k in ('tcp', 'dgram') then 'lost_flow' else 'lost_log' end as status, null as merge_seq,
+  case when x.k in ('tcp', 'dgram') then x.s end as a_seq, case when x.k not in ('tcp', 'dgram') then x.s end as z_seq,
+  case when x.k not in ('tcp', 'dgram') then x.k end as kind, 0 as ct_flw_http_mthd, 0 as ct_ftp_cmd from lost"""
+SQL["stream_expired"] = f"{_EXPIRING} {_KEPT} union all {_LOST}"
+SQL["stream_sinks"] = f"""{_EXPIRING}, kept as ({_KEPT}), gone as ({_LOST}),
+m as (select merge_seq, a_seq, kind, case kind when 'conn' then coalesce(z.service, '-') else kind end as service,
+    ct_flw_http_mthd, ct_ftp_cmd from kept join fx_z z on z.seq = z_seq
+  union all select seq, seq, 'other', null, 0, 0 from fx_a where proto not in ('tcp', 'udp', 'icmp')),
+w as (select m.*, a.* exclude (seq), coalesce(m.service, '-') as srv, row_number() over (order by merge_seq) as n
+  from m join fx_a a on a.seq = m.a_seq),
+counted as (select *, {_counters(', ltime')} from w)
+select 'merged' as sink, merge_seq as seq, stcpb, service, ct_flw_http_mthd, ct_ftp_cmd, ct_srv_src, ct_dst_src_ltm from counted
+union all select 'scoring', null, stcpb, null, ct_flw_http_mthd, ct_ftp_cmd, ct_srv_src, ct_dst_src_ltm from counted
+union all select 'unmatched/flows', a_seq, a_seq * 250, null, null, null, null, null from gone where status = 'lost_flow'
+union all select 'unmatched/logs', z_seq, null, kind, null, null, null, null from gone where status = 'lost_log'
+union all select 'raw/flows', seq, stcpb, null, null, null, null, null from fx_a
+union all select 'raw/logs', seq, null, zeek_log, null, null, null, null from fx_z"""
+SQL["stream_scores"] = _REASONED + """select stcpb, (seq // 4) % 50 = 7 as malformed,
+  case when (seq // 4) % 50 <> 7 then reason end as reason, true as same from r"""
 # by time, flows first; ties by sequence number and length
 SQL["merge_from_files"] = _replayed("'o1': stime_us, 'o2': 0, 'o3': stcpb, 'o4': 0, 'o5': 0",
                                     "'o1': ts_us, 'o2': 1, 'o3': response_body_len, 'o4': seq, 'o5': 0")

@@ -16,10 +16,13 @@ from flowloom.operators import (
     categories, dataset, enrichment, evaluation, history, matching, netranges, profile, replay, scan,
     timematch)
 from flowloom.plans import merge, scoring, training
-from flowloom.schemas import HTTP_PROFILE_FIELDS, NUMERIC_FIELDS, PROTO_LABELS, STATE_LABELS
+from flowloom.schemas import HTTP_PROFILE_FIELDS, NUMERIC_FIELDS, PROTO_LABELS, SCORING_FIELDS, STATE_LABELS
 from flowloom.sources import flows as sources_flows
+from flowloom.sources.arrival import placed_lines
 from flowloom.streaming import match as stream_match
 from flowloom.streaming.history import HistoryBatches
+from flowloom.streaming.sinks import MergeSinks, RawSink, ScoreSinks
+from flowloom.streaming.sources import parse_scoring
 from flowloom.session import SETTINGS, checkpoint_root, cut_lineage
 from flowloom.sources import sinks
 
@@ -450,6 +453,27 @@ def allow_list(spark, sf):
     return _reasoned(spark, sf).select("seq", "saddr", "daddr", "reason")
 
 
+def _address(number: str):
+    """Dotted text of an address in 10.0.0.0/8."""
+    return F.expr(f"concat_ws('.', '10', cast({number} div 65536 % 256 as string), cast({number} div 256 % 256 as string), "
+                  f"cast({number} % 256 as string))")
+
+
+@query
+def allow_list_dense(spark, sf):
+    """One range per order, nested and touching, looked up by the addresses of all line items."""
+    networks = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_orderkey * 7919 % 16777216 as number", "20 + o_custkey % 13 as length", "o_custkey % 5 as place")
+    names = F.array(*[F.lit(name) for name, _ in netranges.PROVIDERS])
+    ranges = networks.select(F.get(names, F.col("place").cast("int")).alias("provider"),
+                             F.concat(_address("number"), F.lit("/"), F.col("length").cast("string")).alias("cidr"))
+    probes = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_linenumber", "(l_orderkey * 7919 + l_linenumber * 37) % 16777216 as s",
+        "(l_partkey * 104729 + l_linenumber) % 16777216 as d")
+    shown = probes.select("l_orderkey", "l_linenumber", _address("s").alias("saddr"), _address("d").alias("daddr"))
+    return netranges.allow_reason(shown, ranges)
+
+
 def _scored(spark, sf):
     return _reasoned(spark, sf).withColumn("probability", (F.col("sbytes") % 100) / F.lit(100.0))
 
@@ -738,6 +762,75 @@ def stream_expired(spark, sf):
     return out.select("status", "merge_seq", "a_seq", "z_seq", "kind", "ct_flw_http_mthd", "ct_ftp_cmd")
 
 
+def _run_batches(stream, sink, checkpoint: str) -> None:
+    (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+@query
+def stream_sinks(spark, sf):
+    """What the sinks of a run hold after a merge with a time to live that was stopped and started again between the parts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    out, schema = f"{root}/out", flows(spark, sf).schema
+    for part in range(BATCHES):
+        _land_part(spark, sf, f"{root}/in", part)
+        a, z = _event_streams(spark, sf, f"{root}/in")
+        _run_batches(stream_match.stream_merge(a, z, TTL_MS, DELAY), MergeSinks(out, "r1", schema), f"{root}/merge")
+        _run_batches(a, RawSink(out, "r1", "flows"), f"{root}/raw-flows")
+        _run_batches(z, RawSink(out, "r1", "logs"), f"{root}/raw-logs")
+
+    counts = ["ct_flw_http_mthd", "ct_ftp_cmd", "ct_srv_src", "ct_dst_src_ltm"]
+    read = [("merged", "merge_seq", "stcpb", "service"), ("unmatched/flows", "seq", "stcpb", None),
+            ("unmatched/logs", "z_seq", None, "kind"), ("raw/flows", "seq", "stcpb", None), ("raw/logs", "seq", None, "zeek_log")]
+    names = [("seq", "bigint"), ("stcpb", "bigint"), ("service", "string"), *[(c, "bigint") for c in counts]]
+    lines = parse_scoring(spark.read.text(f"{out}/scoring").withColumnRenamed("value", "line"))
+    rows = lines.select(F.lit("scoring").alias("sink"), F.lit(None).cast("bigint").alias("seq"), F.col("stcpb").cast("bigint"),
+                        F.lit(None).cast("string").alias("service"), *[F.col(c).cast("bigint") for c in counts])
+    for sink, *taken in read:
+        taken += counts if sink == "merged" else [None] * len(counts)
+        schema = ", ".join(f"{c} {kind}" for c, (_, kind) in zip(taken, names) if c)
+        found = spark.read.schema(schema).json(f"{out}/{sink}")
+        rows = rows.unionByName(found.select(F.lit(sink).alias("sink"), *[
+            (F.col(c) if c else F.lit(None)).cast(kind).alias(name) for c, (name, kind) in zip(taken, names)]))
+    return rows
+
+
+@query
+def stream_scores(spark, sf):
+    """A forest that was saved and loaded scores lines on a stream stopped and started between two waves of files;
+    each line's verdict is held against that of the batch. Every fiftieth line lacks its last field."""
+    root = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    metadata = F.when(F.col("dport") == 1024, F.lit(address.METADATA_ADDRESS)).otherwise(F.col("daddr"))
+    rows = flows(spark, sf).withColumn("daddr", metadata)
+    fitted = training.pipeline(training.forest(SMALL_FOREST)).fit(cut_lineage(training.with_target(training.feature_columns(rows))))
+    training.save_bundle(fitted, f"{root}/bundle")
+    model, _ = training.load_bundle(spark, f"{root}/bundle")
+    ranges, now = spark.createDataFrame(RANGES, "provider string, cidr string"), F.lit(1_800_000_000.0)
+
+    def scored(text):
+        return scoring.score_lines(placed_lines(text).withColumnRenamed("value", "line"), model, ranges, now)
+    line = enrich.csv_line(SCORING_FIELDS, rows.columns)
+    number = F.round(F.col("seq") / 4)
+    cut = F.when(number % 50 == 7, F.substring_index(line, ",", len(SCORING_FIELDS) - 1)).otherwise(line)
+    for wave in range(2):
+        rows.where(number % 2 == wave).select(cut.alias("line")).repartition(BATCH_FILES).write.mode("append").text(f"{root}/in")
+        stream = scored(spark.readStream.option("maxFilesPerTrigger", BATCH_FILES // 2).text(f"{root}/in"))
+        _run_batches(stream, ScoreSinks(f"{root}/out", "r1"), f"{root}/checkpoint")
+    judged = ["probability", "reason", "verdict", "severity", "flow", "latency"]
+    verdicts = spark.read.parquet(f"{root}/out/verdicts").select("seq", F.lit(False).alias("malformed"), *judged)
+    malformed = spark.read.schema("seq string").json(f"{root}/out/malformed").select("seq", F.lit(True).alias("malformed"))
+    streamed = verdicts.unionByName(malformed, allowMissingColumns=True)
+    batch = scored(spark.read.text(f"{root}/in"))
+    same = F.lit(True)
+    for c in ("malformed", *judged):
+        same = same & batch[c].eqNullSafe(streamed[c])
+    field = F.get(F.split(batch["line"], ","), F.lit(SCORING_FIELDS.index("stcpb"))).cast("bigint")
+    return batch.join(streamed, batch["seq"] == streamed["seq"], "full").select(
+        field.alias("stcpb"), streamed["malformed"], streamed["reason"], same.alias("same"))
+
+
 @query
 def stream_counters(spark, sf):
     """Counters continued from batch to batch over the merged stream."""

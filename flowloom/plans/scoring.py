@@ -11,6 +11,7 @@ from flowloom.functions import enrich
 from flowloom.operators.netranges import allow_reason
 from flowloom.plans.training import attack_probability, feature_columns
 from flowloom.sources.sinks import alert_lines
+from flowloom.streaming.sources import parse_scoring
 
 TRIGGER = "1 second"
 
@@ -23,7 +24,7 @@ def score(flows: DataFrame, model: PipelineModel, ranges: DataFrame, with_protoc
     kept = flows.select("*", *[F.col(c).alias(f"__{c}") for c in shown], F.col("stime").alias("__stime"))
     scored = attack_probability(model.transform(feature_columns(kept, with_protocol_features)))
     rows = scored.select("probability", *[F.col(f"__{c}").alias(c) for c in shown], F.col("__stime").alias("stime"),
-                         *[c for c in ("seq", "merge_seq") if c in flows.columns])
+                         *[c for c in ("seq", "merge_seq", "line", "malformed") if c in flows.columns])
     reasoned = allow_reason(rows, ranges)
     p, r = F.col("probability"), F.col("reason")
     return reasoned.select(*rows.columns, "reason", enrich.verdict(p, r).alias("verdict"),
@@ -31,6 +32,17 @@ def score(flows: DataFrame, model: PipelineModel, ranges: DataFrame, with_protoc
                            enrich.latency_seconds(F.col("stime"), now).alias("latency"))
 
 
+def score_lines(lines: DataFrame, model: PipelineModel, ranges: DataFrame, now=None) -> DataFrame:
+    """Verdicts of scoring lines (``line`` and a number beside it), batch or stream.
+
+    Lines of another width stay in the result, flagged ``malformed`` and without probability, verdict or severity:
+    what their fields mean is not known.
+    """
+    scored = score(parse_scoring(lines), model, ranges, now=now)
+    judged = ("probability", "reason", "verdict", "severity", "flow", "latency")
+    return scored.withColumns({c: F.when(~F.col("malformed"), F.col(c)) for c in judged})
+
+
 def with_latency_metrics(scored: DataFrame, name: str = "latency") -> DataFrame:
     """Observed metrics of the latency column, reported once per batch."""
     return scored.observe(name, F.count(F.lit(1)).alias("rows"), F.avg("latency").alias("mean"),

@@ -53,14 +53,17 @@ def kafka_sink(rows: DataFrame, servers: str, topic: str, checkpoint: str, key:
 
 
 def scoring_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Scoring lines as typed rows; values that are no number come out null."""
-    lines = _limits(spark.readStream, max_files).text(path)
-    return parse_scoring(lines.withColumnRenamed("value", "line"))
+    """Scoring lines as typed rows with the place of their line in ``seq``; values that are no number come out null."""
+    return parse_scoring(placed_lines(_limits(spark.readStream, max_files).text(path)).withColumnRenamed("value", "line"))
 
 
 def parse_scoring(lines: DataFrame) -> DataFrame:
-    """Typed scoring rows; ``malformed`` marks lines of another width, whose missing fields are null."""
+    """Typed scoring rows; ``malformed`` marks lines of another width, whose missing fields are null.
+
+    The line itself and whatever numbers it (``seq``, ``merge_seq``) stay beside the fields.
+    """
     parts = F.split("line", ",", -1)
     kinds = {f.name: f.dataType for f in SCORING_SCHEMA}
-    return lines.select(*[F.get(parts, F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(SCORING_FIELDS)],
+    kept = [c for c in ("seq", "merge_seq", "line") if c in lines.columns]
+    return lines.select(*kept, *[F.get(parts, F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(SCORING_FIELDS)],
                         (F.size(parts) != len(SCORING_FIELDS)).alias("malformed"))

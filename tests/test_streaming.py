@@ -13,6 +13,7 @@ from flowloom.schemas import FLOW_FIELDS, SCORING_FIELDS
 from flowloom.sources import sinks
 from flowloom.streaming import match, sources
 from flowloom.streaming.history import HistoryBatches
+from flowloom.streaming.sinks import MergeSinks, RawSink, ScoreSinks
 from tests import models
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -181,6 +182,62 @@ def test_run_sink_of_raw_stream(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "raw")).count() == a.count()
 
 
+def _held(spark, path, sinks_of_run):
+    return {sink: sorted(r[0] for r in spark.read.text(f"{path}/{sink}").select("value").collect()) for sink in sinks_of_run}
+
+
+def test_merge_sinks_route_rows_and_repeat_a_batch(spark, tmp_path):
+    """Merged, lost and other rows in two batches; the second is given twice and leaves what it left once."""
+    flow = spark.read.parquet(EVENTS).transform(lambda e: fixtures.derive(e, fixtures.FLOWS))
+    others = match.stream_other(flow)
+    lost_flow = others.limit(1).withColumns({"status": F.lit("lost_flow"), "payload": F.lit('{"seq":5,"proto":"tcp"}')})
+    lost_log = others.limit(1).withColumns({"status": F.lit("lost_log"), "z_seq": F.lit(9).cast("bigint"), "kind": F.lit("ftp"),
+                                            "payload": F.lit(None).cast("string")})
+    middle = flow.count() * 2
+    first = others.where(F.col("merge_seq") < middle)
+    second = others.where(F.col("merge_seq") >= middle).unionByName(lost_flow).unionByName(lost_log)
+    sink, names = MergeSinks(str(tmp_path), "r1", flow.schema), ("merged", "scoring", "unmatched/flows", "unmatched/logs")
+    sink(first, 0)
+    sink(second, 1)
+    once = _held(spark, tmp_path, names)
+    sink(second, 1)
+    assert _held(spark, tmp_path, names) == once
+    assert len(once["merged"]) == len(once["scoring"]) == others.count() > 0
+    assert once["unmatched/flows"] == ['{"seq":5,"proto":"tcp"}']
+    assert [json.loads(x)["z_seq"] for x in once["unmatched/logs"]] == [9]
+    merged = [json.loads(x) for x in once["merged"]]
+    assert all(len(m) == 45 for m in merged)  # the number of the merge, then the 44 fields
+    assert not list((tmp_path / "staged" / "run=r1").glob("batch=*"))
+    # the counters of the second batch see the first
+    history_rows = spark.read.parquet(sink.history.rows)
+    assert sorted(r.n for r in history_rows.collect()) == list(range(1, others.count() + 1))
+
+
+def test_merge_sinks_take_empty_batches(spark, tmp_path):
+    flow = fixtures.derive(spark.read.parquet(EVENTS), fixtures.FLOWS)
+    others, sink = match.stream_other(flow), MergeSinks(str(tmp_path), "r1", flow.schema)
+    for number, rows in enumerate([others.limit(0), others, others.limit(0)]):
+        sink(rows, number)
+    assert len(_held(spark, tmp_path, ["merged"])["merged"]) == others.count()
+
+
+def test_raw_sink_keeps_nulls(spark, tmp_path):
+    RawSink(str(tmp_path), "r1", "flows")(spark.createDataFrame([(1, None)], "seq bigint, proto string"), 0)
+    assert _held(spark, tmp_path, ["raw/flows"]) == {"raw/flows": ['{"seq":1,"proto":null}']}
+
+
+def test_score_sinks_part_malformed_lines(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a", "x", False, 0.9, None, "s", "1", "d", "2"), ("b", "y", False, 0.9, "AWS", "s", "1", "d", "3"),
+         ("c", "bad,line", True, None, None, None, None, None, None)],
+        "seq string, line string, malformed boolean, probability double, reason string, saddr string, sport string, "
+        "daddr string, dport string")
+    ScoreSinks(str(tmp_path), "r1")(rows, 0)
+    assert _held(spark, tmp_path, ["alerts", "malformed"]) == {
+        "alerts": ["s:1 -> d:2"], "malformed": ['{"seq":"c","line":"bad,line"}']}
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "verdicts")).collect()) == ["a", "b"]
+
+
 def _expiring(spark, tmp_path, arrivals, parts, ttl=100):
     """Arrivals (kind, seq, millis or None) of one key, landed in the given parts, through the event-time merge."""
     flow = "seq bigint, stime_us bigint, proto string, saddr string, sport bigint, daddr string, dport bigint, ltime bigint"
