@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.coerce import double_of
 from flowloom.operators.scan import Running, sorted_scan
 from flowloom.schemas import SHORT_FLOW_FEATURES
+from flowloom.session import cut_lineage
 
 # fixed values: reported percentiles and the longest "short" flow
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 MAX_SHORT_PACKETS = 3
+# Bins that the values between a number and its double are counted in.
+OCTAVE_BINS = 64
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -51,35 +54,48 @@ def long_form(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
 
 
+def _bin(v: Column) -> Column:
+    """Number of the stretch of values that ``v`` lies in; it never falls while ``v`` rises."""
+    size = F.floor(F.least(F.log2(F.abs(v)) * OCTAVE_BINS, F.lit(1e6))) + F.lit(1e6)
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * size)
+
+
 def exact_quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value") -> DataFrame:
     """Linearly interpolated quantiles per ``keys``, exact at any size.
 
-    Equal values are counted first; the distinct ones are range partitioned and their
-    counts accumulated, so no task ever holds a whole column. Only the rows covering a
-    wanted rank go on.
+    A first scan counts the values of each bin, a fixed part of an octave, so that what it shuffles is bounded by the
+    number of bins and not by that of values. A second scan keeps only values of the bins that hold a wanted rank:
+    equal ones are counted, distinct ones range partitioned and their counts accumulated on top of the values of lower
+    bins. No task ever holds a whole column.
     """
-    counted = (values.where(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("__cnt")))
-    upto = sorted_scan(counted, keys, [value], [Running("__cum", F.col("__cnt"))])
-    # one row per reported group (columns, packet counts): bounded by what the caller names
-    sizes = values.groupBy(*keys).agg(F.count(value).alias("__n"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in probs.items()])
-
-    def position(p: Column) -> Column:
-        return p * (F.col("__n") - 1)
-
-    def covers(rank: Column) -> Column:
-        return (rank >= F.col("__cum") - F.col("__cnt")) & (rank < F.col("__cum"))
-
-    hits = (upto.join(F.broadcast(sizes), keys)
-            .select(*keys, value, "__cum", "__cnt", "__n", F.explode(F.filter(
-                wanted, lambda t: covers(F.floor(position(t["p"]))) | covers(F.ceil(position(t["p"])))))
-                .alias("t")))
-    low, high = F.floor(position(F.col("t.p"))), F.ceil(position(F.col("t.p")))
-    ends = (hits.groupBy(*keys, F.col("t.name").alias("__name"))
-            .agg(F.max(F.when(covers(low), F.col(value))).alias("lo"),
-                 F.max(F.when(covers(high), F.col(value))).alias("hi"),
-                 F.max(position(F.col("t.p")) - low).alias("__frac")))
+    v, known = F.col(value), values.where(F.col(value).isNotNull())
+    binned = known.select(*keys, v, _bin(v).alias("__bin"))
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__cnt"))
+    # one row per bin of a group
+    group = Window.partitionBy(*keys)
+    upto = counts.withColumns({"__cum": F.sum("__cnt").over(group.orderBy("__bin")), "__n": F.sum("__cnt").over(group)})
+    ranks = F.array(*[F.struct(
+        F.lit(k).alias("name"), F.floor(F.lit(p) * (F.col("__n") - 1)).alias("low"), F.ceil(F.lit(p) * (F.col("__n") - 1)).alias("high"),
+        (F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1))).alias("frac")) for k, p in probs.items()])
+
+    def covers(rank: Column, cum: Column, cnt: str) -> Column:
+        return (rank >= cum - F.col(cnt)) & (rank < cum)
+    wanted = F.filter(ranks, lambda t: covers(t["low"], F.col("__cum"), "__cnt") | covers(t["high"], F.col("__cum"), "__cnt"))
+    # at most two bins per quantile and reported group (columns, packet counts): bounded by what the caller names
+    bins = cut_lineage(upto.select(*keys, "__bin", (F.col("__cum") - F.col("__cnt")).alias("__below"), wanted.alias("__t"))
+                       .where(F.size("__t") > 0))
+    # range partitioning reads its input twice
+    inside = cut_lineage(binned.join(F.broadcast(bins.select(*keys, "__bin")), [*keys, "__bin"])
+                         .groupBy(*keys, "__bin", value).agg(F.count(F.lit(1)).alias("__eq")))
+    placed = sorted_scan(inside, [*keys, "__bin"], [value], [Running("__run", F.col("__eq"))])
+    last = F.col("__below") + F.col("__run")
+    hits = (placed.join(F.broadcast(bins), [*keys, "__bin"]).withColumn("__last", last)
+            .select(*keys, value, "__last", "__eq", F.explode("__t").alias("t")))
+
+    def held(rank: str) -> Column:
+        return F.max(F.when(covers(F.col(rank), F.col("__last"), "__eq"), v))
+    ends = hits.groupBy(*keys, F.col("t.name").alias("__name")).agg(
+        held("t.low").alias("lo"), held("t.high").alias("hi"), F.max("t.frac").alias("__frac"))
     return (ends.withColumn("__q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("__frac"))
             .groupBy(*keys).pivot("__name", list(probs)).agg(F.max("__q")))
 

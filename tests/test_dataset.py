@@ -56,6 +56,28 @@ def test_seeded_order_is_a_permutation(labelled):
     assert sorted(order) == list(range(2000)) and order != sorted(order)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_across_signs_and_sizes(spark, seed):
+    """Negative values, zeros, tiny and huge ones, groups of one and two rows; a null key forms no group."""
+    r = np.random.default_rng(seed)
+    big = np.concatenate([-np.exp(r.normal(0, 30, 400)), np.zeros(seed * 90), np.exp(r.normal(0, 30, 500)), r.integers(-3, 3, 200)])
+    groups = {"big": big, "one": np.array([-7.5]), "two": np.array([1e-300, 1e300]), "ties": np.repeat([1.5, -2.0], [5, 4])}
+    pairs = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(pairs, "column string, value double").repartition(4)
+    got = {x.column: x for x in profile.exact_quantiles(df, ["column"], profile.PERCENTILES).collect()}
+    assert set(got) == set(groups)
+    for name, xs in groups.items():
+        for p, q in profile.PERCENTILES.items():
+            assert got[name][p] == pytest.approx(np.quantile(xs, q), rel=1e-9), (name, p)
+
+
+def test_bins_rise_with_their_values(spark):
+    values = [float("-inf"), -1e308, -3.0, -1.0, -0.999, -5e-324, -0.0, 0.0, 5e-324, 0.5, 1.0, 1.02, 2.0, 1e308, float("inf")]
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    bins = [r[0] for r in df.select(profile._bin(F.col("v"))).collect()]
+    assert bins == sorted(bins) and bins[6] == bins[7] and len(set(bins)) > 10
+
+
 def test_quantiles_with_heavy_ties(spark):
     r = np.random.default_rng(0)
     values = np.where(r.random(3000) < 0.4, 7.0, r.normal(size=3000))
