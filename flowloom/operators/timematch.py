@@ -6,8 +6,10 @@ time in integer microseconds (``a_us`` / ``z_us``).
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.matching import fifo_match
 from flowloom.operators.scan import BLOCK_WIDTH, SEQUENCE_WIDTH, Running, ordinal, own_exchange, sorted_scan
-from flowloom.session import cut_lineage
+from flowloom.session import stored
 
 
 # --- set-based band predicates ------------------------------------------------
@@ -65,7 +67,20 @@ def band_anti(a: DataFrame, z: DataFrame, delta: int) -> DataFrame:
 # any order of proposals: a row asks its best partner first, a partner drops a later row for an earlier one, and a
 # dropped row asks its next best. Partners are cut into blocks along the order of preference. A block answers all
 # rows that ever asked it, in their order; rows it has no partner for ask the next block they can reach. Only these
-# cross a border, and only blocks that got new ones answer again.
+# cross a border, and only blocks that got new ones answer again. Where rows are refused along the whole table, blocks
+# settle one after the other; there are few of them, then, since they grow with the table.
+
+# Blocks that the longest order of preference is cut into at most, as long as none is above BLOCK_LIMIT rows.
+BLOCKS = 20
+BLOCK_LIMIT = 1 << 20
+# Rounds that are kept apart before they are put together.
+ROUNDS = 16
+
+
+def block_rows(longest: int, least: int) -> int:
+    """Rows of a block for orders of up to ``longest`` rows."""
+    return max(least, min(-(-longest // BLOCKS), BLOCK_LIMIT))
+
 
 def settle(first: DataFrame, answer: Callable[[DataFrame], DataFrame], onward: Callable[[DataFrame], DataFrame],
            block: list[str], row: str) -> DataFrame:
@@ -74,18 +89,27 @@ def settle(first: DataFrame, answer: Callable[[DataFrame], DataFrame], onward: C
     ``first`` holds a proposal per row: its ``block`` columns, the number ``row``, and what ``answer`` needs. ``answer``
     adds ``hit`` (null: none) to whole blocks of proposals; ``onward`` turns refused ones into proposals to later blocks.
     """
-    asked = cut_lineage(first)
-    todo, granted = asked, None
+    asked = [stored(first)]
+    todo, rounds = asked[0], []
     while True:
-        answered = cut_lineage(answer(todo))
-        again = answered.select(*block).distinct()
-        kept = answered.where("hit is not null")
-        granted = kept if granted is None else cut_lineage(granted.join(again, block, "left_anti").unionByName(kept))
-        fresh = cut_lineage(onward(answered.where("hit is null").drop("hit")).join(asked.select(*block, row), [*block, row], "left_anti"))
+        rounds.append(stored(answer(todo).withColumn("round", F.lit(len(asked)))))
+        if len(rounds) > ROUNDS:
+            rounds = [stored(_latest(rounds, block))]
+        refused = onward(rounds[-1].where(f"hit is null and round = {len(asked)}").drop("hit", "round"))
+        known = reduce(DataFrame.unionByName, [a.select(*block, row) for a in asked])
+        fresh = stored(refused.join(known, [*block, row], "left_anti"))
         if fresh.isEmpty():
-            return granted
-        asked = cut_lineage(asked.unionByName(fresh))
-        todo = asked.join(fresh.select(*block).distinct(), block, "left_semi")
+            return _latest(rounds, block).where("hit is not null").drop("round")
+        asked.append(fresh)
+        todo = reduce(DataFrame.unionByName, asked).join(F.broadcast(fresh.select(*block).distinct()), block, "left_semi")
+
+
+def _latest(rounds: list[DataFrame], block: list[str]) -> DataFrame:
+    """What each block answered last."""
+    if len(rounds) == 1:
+        return rounds[0]
+    last = reduce(DataFrame.unionByName, [r.select(*block, "round").distinct() for r in rounds]).groupBy(*block).agg(F.max("round").alias("round"))
+    return reduce(DataFrame.unionByName, rounds).join(last, [*block, "round"], "left_semi")
 
 
 # --- nearest-time one-to-one match --------------------------------------------
@@ -95,7 +119,7 @@ def nearest_time_match(a: DataFrame, z: DataFrame, delta: int, width: int = BLOC
     """Each z row, in row order, takes the smallest unused a time within ``delta``.
 
     With ``delta`` 0 this is first in, first out pairing on the timestamp. Otherwise a rows are numbered
-    by time and cut into blocks of ``block`` rows, whatever the density, and a z row asks for the first
+    by time and cut into blocks of at least ``block`` rows, whatever the density, and a z row asks for the first
     free number of its window. Records may come in any order of time. Rows without a time match nothing.
     """
     if delta == 0:
@@ -108,8 +132,9 @@ def nearest_time_match(a: DataFrame, z: DataFrame, delta: int, width: int = BLOC
                          F.col(seq).alias("seq"))
     line = (points(a, "a_seq", F.col("a_us"), 0).unionByName(points(z, "z_seq", F.col("z_us") - delta, 1))
             .unionByName(points(z, "z_seq", F.col("z_us") + delta, 2)).where(F.col("at").isNotNull()))
-    seen = cut_lineage(sorted_scan(line, [], ["at", "side", "seq"], [
+    seen = stored(sorted_scan(line, [], ["at", "side", "seq"], [
         Running("a_seen", (F.col("side") == 0).cast("bigint"), inclusive=False)]))
+    block = block_rows(seen.where("side = 0").count(), block)
     starts = seen.where("side = 1").select("seq", F.col("a_seen").alias("lo"),
                                            (F.floor(F.col("at") / 3) + delta).cast("bigint").alias("z_us"))
     ends = seen.where("side = 2").select("seq", F.col("a_seen").alias("hi"))
@@ -136,7 +161,7 @@ def _first_free(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.Data
         hits = []
         for blk, lo, hi in zip(*[batch[c].tolist() for c in ("blk", "lo", "hi")]):
             if blk != current:
-                current, following = blk, list(range(block + 1))
+                current, following = blk, array("q", range(block + 1))
             pick = _unused(following, max(lo - blk * block, 0))
             if pick < min(hi - blk * block, block):
                 following[pick] = pick + 1
@@ -146,7 +171,7 @@ def _first_free(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.Data
         yield batch.assign(hit=pd.array(hits, dtype="Int64"))
 
 
-def _unused(following: list[int], i: int) -> int:
+def _unused(following: array, i: int) -> int:
     """First unused position at or after ``i`` (path halving)."""
     while following[i] != i:
         following[i] = following[following[i]]
@@ -161,7 +186,7 @@ def interval_match(a: DataFrame, z: DataFrame, tolerance: int, key: str = "key",
 
     ``a_seq`` and ``z_seq`` share one arrival order. An arrival that finds nobody waits and is taken by
     a later one, so either side prefers the partner that arrived first: a rows, in their order, take the first
-    free z row within the tolerance. The z rows of a key are cut into blocks of ``block`` arrivals; an a row asks
+    free z row within the tolerance. The z rows of a key are cut into blocks of at least ``block`` arrivals; an a row asks
     those blocks that hold a z row of its own or a neighbouring stretch of time, however busy the key and however
     late the row. Rows without a key or time match nothing.
     """
@@ -170,11 +195,12 @@ def interval_match(a: DataFrame, z: DataFrame, tolerance: int, key: str = "key",
     def stretch(us: str) -> Column:
         return F.expr(f"cast(floor({us} / {width}) as bigint)")
     z = z.select(F.col(key).alias("key"), "z_seq", "z_us").where("key is not null and z_us is not null")
-    placed = cut_lineage(ordinal(z, ["key"], "z_seq", "nth").select(
-        "key", "z_seq", "z_us", F.expr(f"(nth - 1) div {block}").alias("blk")))
+    numbered = stored(ordinal(z, ["key"], "z_seq", "nth"))
+    block = block_rows(numbered.agg(F.coalesce(F.max("nth"), F.lit(0))).first()[0], block)
+    placed = numbered.select("key", "z_seq", "z_us", F.expr(f"(nth - 1) div {block}").alias("blk"))
     held = placed.select("key", stretch("z_us").alias("stretch"), "blk").distinct()
     # as many rows of a stretch as it has blocks
-    nexts = cut_lineage(held.select("*", F.lead("blk").over(Window.partitionBy("key", "stretch").orderBy("blk")).alias("next")))
+    nexts = stored(held.select("*", F.lead("blk").over(Window.partitionBy("key", "stretch").orderBy("blk")).alias("next")))
     opening = nexts.groupBy("key", "stretch").agg(F.min("blk").alias("blk"))
 
     first = a.select(F.col(key).alias("key"), F.col("a_seq").alias("seq"), F.col("a_us").alias("us")).where(
@@ -210,15 +236,17 @@ def interval_match(a: DataFrame, z: DataFrame, tolerance: int, key: str = "key",
 class _FreeByTime:
     """Free rows of a block: the first to arrive within a range of times, and taking it, in logarithmic time."""
 
-    def __init__(self, seqs: list[int], times: list[int]):
-        order = sorted(range(len(seqs)), key=times.__getitem__)
-        self.times = [times[i] for i in order]
+    def __init__(self, times: array):
+        order = sorted(range(len(times)), key=times.__getitem__)
+        self.times = array("q", (times[i] for i in order))
         self.n = n = len(order)
         # a tree of minima: the leaves are arrival ranks by time, rank n stands for a taken row
-        self.tree = [n] * n + order
+        self.tree = array("q", [n]) * n + array("q", order)
         for i in range(n - 1, 0, -1):
             self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-        self.leaf = {rank: i + n for i, rank in enumerate(order)}
+        self.leaf = array("q", [0]) * n
+        for i, rank in enumerate(order):
+            self.leaf[rank] = i + n
 
     def take(self, low: int, high: int) -> int | None:
         """Rank of the first arrival with a time from ``low`` to ``high``, which is no longer free then."""
@@ -244,18 +272,18 @@ class _FreeByTime:
 
 def _first_arrived(batches: Iterator[pd.DataFrame], tolerance: int) -> Iterator[pd.DataFrame]:
     """Blocks of z rows (side 0), each followed by the a rows that ask it; one block of z rows is held."""
-    current, seqs, times, free = None, [], [], None
+    current, seqs, times, free = None, array("q"), array("q"), None
     for batch in batches:
         hits, at = [], []
         for key, blk, side, seq, us in zip(*[batch[c].tolist() for c in ("key", "blk", "side", "seq", "us")]):
             if (key, blk) != current:
-                current, seqs, times, free = (key, blk), [], [], None
+                current, seqs, times, free = (key, blk), array("q"), array("q"), None
             rank = None
             if side == 0:
                 seqs.append(seq)
                 times.append(us)
             else:
-                free = free or _FreeByTime(seqs, times)
+                free = free or _FreeByTime(times)
                 rank = free.take(us - tolerance, us + tolerance)
             hits.append(None if rank is None else seqs[rank])
             at.append(None if rank is None else times[rank])

@@ -75,6 +75,22 @@ def test_dense_island_spreads_over_tasks(spark, rows, monkeypatch):
     assert len(asked[1]) == 20 and max(asked[1]) <= 120
 
 
+def test_refusals_along_the_whole_table_take_few_rounds(spark, rows, monkeypatch):
+    """Every block refuses rows to the next one: blocks grow with the table, so that there are 20 at most."""
+    rounds = []
+    settle = timematch.settle
+
+    def watched(first, answer, onward, block, row):
+        def counted(asked):
+            rounds.append(None)
+            return answer(asked)
+        return settle(first, counted, onward, block, row)
+    monkeypatch.setattr(timematch, "settle", watched)
+    a, z = [(i, 10 * i) for i in range(400)], [(i, 10 * i + 1) for i in range(400)]
+    assert sorted(rows(timematch.nearest_time_match(*_frames(spark, a, z), 35, block=4))) == models.nearest(a, z, 35)
+    assert 2 < len(rounds) <= 21
+
+
 @pytest.mark.parametrize("delta", [0, 5, 30])
 def test_band_predicates(spark, rows, delta):
     r = random.Random(delta)
