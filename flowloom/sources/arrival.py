@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Digits of microseconds, byte positions and line numbers.
 TIME_DIGITS, START_DIGITS, LINE_DIGITS = 17, 16, 12
+# Bytes of a block of a file, part of the place of its lines.
+FILE_BLOCK = 128 << 20
 
 
 def place(time_us: Column, source: Column, start: Column, line: Column) -> Column:
@@ -43,8 +45,26 @@ def count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(line, pa.int64())], names=[*batch.schema.names, "line"])
 
 
+def line_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` for reading files as lines: each file is cut every ``FILE_BLOCK`` bytes.
+
+    Otherwise the cuts, and so the places, depend on the number of cores and on what other files are read, which differ
+    between batch and stream and between two runs of a stream. Files are not packed into common tasks here.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", FILE_BLOCK)
+    own.conf.set("spark.sql.files.openCostInBytes", FILE_BLOCK)
+    return own
+
+
 def placed_lines(text: DataFrame, name: str = "seq") -> DataFrame:
-    """Lines of text files (``value``, batch or stream) with their place: file time, path, block, line."""
+    """Lines of text files (``value``, batch or stream) with their place: file time, path, block, line.
+
+    Read ``text`` through :func:`line_session`, so that places are the same whenever a file is read.
+    """
     meta = text.select("value", F.unix_micros("_metadata.file_modification_time").alias("time"),
                        F.regexp_replace("_metadata.file_path", " ", "%20").alias("path"),
                        F.col("_metadata.file_block_start").alias("start"))

@@ -14,7 +14,7 @@ from flowloom.operators.scan import Running, sorted_scan
 from flowloom.schemas import (
     FLOW_FIELDS, FLOW_TEXT_SCHEMA, LABELLED_FIELDS, LABELLED_SCHEMA, LOG_KINDS, LOG_RENAMES, LOG_SCHEMA, struct_of)
 from flowloom.session import cut_lineage
-from flowloom.sources.arrival import placed_lines
+from flowloom.sources.arrival import line_session, placed_lines
 
 CORRUPT = "_corrupt"
 # fixed values: capture excludes management and link-layer control records
@@ -119,13 +119,14 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
 
 def read_flow_lines(spark: SparkSession, path: str) -> DataFrame:
     """Sensor-A CSV files as typed flows with the place of their line in ``seq``, as the stream source gives them."""
-    return parse_flow_lines(placed_lines(spark.read.text(path)))
+    return parse_flow_lines(placed_lines(line_session(spark).read.text(path)))
 
 
 def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
     """Sensor-B JSON logs, one folder per kind, with the place of their line in ``seq``, as the stream source gives them."""
+    reading = line_session(spark)
     return normalize_logs(union_logs({
-        kind: parse_log_lines(placed_lines(spark.read.text(f"{root}/{kind}"))) for kind in LOG_KINDS}))
+        kind: parse_log_lines(placed_lines(reading.read.text(f"{root}/{kind}"))) for kind in LOG_KINDS}))
 
 
 def read_labelled_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,

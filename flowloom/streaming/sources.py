@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.schemas import LOG_KINDS, LOG_SCHEMA, SCORING_FIELDS, SCORING_SCHEMA  # noqa: F401
-from flowloom.sources.arrival import placed_lines, placed_records, queue_rows
+from flowloom.sources.arrival import line_session, placed_lines, placed_records, queue_rows
 from flowloom.sources.flows import normalize_logs, parse_flow_lines, parse_log_lines, union_logs
 
 
@@ -17,13 +17,14 @@ def _limits(reader, max_files: int | None):
 
 def flow_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Sensor-A CSV files as they land, each flow with the place of its line in ``seq``; headers and management rows go."""
-    return parse_flow_lines(placed_lines(_limits(spark.readStream, max_files).text(path)))
+    return parse_flow_lines(placed_lines(_limits(line_session(spark).readStream, max_files).text(path)))
 
 
 def log_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """Sensor-B JSON logs from one folder per kind, each record with the place of its line in ``seq``."""
+    reading = line_session(spark)
     return normalize_logs(union_logs({
-        kind: parse_log_lines(placed_lines(_limits(spark.readStream, max_files).text(f"{root}/{kind}"))) for kind in LOG_KINDS}))
+        kind: parse_log_lines(placed_lines(_limits(reading.readStream, max_files).text(f"{root}/{kind}"))) for kind in LOG_KINDS}))
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None,
@@ -54,7 +55,7 @@ def kafka_sink(rows: DataFrame, servers: str, topic: str, checkpoint: str, key:
 
 def scoring_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Scoring lines as typed rows with the place of their line in ``seq``; values that are no number come out null."""
-    return parse_scoring(placed_lines(_limits(spark.readStream, max_files).text(path)).withColumnRenamed("value", "line"))
+    return parse_scoring(placed_lines(_limits(line_session(spark).readStream, max_files).text(path)).withColumnRenamed("value", "line"))
 
 
 def parse_scoring(lines: DataFrame) -> DataFrame:

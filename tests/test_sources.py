@@ -202,6 +202,23 @@ def test_lines_are_placed_by_file_time_path_and_line(spark, tmp_path, rows):
     assert [r.value for r in sorted(got, key=lambda r: r.seq)] == want
 
 
+def test_places_do_not_depend_on_how_readers_cut_files(spark, tmp_path):
+    """The cut of a file follows from cores and other files read; a wave of a stream and the batch must agree."""
+    _write(tmp_path / "in" / "a.txt", "\n".join(f"line {i}" for i in range(40)))
+    want = {r.value: r.seq for r in arrival.placed_lines(arrival.line_session(spark).read.text(str(tmp_path / "in"))).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        text = arrival.line_session(spark).readStream.text(str(tmp_path / "in"))
+        (arrival.placed_lines(text).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+        flow_lines = _write(tmp_path / "flows" / "a.csv", "\n".join([_flow_line()] * 3))
+        starts = {r.seq.split(" ")[2] for r in src.read_flow_lines(spark, flow_lines).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.value: r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert len(want) == 40 and starts == {"0" * 16}
+
+
 def test_queue_records_are_placed_over_topics_and_partitions(spark):
     records = [(b"m", 5, "t", 0, 9), (b"k", 5, "t", 0, 10), (b"a", 5, "s", 1, 9), (b"z", 1, "t", 1, 700), (b"n", None, "t", 2, 0)]
     df = spark.createDataFrame(records, "value binary, at bigint, topic string, partition int, offset bigint").selectExpr(
