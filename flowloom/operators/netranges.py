@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.address import METADATA_ADDRESS, ipv4_number, network_bounds
-from flowloom.session import cut_lineage
+from flowloom.functions.address import METADATA_ADDRESS, ipv4_number
+from flowloom.session import stored
 
 # fixed values: providers in order of precedence with the reason they are reported under,
 # and the ranges that are not read from a published list
@@ -18,9 +18,10 @@ STATIC_RANGES = [
     ("suse", "195.135.223.0/24"),
 ]
 
-# Addresses per bucket, a power of two; a bucket bounds the segments that one lookup bisects.
+# Addresses per bucket, a power of two; a lookup meets one bucket, a text with the rank of each of its addresses.
 BUCKET = 1 << 12
-# Segments up to which the lookup side is broadcast (about 40 bytes each).
+# Size up to which the lookup side is broadcast, in segments of SEGMENT_BYTES.
+SEGMENT_BYTES = 40
 BROADCAST_SEGMENTS = 1_000_000
 
 
@@ -40,17 +41,33 @@ def static_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATIC_RANGES, "provider string, cidr string")
 
 
+def _networks(ranges: DataFrame) -> DataFrame:
+    """Distinct networks, ``(length, first, last)`` with the best ``rank``; unreadable ones and unknown providers go.
+
+    The same as ``network_bounds`` in steps: as one expression each use of a part would parse the text again.
+    """
+    parts, length = F.col("parts"), F.col("length")
+    cut = ranges.select(F.split("cidr", "/").alias("parts"), provider_rank(F.col("provider")).alias("rank"))
+    given = F.when(F.size(parts) == 1, F.lit(32)).otherwise(F.get(parts, F.lit(1)).try_cast("int"))
+    read = cut.select("rank", F.when(F.size(parts) <= 2, given).alias("length"), F.get(parts, F.lit(0)).alias("address"))
+    sized = read.select("rank", ipv4_number(F.col("address")).alias("number"), F.when(length.between(0, 32), length).alias("length")).select(
+        "rank", "number", "length", F.pow(F.lit(2.0), F.lit(32) - length).cast("bigint").alias("size"))
+    placed = sized.select("rank", "length", "size", (F.floor(F.col("number") / F.col("size")).cast("bigint") * F.col("size")).alias("first"))
+    best = placed.groupBy("length", "first", (F.col("first") + F.col("size") - 1).alias("last")).agg(F.min("rank").alias("rank"))
+    # filters on what is written parse nothing twice
+    return stored(best).where("first is not null and last is not null and rank is not null")
+
+
 def range_segments(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Disjoint ``(bucket, lo, hi, rank)`` segments with the best rank covering each.
 
     Ranges are cut at bucket borders and at each other's ends. The ranks covering a
     segment are found by equality on (prefix length, masked address), one probe per
-    length, never by comparing segments with ranges pairwise.
+    length that occurs, never by comparing segments with ranges pairwise.
     """
-    first, last, length = network_bounds(F.col("cidr"))
-    nets = (ranges.select(first.alias("first"), last.alias("last"), length.alias("length"),
-                          provider_rank(F.col("provider")).alias("rank"))
-            .where("first is not null and last is not null and rank is not null"))
+    nets = _networks(ranges)
+    # 33 at most
+    lengths = [r["length"] for r in nets.select("length").distinct().collect()]
     pieces = (nets.select("first", "last", F.explode(F.sequence(
         F.floor(F.col("first") / bucket), F.floor(F.col("last") / bucket))).alias("bucket")))
     start = F.col("bucket") * bucket
@@ -60,8 +77,8 @@ def range_segments(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     following = F.lead("lo").over(Window.partitionBy("bucket").orderBy("lo"))
     segments = points.withColumn("hi", F.coalesce(following, start + bucket) - 1)
 
-    by_prefix = nets.groupBy("length", "first").agg(F.min("rank").alias("rank"))
-    probes = segments.select("bucket", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("length"))
+    by_prefix = nets.select("length", "first", "rank")
+    probes = segments.select("bucket", "lo", "hi", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("length"))
     size = F.pow(F.lit(2.0), F.lit(32) - F.col("length")).cast("bigint")
     probes = probes.withColumn("first", F.floor(F.col("lo") / size).cast("bigint") * size)
     return (probes.join(by_prefix, ["length", "first"])
@@ -75,36 +92,40 @@ def bucket_rows(segments: DataFrame) -> DataFrame:
     return rows.select("bucket", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.col("s.rank").alias("rank"))
 
 
-def _bisected(number: Column, starts: Column) -> Column:
-    """Place of the last start that is not above ``number``; 0 where all are."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BUCKET.bit_length() - 1))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        F.get(starts, at + step) <= number, at + step).otherwise(at))
+def rank_texts(segments: DataFrame) -> DataFrame:
+    """One row per bucket with a character per address, ``0`` plus its rank or a blank; a single one where all are alike."""
+    ordered = F.sort_array(F.collect_list(F.struct("lo", "hi", "rank")))
+    rows = segments.groupBy("bucket").agg(ordered.alias("s"))
+    gap = f"x.lo - if(i = 0, bucket * {BUCKET}, get(s, i - 1).hi + 1)"
+    runs = (f"transform(s, (x, i) -> concat(repeat(' ', cast({gap} as int)), "
+            "repeat(char(48 + x.rank), cast(x.hi - x.lo + 1 as int))))")
+    texts = rows.select("bucket", F.rpad(F.array_join(F.expr(runs), ""), BUCKET, " ").alias("ranks"))
+    first = F.substring("ranks", 1, 1)
+    alike = F.col("ranks") == F.repeat(first, F.lit(BUCKET))
+    return texts.select("bucket", F.when(alike, F.lit(1)).otherwise(BUCKET).alias("width"),
+                        F.when(alike, first).otherwise(F.col("ranks")).cast("binary").alias("ranks"))
 
 
-def _lookup(df: DataFrame, address: str, buckets: DataFrame, name: str) -> DataFrame:
+def _lookup(df: DataFrame, address: str, texts: DataFrame, name: str) -> DataFrame:
     # a bucket is one row, so the left join keeps one row per flow
-    number, at, key, lo, hi, rank = [f"__{n}_{name}" for n in ("n", "at", "b", "lo", "hi", "rank")]
-    side = buckets.select(F.col("bucket").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("rank").alias(rank))
-    numbered = df.withColumn(number, ipv4_number(F.col(address)))
-    joined = numbered.join(side, F.floor(F.col(number) / BUCKET) == F.col(key), "left")
-    placed = joined.withColumn(at, _bisected(F.col(number), F.col(lo)))
-    inside = F.col(number).between(F.get(lo, F.col(at)), F.get(hi, F.col(at)))
-    return placed.withColumn(name, F.when(inside, F.get(rank, F.col(at)))).drop(number, at, key, lo, hi, rank)
+    number, key, width, ranks = [f"__{n}_{name}" for n in ("n", "b", "width", "ranks")]
+    side = texts.select(F.col("bucket").alias(key), F.col("width").alias(width), F.col("ranks").alias(ranks))
+    joined = df.withColumn(number, ipv4_number(F.col(address))).join(side, F.floor(F.col(number) / BUCKET) == F.col(key), "left")
+    code = F.ascii(F.substring(F.col(ranks), (F.col(number) % F.col(width) + 1).cast("int"), F.lit(1)).cast("string"))
+    return joined.select(*df.columns, F.when(code >= 48, code - 48).alias(name))
 
 
 def allow_reason(df: DataFrame, ranges: DataFrame, saddr: str = "saddr", daddr: str = "daddr",
                  name: str = "reason", broadcast_limit: int = BROADCAST_SEGMENTS) -> DataFrame:
     """Add the reason a flow is exempt: best provider holding its source or destination.
 
-    The segments are built once; they are broadcast only if their counted size is within
+    The buckets are built once; they are broadcast only if their size is within
     ``broadcast_limit`` and joined by shuffle (with skew splitting) beyond it. A flow meets one
-    row, its bucket, and finds its segment there by bisection: 12 comparisons at most.
+    row, its bucket, and reads the rank at its place there.
     """
-    segments = cut_lineage(range_segments(ranges))
-    small = segments.limit(broadcast_limit + 1).count() <= broadcast_limit
-    buckets = bucket_rows(segments)
-    side = F.broadcast(buckets) if small else buckets
+    texts = stored(rank_texts(range_segments(ranges)))
+    size = texts.agg(F.coalesce(F.sum(F.ceil(F.col("width") / SEGMENT_BYTES)), F.lit(0))).first()[0]
+    side = F.broadcast(texts) if size <= broadcast_limit else texts
     found = _lookup(_lookup(df, saddr, side, "__src_rank"), daddr, side, "__dst_rank")
     meta = (F.col(saddr) == METADATA_ADDRESS) | (F.col(daddr) == METADATA_ADDRESS)
     rank = F.when(meta, F.lit(0)).otherwise(F.least("__src_rank", "__dst_rank"))

@@ -101,6 +101,20 @@ def test_full_bucket_is_bisected(spark, rows):
     assert rows(found, "id", "reason") == sorted(expected, key=repr)
 
 
+def test_buckets_are_texts_of_ranks(spark, rows):
+    """A lookup reads one character; it neither copies arrays of segments nor calls a function per step."""
+    ranges = spark.createDataFrame([("aws", "10.0.0.4/30"), ("gcloud", "10.0.0.6"), ("suse", "10.0.16.0/20"), ("aws", "10.0.0.4/30"),
+                                    ("aws", "10.0.0.300/30"), ("other", "10.0.0.0/8"), ("aws", "10.0.0.0/33")], "provider string, cidr string")
+    found = {r.bucket: r for r in netranges.rank_texts(netranges.range_segments(ranges)).collect()}
+    first = (10 << 24) // netranges.BUCKET
+    assert bytes(found[first].ranks) == (b"    2212" + b" " * netranges.BUCKET)[:netranges.BUCKET]
+    assert (bytes(found[first + 1].ranks), found[first + 1].width, len(found)) == (b"5", 1, 2)
+    flows = spark.createDataFrame([(1, "10.0.0.3", "10.0.0.6"), (2, "10.0.31.255", "10.0.0.7"), (3, "10.0.32.0", "10.0.0.8")], "i int, saddr string, daddr string")
+    got = netranges.allow_reason(flows, ranges)
+    assert rows(got, "i", "reason") == [(1, "GCloud"), (2, "AWS"), (3, None)]
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unreadable_addresses_match_nothing(spark, rows):
     flows = spark.createDataFrame([(1, "fe80::1", "x"), (2, None, "10.0.0.1")], "i int, saddr string, daddr string")
     got = netranges.allow_reason(flows, spark.createDataFrame([("aws", "10.0.0.0/8")], "provider string, cidr string"))
