@@ -26,6 +26,7 @@ class HistoryBatches:
     """
 
     def __init__(self, path: str, same_second: bool = True):
+        self.staged = f"{path}/staged"
         self.rows = f"{path}/rows"
         self.tails = f"{path}/tails"
         self.unmatched = f"{path}/unmatched"
@@ -33,6 +34,10 @@ class HistoryBatches:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # written once: several steps read it, and a stateful plan must not run for each of them
+        staged = f"{self.staged}/{batch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        batch = spark.read.schema(batch.schema).parquet(staged)
         if "status" in batch.columns:
             lost = batch.where(F.col("status") != "merged")
             lost.write.mode("overwrite").parquet(f"{self.unmatched}/batch={batch_id}")
@@ -51,6 +56,8 @@ class HistoryBatches:
          .parquet(f"{self.rows}/batch={batch_id}"))
         (history.select(*_NEEDED, "n").orderBy(F.desc("n")).limit(HISTORY)
          .write.mode("overwrite").parquet(f"{self.tails}/{batch_id}"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def read(self, spark) -> DataFrame:
         return spark.read.parquet(self.rows).drop("batch")

@@ -97,6 +97,21 @@ def test_lost_rows_are_not_counted(spark, tmp_path, rows):
     assert spark.read.parquet(sink.unmatched).count() == 1
 
 
+def test_history_runs_the_plan_of_a_batch_once(spark, tmp_path):
+    """A stateful plan is behind a batch; each further run of it costs as much as the first."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    row = "status string, merge_seq bigint, service string, saddr string, sport bigint, daddr string, dport bigint, ltime bigint"
+    batch = spark.createDataFrame([("merged", i, "-", "s", 1, "d", 2, 0) for i in range(30)], row).mapInPandas(counted, row)
+    sink = HistoryBatches(str(tmp_path))
+    sink(batch, 0)
+    assert seen.value == 30 and sink.read(spark).count() == 30 and not (tmp_path / "staged" / "0").exists()
+
+
 def test_merge_from_files_equals_replay(spark):
     got = QUERIES["merge_from_files"](spark, "/root/testdata/sf0.001")
     assert got.count() > 500 and got.where("kind = 'http'").count() > 50
