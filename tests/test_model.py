@@ -87,6 +87,20 @@ def test_search_uses_stratified_folds(fitted):
     assert found.bestModel.stages[-1].getNumTrees in (2, 5)
 
 
+def test_search_computes_its_folds_once(spark, fitted):
+    _, train, _ = fitted
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    found = training.search(train.mapInArrow(count, train.schema), [{**SMALL, "numTrees": 2}], "seq", folds=2, parallelism=1)
+    assert len(found.avgMetrics) == 1
+    # a scan over blocks reads its rows once for the totals and once for the rows
+    assert seen.value <= 2 * train.count()
+
+
 def test_best_parameters(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 0.7), (2, 0.9), (2, 0.1)], "depth int, accuracy double")
     best = evaluation.best_params(evaluation.mean_accuracy(df, ["depth"]), ["depth"]).first()
