@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +22,9 @@ OUTPUT = ("status string, merge_seq {seq}, a_seq {seq}, z_seq {seq}, kind string
           "trans_depth bigint, response_body_len bigint, ct_flw_http_mthd bigint, is_ftp_login int, "
           "ct_ftp_cmd bigint, payload string")
 _OUTPUT_NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
-_FLOW_STATE = "seq {seq}, payload string, at bigint"
-_LOG_STATE = ("seq {seq}, kind string, service string, trans_depth bigint, response_body_len bigint, "
-              "is_ftp_login bigint, has_command bigint, at bigint")
+# Waiting rows pass between worker and state store one call each, whatever their size, so many are one text.
+QUEUE_ROWS = 256
+_QUEUE_STATE = "rows string"
 _COUNTER_STATE = ("pending boolean, length bigint, depth bigint, last {seq}, at bigint, http bigint, ftp bigint, "
                   "clock bigint")
 
@@ -57,15 +60,16 @@ class MatchProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.flows = handle.getListState("flows", _FLOW_STATE.format(seq=self.seq))
-        self.logs = handle.getListState("logs", _LOG_STATE.format(seq=self.seq))
+        self.flows = handle.getListState("flows", _QUEUE_STATE)
+        self.logs = handle.getListState("logs", _QUEUE_STATE)
         self.counters = handle.getValueState("counters", _COUNTER_STATE.format(seq=self.seq))
 
     def _load(self) -> KeyReplay:
         machine = KeyReplay()
         machine.clock = None
-        machine.flows.extend((s, (p, at)) for s, p, at in self.flows.get())
-        machine.logs.extend((r[0], r[1], tuple(r[2:])) for r in self.logs.get())
+        machine.flows.extend((r[0], tuple(r[1:])) for r in self._read(self.flows))
+        machine.logs.extend((r[0], r[1], tuple(r[2:])) for r in self._read(self.logs))
+        machine.known = [(len(q), q[0] if q else None) for q in (machine.flows, machine.logs)]
         kept = self.counters.get()
         if kept is not None:
             pending, length, depth, last, at, machine.http_merges, machine.ftp_commands, machine.clock = kept
@@ -73,17 +77,25 @@ class MatchProcessor(StatefulProcessor):
         return machine
 
     def _store(self, machine: KeyReplay) -> None:
-        self._put(self.flows, [(s, *c) for s, c in machine.flows])
-        self._put(self.logs, [(s, k, *log) for s, k, log in machine.logs])
+        for state, queue, (n, head) in zip((self.flows, self.logs), (machine.flows, machine.logs), machine.known):
+            # rows enter behind and leave in front: while the head stays, only what is behind the known ones is new
+            kept = n if queue and queue[0] is head else 0
+            if kept != len(queue):
+                self._write(state, [[*row[:-1], *row[-1]] for row in islice(queue, kept, None)], kept > 0)
+            elif n and not queue:
+                state.clear()
         self.counters.update((machine.pending is not None, *(machine.pending or (0, 0, None, None)),
                               machine.http_merges, machine.ftp_commands, machine.clock))
 
     @staticmethod
-    def _put(state, rows) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
+    def _read(state) -> Iterator[list]:
+        for (rows,) in state.get():
+            yield from json.loads(rows)
+
+    @staticmethod
+    def _write(state, rows: list, append: bool) -> None:
+        texts = [(json.dumps(rows[k:k + QUEUE_ROWS]),) for k in range(0, len(rows), QUEUE_ROWS)]
+        (state.appendList if append else state.put)(texts)
 
     def _schedule(self, machine: KeyReplay, now: int) -> None:
         if self.ttl_ms is not None and (machine.flows or machine.logs) and not list(self.handle.listTimers()):
@@ -98,7 +110,7 @@ class MatchProcessor(StatefulProcessor):
             self._step(machine, key[0], row, now, out)
         self._store(machine)
         self._schedule(machine, now)
-        yield self._frame(out)
+        yield from self._frame(out)
 
     @staticmethod
     def _rows(batch: pd.DataFrame, *more: str) -> Iterator[tuple]:
@@ -120,10 +132,11 @@ class MatchProcessor(StatefulProcessor):
             seq, kind, log = machine.logs.popleft()
             out.append(("lost_log", None, None, seq, kind, key, log[0], log[1], log[2], 0, log[3], 0, None))
 
-    def _frame(self, out: list) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=_OUTPUT_NAMES)
-        kind = "Int64" if self.seq == "bigint" else object
-        return frame.astype({c: kind for c in ("merge_seq", "a_seq", "z_seq")})
+    @staticmethod
+    def _frame(out: list) -> Iterator[pd.DataFrame]:
+        """The rows of a call as one frame, none where there are none; whole numbers beside nulls stay objects."""
+        if out:
+            yield pd.DataFrame({name: np.array(values, object) for name, values in zip(_OUTPUT_NAMES, zip(*out))})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
@@ -131,7 +144,7 @@ class MatchProcessor(StatefulProcessor):
         self._evict(machine, key[0], out, lambda at: at + self.ttl_ms <= now)
         self._store(machine)
         self._schedule(machine, now)
-        yield self._frame(out)
+        yield from self._frame(out)
 
     def close(self) -> None:
         pass
@@ -184,7 +197,7 @@ class EventTimeProcessor(MatchProcessor):
             self._step(machine, key[0], tuple(row), at, out)
         self._store(machine)
         self._wake(machine)
-        yield self._frame(out)
+        yield from self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -197,7 +210,7 @@ class EventTimeProcessor(MatchProcessor):
         else:
             self._store(machine)
             self._wake(machine)
-        yield self._frame(out)
+        yield from self._frame(out)
 
 
 def stream_match(flows: DataFrame, logs: DataFrame, ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:

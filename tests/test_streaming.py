@@ -292,3 +292,67 @@ def test_expiry_depends_on_event_time_alone(spark, tmp_path):
     assert ("lost_flow", 3) in [(r[0], r[2]) for r in whole]
     # the http record at 180 is too old for the flow at 290
     assert not any(r[2] == 5 for r in merged) and ("lost_log", 5) in [(r[0], r[3]) for r in whole]
+
+
+class _State:
+    """A state variable of one key that counts the rows which pass."""
+
+    def __init__(self):
+        self.rows, self.passed = [], 0
+
+    def get(self):
+        self.passed += len(self.rows) if isinstance(self.rows, list) else 0
+        return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+    def put(self, rows):
+        self.passed += len(rows)
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.passed += len(rows)
+        self.rows += rows
+
+    def update(self, row):
+        self.rows = row
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.lists, self.value = {}, _State()
+        self.value.rows = None
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, _State())
+
+    def getValueState(self, name, schema):
+        return self.value
+
+
+def _arrivals(first, kinds):
+    n = len(kinds)
+    return pd.DataFrame({"seq": range(first, first + n), "kind": kinds, "payload": [f'{{"seq":{first + k}}}' for k in range(n)],
+                         "service": [None] * n, **{c: [k % 3 for k in range(n)] for c in match.LOG_COLUMNS if c != "service"}})
+
+
+@pytest.mark.parametrize("kinds", [[["tcp"] * 1000, ["tcp"] * 1000, ["conn"] * 300, ["ftp"] * 9 + ["conn"] * 1700, ["tcp"]],
+                                   [["conn"] * 600, ["http", "conn"] * 300, ["tcp"] * 400, ["tcp", "dgram"] * 500],
+                                   [["tcp", "conn"] * 500, ["ftp"] * 3, ["tcp"] * 3]])
+def test_waiting_rows_pass_the_state_many_at_a_time(kinds):
+    handle, machine, want, got, at = _Handle(), match.KeyReplay(), [], [], 0
+    for batch in kinds:
+        processor = match.MatchProcessor()
+        processor.init(handle)
+        rows = _arrivals(at, batch)
+        at += len(batch)
+        got += [r for frame in processor.handleInputRows(("k",), iter([rows]), None) for r in frame["merge_seq"].tolist()]
+        want += [m[0] for r in match.MatchProcessor._rows(rows)
+                 if (m := machine.step(r[0], r[1], (r[2], 0), (*r[3:], 0))) is not None]
+        processor.init(handle)
+        left = processor._load()
+        assert list(left.flows) == list(machine.flows) and list(left.logs) == list(machine.logs)
+    assert got == want
+    # one state row for each waiting record had thousands pass
+    assert sum(s.passed for s in handle.lists.values()) <= 100
