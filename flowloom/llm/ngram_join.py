@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from flowloom.llm.common import discard, whole, workspace, written
 from flowloom.llm.components import components
 
-# Cells of the frequency sketch, eight bytes each, whatever the corpus.
+# Cells of the frequency sketch, whatever the corpus: eight bytes each while it is made, one in the tasks that use it.
 CELL_BITS = 20
 # Tokens of a stretch that is searched for repeated tokens, and how many documents must share one.
 STRETCH, SHARED = 1 << 20, 3
@@ -37,7 +37,8 @@ SHORT_LIST = 64
 BLOCK_MEMBERS, BLOCK_TOKENS = 256, 1 << 19
 # Columns of the membership matrix that are multiplied at a time.
 COLUMNS = 1 << 12
-WORD_CACHE = 250_000
+# Words whose hashes a worker keeps; idle workers keep them, too.
+WORD_CACHE = 1 << 16
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +108,7 @@ def prefix(tokens: np.ndarray, weights: np.ndarray, seed: np.uint64 | None, num:
     """
     size = times * prefix_length(len(tokens), num, den)
     hashes = tokens if seed is None else _mix(tokens ^ seed)
-    keys = weights[tokens >> np.uint64(64 - CELL_BITS)] << np.uint64(56) | hashes >> np.uint64(8)
+    keys = weights[tokens >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
     return np.partition(keys, size - 1)[:size] if 0 < size < len(keys) else keys
 
 
@@ -136,8 +137,8 @@ def _weights(rows: DataFrame, n: int) -> np.ndarray:
                                              names=["cell", "n"])
     # at most one row per cell
     sums = rows.select("text").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = np.zeros(1 << CELL_BITS, np.uint64)
-    weights[sums.column("cell").to_numpy()] = (1 + np.log2(sums.column("n").to_numpy())).astype(np.uint64)
+    weights = np.zeros(1 << CELL_BITS, np.uint8)
+    weights[sums.column("cell").to_numpy()] = (1 + np.log2(sums.column("n").to_numpy())).astype(np.uint8)
     return weights
 
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,17 @@ def test_null_text_links_with_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, " ")], "doc_id bigint, text string")
     assert join_rows(ngram_join(df)) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
     assert ngram_join(df).where(F.col("links") > 0).count() == 0
+
+
+def test_workers_of_the_join_keep_little(spark):
+    module._HASHES.clear()
+    for k in range(10):
+        module.shingles(" ".join(f"w{i}" for i in range(k * 20_000, (k + 1) * 20_000)), 4)
+    assert len(module._HASHES) <= (1 << 16) + 1
+    # one byte a cell travels with the tasks, and frequent tokens still come last
+    rows = spark.createDataFrame([(i, "a b c d") for i in range(9)] + [(9, "e f g h")], "id int, text string").coalesce(1)
+    weights = module._weights(rows, 4)
+    assert weights.nbytes == 1 << module.CELL_BITS
+    both = np.concatenate([module.shingles(t, 4) for t in ("a b c d", "e f g h")])
+    keys = module.prefix(both, weights, None, 85, 100, 2)
+    assert [int(k >> np.uint64(56)) for k in keys] == [4, 0]
