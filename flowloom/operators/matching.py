@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowloom.functions import enrich
 from flowloom.functions.keys import flow_key, log_key
 from flowloom.operators.scan import BLOCK_WIDTH, Running, block_index, keyed_scan, ordinal
-from flowloom.session import cut_lineage
+from flowloom.session import stored
 
 MATCHED_PROTOCOLS = ["tcp", "udp", "icmp"]
 CARRIED = ["saddr", "sport", "daddr", "dport", "ltime"]
@@ -92,14 +92,15 @@ def _has_waiting() -> Column:
     return F.col("flows_seen") > F.col("conns_seen")
 
 
-def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH, peaks: bool = False) -> DataFrame:
     """Add to every event what matching decides on, in one exchange of the timeline.
 
     * ``epoch``: tcp flows of the key seen before,
     * ``folds``: a tcp flow with http rows since the previous tcp flow takes them,
     * ``flows_seen`` / ``conns_seen`` / ``https_seen``: waiting-eligible flows, conn and http
       rows up to here,
-    * ``folds_seen``: flows that took http rows up to here.
+    * ``folds_seen``: flows that took http rows up to here,
+    * ``peak``, if asked for: largest ``flows_seen - https_seen``, 0 at least, at waiting-eligible flows before.
 
     The fold flags need one look at the previous block: only the first tcp flow of a block
     with no http row before it is open, and whether http rows are pending there is known
@@ -129,6 +130,10 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         *flagged.columns, counted(waits, upto).alias("__waits_to"), counted(F.col("__folds"), upto).alias("__folds_to"),
         counted(F.col("__open"), upto).alias("__open_to"), counted(kind == "conn", upto).alias("__conns_to"),
         counted(kind == "http", upto).alias("__https_to"))
+    # the largest lead inside the block, with the open flow waiting and with it folding
+    lead = F.col("__waits_to") - F.col("__https_to")
+    leads = [F.when(waits, lead), F.when(waits & ~F.col("__open"), lead - F.col("__open_to"))] if peaks else []
+    local = local.select(*local.columns, *[F.max(c).over(before).alias(f"__lead{i}") for i, c in enumerate(leads)])
 
     blocks = local.groupBy(*group).agg(
         F.sum((kind == "tcp").cast("bigint")).alias("tcp"), F.sum(waits.cast("bigint")).alias("waits"),
@@ -136,7 +141,8 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         F.sum((kind == "conn").cast("bigint")).alias("conns"), F.sum((kind == "http").cast("bigint")).alias("https"),
         (F.max(F.when(kind == "http", F.col("seq"))) >
          F.coalesce(F.max(F.when(kind == "tcp", F.col("seq"))), F.lit(-1 << 62))).alias("__ends_http"),
-        F.max(F.when(kind == "tcp", F.col("seq"))).alias("__last_tcp"))
+        F.max(F.when(kind == "tcp", F.col("seq"))).alias("__last_tcp"),
+        *[F.max(c).alias(f"__most{i}") for i, c in enumerate(leads)])
     past = Window.partitionBy("key").orderBy("__blk")
     earlier = past.rowsBetween(Window.unboundedPreceding, -1)
     pending = F.coalesce(F.col("__ends_http"), F.when(F.col("__last_tcp").isNotNull(), F.lit(False)))
@@ -145,16 +151,23 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         (F.col("open") * F.coalesce(F.last(pending, ignorenulls=True).over(earlier), F.lit(False)).cast("bigint"))
         .alias("__shift"))
     carry = shifted.select(
-        "key", "__blk", "__prev", "__shift",
+        "key", "__blk", "__prev", "__shift", *[f"__most{i}" for i in range(len(leads))],
         F.sum("tcp").over(earlier).alias("__c_epoch"),
         F.sum(F.col("waits") - F.col("__shift")).over(earlier).alias("__c_waits"),
         F.sum(F.col("folds") + F.col("__shift")).over(earlier).alias("__c_folds"),
         F.sum("conns").over(earlier).alias("__c_conns"),
-        F.sum("https").over(earlier).alias("__c_https")).where(F.col("__prev").isNotNull()).drop("__prev")
+        F.sum("https").over(earlier).alias("__c_https"))
 
     def carried(name):
         return F.coalesce(F.col(name), F.lit(0))
 
+    ahead, peak = carried("__c_waits") - carried("__c_https"), []
+    if peaks:
+        most = F.when(F.col("__shift") == 1, F.col("__most1")).otherwise(F.col("__most0"))
+        carry = carry.select(*carry.columns, F.max(ahead + most).over(earlier).alias("__c_peak")).drop("__most0", "__most1")
+        inside = F.when(carried("__shift") == 1, F.col("__lead1")).otherwise(F.col("__lead0"))
+        peak = [F.greatest(F.lit(0).cast("bigint"), F.col("__c_peak"), ahead + inside).alias("peak")]
+    carry = carry.where(F.col("__prev").isNotNull()).drop("__prev")
     shift = F.col("__open_to") * carried("__shift")
     return local.join(carry, group, "left").select(
         *events.columns,
@@ -163,7 +176,7 @@ def ranked_timeline(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         (F.col("__waits_to") + carried("__c_waits") - shift).alias("flows_seen"),
         (F.col("__folds_to") + carried("__c_folds") + shift).alias("folds_seen"),
         (F.col("__conns_to") + carried("__c_conns")).alias("conns_seen"),
-        (F.col("__https_to") + carried("__c_https")).alias("https_seen"))
+        (F.col("__https_to") + carried("__c_https")).alias("https_seen"), *peak)
 
 
 def http_fold(ranked: DataFrame) -> DataFrame:
@@ -188,7 +201,7 @@ def match_sensors(flows: DataFrame, logs: DataFrame, width: int = BLOCK_WIDTH) -
     """Set form of the two-sensor merge: http fold, first in first out conn match, ftp fan-out."""
     kind = F.col("kind")
     # narrow, and read by every branch below
-    ranked = cut_lineage(ranked_timeline(timeline(flows, logs), width))
+    ranked = stored(ranked_timeline(timeline(flows, logs), width))
     queued = ranked.where(kind.isin("tcp", "dgram") & ~F.col("folds")).select(
         "key", F.col("flows_seen").alias("rn"), F.col("seq").alias("a_seq"), *CARRIED)
     zero = F.lit(0).cast("bigint")

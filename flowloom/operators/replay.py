@@ -20,12 +20,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators.matching import CARRIED, fold_merges, ranked_timeline, timeline
-from flowloom.operators.scan import BLOCK_WIDTH, Running, keyed_scan, own_exchange
-from flowloom.session import cut_lineage
+from flowloom.operators.scan import BLOCK_WIDTH, Running, block_index, keyed_scan, own_exchange
+from flowloom.session import stored
 
 MERGE_COLUMNS = ["merge_seq", "a_seq", "z_seq", "kind", "key", "service", "trans_depth", "response_body_len",
                  "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd", *CARRIED]
@@ -98,42 +98,61 @@ def _runs_that_wait(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["key", "peak", "conns_seen"]].assign(waits=out)
 
 
-def ftp_decisions(peaked: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
-    """``peaked`` with ``waits`` (null but for ftp records) and ``conns_seen`` that counts waiting ftp records, too."""
+def ftp_decisions(ranked: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """``ranked`` with ``waits``, null but for ftp records."""
     ftp = F.col("kind") == "ftp"
-    runs = peaked.where(ftp).groupBy("key", "peak", "conns_seen").agg(
+    runs = ranked.where(ftp).groupBy("key", "peak", "conns_seen").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), (F.col("peak") - F.col("conns_seen")).alias("margin"))
     # narrow: a row per run, not per record
-    waits = runs.repartition(own_exchange("key")).sortWithinPartitions("key", "seq").select(
+    waits = stored(runs.repartition(own_exchange("key")).sortWithinPartitions("key", "seq").select(
         "key", "peak", "conns_seen", "n", "margin").mapInPandas(
-        _runs_that_wait, "key string, peak bigint, conns_seen bigint, waits boolean")
-    decided = peaked.where(ftp).join(waits, ["key", "peak", "conns_seen"])
-    all_rows = cut_lineage(peaked.where(~ftp).unionByName(decided.select(*peaked.columns, "waits"), allowMissingColumns=True))
-    counted = keyed_scan(all_rows, ["key"], "seq", [Running("__ftps", F.coalesce(F.col("waits"), F.lit(False)).cast("bigint"))], width)
-    return counted.withColumn("conns_seen", F.col("conns_seen") + F.col("__ftps")).drop("__ftps")
+        _runs_that_wait, "key string, peak bigint, conns_seen bigint, waits boolean"))
+    decided = ranked.where(ftp).join(waits, ["key", "peak", "conns_seen"])
+    return ranked.where(~ftp).unionByName(decided.select(*ranked.columns, "waits"), allowMissingColumns=True)
+
+
+def queue_moves(decided: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """What each arrival does to the queues, and how often each was done up to it, in one exchange of the timeline.
+
+    A flow waits where it raises the larger of ``peak`` and ``conns``, a record where it raises ``conns`` beyond
+    ``peak``; ftp records that wait count among ``conns``. With ``kept``, the number of records that wait instead of
+    taking a flow, ``max(peak, conns) - kept`` flows have waited, ``conns - kept`` of them were taken, ``https + kept``
+    records have waited: only ``kept`` is summed up.
+    """
+    kind, group = F.col("kind"), ["key", "__blk"]
+    queue_flow = kind.isin("tcp", "dgram") & ~F.col("folds")
+    record = F.coalesce((kind == "conn") | F.col("waits"), F.lit(False))
+    blocked = decided.withColumn("__blk", block_index("seq", width))
+    past = Window.partitionBy("key").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocked.groupBy(*group).agg(F.sum(F.col("waits").cast("bigint")).alias("n")).select(
+        *group, F.sum("n").over(past).alias("__ftps")).where("__ftps > 0")
+    work = blocked.repartition(*group)
+    upto = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = work.select(*work.columns, F.sum(F.coalesce("waits", F.lit(False)).cast("bigint")).over(upto).alias("__inside"))
+    counted = inside.join(before, group, "left").withColumn(
+        "conns_seen", F.col("conns_seen") + F.col("__inside") + F.coalesce("__ftps", F.lit(0))).drop("__inside", "__ftps")
+    keeps = record & (F.col("peak") < F.col("conns_seen"))
+    local = counted.select(*counted.columns, keeps.alias("__keeps"), F.sum(keeps.cast("bigint")).over(upto).alias("__kept"))
+    carry = local.groupBy(*group).agg(F.sum(F.col("__keeps").cast("bigint")).alias("n")).select(
+        *group, F.sum("n").over(past).alias("__c_kept"))
+    kept = F.col("__kept") + F.coalesce("__c_kept", F.lit(0))
+    # the state after this arrival: only a waiting-eligible flow moves the peak
+    high = F.greatest("conns_seen", F.when(queue_flow, F.greatest("peak", F.col("flows_seen") - F.col("https_seen")))
+                      .otherwise(F.col("peak")))
+    raised = queue_flow & (F.col("flows_seen") - F.col("https_seen") > F.greatest("peak", "conns_seen"))
+    return local.join(carry, group, "left").select(
+        "key", "seq", "kind", *LOG_COLUMNS, *CARRIED, (high - kept).alias("a_push"), (F.col("conns_seen") - kept).alias("a_pop"),
+        (F.col("https_seen") + kept).alias("z_push"), (F.col("flows_seen") - high + kept).alias("z_pop"),
+        raised.alias("__a_push"), ((kind == "conn") & ~F.col("__keeps")).alias("__a_pop"),
+        ((kind == "http") | F.col("__keeps")).alias("__z_push"), (queue_flow & ~raised).alias("__z_pop"),
+        ((kind == "ftp") & ~F.col("waits")).alias("__lent"))
 
 
 def replay_events(events: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     """Merges of a timeline: no rows of a key meet in one task but by blocks of its arrivals."""
     kind = F.col("kind")
-    ranked = cut_lineage(ranked_timeline(log_numbers(events), width))
-    queue_flow = kind.isin("tcp", "dgram") & ~F.col("folds")
-    peaked = keyed_scan(ranked, ["key"], "seq", [
-        Running("peak", F.when(queue_flow, F.col("flows_seen") - F.col("https_seen")), "max", inclusive=False)], width)
-    peaked = cut_lineage(peaked.withColumn("peak", F.greatest("peak", F.lit(0).cast("bigint"))))
-    decided = ftp_decisions(peaked, width)
-
-    lent = (kind == "ftp") & ~F.col("waits")
-    record = (kind == "conn") | ((kind == "ftp") & F.col("waits"))
-    conns_before = F.col("conns_seen") - record.cast("bigint")
-    high = F.greatest(F.col("peak"), conns_before)
-    takes_log = queue_flow & (F.col("https_seen") - F.col("flows_seen") + 1 + high > 0)
-    takes_flow = (kind == "conn") & (high - conns_before > 0)
-    moves = {"a_push": queue_flow & ~takes_log, "a_pop": takes_flow,
-             "z_push": (kind == "http") | (record & ~takes_flow), "z_pop": takes_log}
-    flagged = decided.select(*ranked.columns, lent.alias("__lent"), *[c.alias(f"__{n}") for n, c in moves.items()])
-    queued = cut_lineage(keyed_scan(flagged, ["key"], "seq", [
-        Running(n, F.col(f"__{n}").cast("bigint")) for n in moves], width))
+    ranked = stored(ranked_timeline(log_numbers(events), width, peaks=True))
+    queued = stored(queue_moves(ftp_decisions(ranked, width), width))
 
     def rows(flag, rank, seq, cols):
         return queued.where(F.col(f"__{flag}")).select("key", rank.alias("rn"), F.col("seq").alias(seq), *cols)

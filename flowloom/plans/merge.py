@@ -10,7 +10,7 @@ from flowloom.operators.history import HISTORY_BLOCK, connection_counters
 from flowloom.operators.matching import CARRIED, match_sensors, pass_through
 from flowloom.operators.scan import BLOCK_WIDTH, SEQUENCE_WIDTH, dense_sequence
 from flowloom.schemas import MERGED_FIELDS, SCORING_FIELDS
-from flowloom.session import cut_lineage
+from flowloom.session import stored
 
 
 def fixed_layout(df: DataFrame, cols: list[str], extra: list[str] | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def merged_sequence(flows: DataFrame, merges: DataFrame, same_second: bool = Tru
                     block: int = HISTORY_BLOCK, width: int = SEQUENCE_WIDTH) -> DataFrame:
     """Narrow merged rows with their dense position ``n`` and the seven counters."""
     # narrow; numbering reads it for the block counts and for the rows
-    rows = cut_lineage(merges.unionByName(pass_through(flows)))
+    rows = stored(merges.unionByName(pass_through(flows)))
     return connection_counters(dense_sequence(rows, "merge_seq", "n", width), "n", same_second, block=block)
 
 

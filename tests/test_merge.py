@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import history, matching, replay
 from flowloom.plans import merge
 from flowloom.schemas import MERGED_FIELDS, SCORING_FIELDS
+from flowloom.session import stored
 from tests import models
 
 FLOW = ("seq bigint, proto string, saddr string, sport bigint, daddr string, dport bigint, ltime bigint, stime bigint")
@@ -141,6 +142,44 @@ def test_runs_of_ftp_records_pass_as_one_row(spark):
     assert decided.where("kind = 'ftp'").count() == before and decided.where("kind = 'ftp' and waits").count() == before
 
 
+@pytest.mark.parametrize("kinds", ["tcp http", "tcp tcp dgram ftp http conn conn"])
+def test_peaks_of_a_timeline(spark, rows, kinds):
+    """The largest lead of flows over http records before each row, also where a block begins with an open flow."""
+    r = random.Random(kinds)
+    events = [{**e, "kind": r.choice(kinds.split())} for e in models.random_events(5, n=600, hot=0.7)]
+    got = matching.ranked_timeline(replay.log_numbers(models.events_frame(spark, events)), 23, peaks=True)
+    want, state = [], {}
+    for e in sorted(events, key=lambda e: e["seq"]):
+        lead, peak, pending = state.get(e["key"], (0, 0, False))
+        want.append((e["seq"], peak))
+        if e["kind"] == "http":
+            lead, pending = lead - 1, True
+        elif e["kind"] == "tcp" and pending:
+            pending = False
+        elif e["kind"] in ("tcp", "dgram"):
+            lead += 1
+            peak = max(peak, lead)
+        state[e["key"]] = (lead, peak, pending)
+    assert rows(got, "seq", "peak") == sorted(want, key=repr)
+
+
+def test_replay_computes_no_intermediate_twice(spark, monkeypatch):
+    """A reliable checkpoint runs the last stage of its frame a second time to write it."""
+    events = models.random_events(2, n=50)
+    frame = models.events_frame(spark, events)
+    monkeypatch.setattr(replay, "timeline", lambda a, z: frame)
+
+    def twice(*args):
+        raise AssertionError("a stage would run twice")
+    monkeypatch.setattr(type(frame), "checkpoint", twice)
+    assert replay.replay_merges(None, None, width=11).count() == len(models.replay(events))
+
+
+def test_untyped_columns_are_kept_when_stored(spark):
+    got = stored(spark.range(3).withColumn("nothing", F.lit(None)))
+    assert got.dtypes == [("id", "bigint"), ("nothing", "void")] and got.count() == 3
+
+
 @pytest.mark.parametrize("same_second", [True, False])
 def test_counters_equal_a_deque(spark, rows, same_second):
     r = random.Random(5)
