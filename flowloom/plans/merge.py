@@ -10,7 +10,7 @@ from flowloom.operators.history import HISTORY_BLOCK, connection_counters
 from flowloom.operators.matching import CARRIED, match_sensors, pass_through
 from flowloom.operators.scan import BLOCK_WIDTH, SEQUENCE_WIDTH, dense_sequence
 from flowloom.schemas import MERGED_FIELDS, SCORING_FIELDS
-from flowloom.session import stored
+from flowloom.session import cut_lineage, stored
 
 
 def fixed_layout(df: DataFrame, cols: list[str], extra: list[str] | None = None) -> DataFrame:
@@ -21,10 +21,10 @@ def fixed_layout(df: DataFrame, cols: list[str], extra: list[str] | None = None)
 
 
 def merged_sequence(flows: DataFrame, merges: DataFrame, same_second: bool = True,
-                    block: int = HISTORY_BLOCK, width: int = SEQUENCE_WIDTH) -> DataFrame:
+                    block: int = HISTORY_BLOCK, width: int = SEQUENCE_WIDTH, keep=cut_lineage) -> DataFrame:
     """Narrow merged rows with their dense position ``n`` and the seven counters."""
     # narrow; numbering reads it for the block counts and for the rows
-    rows = stored(merges.unionByName(pass_through(flows)))
+    rows = keep(merges.unionByName(pass_through(flows)))
     return connection_counters(dense_sequence(rows, "merge_seq", "n", width), "n", same_second, block=block)
 
 
@@ -52,7 +52,8 @@ def merge_flows(flows: DataFrame, logs: DataFrame, mode: str = "set", same_secon
         merges = replay_merges(flows, logs, width)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    rows = merged_sequence(flows, merges, same_second, block, sequence_width)
+    # forests draw rows of the set form by their place, so it keeps its partitions
+    rows = merged_sequence(flows, merges, same_second, block, sequence_width, stored if mode == "replay" else cut_lineage)
     return fixed_layout(attach_measurements(flows, rows), MERGED_FIELDS, ["merge_seq"])
 
 
