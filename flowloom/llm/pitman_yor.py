@@ -19,6 +19,7 @@ driver and go out with the tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +59,18 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, names: np.nd
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     live, k, step = np.flatnonzero(customers > 1), 1, sweep << 20
+    # dishes that still have customers to seat, side by side
+    c, f, t, name = customers[live], fresh[live], tables[live], names[live]
     while len(live):
         block = 1 if k < SINGLE else k // 16
-        size = np.minimum(block, customers[live] - k)
-        odds = fresh[live] / (fresh[live] + k - discount * tables[live])
-        tables[live] += np.floor(size * odds + _chance(names[live], step))
+        size = np.minimum(block, c - k)
+        odds = f / (f + k - discount * t)
+        t += np.floor(size * odds + _chance(name, step))
         k, step = k + block, step + 1
-        live = live[customers[live] > k]
+        more = c > k
+        if not more.all():
+            tables[live[~more]] = t[~more]
+            live, c, f, t, name = (x[more] for x in (live, c, f, t, name))
     return np.minimum(tables, customers)
 
 
@@ -102,23 +108,36 @@ class ByteModel:
         self.keys2 = keys
         self.p2 = (c2 - d * t2) / (s + all2[where]) + self.back2[where] * self.one(ctx & 511, sym)
 
-    @staticmethod
-    def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, wanted), max(0, len(table) - 1))
-        return at, (table[at] == wanted) if len(table) else np.zeros(len(wanted), bool)
+    def __getstate__(self) -> dict:
+        """Without the dense tables, which each process makes for itself."""
+        return {k: v for k, v in vars(self).items() if k not in ("dense1", "dense_back2")}
+
+    @cached_property
+    def dense1(self) -> np.ndarray:
+        """Probabilities behind one byte, by context and symbol: 512 * 512, whatever the corpus."""
+        out = np.zeros((512, 512))
+        out[:, :SYMBOLS] = self.back1[:, None] * self.p0
+        out = out.ravel()
+        out[self.keys1] = self.p1
+        return out
 
-    def one(self, ctx1: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        out = self.back1[ctx1] * self.p0[sym]
-        at, known = self._find(self.keys1, ctx1 << 9 | sym)
-        out[known] = self.p1[at[known]]
+    @cached_property
+    def dense_back2(self) -> np.ndarray:
+        """What contexts of two bytes leave to their parents; all of it where the context is unknown."""
+        out = np.ones(512 * 512)
+        out[self.ctx2] = self.back2
         return out
 
+    def one(self, ctx1: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        return self.dense1[ctx1 << 9 | sym]
+
     def two(self, ctx2: np.ndarray, sym: np.ndarray) -> np.ndarray:
-        out = self.one(ctx2 & 511, sym)
-        at, known = self._find(self.ctx2, ctx2)
-        out[known] *= self.back2[at[known]]
-        at, known = self._find(self.keys2, ctx2 << 9 | sym)
-        out[known] = self.p2[at[known]]
+        out = self.one(ctx2 & 511, sym) * self.dense_back2[ctx2]
+        if len(self.keys2):
+            wanted = ctx2 << 9 | sym
+            at = np.minimum(np.searchsorted(self.keys2, wanted), len(self.keys2) - 1)
+            known = self.keys2[at] == wanted
+            out[known] = self.p2[at[known]]
         return out
 
 
@@ -345,18 +364,20 @@ def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, block_tokens: int = BLOCK_T
     blocks = written(wb.blocks(named, block_tokens), folder, "blocks")
     tokens = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
     bits = wb.range_bits(tokens)
-    texts = blocks.select("block", "doc_ids", "held_out", "lengths", "ids", "names")
-    slim = texts.drop("names")
 
     def at_blocks(left: DataFrame, messages: DataFrame, run, schema: str = wb.MESSAGE) -> DataFrame:
         return left.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(run, schema)
 
     lexicon = written(wb.word_slices(blocks, bits).groupBy("range").applyInArrow(wb.lexicon, wb.MESSAGE), folder, "lexicon")
     words, slices = lexicon.where("kind = 'words'"), lexicon.where("kind = 'at'")
+    # tables of what later steps read, so that the rest can go
+    texts = written(blocks.select("block", "doc_ids", "held_out", "lengths", "ids", "names"), folder, "texts")
+    discard(docs.sparkSession, folder, "blocks")
     totals = written(wb.pair_slices(texts, bits).groupBy("range").applyInArrow(wb.totals, wb.MESSAGE), folder, "totals")
     first = written(at_blocks(texts, totals.unionByName(slices), _first_seats), folder, "seats-0")
-    discard(docs.sparkSession, folder, "totals")
-    held, opened = first.where("kind = 'held'"), first.where("kind = 'open'")
+    slim = written(texts.drop("names"), folder, "slim")
+    discard(docs.sparkSession, folder, "totals", "texts")
+    held, opened = written(first.where("kind = 'held'"), folder, "held"), first.where("kind = 'open'")
     discount = discount_of(*[x or 0 for x in held.agg(F.sum("n1"), F.sum("n2")).first()])
     total, distinct = (x or 0 for x in words.agg(F.sum("n1"), F.sum("n2")).first())
 
@@ -376,8 +397,10 @@ def lm_scores(docs: DataFrame, sweeps: int = SWEEPS, block_tokens: int = BLOCK_T
             seated = written(opened.unionByName(answers).groupBy("block").applyInArrow(_sampled(discount, sweep), wb.MESSAGE),
                              folder, f"seats-{sweep}")
             sums, told = seated.where("kind = 'sum'"), told.unionByName(seated.where("kind = 'seats'"))
+        discard(docs.sparkSession, folder, f"words-{sweep}")
+    discard(docs.sparkSession, folder, "lexicon", "seats-0")
 
-    kind = blocks.schema["doc_ids"].dataType.elementType
+    kind = slim.schema["doc_ids"].dataType.elementType
     out = at_blocks(slim, told, _scored(discount, unknowns, total, distinct, wb.arrow_type(kind)),
                     f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
                     "score double, spelled_score double")

@@ -47,16 +47,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """An array as its type and its byte planes, compressed."""
+    """An array as its type and its byte planes, compressed; high planes that are all zero are left out."""
     a = np.ascontiguousarray(values)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-    return a.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(planes)
+    short = a
+    if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+        short = a.astype(np.min_scalar_type(a.max()), copy=False)
+    planes = short.view(np.uint8).reshape(len(a), short.itemsize).T.tobytes()
+    return (a.dtype.str.encode().ljust(4) + short.dtype.str.encode().ljust(4)
+            + zstandard.ZstdCompressor(level=1).compress(planes))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    kind = np.dtype(data[:4].decode().strip())
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
-    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    kind, short = (np.dtype(data[i:i + 4].decode().strip()) for i in (0, 4))
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(short.itemsize, -1).T).view(short).ravel().astype(kind, copy=False)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import pitman_yor, quality_rules as rules
 from flowloom.llm.chat_format import chat_round_trip, format_chats, format_turn, parse, read_chats
+from flowloom.llm.common import CLEANUP, workspace, written
 from flowloom.llm.cotraining import fit, quality_scores, with_quality
 from flowloom.llm.mixing import fit_counts, mix_sources, mixed
 from flowloom.llm.quality_rules import quality_rules
+from flowloom.session import checkpoint_root
 from tests.llm.conftest import TEXTS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -241,6 +245,30 @@ def test_base_scores_of_odd_rows(docs, nothing):
     assert pitman_yor.lm_scores(nothing).count() == 0
 
 
+def test_scores_leave_only_what_the_result_reads(docs, spark):
+    root = pathlib.Path(checkpoint_root(spark).removeprefix("file:"))
+    before = set(root.glob("llm-*"))
+    got = pitman_yor.lm_scores(docs, block_tokens=500)
+    made, = set(root.glob("llm-*")) - before
+    assert {x.name for x in made.iterdir()} == {"slim", "held", "seats-1", "seats-2", "answers-2", "answers-3"}
+    assert got.count() == len(TEXTS)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = [pathlib.Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {x for d in folders for x in d.rglob("shuffle_*.data")}
+    before, set_before = files(), spark.conf.get(CLEANUP)
+    table = written(spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count(), workspace(spark), "groups")
+    for _ in range(50):  # the files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == set_before
+    assert table.count() == 97
+
+
 def test_outcomes_add_up_to_one(spark):
     words = [(w.encode(), c) for w, c in (("the", 40), ("then", 7), ("cat", 3), ("cab", 1), ("", 9), ("dog", 1))]
     vocabulary = spark.createDataFrame(words, "word binary, c bigint")
