@@ -28,7 +28,9 @@ from flowloom.operators.scan import Running, keyed_scan
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
 LEVEL = 1
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+# Pieces whose ids a worker keeps; idle workers keep them, too.
+PIECES = 1 << 17
 
 CHUNKS = ("shard int, chunk int, start bigint, n_ids bigint, doc_ids array<{id}>, doc_tokens array<bigint>, "
           "plane_sizes array<int>, planes binary")
@@ -76,7 +78,7 @@ def id_encoder(path: str):
 
         def encode(texts: list[str]) -> list[bytes]:
             return [ids.tobytes() for ids in pieces.single(texts)]
-        cache = PieceCache(pieces)
+        cache = PieceCache(pieces, PIECES)
 
         def by_pieces(texts: list[str]) -> list[bytes]:
             out = []
@@ -113,9 +115,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col:
                  pa.array([sizes], pa.list_(pa.int32())), pa.array([data], pa.binary())],
                 names=["shard", "chunk", "start", "n_ids", "doc_ids", "doc_tokens", "plane_sizes", "planes"])
         for batch in batches:
-            doc_ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in by_bytes(batch.column("text"), batch_bytes):
-                for doc_id, data in zip(doc_ids[a:b], ids_of(texts[a:b])):
+            doc_ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            for a, b in by_bytes(texts, batch_bytes):
+                for doc_id, data in zip(doc_ids[a:b], ids_of(texts.slice(a, b - a).to_pylist())):
                     n = len(data) // 4 + 1
                     if held and n_held + n > chunk_ids:
                         yield flush()

@@ -60,6 +60,8 @@ class LibraryPieces:
     """
 
     GROUP = 64
+    # Texts to a call: what the library makes of a text is many times larger than its ids.
+    CALL = 128
 
     def __init__(self, model):
         self.model = model
@@ -69,7 +71,8 @@ class LibraryPieces:
         self.opens[[i for token, i in vocab.items() if token[:1] in ("\u0120", "\u010a")]] = True
 
     def single(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for a in range(0, len(texts), self.CALL)
+                for e in self.model.encode_batch_fast(texts[a:a + self.CALL], add_special_tokens=False)]
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit bytes."""
@@ -90,8 +93,10 @@ class LibraryPieces:
 
 
 class PieceCache:
-    """Values of pieces, made in batches by ``encode``; emptied when it holds ``limit`` pieces.
+    """Values of pieces, made in batches by ``encode``; holds about ``limit`` pieces.
 
+    Half of them make a generation: when one is full, the one before it goes, and what is asked for
+    again passes to the next. So words stay and junk, which comes once, leaves.
     A value is what ``encode`` gives for the piece as written; values of neighbours add up. The
     first piece of a text has no space before it and is kept apart.
     """
@@ -99,12 +104,15 @@ class PieceCache:
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.spaced: dict = {}
+        self.older: dict = {}
         self.first: dict = {}
         self.marks: dict = {}
 
     def tidy(self) -> None:
-        for known in (self.spaced, self.first, self.marks):
-            if len(known) > self.limit:
+        if len(self.spaced) > self.limit // 2:
+            self.older, self.spaced = self.spaced, {}
+        for known in (self.first, self.marks):
+            if len(known) > self.limit // 2:
                 known.clear()
 
     def learn(self, pieces: set[str], first: set[str]) -> None:
@@ -118,6 +126,7 @@ class PieceCache:
             else:
                 word = piece
             wanted.add(word)
+        self.spaced.update({w: self.older[w] for w in wanted if w in self.older})
         new = [w for w in wanted if w not in self.spaced]
         self.spaced.update(zip(new, self.encode([as_written(w) for w in new])))
         for known, asked in ((self.marks, marks), (self.first, first)):

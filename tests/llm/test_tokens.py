@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from flowloom.llm.bit_planes import bit_plane_ids, pack, unpack, write_ids, read_ids
 from flowloom.llm.bpe import bpe_round_trip, model
 from flowloom.llm.common import workspace
-from flowloom.llm.pieces import as_written, cut
+from flowloom.llm.pieces import LibraryPieces, PieceCache, as_written, cut
 from flowloom.llm.token_counts import counter, token_counts
 from tests.llm.conftest import TEXTS
 
@@ -31,6 +31,36 @@ def little(values):
     return np.array(values, "<u4").tobytes()
 
 
+def test_junk_leaves_the_piece_cache_and_words_stay():
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [p.encode() for p in pieces]
+    cache = PieceCache(encode, 100)
+    for turn in range(20):
+        text = "a the " + " ".join(f"junk{turn}x{i}" for i in range(20)) + " the"
+        (values,) = cache.fetch([text])
+        assert values.pop() + b"".join(values) == text.encode()
+        assert len(cache.spaced) + len(cache.older) <= 100 + 2 * 21
+    assert asked.count(" the") == 1
+
+
+def test_library_gets_few_texts_at_a_time():
+    sizes = []
+
+    class Model:
+        def get_vocab(self, with_added_tokens):
+            return {}
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append(len(texts))
+            return LIBRARY.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+    texts = [f"text {i}" for i in range(300)]
+    got = LibraryPieces(Model()).single(texts)
+    assert [x.tolist() for x in got] == [ids(t) for t in texts] and max(sizes) <= 128
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000, 4097])
 def test_planes_round_trip(n, bits):
