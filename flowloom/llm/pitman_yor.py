@@ -23,7 +23,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,8 +143,8 @@ class ByteModel:
 
 def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and symbols of all words, where each word starts, and a number that names each word."""
-    lengths = pa.compute.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.int64)
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = wb.flat(words).astype(np.int64)
     starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
     sym = np.full(len(data) + len(lengths), END, np.int64)
     last = starts + lengths
@@ -285,7 +285,7 @@ def _sampled(discount: float, sweep: int):
     """Seats the followers of all words of a block anew; rows ``seats`` and sums of the block's own pairs."""
     def run(messages: pa.Table) -> pa.Table:
         out, told = wb.Messages(), wb.by_kind(messages)
-        row = told["open"][0]
+        row = wb.only(told["open"])
         u, w = wb.halves(wb.unpack_sorted(row["a"]))
         c, own, load, customers, at = (wb.unpack(row[x]) for x in "bcdef")
         ranges, sizes = wb.layout(told["answer"], "b")
@@ -305,12 +305,10 @@ def _answers(state: tuple, sweep: int):
     """What a block needs of a range: probabilities and tables of its words after the sweep."""
     def run(messages: pa.Table) -> pa.Table:
         told, out = wb.by_kind(messages), wb.Messages()
-        for row in told["words"]:
-            p = predict(pa.array(row["words"], pa.binary()), wb.unpack(row["c"]), state).astype(np.float32)
-            load = wb.unpack(row["b"])
-            for m in told["at"]:
-                at = wb.unpack(m["a"])
-                out.add("answer", range=m["range"], block=m["block"], a=wb.pack(p[at]), b=wb.pack(load[at]), n1=sweep)
+        row, slices = wb.only(told["words"]), told["at"]
+        p = predict(wb.word_array(wb.unpack_words(row["words"])), wb.unpack(row["c"]), state).astype(np.float32)
+        load, at = wb.unpack(row["b"]), wb.joined(slices, "a")
+        out.cut("answer", row["range"], slices["block"].to_numpy(), wb.ends_of(slices, "a"), n1=sweep, a=p[at], b=load[at])
         return out.table()
     return run
 
@@ -319,15 +317,16 @@ def _scored(discount: float, unknowns: list[float], total: int, distinct: int, i
     def run(block: pa.Table, messages: pa.Table) -> pa.Table:
         told = wb.by_kind(messages)
         row = block.to_pylist()[0]
-        pairs, (c, counts) = wb.Pairs(row, named=False), (wb.unpack(told["held"][0][x]) for x in "ab")
+        held, seats = wb.only(told["held"]), {m["range"]: m["a"] for m in told["seats"].select(["range", "a"]).to_pylist()}
+        pairs, (c, counts) = wb.Pairs(row, named=False), (wb.unpack(held[x]) for x in "ab")
         ids, at, u, w = pairs.ids, pairs.places(), pairs.u, pairs.w
         mean, closed = np.zeros(len(u)), np.zeros(len(u))
         known, customers, many = counts > 0, counts[u], c > 1
         for sweep, other in enumerate(unknowns, 1):
             # seats of this sweep; the parent as it was left behind them
             t = np.minimum(c, 1)
-            t[many] = wb.unpack(next(m["a"] for m in told["seats"] if m["range"] == sweep))
-            later = [m for m in told["answer"] if m["n1"] == sweep + 1]
+            t[many] = wb.unpack(seats[sweep])
+            later = told["answer"].filter(pc.equal(told["answer"]["n1"], sweep + 1))
             p, tables = wb.joined(later, "a").astype(np.float64), wb.joined(later, "b")[u]
             mean += following(c, t, tables, customers, p[w], discount)
             closed += following(c, t, tables, customers, np.where(known, p, other)[w], discount)

@@ -346,6 +346,47 @@ def test_arrays_travel_whole():
     assert [x[0] for x in pitman_yor.wb.cut(names, 3)] == list(range(8)) and list(pitman_yor.wb.cut(names[:0], 3)) == []
 
 
+def test_slices_cost_no_work_each(monkeypatch):
+    """There are blocks times ranges of them, so a range reads its slices as one array and cuts its answers out of one."""
+    wb, packed = pitman_yor.wb, []
+    plain = wb.pack
+    monkeypatch.setattr(wb, "pack", lambda a: packed.append(len(a)) or plain(a))
+    rng, n = np.random.default_rng(1), 300
+    names = [np.sort(rng.integers(0, 500, size, np.uint64)) for size in rng.integers(1, 40, n)]
+    names = [np.unique(x) for x in names]
+    # slices of other widths: many blocks count to 255, some further
+    counts = [rng.integers(0, 70_000 if k % 50 == 0 else 200, len(x)) for k, x in enumerate(names)]
+    out = wb.Messages()
+    for k, (x, c) in reversed(list(enumerate(zip(names, counts)))):
+        words = b"".join(b"w%d " % name for name in x)
+        words = np.frombuffer(words, np.uint8)
+        out.cut("slice", np.array([3]), k, np.array([0, len(x)]), words=(words, np.array([0, len(words)])), a=wb.low(x, 8), b=c)
+    want = collections.Counter()
+    for x, c in zip(names, counts):
+        want.update(dict(zip(x.tolist(), c.tolist())))
+    told = wb.by_kind(wb.totals(out.table()))["total"]
+    assert told["block"].to_pylist() == list(range(n)) and (wb.layout(told, "a")[1] == [len(x) for x in names]).all()
+    assert wb.joined(told, "a").tolist() == [want[i] for x in names for i in x.tolist()]
+    assert wb.joined(told, "b").sum() == len(want) and not packed
+    told = wb.by_kind(wb.lexicon(out.table()))
+    row, at = wb.only(told["words"]), told["at"]
+    every = wb.word_array(wb.unpack_words(row["words"])).to_pylist()
+    assert every == [b"w%d" % i for i in sorted(want)] and wb.unpack(row["a"]).tolist() == [want[i] for i in sorted(want)]
+    assert [every[i] for i in wb.joined(at, "a")] == [b"w%d" % i for x in names for i in x]
+    assert wb.joined(at, "b").tolist() == [want[i] for x in names for i in x.tolist()] and len(packed) == 1
+
+
+def test_words_are_those_of_bytes(monkeypatch):
+    rng = random.Random(2)
+    texts = ["", " ", " a", "b ", *["".join(rng.choices(" \t\n\x0b\x0c\raAZ\u00e9\u00c4\x1c\x85\u3000\x00\u4e2d", k=rng.randrange(40)))
+                                    for _ in range(500)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(pitman_yor.wb, "SPLIT_BYTES", size)
+        got = [x for _, words in pitman_yor.wb._split(batch) for x in words.to_pylist()]
+        assert [[w.encode() for w in x] for x in got] == [t.encode().lower().split() + [b""] for t in texts]
+
+
 def test_seats_follow_the_restaurant():
     """One dish alone: tables and odds of new ones as the process seats customers one by one."""
     n, d, fresh = 60, 0.5, 3.0
