@@ -6,6 +6,9 @@ set of filters come from those of a smaller set by a left-anti join with one id
 a set are the left-semi join of that set's survivors with its ids, its redundant failures the ids
 that the left-anti join with the survivors leaves. An order of filters only picks sets, so the n! orders are
 read from the counts per part, set and filter.
+
+Tables of ids compress so well that Spark takes millions of rows for a few megabytes and would collect them on the
+driver to broadcast them; joins of rows therefore name their method.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ def id_tables(docs: DataFrame, labels: DataFrame, folder: str, id_col: str, text
     failing = {letter: rows.where(letter).select("row") for letter in checks}
     failing["E"] = copies(rows.select("row", "id", "sha"))
     failing = {letter: written(ids, folder, f"failing-{letter}") for letter, ids in failing.items()}
-    everyone = rows.join(known, "id", "left").select(
+    everyone = rows.join(known.hint("merge"), "id", "left").select(
         "row", "part", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
     return written(everyone, folder, "everyone"), failing
 
@@ -88,7 +91,7 @@ def filter_counts(k: int, everyone: DataFrame, failing: dict[int, DataFrame], fo
         F.count(F.lit(1)).alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost"))
     sets = [s for s in range(1 << len(failing)) if not s >> k & 1]
     missed = (failed.select("row", "part", F.explode(F.array(*map(F.lit, sets))).alias("behind"))
-              .join(removed.select("row", "behind"), ["row", "behind"], "left_anti")
+              .join(removed.select("row", "behind").hint("merge"), ["row", "behind"], "left_anti")
               .groupBy("part", "behind").agg(F.count(F.lit(1)).alias("redundant")))
     return written(gone.join(missed, ["part", "behind"], "full").withColumn("filter", F.lit(k)), folder, f"counts-{k}")
 

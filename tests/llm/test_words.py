@@ -8,10 +8,10 @@ from itertools import permutations
 
 import pytest
 
-from flowloom.llm import spelling as module
+from flowloom.llm import filter_audit as audit_module, spelling as module
 from flowloom.llm.filter_audit import filter_audit
 from flowloom.llm.spelling import leaves, grow, near_words, one_edit, spelling_variants, vector
-from flowloom.llm.common import workspace
+from flowloom.llm.common import workspace, written
 from tests.llm.conftest import TEXTS
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -157,6 +157,20 @@ def test_audit(spark, docs):
     assert audit_rows(filter_audit(df, known)) == brute_audit(rows, labels)
 
 
+def test_audit_broadcasts_no_rows(docs, spark, monkeypatch):
+    """However small Spark takes tables of ids for, they do not go through the driver."""
+    plans = []
+
+    def seen(df, folder, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, folder, name)
+    monkeypatch.setattr(audit_module, "written", seen)
+    known = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert filter_audit(docs, known).count() == 2 * 600
+    met = [line for plan in plans for line in plan.splitlines() if "Join [row" in line or "Join [id" in line]
+    assert len(met) > 30 and not [line for line in met if "BroadcastHashJoin" in line]
+
+
 def test_audit_of_empty_tables(docs, nothing, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert filter_audit(nothing, none).count() == 0
