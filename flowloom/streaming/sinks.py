@@ -12,14 +12,18 @@ from flowloom.streaming.history import HistoryBatches
 from flowloom.streaming.match import unpack
 
 LOST_LOG_FIELDS = ["z_seq", "kind", "key", "service", "trans_depth", "response_body_len", "is_ftp_login"]
+# Rows of a compressed file.
+FILE_ROWS = 1_000_000
 
 
 class RunFolders:
     """Where the rows of a run go: ``<path>/<sink>/run=<run>/batch=<number>``.
 
-    ``run`` names a run and stays the same through its restarts, as its checkpoint does.
+    ``run`` names a run and stays the same through its restarts, as its checkpoint does. Texts are written in ``codec``.
     """
 
+    codec = "none"
+
     def __init__(self, path: str, run: str):
         self.path, self.run = path, run
 
@@ -27,10 +31,15 @@ class RunFolders:
         return f"{self.path}/{sink}/run={self.run}/batch={number}"
 
     def json(self, rows: DataFrame, sink: str, number: int) -> None:
-        rows.write.mode("overwrite").option("ignoreNullFields", False).json(self.at(sink, number))
+        self._texts(rows).option("ignoreNullFields", False).json(self.at(sink, number))
 
     def text(self, lines: DataFrame, sink: str, number: int) -> None:
-        lines.write.mode("overwrite").text(self.at(sink, number))
+        self._texts(lines).text(self.at(sink, number))
+
+    def _texts(self, rows: DataFrame):
+        writer = rows.write.mode("overwrite").option("compression", self.codec)
+        # a compressed file is read by one task
+        return writer if self.codec == "none" else writer.option("maxRecordsPerFile", FILE_ROWS)
 
     def staged(self, batch: DataFrame, number: int) -> DataFrame:
         """The batch, written once: several sinks read it, and a stateful plan must not run for each of them."""
@@ -43,7 +52,9 @@ class RunFolders:
 
 
 class RawSink(RunFolders):
-    """Rows of one sensor as they came, nulls included, in ``raw/<sensor>``."""
+    """Rows of one sensor as they came, nulls included, in ``raw/<sensor>``, as compressed JSON."""
+
+    codec = "gzip"
 
     def __init__(self, path: str, run: str, sensor: str):
         super().__init__(path, run)
@@ -58,9 +69,12 @@ class MergeSinks(RunFolders):
 
     ``merged`` holds JSON of ``merge_seq`` and the 44 fields, counters continued from batch to batch, ``scoring`` the
     scoring lines of the same rows, ``unmatched/flows`` the lost flows as they came and ``unmatched/logs`` the lost log
-    records. Rows are lost only where the merge has a time to live.
+    records. Rows are lost only where the merge has a time to live. All texts are compressed: a merged flow is held
+    in ``merged`` and ``scoring`` beside its raw rows, names of all fields with each.
     """
 
+    codec = "gzip"
+
     def __init__(self, path: str, run: str, flow_schema, same_second: bool = True):
         super().__init__(path, run)
         self.flow_schema = flow_schema
@@ -71,10 +85,11 @@ class MergeSinks(RunFolders):
         self.text(rows.where("status = 'lost_flow'").select("payload"), "unmatched/flows", number)
         self.json(rows.where("status = 'lost_log'").select(*LOST_LOG_FIELDS), "unmatched/logs", number)
         self.history(unpack(rows.where("status = 'merged'").drop("status"), self.flow_schema), number)
+        # the sinks below read the history; the payloads need not stay beside what they write
+        self.unstage(batch, number)
         counted = rows.sparkSession.read.parquet(f"{self.history.rows}/batch={number}")
         self.json(fixed_layout(counted, MERGED_FIELDS, ["merge_seq"]), "merged", number)
         self.text(scoring_lines(counted).select("line"), "scoring", number)
-        self.unstage(batch, number)
 
 
 class ScoreSinks(RunFolders):

@@ -241,6 +241,18 @@ def test_raw_sink_keeps_nulls(spark, tmp_path):
     assert _held(spark, tmp_path, ["raw/flows"]) == {"raw/flows": ['{"seq":1,"proto":null}']}
 
 
+def test_sinks_of_a_merge_are_compressed(spark, tmp_path):
+    """JSON with the names of all fields in each line takes most of a run's disk."""
+    flow = fixtures.derive(spark.read.parquet(EVENTS), fixtures.FLOWS)
+    RawSink(str(tmp_path), "r1", "flows")(flow, 0)
+    MergeSinks(str(tmp_path), "r1", flow.schema)(match.stream_other(flow), 0)
+    for sink in ("raw/flows", "merged", "scoring"):
+        files = [x for x in (tmp_path / sink).rglob("part-*")]
+        plain = sum(len(line) + 1 for line in _held(spark, tmp_path, [sink])[sink])
+        assert files and sum(x.stat().st_size for x in files) < plain / 3
+    assert spark.read.json(str(tmp_path / "raw/flows")).count() == flow.count()
+
+
 def test_score_sinks_part_malformed_lines(spark, tmp_path):
     rows = spark.createDataFrame(
         [("a", "x", False, 0.9, None, "s", "1", "d", "2"), ("b", "y", False, 0.9, "AWS", "s", "1", "d", "3"),
